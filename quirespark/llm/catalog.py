@@ -1,6 +1,19 @@
 """Registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from quirespark.llm import quality
+from quirespark.llm import chat, linededup, lmscore, mixing, quality, tokencount, urlfilter
 
-QUERIES = {"op5_quality_rules": quality.op5_quality_rules}
-SQL = {"op5_quality_rules": quality.SQL}
+QUERIES = {
+    "op1_lm_scoring": lmscore.op1_lm_scoring,
+    "op2_url_filter": urlfilter.op2_url_filter,
+    "op3_mixing": mixing.op3_mixing,
+    "op4_line_dedup": linededup.op4_line_dedup,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op6_token_counts": tokencount.op6_token_counts,
+    "op8_chat_formatting": chat.op8_chat_formatting,
+}
+SQL = {
+    "op3_mixing": mixing.SQL,
+    "op4_line_dedup": linededup.SQL,
+    "op5_quality_rules": quality.SQL,
+    "op8_chat_formatting": chat.SQL,
+}
