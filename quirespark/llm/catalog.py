@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from quirespark.llm import chat, linededup, lmscore, mixing, quality, tokencount, urlfilter
+from quirespark.llm import chat, embedup, linededup, lmscore, mixing, neardup, pieces, quality, tokencount, urlfilter
 
 QUERIES = {
     "op1_lm_scoring": lmscore.op1_lm_scoring,
@@ -9,7 +9,10 @@ QUERIES = {
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_token_counts": tokencount.op6_token_counts,
+    "op7_minhash_neardup": neardup.op7_minhash_neardup,
     "op8_chat_formatting": chat.op8_chat_formatting,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
+    "op10_embedding_neardup": embedup.op10_embedding_neardup,
 }
 SQL = {
     "op3_mixing": mixing.SQL,
