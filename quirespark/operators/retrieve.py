@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirespark.functions.text import tokens
+from quirespark.functions.text import let, tokens
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 LEXICAL, DENSE = 0.4, 0.6
@@ -51,8 +51,9 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id:
     weights = document_frequencies(docs, text).join(_checked(asked.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi").crossJoin(F.broadcast(stats))
     idf = _idf(F.col("n_docs"), F.col("df"))
     weights = weights.select("term", "avg_length", F.when(idf < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(idf).alias("idf"))
-    body = tokens(F.col(text))
-    postings = docs.select(F.col(doc_id).alias("doc_id"), F.size(body).alias("length"), F.explode(body).alias("term"))
+    # The length goes along with each token: computed beside the explode, it would be computed for every token again.
+    body = let(tokens(F.col(text)), lambda w: F.transform(w, lambda t: F.struct(t.alias("term"), F.size(w).alias("length"))))
+    postings = docs.select(F.col(doc_id).alias("doc_id"), F.inline(body))
     postings = postings.join(_checked(weights, BROADCAST_TERMS), "term").groupBy("doc_id", "term", "length", "idf", "avg_length").agg(F.count("*").alias("tf"))
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("avg_length")))
     pairs = postings.withColumn("part", part).join(asked, "term")

@@ -22,7 +22,7 @@ def markdown(spark: SparkSession, root: str, recursive: bool = True, exclude: st
     ``exclude`` is a subtree, such as an output folder inside the input.
     """
     files = _files(spark, root, "binaryFile", MARKDOWN, recursive).load(root)
-    rows = files.select(relative(F.col("path"), root).alias("rel_path"), F.decode("content", "UTF-8").alias("text"))
+    rows = files.select(relative(F.col("path"), root).alias("rel_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     if exclude:
         rows = rows.filter(~F.col("rel_path").startswith(exclude.strip("/") + "/"))
     return rows.select(F.regexp_extract("rel_path", r"([^/]+)$", 1).alias("source_file"), "rel_path", "text")

@@ -14,7 +14,7 @@ def markdown_stream(spark: SparkSession, root: str, files_per_batch: int = 1000)
     """(source_file, rel_path, text) of Markdown files as they come."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", MARKDOWN).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_batch).load(root)
-    rows = files.select(relative(F.col("path"), root).alias("rel_path"), F.decode("content", "UTF-8").alias("text"))
+    rows = files.select(relative(F.col("path"), root).alias("rel_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     return rows.select(F.regexp_extract("rel_path", r"([^/]+)$", 1).alias("source_file"), "rel_path", "text")
 
 
