@@ -10,9 +10,10 @@ cost about its length plus a constant. Two signatures agree in a register with t
 Jaccard similarity.
 
 Signatures are cut into bands. Within a band's bucket, all nodes are paired with the least one only, and every
-pair is verified by the multiset overlap of its texts. Buckets whose nodes do not end up in one class have the
-pairs between classes verified as well, if their signatures agree enough to make the threshold possible (by more
-than eight standard errors). So no bucket is cut off and none emits all its pairs.
+pair is verified by the multiset overlap of its texts. Buckets whose nodes do not end up in one class are tested on,
+in tasks of two blocks of nodes each: the pairs between classes whose signatures agree enough to make the threshold
+possible (within five standard errors) are verified, and what comes back is a spanning forest of the links. So no
+bucket is cut off and none emits its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm.common import settled, small_enough, table, text_of
@@ -38,6 +39,8 @@ REGISTERS = BANDS * ROWS
 BATCH = 400_000
 #: So many ids (a long each) may be broadcast.
 BROADCAST_IDS = 500_000
+#: Bounds of a block of a group of nodes whose pairs are tested.
+BLOCK_NODES, BLOCK_WORDS = 1024, 1_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -166,10 +169,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return both.mapInArrow(lambda x: _overlaps(x, words, least), "a long, b long")
 
 
-def _agreement(x: Column, y: Column) -> Column:
-    return F.aggregate(F.zip_with(x, y, lambda p, q: (p == q).cast("int")), F.lit(0), lambda a, z: a + z)
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """One row per row of ``docs`` with an id: doc_id, component_id (the least id of its class) and kept.
 
@@ -190,7 +189,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = settled(in_buckets.filter("a < b").select("a", "b").distinct())
     links = settled(_verified(pairs, texts, words, least))
     classes = components(links)
-    links = links.unionByName(_between_classes(in_buckets, nodes, classes, pairs, texts, words, least))
+    links = links.unionByName(_between_classes(in_buckets, nodes, classes, texts, words, least))
     classes = components(links)
     named = members.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     # Documents with several texts join their classes' least names; the others are untouched.
@@ -200,23 +199,61 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _between_classes(in_buckets: DataFrame, nodes: DataFrame, classes: DataFrame, tested: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Links between nodes that share a bucket but neither a class nor the bucket's least node."""
-    named = in_buckets.join(classes.withColumnRenamed("node", "b"), "b", "left").select("band", F.col("b").alias("node"), F.coalesce("component", "b").alias("class"))
+def _between_classes(in_buckets: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links between nodes that share a bucket but neither a class nor the bucket's least node.
+
+    Buckets with more than one class are joined to groups by the nodes they share. A group is dealt into blocks, by
+    its nodes and words, and a task tests two blocks of one group; it returns a spanning forest of the links it
+    finds, never its pairs.
+    """
+    named = in_buckets.join(classes.withColumnRenamed("node", "b"), "b", "left").select("band", "a", "b", F.coalesce("component", "b").alias("class"))
     split = named.groupBy("band").agg(F.min("class").alias("_l"), F.max("class").alias("_h"), F.count("*").alias("_n")).filter("_l < _h AND _n > 2").select("band")
-    open_ = settled(named.join(split, "band", "left_semi"))
-    if open_.isEmpty():
-        return tested.limit(0)
-    signed = nodes.join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    open_ = open_.join(signed, "node")
-    x, y = open_.alias("x"), open_.alias("y")
-    possible = least - 8 * (least * (1 - least) / REGISTERS) ** 0.5
-    near = _agreement(F.col("x.signature"), F.col("y.signature")) >= possible * REGISTERS
-    size = (F.col("x.n_words") >= F.col("y.n_words") * (least - 0.1)) & (F.col("y.n_words") >= F.col("x.n_words") * (least - 0.1)) | (F.least("x.n_words", "y.n_words") < 100)
-    met = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.class") != F.col("y.class")) & size & near
-    pairs = x.join(y, met).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    pairs = settled(pairs)
-    return settled(_verified(pairs, texts, words, least)) if not pairs.isEmpty() else pairs
+    grouped = components(named.join(split, "band", "left_semi")).select("node", F.col("component").alias("group"))
+    own = grouped.join(classes, "node", "left").select("node", "group", F.coalesce("component", "node").alias("class"))
+    own = settled(own.join(nodes.dropDuplicates(["node"]), "node"))
+    n = F.greatest(F.count("*") / F.lit(BLOCK_NODES), F.sum("n_words") / F.lit(BLOCK_WORDS))
+    sized = own.groupBy("group").agg(F.ceil(n).cast("int").alias("blocks"))
+    dealt = own.join(sized, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    ids = own.select(F.col("node").alias("doc_id")).distinct()
+    if small_enough(ids, BROADCAST_IDS):
+        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    # An id with several texts stands for each of them; one of them is enough to test here, the least.
+    one = texts.groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
+    tasks = dealt.join(one, "node").withColumn("pair", F.explode(pairs)).select("group", "pair.i", "pair.j", "node", "class", "signature", "block", "text")
+    return settled(tasks.groupBy("group", "i", "j").applyInArrow(lambda t: _forest(t, words, least), "a long, b long"))
+
+
+def _forest(task: pa.Table, words: int, least: float) -> pa.Table:
+    """Links that join different classes, among the nodes of two blocks, as few as join all they can."""
+    node, group = task["node"].to_numpy(), task["class"].to_numpy()
+    block, i, j = task["block"].to_numpy(), task["i"][0].as_py(), task["j"][0].as_py()
+    signature = task["signature"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    text, shingle, weight = shingled(task["text"].combine_chunks().cast(pa.string()), words)
+    edges = np.searchsorted(text, np.arange(len(node) + 1))
+    total = np.add.reduceat(np.append(weight, 0), edges[:-1]) * (edges[1:] > edges[:-1])
+    possible = (least - 5 * (least * (1 - least) / REGISTERS) ** 0.5) * REGISTERS
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    label = np.unique(group, return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for x in left.tolist():
+        # Those that can be alike enough by size and signature and are not yet connected with x.
+        near = right[(right > x) if i == j else slice(None)]
+        near = near[(label[near] != label[x]) & (np.minimum(total[near], total[x]) >= least * np.maximum(total[near], total[x]) - 1e-9)]
+        near = near[(signature[near] == signature[x]).sum(axis=1) >= possible]
+        a, z = edges[x], edges[x + 1]
+        for y in near.tolist():
+            if label[x] == label[y]:
+                continue
+            b, e = edges[y], edges[y + 1]
+            at = np.searchsorted(shingle[a:z], shingle[b:e])
+            at[at == z - a] = 0
+            same = shingle[a:z][at] == shingle[b:e]
+            shared = np.minimum(weight[a:z][at], weight[b:e])[same].sum()
+            if shared >= least * (total[x] + total[y] - shared) - 1e-9:
+                out.append((int(node[x]), int(node[y])))
+                label[label == label[y]] = label[x]
+    return pa.table({k: pa.array([e[n] for e in out], pa.int64()) for n, k in enumerate("ab")})
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
