@@ -6,13 +6,15 @@ is a task; a task builds a cover tree for each of its blocks: levels of halving
 its members and their greatest distance from the centre. Two nodes are pruned if their centres are further apart
 than the threshold and both covering radii together, counted as a whole if all their members must be within the
 threshold, and else expanded, down to leaves, which are compared pair by pair in double precision. A tight group
-is thus one step, whatever its size. A task returns a count of links per point and the edges of a spanning
+is thus one step, whatever its size. Where the bounds prune little, as among points alike far from each other, the
+members are compared at once, without the walk. A task returns a count of links per point and the edges of a spanning
 forest, so its output is in proportion to its input.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,9 @@ COSINE = 0.9
 #: Points of a block; a task has two blocks.
 BLOCK = 8192
 LEAF = 64
+#: A node pair is compared outright if more than this share of it would be left after a level; rows at a time.
+COMPARE = 0.25
+TILE = 1024
 #: Distances and cosines this close to the threshold are looked at again.
 CLOSE = 1e-9
 
@@ -35,13 +40,16 @@ class Tree:
 
     def __init__(self, points: np.ndarray, own: np.ndarray, centre: int, distances: np.ndarray, level: float):
         self.own, self.centre, self.radius = own, centre, float(distances.max(initial=0.0))
-        self.children: list[Tree] = []
-        if len(own) > LEAF and self.radius > CLOSE:
-            while level >= self.radius:  # levels that would have one child
-                level /= 2
-            self._split(points, distances, level)
+        while level >= self.radius > CLOSE:  # levels that would have one child
+            level /= 2
+        self._points, self._distances, self._level = points, distances, level
 
-    def _split(self, points: np.ndarray, distances: np.ndarray, level: float) -> None:
+    @cached_property
+    def children(self) -> list[Tree]:
+        """The next level, made when a traversal first gets here; none for a leaf."""
+        return self._split(self._points, self._distances, self._level) if len(self.own) > LEAF and self.radius > CLOSE else []
+
+    def _split(self, points: np.ndarray, distances: np.ndarray, level: float) -> list[Tree]:
         """A net of the members: each child's centre is further than ``level`` from those before it. If a level
         has very many centres (points alike far apart), the rest goes to the nearest there is; radii are measured,
         so that costs pruning but no link."""
@@ -56,11 +64,8 @@ class Tree:
             closer = d < nearest
             nearest[closer], of[closer] = d[closer], len(centres)
             centres.append(int(self.own[far]))
-        if len(centres) == 1:
-            return
-        for i, c in enumerate(centres):
-            there = of == i
-            self.children.append(Tree(points, self.own[there], c, nearest[there], level / 2))
+        parts = [(of == i, c) for i, c in enumerate(centres)]
+        return [Tree(points, self.own[there], c, nearest[there], level / 2) for there, c in parts] if len(centres) > 1 else []
 
     @classmethod
     def over(cls, points: np.ndarray, own: np.ndarray) -> Tree | None:
@@ -104,6 +109,10 @@ class Links:
             both = np.add.outer([x.radius for x in left], [x.radius for x in right])
             open_ = d <= self.reach + both + CLOSE  # else pruned by the covering radii
             whole = d + both <= self.reach - CLOSE
+            sizes = np.outer([len(x.own) for x in left], [len(x.own) for x in right])
+            if sizes[open_ & ~whole].sum() > COMPARE * sizes.sum():
+                self._leaves(a.own, b.own)  # too little is pruned to be worth the walk
+                continue
             for i, j in zip(*np.nonzero(open_), strict=True):
                 if a is b and j < i:
                     continue
@@ -121,19 +130,23 @@ class Links:
         self._join(int(a[0]), np.concatenate([a, b]))
 
     def _leaves(self, a: np.ndarray, b: np.ndarray) -> None:
-        cosine = self.points[a] @ self.points[b].T
-        hit = cosine >= self.least
-        for i, j in zip(*np.nonzero(np.abs(cosine - self.least) <= CLOSE), strict=True):
-            hit[i, j] = self._cosine(a[i], b[j]) >= self.least
-        if a is b:
-            np.fill_diagonal(hit, False)
-        if not hit.any():
-            return
-        self.counts[a] += hit @ self.weights[b]
-        if a is not b:
-            self.counts[b] += hit.T @ self.weights[a]
-        for i in np.flatnonzero(hit.any(axis=1)):
-            self._join(int(a[i]), b[hit[i]])
+        """All members of a against all of b, a tile of rows at a time."""
+        for at in range(0, len(a), TILE):
+            some = a[at : at + TILE]
+            cosine = self.points[some] @ self.points[b].T
+            rows, columns = np.nonzero(cosine >= self.least - CLOSE)
+            close = np.flatnonzero(cosine[rows, columns] < self.least + CLOSE)
+            good = np.ones(len(rows), bool)
+            good[close] = [self._cosine(some[rows[k]], b[columns[k]]) >= self.least for k in close]
+            i, j = some[rows[good]], b[columns[good]]
+            if a is b:
+                i, j = i[i != j], j[i != j]
+            else:
+                np.add.at(self.counts, j, self.weights[i])
+            np.add.at(self.counts, i, self.weights[j])
+            edges = np.flatnonzero(np.diff(i, prepend=-1)) if len(i) else []
+            for group, first in zip(np.split(j, edges)[1:], i[edges], strict=True):
+                self._join(int(first), group)
 
     def _cosine(self, i: int, j: int) -> float:
         x, y = self.raw[i].tolist(), self.raw[j].tolist()
