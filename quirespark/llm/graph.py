@@ -11,9 +11,9 @@ from quirespark.llm.common import settled
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge between different nodes; the component is its least node.
 
-    In each round a node hooks on to its least neighbour, if that is less, chains are shortened, and edges move
-    to where their ends hang; edges inside a tree vanish, so rounds grow with the logarithm of the number of
-    nodes. A hub costs one partial minimum a task and, in joins, what the adaptive planner splits.
+    In each round a node hooks on to its least neighbour, if that is less, every node moves up to the root of its
+    tree, by doubling, and edges move along with their ends; edges inside a tree vanish, and each tree that has an
+    edge left joins another in the next round, so passes grow with logarithms of the number of nodes. A hub costs one partial minimum a task and, in joins, what the adaptive planner splits.
     """
     low, high = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
     left = settled(edges.select(low, high).filter("a < b").distinct())
@@ -21,15 +21,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to")))
-        for _ in range(2):
-            up = hooked.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
-            hooked = hooked.join(up, hooked["to"] == up["_n"]).select("node", F.col("_to").alias("to"))
-        hooked = settled(hooked)
+        moved = True
+        while moved:  # each pass makes chains a quarter as long
+            start = F.col("to").alias("_from")
+            hooked = hooked.select("node", "to", start)
+            for _ in range(2):
+                up = hooked.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
+                hooked = hooked.join(up, hooked["to"] == up["_n"]).select("node", F.col("_to").alias("to"), "_from")
+            hooked = settled(hooked)
+            moved = not hooked.filter("`to` <> _from").isEmpty()
+            hooked = hooked.select("node", "to")
         if names is None:
             names = hooked.select("node", F.col("to").alias("component"))
         else:
-            moved = names.join(hooked.select(F.col("node").alias("_n"), "to"), F.col("component") == F.col("_n"), "left")
-            names = settled(moved.select("node", F.coalesce("to", "component").alias("component")))
+            renamed = names.join(hooked.select(F.col("node").alias("_n"), "to"), F.col("component") == F.col("_n"), "left")
+            names = settled(renamed.select("node", F.coalesce("to", "component").alias("component")))
         ends = left.join(hooked.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a")
         ends = ends.join(hooked.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
         left = settled(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).filter("a < b").distinct())
