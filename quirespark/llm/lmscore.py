@@ -10,8 +10,8 @@ No task needs the whole model. Texts are dealt into blocks by hash; a block send
 64-bit hashes in sorted runs, to buckets by ranges of the hash; a bucket sums the counts of all blocks and
 answers each with the totals of the n-grams it sent, in the order sent; then the block builds the automaton of
 its own n-grams and reads its texts. A run holds an n-gram once however often the block has it, so a frequent
-n-gram costs a bucket one entry a block. Blocks and buckets number as the shuffle partitions do, which is what
-bounds both kinds of task; the texts and the runs are shuffled once.
+n-gram costs a bucket one entry a block. There are as many buckets as shuffle
+partitions and a few times as many blocks, which is what bounds both kinds of task; the texts and the runs are shuffled once.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from quirespark.llm.common import table, text_of
 ORDER = 2
 MU = 200.0
 FOLDS, HELD_OUT = 7, 2
+#: A block's n-grams and automaton are in memory at a time; a partition has so many blocks.
+BLOCKS_PER_PARTITION = 2
 ROOT = 0
 
 RUN = "bucket int, block int, rank int, keys binary, counts binary"
@@ -145,8 +147,8 @@ def _answers(runs: pa.Table) -> pa.Table:
 class Automaton:
     """States, arcs and failure arcs for the n-grams of some texts.
 
-    State 0 is the root, the empty context. ``arcs`` maps state * width + word to an arc; ``weight`` and
-    ``goes`` are by arc, ``fail`` and ``fail_weight`` by state.
+    State 0 is the root, the empty context. ``root`` gives its arcs by word, ``arcs`` those of the others by
+    state * width + word; ``weight`` and ``goes`` are by arc, ``fail`` and ``fail_weight`` by state.
     """
 
     def __init__(self, grams: Grams, totals: list[np.ndarray], tokens: int, types: int, once: int, twice: int, mu: float):
@@ -195,7 +197,12 @@ class Automaton:
         self.unknown = float(np.log10(discount * types / tokens)) if tokens else 0.0
         self.fail_weight = np.log10(mu / (seen + mu))
         self.fail_weight[ROOT] = 0.0
-        self.arcs = dict(zip(np.concatenate(keys).tolist(), range(sum(map(len, keys))), strict=True))
+        # The root has an arc for nearly every word: a list by word. Other states have few: a table by state and word.
+        root = np.full(self.width, -1, np.int64)
+        root[keys[0]] = np.arange(len(keys[0]))
+        self.root = root.tolist()
+        rest = np.concatenate([np.zeros(0, np.int64), *keys[1:]])
+        self.arcs = dict(zip(rest.tolist(), range(len(keys[0]), len(keys[0]) + len(rest)), strict=True))
         self.weight, self.goes = np.concatenate(weights).tolist(), np.concatenate(goes).tolist()
         self.fail, self.fail_weight = self.fail.tolist(), self.fail_weight.tolist()
         if order == 1:
@@ -203,19 +210,22 @@ class Automaton:
 
     def read(self, words: list[int]) -> float:
         """The log10 probability of the words, the end among them, in one traversal."""
-        arcs, weight, goes, fail, fail_weight, width = self.arcs, self.weight, self.goes, self.fail, self.fail_weight, self.width
+        arcs, root, weight, goes, fail, fail_weight, width = self.arcs, self.root, self.weight, self.goes, self.fail, self.fail_weight, self.width
         at, out = self.start, 0.0
         for w in words:
-            arc = arcs.get(at * width + w)
-            while arc is None and at != ROOT:
+            while at != ROOT:
+                arc = arcs.get(at * width + w)
+                if arc is not None:
+                    break
                 out += fail_weight[at]
                 at = fail[at]
-                arc = arcs.get(at * width + w)
-            if arc is None:
-                out += self.unknown
             else:
-                out += weight[arc]
-                at = goes[arc]
+                arc = root[w]
+                if arc < 0:
+                    out += self.unknown
+                    continue
+            out += weight[arc]
+            at = goes[arc]
         return out
 
 
@@ -248,10 +258,11 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     end. Repeated rows count and are scored as often as they come. If nothing is trained on, every word is the
     unknown one, of probability 1.
     """
-    n = blocks or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = blocks or BLOCKS_PER_PARTITION * n
     number = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     dealt = docs.select(
-        F.pmod(F.xxhash64(doc_id, text), F.lit(n)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).cast("int").alias("block"),
         F.col(doc_id).alias("doc_id"),
         text_of(text).alias("text"),
         (F.crc32(number.cast("binary")) % FOLDS == HELD_OUT).alias("held_out"),

@@ -74,7 +74,15 @@ def encoder(path: str) -> Encoder:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return Encoder(lambda x: [len(e) for e in model.encode(x, num_threads=1)], lambda x: [p.begin for p in model.encode(x, out_type="immutable_proto").pieces], 1)
+    return Encoder(lambda x: [len(e) for e in model.encode(x, num_threads=1)], lambda x: _starts(x, model.encode(x, return_type="proto").pieces), 1)
+
+
+def _starts(text: str, pieces) -> Starts:
+    """Where pieces start, in characters: the library counts bytes."""
+    at = np.zeros(len(text.encode()) + 1, np.int64)
+    sizes = [len(c.encode()) for c in text]
+    at[np.cumsum([0, *sizes])] = np.arange(len(text) + 1)
+    return np.maximum.accumulate(at)[[p.begin for p in pieces]].tolist() if len(pieces) else []
 
 
 def count_chunked(own: Encoder, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
