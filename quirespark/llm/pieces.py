@@ -1,28 +1,30 @@
 """SentencePiece encoding and decoding with seeded merge-dropout.
 
 A BPE model merges neighbouring symbols in order of score. The agenda holds the candidate merges; each candidate
-taken from it is skipped if its keyed hash, of the seed, the occurrence's variant, its place and the merged
-piece, falls below the dropout rate. Other pieces come out than without dropout, but all of them spell the same
-text: characters that are no piece become bytes, and so does a literal mark for spaces, so decoding gives back
-every text exactly. With rate 0 the result is the model's own segmentation.
+taken from it is skipped with the dropout rate, by a draw of its own. Other pieces come out than without dropout,
+but all of them spell the same text: characters that are no piece become bytes, and so does a literal mark for
+spaces, so decoding gives back every text exactly. With rate 0 the result is the model's own segmentation.
 
 Merges do not reach from a word to the space after it, as no piece of the vocabulary does (this is checked), so
-each run of spaces with the word after it is encoded by itself, and a worker keeps what it has encoded: a word in
-the same variant always gives the same pieces. Which of the ``VARIANTS`` an occurrence has is a hash of its
-document and its place.
+each run of spaces with the word after it is encoded by itself. Skips come from a stream of random numbers that a
+hash of the document starts: a number says how many candidates are taken, from word to word, before the next one is
+skipped, which is the same as a draw for each. So occurrences of a word are drawn apart, and what a worker keeps is
+no draw but its outcome: the pieces of a word for given skips, and how many candidates follow the last of them.
+(The library's own dropout mixes in numbers of its process, so runs would differ.)
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +34,27 @@ from quirespark.llm.tokencount import path_of
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 7
-VARIANTS = 2
-#: Encoded words that a worker keeps, how long they may be, and characters that are encoded at a time.
-KNOWN, KNOWN_CHARS = 700_000, 48
+#: Outcomes that a worker keeps, how long their words may be, and characters that are encoded at a time.
+KNOWN, KNOWN_CHARS = 500_000, 48
 BATCH = 1 << 20
 
 MARK = "▁"
 #: Stands for a character that no piece may hold; it is in no text, as it is no character.
 ALONE = "\ud800"
 _UNIT = re.compile(r" *[^ ]+| +")
-_FULL = 2**64 - 1
+#: A place in the order of merges after all, and what a pair's first symbol is multiplied by.
+_NONE, _PAIR = 1 << 62, 1 << 24
+
+
+def _symbols(unit: str) -> list[str]:
+    return list(unit.replace(MARK, ALONE).replace(" ", MARK))
+
+
+class _Numbers(dict):
+    other = 0
+
+    def __missing__(self, char: str) -> int:
+        return self.other + ord(char)
 
 
 class Model:
@@ -60,15 +73,60 @@ class Model:
             raise ValueError("the model has no pieces for bytes, so not every text could be decoded")
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("the model has pieces that reach over a space")
-        self.below, self.seed = int(dropout * 2**32), xxhash.xxh64_intdigest(str(seed))
-        self.known: dict[tuple[str, int], tuple[int, ...]] = {}
+        # Symbols as numbers: a piece is its place in the order of merges, any other character comes after them.
+        order = sorted(self.ids, key=lambda p: -self.scores[p])
+        self.numbers = _Numbers({p: k for k, p in enumerate(order)})
+        self.numbers.other, self.spelling = len(order), [self.ids[p] for p in order]
+        self.merges = {
+            self.numbers[p[:k]] * _PAIR + self.numbers[p[k:]]: self.numbers[p]
+            for p in order
+            for k in range(1, len(p))
+            if (k == 1 or p[:k] in self.ids) and (k == len(p) - 1 or p[k:] in self.ids)
+        }
+        # Equal scores need the agenda; as a rule runs of spaces alone have them.
+        merged = [self.scores[p] for p in order if p.strip(MARK) and len(p) > 1]
+        self.short_chars = KNOWN_CHARS if len(set(merged)) == len(merged) else 0
+        self.dropout, self.seed = dropout, seed
+        self.known: dict[str | tuple[str, int], tuple[int, tuple[int, ...]]] = {}
+
+    def _spelled(self, symbols: list[str]) -> list[int]:
+        out: list[int] = []
+        for symbol in symbols:
+            known = self.ids.get(symbol)
+            out += [known] if known is not None else [self.bytes[x] for x in (MARK if symbol == ALONE else symbol).encode()]
+        return out
 
-    def unit(self, unit: str, variant: int) -> tuple[int, ...]:
-        """The ids of one run of spaces and the word after it."""
-        symbols = [MARK if c == " " else ALONE if c == MARK else c for c in unit]
-        n, scores = len(symbols), self.scores
+    def short(self, unit: str, skips: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+        """How many candidates follow the last skip, and the ids, of a run of spaces and the word after it.
+
+        ``skips`` are the numbers of candidates taken before each skip.
+        """
+        symbols, merge = [self.numbers[c] for c in _symbols(unit)], self.merges.get
+        offers = [merge(x * _PAIR + y, _NONE) for x, y in zip(symbols, symbols[1:], strict=False)]
+        coming = iter(skips)
+        skip, taken = next(coming, None), 0
+        while offers and (best := min(offers)) != _NONE:
+            i = offers.index(best)
+            if taken == skip:
+                offers[i], skip, taken = _NONE, next(coming, None), 0
+                continue
+            taken += 1
+            symbols[i] = best
+            del symbols[i + 1], offers[i]
+            if i < len(offers):
+                offers[i] = merge(best * _PAIR + symbols[i + 1], _NONE)
+            if i:
+                offers[i - 1] = merge(symbols[i - 1] * _PAIR + best, _NONE)
+        other = self.numbers.other
+        if max(symbols) < other:
+            return taken, tuple([self.spelling[x] for x in symbols])
+        return taken, tuple(self._spelled([chr(x - other) if x >= other else self.own.id_to_piece(self.spelling[x]) for x in symbols]))
+
+    def long(self, unit: str, left: float, draw: Callable[[], float]) -> tuple[float, tuple[int, ...]]:
+        """What is left of candidates to take before the next skip, and the ids, if ``left`` were so before."""
+        symbols, scores = _symbols(unit), self.scores
+        n = len(symbols)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        below, key = self.below, (self.seed + variant * 0x9E3779B97F4A7C15) & _FULL
         agenda: list[tuple[float, int, int, str]] = []
 
         def offer(i: int, j: int) -> None:
@@ -85,10 +143,10 @@ class Model:
             _, i, j, piece = heapq.heappop(agenda)
             if not symbols[i] or after[i] != j or symbols[i] + symbols[j] != piece:
                 continue  # one of the two has been merged meanwhile
-            if below:  # the keyed hash of the candidate: multiply, fold, multiply
-                h = (key ^ (self.ids[piece] << 32 | i)) * 0xBF58476D1CE4E5B9 & _FULL
-                if (h ^ h >> 29) * 0x94D049BB133111EB >> 32 & 0xFFFFFFFF < below:
-                    continue
+            if left == 0:
+                left = draw()
+                continue
+            left -= 1
             symbols[i], symbols[j] = piece, ""
             after[i] = k = after[j]
             if k >= 0:
@@ -96,30 +154,48 @@ class Model:
                 offer(i, k)
             if before[i] >= 0:
                 offer(before[i], i)
-        out: list[int] = []
-        for symbol in filter(None, symbols):
-            known = self.ids.get(symbol)
-            out += [known] if known is not None else [self.bytes[x] for x in (MARK if symbol == ALONE else symbol).encode()]
-        return tuple(out)
+        return left, tuple(self._spelled([x for x in symbols if x]))
+
+    def _draws(self, key: int) -> Callable[[], float]:
+        """Numbers of candidates to take between skips."""
+        if not self.dropout:
+            return lambda: math.inf
+        uniform = random.Random(f"{self.seed}/{key}").random
+        kept = math.log1p(-self.dropout) if self.dropout < 1 else -math.inf
+        return lambda: int(math.log(1.0 - uniform()) / kept)
 
     def encode(self, text: str, key: int) -> list[int]:
-        """The ids of a text; ``key`` decides on the variants of its words."""
+        """The ids of a text; ``key`` decides on its skips."""
         out: list[int] = []
         if not text:
             return out
-        known = self.known
-        for i, unit in enumerate(_UNIT.findall(" " + text)):
-            at = (unit, (key >> 2 * (i & 31)) % VARIANTS)
-            ids = known.get(at)
-            if ids is None:
-                ids = self.unit(*at)
-                if len(unit) <= KNOWN_CHARS:
-                    if len(known) >= KNOWN:
-                        known.clear()
-                    known[at] = ids
-            out += ids
+        known, draw = self.known, self._draws(key)
+        left = draw()
+        for unit in _UNIT.findall(" " + text):
+            if len(unit) > self.short_chars or unit.startswith("  "):
+                left, ids = self.long(unit, left, draw)
+                out += ids
+                continue
+            found = known.get(unit) or self._kept(unit, unit, ())
+            if left < found[0]:
+                skips: tuple[int, ...] = (left,)
+                at = (unit, left)
+                left = draw()
+                found = known.get(at) or self._kept(at, unit, skips)
+                while left < found[0]:
+                    skips += (left,)
+                    left = draw()
+                    found = self.short(unit, skips)
+            left -= found[0]
+            out += found[1]
         return out
 
+    def _kept(self, at: str | tuple[str, int], unit: str, skips: tuple[int, ...]) -> tuple[int, tuple[int, ...]]:
+        if len(self.known) >= KNOWN:
+            self.known.clear()
+        found = self.known[at] = self.short(unit, skips)
+        return found
+
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.own.decode(ids)
 
