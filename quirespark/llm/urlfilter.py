@@ -86,9 +86,13 @@ def _entropy(text: Column) -> Column:
     """Bits a character, over the characters of the text: from runs of the sorted characters."""
 
     def of(c: Column) -> Column:
-        kinds = F.array_distinct(c)
-        share = lambda k: F.size(F.filter(c, lambda x: x == k)) / F.size(c)
-        return F.aggregate(F.transform(kinds, lambda k: let(share(k), lambda p: -p * F.log2(p))), F.lit(0.0), lambda a, x: a + x)
+        bits = lambda n: n * F.log2(n)
+        start = F.struct(F.lit("").alias("last"), F.lit(1.0).alias("run"), F.lit(0.0).alias("sum"))
+        step = lambda a, x: F.when(x == a["last"], F.struct(x.alias("last"), (a["run"] + 1).alias("run"), a["sum"].alias("sum"))).otherwise(
+            F.struct(x.alias("last"), F.lit(1.0).alias("run"), (a["sum"] + bits(a["run"])).alias("sum"))
+        )
+        n = F.size(c).cast("double")
+        return F.aggregate(F.array_sort(c), start, step, lambda a: F.log2(n) - (a["sum"] + bits(a["run"])) / n)
 
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(let(F.filter(F.split(text, ""), lambda x: x != ""), of))
 
@@ -105,7 +109,7 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "path_depth": count("/", path),
         "digit_ratio": count("[0-9]", u) / F.greatest(F.length(u), F.lit(1)),
         "host_entropy": _entropy(host),
-        "path_entropy": _entropy(F.substring(path, 1, 256)),
+        "path_entropy": _entropy(path),
         "n_params": F.when(query == "", F.lit(0.0)).otherwise(count("&", query) + 1),
         "n_hyphens": count("-", host),
     }

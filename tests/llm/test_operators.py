@@ -162,6 +162,16 @@ def test_entropy(spark):
     assert (row.a, row.b, row.c) == (1.0, 0.0, 0.0)
 
 
+def test_entropy_of_whole_long_paths(spark):
+    rng = random.Random(17)
+    tails = ["", "b" * 300, "".join(chr(rng.randrange(97, 1200)) for _ in range(20_000))]
+    df = spark.createDataFrame([(i, "http://a.com/" + "a" * 299 + t) for i, t in enumerate(tails)], "id long, url string")
+    for r, tail in zip(urlfilter.with_features(df).orderBy("id").collect(), tails, strict=True):
+        path = "/" + "a" * 299 + tail
+        by_hand = -sum(k / len(path) * math.log2(k / len(path)) for k in Counter(path).values())
+        assert r.path_entropy == pytest.approx(by_hand)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
