@@ -2,8 +2,8 @@
 
 The labelled URLs are those a rule decides. The trees learn from a bounded sample of them (``TRAIN_ROWS``, least
 hashes first, so the same URLs are drawn however the table is dealt) and become one CASE expression, which scores
-every URL in the scan: no shuffle, no join but one with the statistics of host suffixes, which have fewer rows
-than the sample. Training compresses the sample to distinct vectors of bin numbers and then asks, a tree level
+every URL in the scan. Statistics of host suffixes are those of all labelled URLs; they are joined, by broadcast if
+they have at most ``BROADCAST_SUFFIXES`` rows, else by a shuffle in which a suffix has ``SALTS`` places. Training compresses the sample to distinct vectors of bin numbers and then asks, a tree level
 at a time, for one histogram of gradients per node, feature and bin.
 """
 
@@ -15,12 +15,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import ascii_lower, let, settled, table, text_of
+from quirespark.llm.common import ascii_lower, let, settled, small_enough, table, text_of
 
 #: (rule, verdict); a rule is a host and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Bound of the training sample, and so of the suffix statistics that are broadcast.
+#: Bound of the training sample.
 TRAIN_ROWS = 20_000
+#: So many rows of suffix statistics may be broadcast; beyond, each is dealt to so many places.
+BROADCAST_SUFFIXES = 200_000
+SALTS = 16
 BINS = 16
 TREES = 8
 DEPTH = 3
@@ -125,31 +128,40 @@ def with_features(urls: DataFrame, url: str = "url") -> DataFrame:
 
 
 def _suffix_rates(labelled: DataFrame, rate: float) -> DataFrame:
-    names = F.explode(F.array(*(suffix_of(F.col("host"), n) for n in SUFFIX_FEATURES.values()))).alias("suffix")
     # A host of one label is its own suffix twice; rows count once for each suffix they have.
-    rows = labelled.select("_row", "y", names).distinct()
+    names = F.explode(F.array_distinct(F.array(*(suffix_of(F.col("host"), n) for n in SUFFIX_FEATURES.values())))).alias("suffix")
+    rows = labelled.select("y", names)
     return rows.groupBy("suffix").agg(((F.sum("y") + F.lit(PRIOR * rate)) / (F.count("*") + F.lit(PRIOR))).alias("suffix_rate"))
 
 
 def _with_rates(rows: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
-    """Rows with the block rates of their suffixes; the statistics have two rows per training row at most."""
+    """Rows with the block rates of their suffixes."""
+    few = small_enough(suffixes, BROADCAST_SUFFIXES)
+    if not few:  # repeated URLs are dealt apart, too
+        rows = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
     for name, n in SUFFIX_FEATURES.items():
-        stats = F.broadcast(suffixes.select(F.col("suffix").alias("_s"), F.col("suffix_rate").alias(name)))
-        rows = rows.join(stats, suffix_of(F.col("host"), n) == F.col("_s"), "left").drop("_s").fillna({name: rate})
-    return rows
+        stats = suffixes.select(F.col("suffix").alias("_s"), F.col("suffix_rate").alias(name))
+        on = suffix_of(F.col("host"), n) == F.col("_s")
+        if few:
+            stats = F.broadcast(stats)
+        else:
+            stats = stats.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            on = on & (F.col("_salt") == F.col("_place"))
+        rows = rows.join(stats, on, "left").drop("_s", "_place").fillna({name: rate})
+    return rows.drop("_salt")
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from rows with host, lexical features and ``y`` (1: block), learnt from ``rows`` of them at most.
+    """A model from rows with host, lexical features and ``y`` (1: block); trees are learnt from ``rows`` of them at most.
 
     Without rows of both kinds there are no trees: the model says what it has seen, or allow if it has seen none.
     """
     names = [c for c in lexical(F.lit(""), F.lit(""), F.lit(""))]
     drawn = labelled.select("host", "y", *names, F.xxhash64("host", "path", *names).alias("_hash")).orderBy("_hash").limit(rows)
-    sample = settled(drawn.withColumn("_row", F.monotonically_increasing_id()))
-    n, positive = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
+    sample = settled(drawn)
+    n, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     rate = positive / n if n else 0.0
-    suffixes = settled(_suffix_rates(sample, rate))
+    suffixes = settled(_suffix_rates(labelled, rate))
     if not 0 < positive < n:
         return Model(1.0 if positive else -1.0, {}, [], suffixes, rate)
     names += list(SUFFIX_FEATURES)

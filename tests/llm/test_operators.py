@@ -172,6 +172,20 @@ def test_entropy_of_whole_long_paths(spark):
         assert r.path_entropy == pytest.approx(by_hand)
 
 
+@pytest.mark.parametrize("bound", [200_000, 3])
+def test_suffix_rates_of_all_labelled_urls(spark, monkeypatch, bound):
+    monkeypatch.setattr(urlfilter, "BROADCAST_SUFFIXES", bound)
+    rows = [(i, f"http://h{i % 3}.d{i % 7}.com/p{i}", float(i % 7 < 2)) for i in range(140)]
+    df = urlfilter.with_features(spark.createDataFrame(rows, "id long, url string, y double"))
+    model = urlfilter.fit(df, rows=10)
+    rate = 40 / 140
+    assert model.rate == rate
+    out = urlfilter._with_rates(df, model.suffixes, model.rate).collect()
+    assert len(out) == 140
+    for r in out:
+        assert r.domain_rate == pytest.approx((20 * r.y + 20 * rate) / 40) and r.tld_rate == pytest.approx((40 + 20 * rate) / 160)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 
