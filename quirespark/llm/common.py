@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The ASCII white space that separates words in every operator here.
@@ -43,10 +44,13 @@ def words_of(text: Column) -> Column:
 
 
 def with_checkpoints(spark: SparkSession) -> SparkSession:
-    """The session with a checkpoint folder: the one its settings name, else (in tests) a local one."""
+    """The session with a checkpoint folder: the one its settings name, else, on a local master only, a temporary one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirespark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quirespark-"))
     return spark
 
 
@@ -56,6 +60,30 @@ def settled(frame: DataFrame) -> DataFrame:
     return frame.checkpoint(eager=True)
 
 
+def measured(frame: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """``settled``, with aggregates of the rows, which are taken as the rows are written."""
+    seen = Observation()
+    first, *more = (c.alias(n) for n, c in {"rows": F.count("*"), **metrics}.items())
+    return settled(frame.observe(seen, first, *more)), seen.get
+
+
+def released(frame: DataFrame) -> None:
+    """Deletes the files of a settled frame that nothing will read again."""
+    kept = frame._jdf.queryExecution().analyzed().collectLeaves().head().rdd()
+    file = kept.getCheckpointFile()
+    if file.isDefined():
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, lengthened until it is none of ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def small_enough(frame: DataFrame, most: int) -> bool:
     """Whether ``frame`` has at most ``most`` rows; what justifies a broadcast."""
     return frame.limit(most + 1).count() <= most

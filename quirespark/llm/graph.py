@@ -1,42 +1,36 @@
-"""Connected components of an edge table, by contraction; nothing is collected."""
+"""Connected components of an edge table, by alternating stars; nothing is collected."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import settled
+from quirespark.llm.common import measured, released
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge between different nodes; the component is its least node.
+    """(node, component) for every node that is not the least of its component; the component is its least node.
 
-    In each round a node hooks on to its least neighbour, if that is less, every node moves up to the root of its
-    tree, by doubling, and edges move along with their ends; edges inside a tree vanish, and each tree that has an
-    edge left joins another in the next round, so passes grow with logarithms of the number of nodes. A hub costs one partial minimum a task and, in joins, what the adaptive planner splits.
+    An edge has a low and a high end. In each round every high end follows its low end's least lower neighbour, and
+    then the lower neighbours of each node are tied to the least of them. Neither adds an edge or parts what was
+    connected, and ends only ever fall, until each component is a star around its least node; that takes rounds in
+    the order of the logarithm of a component's size. A round is one plan and one checkpoint, which also says
+    whether an end fell. A hub costs one partial minimum a task and, in joins, what the adaptive planner splits.
     """
-    low, high = F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-    left = settled(edges.select(low, high).filter("a < b").distinct())
-    names = None
-    while not left.isEmpty():
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooked = settled(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("to")))
-        moved = True
-        while moved:  # each pass makes chains a quarter as long
-            start = F.col("to").alias("_from")
-            hooked = hooked.select("node", "to", start)
-            for _ in range(2):
-                up = hooked.select(F.col("node").alias("_n"), F.col("to").alias("_to"))
-                hooked = hooked.join(up, hooked["to"] == up["_n"]).select("node", F.col("_to").alias("to"), "_from")
-            hooked = settled(hooked)
-            moved = not hooked.filter("`to` <> _from").isEmpty()
-            hooked = hooked.select("node", "to")
-        if names is None:
-            names = hooked.select("node", F.col("to").alias("component"))
-        else:
-            renamed = names.join(hooked.select(F.col("node").alias("_n"), "to"), F.col("component") == F.col("_n"), "left")
-            names = settled(renamed.select("node", F.coalesce("to", "component").alias("component")))
-        ends = left.join(hooked.select(F.col("node").alias("a"), F.col("to").alias("_a")), "a")
-        ends = ends.join(hooked.select(F.col("node").alias("b"), F.col("to").alias("_b")), "b")
-        left = settled(ends.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).filter("a < b").distinct())
-    return names if names is not None else left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    now, seen = measured(edges.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).filter("low < high"))
+    fell = seen["rows"]
+    while fell:
+        last, (now, seen) = now, measured(_round(now), fell=F.sum(F.col("fell").cast("int")))
+        released(last)
+        now, fell = now.select("low", "high"), seen["fell"]
+    return now.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("component"))
+
+
+def _round(edges: DataFrame) -> DataFrame:
+    least = lambda e: e.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
+    lower = least(edges)
+    stars = edges.join(lower, edges["low"] == lower["node"], "left").select(F.coalesce("least", "low").alias("low"), "high", F.col("least").isNotNull().alias("fell"))
+    lower = least(stars)
+    tied = stars.join(lower, stars["high"] == lower["node"])
+    top = F.col("low") == F.col("least")
+    return tied.select(F.col("least").alias("low"), F.when(top, F.col("high")).otherwise(F.col("low")).alias("high"), (F.col("fell") | ~top).alias("fell"))

@@ -10,10 +10,11 @@ cost about its length plus a constant. Two signatures agree in a register with t
 Jaccard similarity.
 
 Signatures are cut into bands. Within a band's bucket, all nodes are paired with the least one only, and every
-pair is verified by the multiset overlap of its texts. Buckets whose nodes do not end up in one class are tested on,
-in tasks of two blocks of nodes each: the pairs between classes whose signatures agree enough to make the threshold
-possible (within five standard errors) are verified, and what comes back is a spanning forest of the links. So no
-bucket is cut off and none emits its pairs.
+pair is verified by the multiset overlap of its texts. Buckets whose other nodes do not end up in one class are
+tested on, in tasks of two blocks of a bucket's nodes each: of the pairs between classes that meet in no earlier band,
+those whose signatures agree enough to make the threshold possible (within five standard errors) are verified, and
+what comes back is a spanning forest of links between classes. So no bucket is cut off and none emits its pairs.
+Components are searched once over the links of nodes and once over those of classes.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import settled, small_enough, table, text_of
+from quirespark.llm.common import fresh, measured, released, settled, small_enough, table, text_of
 from quirespark.llm.graph import components
 
 WORDS = 5
@@ -110,27 +111,29 @@ def _pieces(sizes: np.ndarray) -> list[np.ndarray]:
     return np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(held)) + 1) if len(sizes) else []
 
 
-SIGNED = "doc_id long, key_a long, key_b long, n_words long, signature array<int>"
+SIGNED = "doc_id long, row long, raw long, key_a long, key_b long, n_words long, signature array<int>"
 
 
 def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        texts = b.column(1).cast(pa.string())
+        texts, ids = b.column(3).cast(pa.string()), b.column(0).to_pylist()
         rough = pc.binary_length(texts).to_numpy(zero_copy_only=False) // 6
         for part in _pieces(rough):
-            own = texts.slice(int(part[0]), len(part))
+            at, n = int(part[0]), len(part)
+            own = texts.slice(at, n)
             hashes, sizes = word_hashes(own)
             edges = np.concatenate([[0], np.cumsum(sizes)])
             raw = hashes.tobytes()
-            keys = [xxhash.xxh128_intdigest(raw[8 * a : 8 * z]) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            # A text without words is like no other: its key is its id.
+            keys = [xxhash.xxh128_intdigest(raw[8 * x : 8 * y]) if y > x else ids[at + i] & (2**64 - 1) for i, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))]
             distinct = {k: i for i, k in enumerate(keys)}  # copies in one batch get one signature
             rows = np.array(sorted(distinct.values()), np.int64)
             signed = bag_minhash(*shingled(own.take(pa.array(rows)), words), len(rows))
             where = {keys[r]: j for j, r in enumerate(rows.tolist())}
             full = signed[[where[k] for k in keys]].view(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * REGISTERS, pa.int32()), pa.array(full.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * REGISTERS, pa.int32()), pa.array(full.ravel()))
             halves = [np.array([(k >> s) & (2**64 - 1) for k in keys], np.uint64).view(np.int64) for s in (0, 64)]
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(int(part[0]), len(part)), *map(pa.array, halves), pa.array(sizes, pa.int64()), lists], names=[x.split()[0] for x in SIGNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, n) for i in range(3)), *map(pa.array, halves), pa.array(sizes, pa.int64()), lists], names=[x.split()[0] for x in SIGNED.split(", ")])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch], words: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -152,17 +155,27 @@ def _overlaps(batches: Iterator[pa.RecordBatch], words: int, least: float) -> It
             yield pa.RecordBatch.from_arrays([b.column(i).slice(at, n).filter(good) for i in (0, 1)], names=["a", "b"])
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, key, n_words, signature) of the rows with an id and a word; key is a 128-bit hash of all words."""
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, raw, text) of the rows with an id; ``raw`` tells the texts of an id apart."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text")).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(lambda b: _signed(b, words), SIGNED).filter("n_words > 0")
+    return rows.select("doc_id", F.xxhash64("text").alias("raw"), "text")
+
+
+def signatures(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, row, raw, key, n_words, signature) of ``_texts``; key is a 128-bit hash of all words, row a number."""
+    return texts.select("doc_id", F.monotonically_increasing_id().alias("row"), "raw", "text").mapInArrow(lambda b: _signed(b, words), SIGNED)
+
+
+def _thinned(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The texts of the distinct ``ids`` (doc_id), which are ``most`` at most; few ids are broadcast."""
+    ids = ids.distinct()
+    return texts.join(F.broadcast(ids) if most <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ids whose texts are similar enough. Few ids are broadcast to thin the texts out first."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    if small_enough(ids, BROADCAST_IDS):
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    """The pairs (a, b) of ids of which two texts are similar enough."""
+    pairs, seen = measured(pairs.distinct())
+    texts = _thinned(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), 2 * seen["rows"])
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
@@ -174,73 +187,68 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts of ``least`` similarity or more are linked, and classes are what links connect. Words are split at
     ASCII white space with A-Z lower-cased. A text without words, null or empty, is linked with nothing. Rows
-    that share an id are one document, in the class of each of their texts; rows without an id are left out.
+    that share an id are one document, linked by any of their texts; rows without an id are left out. Very long
+    texts are signed and compared whole; a task holds a few of them at a time. Other columns play no part.
     """
-    signed = settled(signatures(docs, doc_id, text, words))
-    nodes_of = signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"))
-    members = settled(signed.select("doc_id", "key_a", "key_b").join(nodes_of, ["key_a", "key_b"]).select("doc_id", "node"))
-    own = members.filter("doc_id = node").distinct()
-    nodes = signed.join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "n_words", "signature")
+    texts = _texts(docs, doc_id, text)
+    signed = settled(signatures(texts, words))
+    # One row of each text, a row of its least id, carries the signature on.
+    first = signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.min_by("row", "doc_id").alias("first"))
+    carried = F.when((F.col("row") == F.col("first")) & (F.col("n_words") > 0), F.col("signature"))
+    rows = settled(signed.join(first, ["key_a", "key_b"]).select("doc_id", "raw", "node", "n_words", carried.alias("signature")))
+    released(signed)
+    nodes = rows.filter("signature IS NOT NULL").select("node", "raw", "n_words", "signature")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, F.lit(ROWS))))
-    banded = nodes.select("node", F.explode(band).alias("band"))
-    shared = settled(banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a < _z").select("band", "a"))
-    in_buckets = settled(banded.join(shared, "band").select("band", "a", F.col("node").alias("b")))
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
-    pairs = settled(in_buckets.filter("a < b").select("a", "b").distinct())
-    links = settled(_verified(pairs, texts, words, least))
-    classes = components(links)
-    links = links.unionByName(_between_classes(in_buckets, nodes, classes, texts, words, least))
-    classes = components(links)
-    named = members.join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
-    # Documents with several texts join their classes' least names; the others are untouched.
-    named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id")).filter("doc_id IS NOT NULL")
-    out = ids.join(named, "doc_id", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    banded = nodes.select("node", "raw", F.posexplode(band).alias("k", "band"))
+    shared = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_z"), F.count("*").alias("n")).filter("a < _z").select("band", "a", "n")
+    in_buckets = settled(banded.join(shared, "band").filter("a < node").select("band", "n", "k", "a", F.col("node").alias("b"), "raw"))
+    links = _verified(in_buckets.select("a", "b"), texts, words, least)
+    # An id of several texts ties them together.
+    several = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a < _z")
+    links = links.unionByName(rows.join(several, F.col("doc_id") == F.col("_id")).select("a", F.col("node").alias("b")))
+    classes = settled(components(links))
+    joined = components(_between_classes(in_buckets, nodes, classes, texts, words, least))
+    named = rows.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("node"))
+    named = named.join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+    return named.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def _between_classes(in_buckets: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Links between nodes that share a bucket but neither a class nor the bucket's least node.
-
-    Buckets with more than one class are joined to groups by the nodes they share. A group is dealt into blocks, by
-    its nodes and words, and a task tests two blocks of one group; it returns a spanning forest of the links it
-    finds, never its pairs.
-    """
-    named = in_buckets.join(classes.withColumnRenamed("node", "b"), "b", "left").select("band", "a", "b", F.coalesce("component", "b").alias("class"))
-    split = named.groupBy("band").agg(F.min("class").alias("_l"), F.max("class").alias("_h"), F.count("*").alias("_n")).filter("_l < _h AND _n > 2").select("band")
-    grouped = components(named.join(split, "band", "left_semi")).select("node", F.col("component").alias("group"))
-    own = grouped.join(classes, "node", "left").select("node", "group", F.coalesce("component", "node").alias("class"))
-    own = settled(own.join(nodes.dropDuplicates(["node"]), "node"))
+    """Links (a, b) between classes, of nodes that share a bucket of which neither is the least node."""
+    named = in_buckets.filter("n > 2").join(classes.withColumnRenamed("node", "b"), "b", "left").select("band", "k", F.col("b").alias("node"), "raw", F.coalesce("component", "b").alias("class"))
+    split = named.groupBy("band").agg(F.min("class").alias("_l"), F.max("class").alias("_h")).filter("_l < _h").select("band")
+    open_, seen = measured(named.join(split, "band", "left_semi"))
+    if not seen["rows"]:
+        return open_.select(F.col("node").alias("a"), F.col("class").alias("b")).limit(0)
+    wanted = _thinned(texts, open_.select(F.col("node").alias("doc_id")), seen["rows"]).withColumnRenamed("doc_id", "node").dropDuplicates(["node", "raw"])
+    own = nodes.join(wanted, ["node", "raw"])
+    held = open_.join(own, ["node", "raw"])
     n = F.greatest(F.count("*") / F.lit(BLOCK_NODES), F.sum("n_words") / F.lit(BLOCK_WORDS))
-    sized = own.groupBy("group").agg(F.ceil(n).cast("int").alias("blocks"))
-    dealt = own.join(sized, "group").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    ids = own.select(F.col("node").alias("doc_id")).distinct()
-    if small_enough(ids, BROADCAST_IDS):
-        texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
-    # An id with several texts stands for each of them; one of them is enough to test here, the least.
-    one = texts.groupBy("doc_id").agg(F.min("text").alias("text")).withColumnRenamed("doc_id", "node")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    tasks = dealt.join(one, "node").withColumn("pair", F.explode(pairs)).select("group", "pair.i", "pair.j", "node", "class", "signature", "block", "text")
-    return settled(tasks.groupBy("group", "i", "j").applyInArrow(lambda t: _forest(t, words, least), "a long, b long"))
+    sized = open_.join(nodes.select("node", "raw", "n_words"), ["node", "raw"]).groupBy("band").agg(F.ceil(n).cast("int").alias("blocks"))
+    dealt = held.join(sized, "band").withColumn("block", F.pmod(F.xxhash64("node", "raw"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    tasks = dealt.withColumn("pair", F.explode(pairs)).select("band", "k", "pair.i", "pair.j", "class", "signature", "block", "text")
+    return tasks.groupBy("band", "i", "j").applyInArrow(lambda t: _forest(t, words, least), "a long, b long")
 
 
 def _forest(task: pa.Table, words: int, least: float) -> pa.Table:
-    """Links that join different classes, among the nodes of two blocks, as few as join all they can."""
-    node, group = task["node"].to_numpy(), task["class"].to_numpy()
-    block, i, j = task["block"].to_numpy(), task["i"][0].as_py(), task["j"][0].as_py()
-    signature = task["signature"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+    """Links between classes, among the nodes of two blocks of a bucket, as few as join all they can."""
+    group = task["class"].to_numpy()
+    block, i, j, k = task["block"].to_numpy(), task["i"][0].as_py(), task["j"][0].as_py(), task["k"][0].as_py()
+    signature = task["signature"].combine_chunks().flatten().to_numpy().reshape(len(group), -1)
     text, shingle, weight = shingled(task["text"].combine_chunks().cast(pa.string()), words)
-    edges = np.searchsorted(text, np.arange(len(node) + 1))
+    edges = np.searchsorted(text, np.arange(len(group) + 1))
     total = np.add.reduceat(np.append(weight, 0), edges[:-1]) * (edges[1:] > edges[:-1])
     possible = (least - 5 * (least * (1 - least) / REGISTERS) ** 0.5) * REGISTERS
     left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
     label = np.unique(group, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     for x in left.tolist():
-        # Those that can be alike enough by size and signature and are not yet connected with x.
+        # Those that can be alike enough by size and signature, meet x in no earlier band and are not yet connected with it.
         near = right[(right > x) if i == j else slice(None)]
         near = near[(label[near] != label[x]) & (np.minimum(total[near], total[x]) >= least * np.maximum(total[near], total[x]) - 1e-9)]
-        near = near[(signature[near] == signature[x]).sum(axis=1) >= possible]
+        agree = signature[near] == signature[x]
+        near = near[(agree.sum(axis=1) >= possible) & ~agree[:, : k * ROWS].reshape(len(near), k, ROWS).all(axis=2).any(axis=1)]
         a, z = edges[x], edges[x + 1]
         for y in near.tolist():
             if label[x] == label[y]:
@@ -251,17 +259,18 @@ def _forest(task: pa.Table, words: int, least: float) -> pa.Table:
             same = shingle[a:z][at] == shingle[b:e]
             shared = np.minimum(weight[a:z][at], weight[b:e])[same].sum()
             if shared >= least * (total[x] + total[y] - shared) - 1e-9:
-                out.append((int(node[x]), int(node[y])))
+                out.append((int(group[x]), int(group[y])))
                 label[label == label[y]] = label[x]
-    return pa.table({k: pa.array([e[n] for e in out], pa.int64()) for n, k in enumerate("ab")})
+    return pa.table({c: pa.array([e[n] for e in out], pa.int64()) for n, c in enumerate("ab")})
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` but those whose class has a lesser id; rows without an id stay."""
-    gone = settled(near_duplicates(docs, doc_id, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct())
-    if small_enough(gone, BROADCAST_IDS):
-        gone = F.broadcast(gone)
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` but those whose class has a lesser id; rows without an id stay, as do all columns."""
+    gone = fresh(docs.columns, "_gone")
+    ids = settled(near_duplicates(docs, doc_id, **options).filter("NOT kept").select(F.col("doc_id").alias(gone)).distinct())
+    if small_enough(ids, BROADCAST_IDS):
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col(doc_id).cast("long") == F.col(gone), "left_anti")
 
 
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
