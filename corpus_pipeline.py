@@ -38,8 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, how many they are, and whether they decode to its text."""
-    out = pieces.decoded(pieces.encoded(docs, path := path_of(pieces.MODEL)), path)
+    """Each document's ids, how many they are, and whether they decode to its text; copies have ids of their own."""
+    copies = pieces.numbered(docs, "copy")
+    out = pieces.round_trip(copies, path_of(pieces.MODEL), copy=F.col("copy"))
     return out.select("doc_id", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), (F.col("decoded") == F.col("text")).alias("lossless"))
 
 
