@@ -7,15 +7,18 @@ what tests call; each ``*_udf`` wraps one of them.
 from __future__ import annotations
 
 import re
+from collections import deque
 from functools import cache
+from itertools import chain, groupby, repeat, zip_longest
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-FENCE = re.compile(r"^\s*(`{3,}|~{3,})")
-ATX = re.compile(r"^\s{0,3}(#{1,6})\s+(.*?)\s*#*\s*$")
-SETEXT = re.compile(r"^\s{0,3}(=+|-+)\s*$")
-NUMERIC = re.compile(r"^\s{0,3}(\d+(?:\.\d+)*)([.):\-])?\s+\S")
+
+def fence_kind(line: str) -> str:
+    """The character of a code fence that the line begins with, else an empty string."""
+    mark = line.lstrip()[:3]
+    return mark[0] if mark in ("```", "~~~") else ""
 
 
 class Fence:
@@ -26,44 +29,78 @@ class Fence:
         self.kind, self.replaces = "", replaces
 
     def inside(self, line: str) -> bool:
-        if m := FENCE.match(line):
-            kind = m[1][0]
-            if kind == self.kind:
-                self.kind = ""
-            elif not self.kind or self.replaces:
-                self.kind = kind
+        kind = fence_kind(line)
+        if kind and kind == self.kind:
+            self.kind = ""
+        elif kind and (self.replaces or not self.kind):
+            self.kind = kind
         return bool(self.kind)
 
 
+# Headings ------------------------------------------------------------------------------------------------------------
+
+#: Marks that may follow the number of a heading; the first two also make list items.
+LISTING, MARKS = ".)", ".):-"
+
+
+def _hashed(line: str) -> tuple[int, str] | None:
+    """Level and title of a line marked by #."""
+    body = line.lstrip()
+    title = body.lstrip("#")
+    level = len(body) - len(title)
+    if len(line) - len(body) <= 3 and 1 <= level <= 6 and title[:1].isspace():
+        return level, title.strip().rstrip("#").strip()
+    return None
+
+
+def _underline(line: str) -> int:
+    """The level that a line gives to the one above it, if it is all = or all -; else 0."""
+    kinds = set(line.strip())
+    return {"=": 1, "-": 2}[kinds.pop()] if kinds in ({"="}, {"-"}) else 0
+
+
+def _numbered(line: str) -> tuple[int, bool] | None:
+    """Depth of the number that a line begins with, and whether it could be a list item."""
+    body = line.lstrip()
+    number, *title = body.split(None, 1)[:2] if body else ("",)
+    if len(line) - len(body) > 3 or not title:
+        return None
+    mark = number[-1] if number[-1] in MARKS else ""
+    parts = number[: len(number) - len(mark)].split(".")
+    if not all(x.isdecimal() for x in parts):
+        return None
+    return len(parts), len(parts) == 1 and mark != "" and mark in LISTING
+
+
 def headings(text: str | None, levels: bool = True) -> list[dict]:
     """ATX, setext and numbered headings outside fences, as (line_index, level, text).
 
     A line that begins with a bare number and a dot or bracket is a list item unless blank lines surround it;
     without ``levels`` that is not looked at.
     """
-    rows, out, fence, i = (text or "").splitlines(), [], Fence(), 0
-    while i < len(rows):
-        line = rows[i]
-        if fence.inside(line):
-            i += 1
+    rows = (text or "").splitlines()
+    blank = [*(not x.strip() for x in rows), True]  # also for what is above the first line
+    out, fence, used = [], Fence(), -1
+    for i, line in enumerate(rows):
+        if fence.inside(line) or i == used:
             continue
-        if m := ATX.match(line):
-            out.append({"line_index": i, "level": len(m[1]), "text": m[2].strip()})
-        elif i + 1 < len(rows) and line.strip() and SETEXT.match(rows[i + 1]):
-            out.append({"line_index": i, "level": 1 if "=" in rows[i + 1] else 2, "text": line.strip()})
-            i += 1
-        elif m := NUMERIC.match(line):
-            dots = m[1].count(".")
-            alone = not (i and rows[i - 1].strip()) and not (i + 1 < len(rows) and rows[i + 1].strip())
-            if dots or m[2] not in (".", ")") or alone or not levels:
-                out.append({"line_index": i, "level": min(6, dots + 1), "text": line.strip()})
-        i += 1
+        if found := _hashed(line):
+            level, title = found
+        elif not blank[i] and i + 1 < len(rows) and (level := _underline(rows[i + 1])):
+            title, used = line.strip(), i + 1
+        elif found := _numbered(line):
+            if levels and found[1] and not (blank[i - 1] and blank[i + 1]):
+                continue
+            level, title = min(6, found[0]), line.strip()
+        else:
+            continue
+        out.append({"line_index": i, "level": level, "text": title})
     return out
 
 
 @cache
-def headings_udf():
-    return _column(headings, "array<struct<line_index:int,level:int,text:string>>")
+def headings_udf(levels: bool = True):
+    return _column(lambda t: headings(t, levels), "array<struct<line_index:int,level:int,text:string>>")
 
 
 def _column(kernel, kind: str):
@@ -77,25 +114,31 @@ def _column(kernel, kind: str):
 # Tables ------------------------------------------------------------------------------------------------------------
 
 
+def is_piped(line: str) -> bool:
+    return line.lstrip().startswith("|")
+
+
 def cells(row: str) -> list[str]:
-    row = row.strip()
-    inner = row[1:-1] if len(row) > 1 and row[0] == row[-1] == "|" else row.strip("|")
-    return [c.strip() for c in inner.split("|")]
+    """The cells between the outer pipes of a row; a row that is open on a side may begin or end with several."""
+    parts = row.strip().split("|")
+    if len(parts) > 2 and parts[0] == parts[-1] == "":
+        parts = parts[1:-1]
+    else:
+        ends = [k for k, x in enumerate(parts) if x] or [0]
+        parts = parts[ends[0] : ends[-1] + 1]
+    return [x.strip() for x in parts]
 
 
 def is_rule(row: list[str]) -> bool:
     """Whether the row only separates. A row of empty cells counts as that."""
-    return all(re.fullmatch(r"[:\-\s]*", c) for c in row)
+    return all(ch in ":-" or ch.isspace() for ch in "".join(row))
 
 
 def table_rows(text: str | None) -> list[dict[str, str]]:
     """A pipe table as one map a row; rows are cut or filled to the header, and a later column of a name wins."""
-    rows = [cells(x) for x in (text or "").splitlines() if x.strip().startswith("|")]
-    rows = [r for r in rows if not is_rule(r)]
-    if not rows:
-        return []
-    head, body = rows[0], rows[1:]
-    return [dict(zip(head, [*r, *[""] * len(head)][: len(head)], strict=True)) for r in body]
+    grid = [cells(x) for x in (text or "").splitlines() if is_piped(x)]
+    head, *body = [r for r in grid if not is_rule(r)] or [[]]
+    return [dict(zip(head, chain(r, repeat("")), strict=False)) for r in body]
 
 
 @cache
@@ -103,31 +146,22 @@ def table_rows_udf():
     return _column(table_rows, "array<map<string,string>>")
 
 
+def _aligned(run: list[str]) -> list[str]:
+    grid = [cells(x) for x in run]
+    data = [r for r in grid if not is_rule(r)]
+    if not data:
+        return run
+    columns = [*zip_longest(*data, fillvalue="")]
+    columns += [("",) * len(data)] * (max(map(len, grid)) - len(columns))
+    wide = [[c.ljust(max(3, *map(len, column))) for c in column] for column in columns]
+    head, *body = (f"| {' | '.join(r)} |" for r in zip(*wide, strict=True))
+    return [head, f"|{'|'.join('-' * (len(c[0]) + 2) for c in wide)}|", *body]
+
+
 def with_table_widths(text: str | None) -> str:
     """Every pipe table again with columns as wide as their widest cell; the whole text stripped."""
-    out, block = [], []
-
-    def flush() -> None:
-        rows = [cells(x) for x in block]
-        n = max(map(len, rows), default=0)
-        rows = [r + [""] * (n - len(r)) for r in rows]
-        data = [r for r in rows if not is_rule(r)]
-        if data:
-            widths = [max(3, *(len(r[k]) for r in data)) for k in range(n)]
-            shown = ["| " + " | ".join(c.ljust(w) for c, w in zip(r, widths, strict=True)) + " |" for r in data]
-            out.extend([shown[0], "|" + "|".join("-" * (w + 2) for w in widths) + "|", *shown[1:]])
-        else:
-            out.extend(block)
-        block.clear()
-
-    for line in (text or "").splitlines():
-        if line.strip().startswith("|"):
-            block.append(line)
-            continue
-        flush()
-        out.append(line)
-    flush()
-    return "\n".join(out).strip()
+    runs = groupby((text or "").splitlines(), is_piped)
+    return "\n".join(chain.from_iterable(_aligned([*run]) if piped else run for piped, run in runs)).strip()
 
 
 @cache
@@ -163,30 +197,50 @@ LABELS = (
     "property type",
     "columns and units",
 )
-_STEP = re.compile(r"^\s*(?:[-*+]\s*)?(?:#{1,6}\s*)?(?:\*\*|__)?\s*step\s*\d+(?:\.\d+)?\s*[:.\-–—]\s*(.*?)\s*(?:\*\*|__)?\s*$", re.I)
-_LABEL_HEADING = re.compile(r"^(\s*)#{1,6}\s*((?:\*\*|__)?\s*(?:" + "|".join(x.replace(" ", r"\s+") for x in LABELS) + r")\b.*)$", re.I)
+#: Labels of the lines that describe a table.
+TABLE_LABELS = ("table subject", "property type", "columns and units", "domain keywords")
+
+
+def _plain(x: str) -> str:
+    return " ".join(x.lower().split())
+
+
+def is_step_echo(line: str) -> bool:
+    """Whether a line is ``step``, a number, a separator and one of the known titles, under any marks."""
+    said = _plain(line).lstrip("-*+#_ ")
+    numbered = said.removeprefix("step").lstrip()
+    title = numbered.lstrip("0123456789.").lstrip()
+    number = numbered[: len(numbered) - len(title)].rstrip()
+    if said == numbered or not number[:1].isdigit() or not (number.endswith(".") or title[:1] in tuple(":-–—")):
+        return False
+    title = title.replace("–", "-").replace("—", "-")
+    return any(known in title for known in STEP_TITLES)
+
+
+def label_of(line: str, labels: tuple[str, ...]) -> str | None:
+    """The one of ``labels`` that a line begins with, in any case and spacing, maybe emphasised."""
+    said = _plain(line.strip().removeprefix("**").removeprefix("__"))
+    return next((x for x in labels if said.startswith(x) and not (said[len(x) :][:1].isalnum() or said[len(x) :][:1] == "_")), None)
+
+
+def _unmarked(line: str) -> str | None:
+    """A label that is marked as a heading, without the marks; None for any other line."""
+    body = line.lstrip()
+    rest = body.lstrip("#")
+    marked = 1 <= len(body) - len(rest) <= 6 and label_of(rest, LABELS)
+    return line[: len(line) - len(body)] + rest.lstrip() if marked else None
 
 
 def without_echoes(text: str | None) -> dict:
     """(text, steps, labels, sups): echoed step titles dropped, label headings made plain outside fences, and
     stray superscript tags taken out. The end of the last line is kept."""
-    text = text or ""
-    out, fence, steps, labels = [], Fence(), 0, 0
-    for line in text.splitlines():
-        fenced = fence.inside(line)
-        if m := _STEP.match(line):
-            title = re.sub(r"\s+", " ", re.sub("[–—]", "-", m[1])).strip().lower()
-            if any(t in re.sub(r"[\s:;,.!?\-]+$", "", title) for t in STEP_TITLES):
-                steps += 1
-                continue
-        if not fenced and (m := _LABEL_HEADING.match(line)):
-            labels += 1
-            line = m[1] + m[2]
-        out.append(line)
-    joined = "\n".join(out) + ("\n" if text.endswith("\n") else "")
-    joined, r = re.subn(r"<sup>\s*r\s*</sup>", "", joined, flags=re.I)
-    joined, s = re.subn(r"(?:^|\s)</?sup>(?:\s|$)", " ", joined, flags=re.I | re.M)
-    return {"text": joined, "steps": steps, "labels": labels, "sups": r + s}
+    text, fence = text or "", Fence()
+    rows = [(line, fence.inside(line)) for line in text.splitlines()]
+    kept = [(line, None if fenced else _unmarked(line)) for line, fenced in rows if not is_step_echo(line)]
+    joined = "\n".join(line if plain is None else plain for line, plain in kept) + "\n" * text.endswith("\n")
+    joined, marks = re.subn(r"(?i)<sup>\s*r\s*</sup>", "", joined)
+    joined, alone = re.subn(r"(?im)(?:^|\s)</?sup>(?:\s|$)", " ", joined)
+    return {"text": joined, "steps": len(rows) - len(kept), "labels": sum(plain is not None for _, plain in kept), "sups": marks + alone}
 
 
 @cache
@@ -228,19 +282,22 @@ def replayed_udf():
 META = re.compile(r"<!--\s*RAG-META.*?-->", re.S)
 
 
-def _is_where(line: str) -> bool:
-    return bool(re.match(r"(?i)\s*(?:[-*]\s*)?where\b", line))
+def _is_where(line: str, lists: bool = False) -> bool:
+    word = line.strip().lstrip("-* ")[:6].lower()
+    return word[:5] == "where" and not (word[5:].isalnum() or word[5:] == "_") or lists and line.lstrip()[:1] in ("-", "*")
 
 
-def blocks(text: str | None) -> list[tuple[str, int, int]]:
+def blocks(text: str | None, fenced: bool = True, lists: bool = False) -> list[tuple[str, int, int]]:
     """(kind, first line, line after the last) of the blocks that must stay whole: equation, table and meta, and of
     the prose between them.
 
-    A display equation takes the paragraph that begins with ``where`` along, also after one blank line. A table
-    takes the rows after single or more blank lines; a title is left to the caller.
+    A display equation takes the paragraph that begins with ``where``, or with ``lists`` a list, along, also after one
+    blank line. A table takes the rows after single or more blank lines; a title is left to the caller. Without
+    ``fenced``, code fences are text like any other.
     """
     rows = (text or "").split("\n")
-    out, fence, i, start = [], Fence(replaces=True), 0, 0
+    closes = [k for k, x in enumerate(rows) if "-->" in x]
+    out, fence, i, start, c = [], Fence(replaces=True), 0, 0, 0
 
     def add(kind: str, a: int, z: int) -> None:
         nonlocal start
@@ -251,13 +308,14 @@ def blocks(text: str | None) -> list[tuple[str, int, int]]:
 
     while i < len(rows):
         line = rows[i]
-        if fence.inside(line) or FENCE.match(line):
+        if fenced and (fence.inside(line) or fence_kind(line)):
             i += 1
             continue
+        while c < len(closes) and closes[c] < i:
+            c += 1
         end = i + 1
-        if "<!--" in line and META.match("\n".join(rows[i : i + 200]).lstrip()):
-            while "-->" not in rows[end - 1]:
-                end += 1
+        if line.lstrip().startswith("<!--") and c < len(closes) and META.match("\n".join(rows[i : closes[c] + 1]).lstrip()):
+            end = closes[c] + 1
             add("meta", i, end)
         elif line.strip().startswith("$$"):
             one = line.strip()
@@ -266,14 +324,14 @@ def blocks(text: str | None) -> list[tuple[str, int, int]]:
                     end += 1
                 end = min(end + 1, len(rows))
             after = end + (end < len(rows) and not rows[end].strip())
-            if after < len(rows) and _is_where(rows[after]):
+            if after < len(rows) and _is_where(rows[after], lists):
                 while after < len(rows) and rows[after].strip():
                     after += 1
                 end = after
             add("equation", i, end)
-        elif line.strip().startswith("|"):
+        elif is_piped(line):
             last = i
-            while end < len(rows) and (not rows[end].strip() or rows[end].strip().startswith("|")):
+            while end < len(rows) and (not rows[end].strip() or is_piped(rows[end])):
                 if rows[end].strip():
                     last = end
                 end += 1
@@ -286,7 +344,7 @@ def blocks(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def equations(text: str | None) -> list[str]:
-    """Display equations with their variables and the nearest enrichment comment above or below them."""
+    """Display equations with their variables and the first enrichment comment in the lines above or below them."""
     rows = (text or "").split("\n")
     out = []
     for kind, a, z in blocks(text):
@@ -302,42 +360,62 @@ def equations_udf():
     return _column(equations, "array<string>")
 
 
-def nearest_heading(rows: list[str], before: int) -> str:
-    for line in reversed(rows[:before]):
-        if m := re.match(r"^(#{1,6})\s+(.*)", line):
-            return m[2].strip()
-    return ""
+def is_heading(line: str) -> bool:
+    marks = len(line) - len(line.lstrip("#"))
+    return 1 <= marks <= 6 and line[marks : marks + 1].isspace()
+
+
+def headings_above(rows: list[str]) -> list[str]:
+    """For each line, and for the end, the last heading above it, else an empty string."""
+    out = [""]
+    for line in rows:
+        out.append(line.lstrip("#").strip() if is_heading(line) else out[-1])
+    return out
+
+
+def paragraph_after(rows: list[str], at: int) -> tuple[int, int]:
+    """First line and line after the last of the paragraph that follows line ``at`` - 1, blank lines aside; empty if what
+    follows is a heading, a table, a formula or a comment."""
+    while at < len(rows) and not rows[at].strip():
+        at += 1
+    end = at
+    while end < len(rows) and (body := rows[end].strip()) and not (is_heading(body) or body.startswith(("|", "$$", "<!--"))):
+        end += 1
+    return at, end
+
 
+def label_lines_above(rows: list[str], at: int) -> list[str]:
+    """The lines right above line ``at``, blank ones aside, from the first that is a table's label on."""
+    end = at
+    while end and not rows[end - 1].strip():
+        end -= 1
+    top = end
+    while top and rows[top - 1].strip() and not (is_heading(rows[top - 1].strip()) or is_piped(rows[top - 1])):
+        top -= 1
+    while top < end and not is_label_line(rows[top]):
+        top += 1
+    return rows[top:end]
 
-_META_LABEL = re.compile(r"^\s*\*\*(?:Table\s+subject|Property\s+type|Columns\s+and\s+units|Domain\s+keywords)\s*:\*\*", re.I)
+
+def is_label_line(line: str) -> bool:
+    name, mark, _ = line.strip().removeprefix("**").partition(":**")
+    return bool(mark) and line.lstrip().startswith("**") and _plain(name) in TABLE_LABELS
 
 
 def tables(text: str | None, notes: bool = True) -> list[dict]:
-    """(heading, text, rows) of each table, with the label lines above it and, as notes, the paragraph below it."""
+    """(heading, text, rows) of each table, with the last enrichment comment in the ten lines above it, the label lines
+    above it and, as notes, the paragraph below it."""
     rows = (text or "").split("\n")
-    out = []
+    above, out = headings_above(rows), []
     for kind, a, z in blocks(text):
         if kind != "table":
             continue
-        top = a
-        while top and not rows[top - 1].strip():
-            top -= 1
-        labels = []
-        while top and rows[top - 1].strip() and not re.match(r"#{1,6}\s|\|", rows[top - 1].strip()):
-            labels.append(rows[top - 1])
-            top -= 1
-        first = next((i for i, x in enumerate(reversed(labels)) if _META_LABEL.match(x)), None)
-        above = list(reversed(labels))[first:] if first is not None else []
-        below, end = [], z
-        while end < len(rows) and not rows[end].strip():
-            end += 1
-        while notes and end < len(rows) and rows[end].strip() and not re.match(r"#{1,6}\s|\||\$\$|<!--", rows[end].strip()):
-            below.append(rows[end])
-            end += 1
-        body = [x for x in rows[a:z] if x.strip()]
-        heading = nearest_heading(rows, a)
-        parts = [heading] * bool(heading) + ["\n".join(above)] * bool(above) + ["\n".join(body)] + ["\n".join(below)] * bool(below)
-        out.append({"heading": heading, "text": "\n".join(parts), "rows": table_rows("\n".join(body))})
+        meta = META.findall("\n".join(rows[max(0, a - 10) : a]))[-1:]
+        below, end = paragraph_after(rows, z) if notes else (z, z)
+        body = "\n".join(x for x in rows[a:z] if x.strip())
+        labels = [x for x in label_lines_above(rows, a) if "-->" not in x]
+        parts = [*meta, above[a], "\n".join(labels), body, "\n".join(rows[below:end])]
+        out.append({"heading": above[a], "text": "\n".join(x for x in parts if x), "rows": table_rows(body)})
     return out
 
 
@@ -364,7 +442,8 @@ def split(text: str, size: int, overlap: int, separators: tuple[str, ...] = PROS
     else:
         parts = list(text)
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    n = 0
 
     def emit() -> None:
         if joined := "".join(held).strip():
@@ -374,13 +453,15 @@ def split(text: str, size: int, overlap: int, separators: tuple[str, ...] = PROS
         if len(part) >= size and rest and part.strip() not in whole:
             emit()
             held.clear()
+            n = 0
             out += split(part, size, overlap, rest, whole)
             continue
-        if held and sum(map(len, held)) + len(part) > size:
+        if held and n + len(part) > size:
             emit()
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(part) > size):
-                held.pop(0)
+            while held and (n > overlap or n + len(part) > size):
+                n -= len(held.popleft())
         held.append(part)
+        n += len(part)
     emit()
     return out
 

@@ -1,11 +1,12 @@
 """Four chunking strategies: documents to chunk rows. Blocks that must stay whole never get cut.
 
-Scanning and splitting is per document (``mapInPandas``, one document in memory at a time); ids, classes and
-duplicates are columns over the result. Documents: (source_file, text).
+Scanning and splitting is per document, an Arrow batch of documents at a time; classes and duplicates are columns
+over the result. Documents: (source_file, text).
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,9 +29,24 @@ def content_type(c: Column, inline: str = r"\$[^$\n]+\$") -> Column:
     return F.when(math & table, "mixed").when(math, "equation").when(table, "table").otherwise("text")
 
 
+#: A line that says what a symbol is: ``where ...``, or a name before an equals sign or colon.
+_DEFINES = r"(?im)^[ \t]*(?:where\b|(?:[-*][ \t]*)?[a-z]\w*[ \t]*[:=][ \t]*[^\s])"
+
+
 def has_variables(c: Column, inline: str = r"\$[^$\n]+\$") -> Column:
-    math = c.contains("$$") | c.rlike(inline)
-    return math & (c.rlike(r"(?imU)^\s*where\b") | c.rlike(r"(?mU)^\s*[-*]?\s*[A-Za-z][A-Za-z0-9_]*\s*(=|:)\s*\S+"))
+    """Whether a text has math and a line that defines a symbol."""
+    return (c.contains("$$") | c.rlike(inline)) & c.rlike(_DEFINES)
+
+
+#: What marks a table as the schema of another.
+SCHEMA_MARKERS = ("column header", "unit", "category/prerequisite/credit", "description", "path/subcategory", "page numbers")
+
+
+def is_schema_table(table: Column) -> Column:
+    """Whether a pipe table of ten rows at most has two of the markers."""
+    found = sum((F.lower(table).contains(m).cast("int") for m in SCHEMA_MARKERS), F.lit(0))
+    rows = F.filter(F.split(table, "\n"), lambda x: x.rlike(r"^\s*\|") & ~x.rlike(r"^[\s|:\-]*$"))
+    return (found >= 2) & (F.size(rows) <= 10)
 
 
 def section_number(heading: Column) -> Column:
@@ -57,9 +73,8 @@ def _rows(docs: DataFrame, kernel: Callable[[str, str], list[dict]], schema: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for source, text in zip(batch["source_file"], batch["text"], strict=True):
-                found = kernel(source, text or "")
-                yield pd.DataFrame(found, columns=names)
+            found = [r for source, text in zip(batch["source_file"], batch["text"], strict=True) for r in kernel(source, text or "")]
+            yield pd.DataFrame(found, columns=names)
 
     return docs.select("source_file", "text").mapInPandas(run, schema)
 
@@ -80,39 +95,61 @@ def _sections(text: str) -> list[tuple[dict[str, str], list[str]]]:
     return [(h, x) for h, x in out if "\n".join(x).strip()]
 
 
-def _whole_or_split(text: str, size: int, overlap: int, separators) -> list[str]:
-    """``text`` in pieces of ``size``, with its equations, tables and comments whole.
+#: A line that may be the title of the table below it: any text, or what the hierarchical strategy takes.
+def any_title(line: str) -> bool:
+    return not line.startswith("#")
+
+
+def table_title(line: str) -> bool:
+    return "Table" in line or line.strip().startswith(("**", "_"))
+
+
+def _whole_or_split(text: str, size: int, overlap: int, separators, title=any_title, notes: bool = False, **scan) -> list[tuple[str, int]]:
+    """``text`` in pieces of ``size``, with its equations, tables and comments whole, and the line each piece begins in.
 
     Blocks are masked by marks that no text holds, text is cut, and marks are replaced by their blocks again. A
-    title line right above a table is in its block.
+    ``title`` right above a table is in its block, and with ``notes`` the paragraph below it, too.
     """
-    rows, masked, held = text.split("\n"), [], {}
-    for kind, a, z in kernels.blocks(text):
+    rows, masked, held, at = text.split("\n"), [], {}, []
+    done = 0
+    for kind, a, z in kernels.blocks(text, **scan):
+        a = max(a, done)
         if kind == "text":
             masked += rows[a:z]
+            at += range(a, z)
             continue
-        body = rows[a:z]
-        if kind == "table" and masked and masked[-1].strip() and masked[-1] not in held and not masked[-1].startswith("#"):
+        first, body = a, rows[a:z]
+        if kind == "table" and masked and masked[-1].strip() and masked[-1] not in held and title(masked[-1]):
             body = [masked.pop(), *body]
+            first = at.pop()
+        if kind == "table" and notes:
+            below, end = kernels.paragraph_after(rows, z)
+            if below < end:
+                body, done = [*body, *rows[z:end]], end
         mark = f"\ue000{len(held):06d}\ue001"
         held[mark] = "\n".join(body)
         masked.append(mark)
-    pieces = kernels.split("\n".join(masked), size, overlap, separators, frozenset(held))
-    return [re.sub("\ue000\\d{6}\ue001", lambda m: held.get(m[0], m[0]), p) for p in pieces]
+        at.append(first)
+    joined, out, here, line = "\n".join(masked), [], 0, 0
+    for piece in kernels.split(joined, size, overlap, separators, frozenset(held)):
+        # Pieces come in order and overlap, so the next begins after the start of the one before.
+        found = joined.find(piece, here)
+        if found >= 0:
+            line += joined.count("\n", here, found)
+            here = found
+        out.append((re.sub("\ue000\\d{6}\ue001", lambda m: held.get(m[0], m[0]), piece), at[line] if at else 0))
+        here, line = (here + 1, line + joined.startswith("\n", here)) if found >= 0 else (here, line)
+    return out
 
 
 def atomic_chunks(docs: DataFrame, size: int = ATOMIC[0], overlap: int = ATOMIC[1]) -> DataFrame:
-    """Strategy 1: text of ``size`` characters, blocks whole: text, source, section_heading, content_type,
-    has_variables, token_estimate, in order ``ordinal``."""
+    """Strategy 1: text of ``size`` characters, blocks whole, a table with the paragraph below it: text, source,
+    section_heading, content_type, has_variables, token_estimate, in order ``ordinal``."""
 
     def kernel(source: str, text: str) -> list[dict]:
-        rows, at, out = text.split("\n"), 0, []
-        for i, piece in enumerate(_whole_or_split(text, size, overlap, PROSE_SEPARATORS)):
-            found = text.find(piece.split("\n")[0], at)
-            at = found if found >= 0 else at
-            line = text.count("\n", 0, at)
-            out.append({"source_file": source, "ordinal": i, "text": piece, "section_heading": kernels.nearest_heading(rows, line + 1)})
-        return out
+        above = kernels.headings_above(text.split("\n"))
+        pieces = _whole_or_split(text, size, overlap, PROSE_SEPARATORS, notes=True)
+        return [{"source_file": source, "ordinal": i, "text": piece, "section_heading": above[line + 1]} for i, (piece, line) in enumerate(pieces)]
 
     out = _rows(docs, kernel, "source_file string, ordinal int, text string, section_heading string")
     inline = r"\$[^$\n]{2,200}\$"
@@ -130,7 +167,8 @@ def hierarchical_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap:
         out = []
         for heads, rows in _sections(text):
             body = "\n".join(rows).strip()
-            pieces = _whole_or_split(body, size, overlap * 4, PLAIN_SEPARATORS) if len(body) // 4 > max_tokens else [body]
+            cut = _whole_or_split(body, size, overlap * 4, PLAIN_SEPARATORS, table_title, fenced=False, lists=True) if len(body) // 4 > max_tokens else [(body, 0)]
+            pieces = [p for p, _ in cut]
             out += [{"source_file": source, "ordinal": 0, "text": p, "headings": heads, "heading_path": " > ".join(heads.values())} for p in pieces if p.strip()]
         return [r | {"ordinal": i} for i, r in enumerate(out)]
 
@@ -141,25 +179,45 @@ def hierarchical_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap:
     return out.withColumns({"chunk_id": indexed_id(F.col("source_file"), F.col("ordinal")), "parent_section": parent_section(F.col("section")), "has_variables": has_variables(F.col("text"))})
 
 
+def _without_label_runs(rows: list[str], lines: list[int]) -> tuple[list[str], list[int]]:
+    """Prose without stretches of two or more label lines, which belong to a table."""
+    is_label = [kernels.is_label_line(x) for x in rows]
+    alone = [k for k, x in enumerate(is_label) if not x or not (is_label[k - 1 : k] == [True] or is_label[k + 1 : k + 2] == [True])]
+    return [rows[k] for k in alone], [lines[k] for k in alone]
+
+
 def _typed(text: str, size: int, overlap: int) -> list[dict]:
     """(content_type, text, section_heading) of a document: equations, tables, then the prose without them."""
-    rows, prose, out = text.split("\n"), [], []
+    rows, prose, lines, out = text.split("\n"), [], [], []
+    above = kernels.headings_above(rows)
     for kind, a, z in kernels.blocks(text):
         if kind == "text":
             prose += rows[a:z]
+            lines += range(a, z)
         elif kind == "equation":
-            out.append({"content_type": "equation", "section_heading": kernels.nearest_heading(rows, a)})
+            out.append({"content_type": "equation", "section_heading": above[a]})
     for r, body in zip(out, kernels.equations(text), strict=True):
         r["text"] = body
     out += [{"content_type": "table", "section_heading": t["heading"], "text": t["text"]} for t in kernels.tables(text)]
-    joined = re.sub(r"\n{3,}", "\n\n", "\n".join(prose))
-    at = 0
+    prose, lines = _without_label_runs(prose, lines)
+    # Runs of blank lines shrink to one, so that lines keep their numbers.
+    kept = [k for k in range(len(prose)) if prose[k] or k == 0 or prose[k - 1]]
+    joined, lines = "\n".join(prose[k] for k in kept), [lines[k] for k in kept]
+    here, line = 0, 0
     for piece in kernels.split(joined, size, overlap, PROSE_SEPARATORS):
-        at = max(joined.find(piece[:60], at), at)
-        out.append({"content_type": "text", "section_heading": kernels.nearest_heading(prose, joined.count("\n", 0, at) + 1), "text": piece})
+        found = joined.find(piece, here)
+        if found >= 0:
+            line += joined.count("\n", here, found)
+            here = found
+        out.append({"content_type": "text", "section_heading": above[lines[line] + 1] if lines else "", "text": piece})
     return out
 
 
+def _id(source: str, text: str) -> str:
+    """``functions.text.chunk_id`` in a kernel."""
+    return "chunk_" + hashlib.md5(f"{source}::{text[:120]}".encode()).hexdigest()[:12]
+
+
 def _first_of(chunks: DataFrame, *order: str) -> DataFrame:
     """The first chunk of each id: ids come from a digest of the first 120 characters, so others may share one."""
     return chunks.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*order))).filter("_n = 1").drop("_n")
@@ -213,29 +271,24 @@ def parent_child_chunks(docs: DataFrame, size: int = PROSE[0], overlap: int = PR
         for i, p in enumerate(_typed(text, size, overlap)):
             if compat and p["content_type"] == "text":
                 continue
-            base = {"source_file": source, "section_heading": p["section_heading"], "content_type": p["content_type"], "parent_text": p["text"], "parent": i}
-            out.append(base | {"child": -1, "text": p["text"], "suffix": ""})
-            out += [base | {"child": k, "text": t, "suffix": s} for k, (s, t) in enumerate(_children(p, *child))]
+            base = {"source_file": source, "section_heading": p["section_heading"], "content_type": p["content_type"], "parent": i}
+            found = [(_id(source + s, t), t) for s, t in _children(p, *child)]
+            own = _id(source, p["text"])
+            out.append(base | {"child": -1, "text": p["text"], "chunk_id": own, "parent_id": None, "chunk_role": "parent", "child_ids": [c for c, _ in found]})
+            out += [base | {"child": k, "text": t, "chunk_id": c, "parent_id": own, "chunk_role": "child", "child_ids": []} for k, (c, t) in enumerate(found)]
         return out
 
-    rows = _rows(docs, kernel, "source_file string, parent int, child int, content_type string, section_heading string, text string, suffix string, parent_text string")
-    own = chunk_id(F.concat("source_file", "suffix"), F.col("text"))
-    rows = rows.withColumns({"chunk_id": own, "parent_id": chunk_id(F.col("source_file"), F.col("parent_text"))}).drop("parent_text", "suffix")
-    siblings = F.collect_list(F.when(F.col("child") >= 0, F.struct("child", "chunk_id"))).over(Window.partitionBy("source_file", "parent"))
-    rows = rows.withColumn("child_ids", F.transform(F.sort_array(siblings), lambda x: x["chunk_id"]))
-    is_parent = F.col("child") < 0
-    rows = rows.withColumns(
-        {
-            "chunk_role": F.when(is_parent, "parent").otherwise("child"),
-            "parent_id": F.when(~is_parent, F.col("parent_id")),
-            "child_ids": F.when(is_parent, F.col("child_ids")).otherwise(F.array().cast("array<string>")),
-            "has_variables": has_variables(F.col("text"), r"\$[^$\n]{2,200}\$"),
-        }
-    )
+    schema = "source_file string, parent int, child int, content_type string, section_heading string, text string, chunk_id string, parent_id string, chunk_role string, child_ids array<string>"
+    rows = _rows(docs, kernel, schema).withColumn("has_variables", has_variables(F.col("text"), r"\$[^$\n]{2,200}\$"))
     n = F.row_number().over(Window.partitionBy("chunk_role", "chunk_id").orderBy("source_file", "parent", "child"))
     return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
 
 
+def drops(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, dropped): how many chunks, made with ``distinct=False``, each id that several share would lose."""
+    return chunks.groupBy("chunk_id").agg((F.count("*") - 1).alias("dropped")).filter("dropped > 0")
+
+
 def summary(chunks: DataFrame) -> DataFrame:
     """One row: total, files, by_type (content type to count), tokens and mean_tokens to one digit."""
     typed = chunks.withColumns({"_t": content_type(F.col("text")), "_n": token_estimate(F.col("text"))})

@@ -7,6 +7,7 @@ give its rows stable keys and write them before use, as tasks can be retried.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable
 
@@ -25,12 +26,11 @@ ALIASES = {
 
 
 def resolved(df: DataFrame, role: str) -> str:
-    """The name of the column that plays ``role``."""
-    plain = {"".join(ch for ch in c.lower() if ch.isalnum()): c for c in reversed(df.columns)}
-    for name in ALIASES[role]:
-        if name in plain:
-            return plain[name]
-    raise ValueError(f"no column for {role} among {df.columns}")
+    """The name of the column that plays ``role``: the first that fits the earliest alias."""
+    fits = [(ALIASES[role].index(said), k) for k, c in enumerate(df.columns) if (said := re.sub(r"[\W_]+", "", c).casefold()) in ALIASES[role]]
+    if not fits:
+        raise ValueError(f"no column for {role} among {df.columns}")
+    return df.columns[min(fits)[1]]
 
 
 def called(client: Callable[[str], str], prompt: str = "prompt", into: str = "output", tries: int = 5, wait: Callable[[int], float] = lambda n: min(60, 2**n)) -> Callable[[DataFrame], DataFrame]:

@@ -141,6 +141,7 @@ def test_blocks_are_never_cut():
     formula = "$$\n" + "\n".join(f"x_{i} = y" for i in range(60)) + "\n$$"
     text = "# A\n\n" + "words and words. " * 60 + f"\n\nTable 1\n{table}\n\n" + "more words. " * 80 + f"\n\n{formula}\nwhere x = y\n"
     pieces = chunk._whole_or_split(text, 500, 50, kernels.PROSE_SEPARATORS)
+    pieces = [p for p, _ in pieces]
     assert sum(table in p for p in pieces) == 1 and sum(formula in p for p in pieces) == 1
     assert not any("" in p for p in pieces) and len(pieces) > 4
 
@@ -232,3 +233,86 @@ def test_contexts(spark):
     rows = [(0, 1, "a" * 400), (1, 1, "x" * 100), (1, 2, "y" * 100), (1, 3, "z" * 300)]
     out = {r.query_id: (len(r.context), r.used) for r in retrieve.contexts(spark.createDataFrame(rows, "query_id long, rank int, segment string"), 1).collect()}
     assert out == {0: (320, 1), 1: (201, 2)}
+
+
+def test_setext_underlines_at_any_indent():
+    text = "Title\n        ===\n\nOther\n\t---\ntext\n\n    ---\n"
+    assert [(h["line_index"], h["level"], h["text"]) for h in kernels.headings(text)] == [(0, 1, "Title"), (3, 2, "Other")]
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [("1 Scope", (1, "1 Scope")), ("1. Scope", None), ("1: Scope", (1, "1: Scope")), ("2.3) Scope", (2, "2.3) Scope")), ("    1 code", None), ("1.)", None), ("1.", None), ("1..2 x", None), ("##### x ##", (5, "x")), ("####### x", None), ("#x", None), ("٣ Arabic", (1, "٣ Arabic"))],
+)
+def test_heading_lines(line, want):
+    found = [(h["level"], h["text"]) for h in kernels.headings(f"a\n{line}\nb")]
+    assert found == ([want] if want else [])
+
+
+def test_list_items_count_without_levels():
+    assert [h["text"] for h in kernels.headings("a\n1. b\n2) c", levels=False)] == ["1. b", "2) c"]
+
+
+def test_cells():
+    assert kernels.cells("| a | b |") == ["a", "b"] and kernels.cells("||a||") == ["", "a", ""] and kernels.cells("a|b||") == ["a", "b"]
+    assert kernels.cells("||") == [""] and kernels.cells("|") == [""] and kernels.cells("|  | a") == ["", "a"]
+    assert kernels.with_table_widths("|-|-|\n|:-|\n") == "|-|-|\n|:-|" and kernels.table_rows("|-|") == []
+    assert kernels.with_table_widths("|a|\n|-|-|-|") == "| a   |     |     |\n|-----|-----|-----|"
+
+
+def test_long_comments_stay_whole():
+    comment = "<!-- RAG-META\n" + "\n".join(f"key {i}" for i in range(400)) + "\n-->"
+    assert kernels.blocks(f"a\n{comment}\nb") == [("text", 0, 1), ("meta", 1, 403), ("text", 403, 404)]
+    assert kernels.blocks("<!-- RAG-META open\nb") == [("text", 0, 2)] and kernels.blocks("<!-- other -->") == [("text", 0, 1)]
+    (found,) = kernels.tables("# H\n<!-- RAG-META x -->\n\n|a|\n|-|\n|1|\n")
+    assert found["text"] == "<!-- RAG-META x -->\nH\n|a|\n|-|\n|1|"
+
+
+def test_blocks_of_the_hierarchical_strategy():
+    text = "```\n|a|\n```\n$$x$$\n- x = 1\n\nend"
+    assert [k for k, _, _ in kernels.blocks(text)] == ["text", "equation", "text"]
+    assert kernels.blocks(text, fenced=False, lists=True) == [("text", 0, 1), ("table", 1, 2), ("text", 2, 3), ("equation", 3, 5), ("text", 5, 7)]
+
+
+def test_titles_and_notes_of_tables():
+    text = "Some words\n|a|\n|-|\n\nnote on it\n\nelse"
+    (whole,) = [p for p, _ in chunk._whole_or_split(text, 5, 0, kernels.PROSE_SEPARATORS, notes=True) if "|a|" in p]
+    assert whole == "Some words\n|a|\n|-|\n\nnote on it"
+    cut = [p for p, _ in chunk._whole_or_split(text, 5, 0, kernels.PROSE_SEPARATORS, chunk.table_title)]
+    assert "|a|\n|-|" in cut
+
+
+def test_section_headings_follow_blocks():
+    body = "\n".join(f"|{i}|" for i in range(50))
+    text = f"# One\n\n|k|\n|-|\n{body}\n\n# Two\n\n" + "words here. " * 40
+    pieces = chunk._whole_or_split(text, 200, 20, kernels.PROSE_SEPARATORS)
+    above = kernels.headings_above(text.split("\n"))
+    assert [above[line + 1] for _, line in pieces][-1] == "Two" and above[pieces[0][1] + 1] == "One"
+
+
+def test_label_runs_leave_the_prose():
+    found = chunk._typed("Words.\n\n**Table subject:** loads\n**Property type:** x\n|a|\n|-|\n|1|\n\nMore.\n\n**Table subject:** alone\n", 500, 0)
+    assert [r["text"] for r in found if r["content_type"] == "text"] == ["Words.\n\nMore.\n\n**Table subject:** alone"]
+
+
+def test_schema_tables(value):
+    assert value(chunk.is_schema_table(t), "| Column header | Unit |\n|---|---|\n| a | b |") is True
+    assert value(chunk.is_schema_table(t), "| Unit |\n|---|\n| b |") is False
+    assert value(chunk.is_schema_table(t), "| Column header | Unit |\n" + "| a | b |\n" * 10) is False
+
+
+def test_dropped_chunks(spark):
+    docs = spark.createDataFrame([("a.md", "x" * 130 + " one"), ("a.md", "x" * 130 + " two")], "source_file string, text string")
+    assert [r.dropped for r in chunk.drops(chunk.typed_chunks(docs, distinct=False)).collect()] == [1]
+
+
+def test_warnings(value):
+    found = lambda x: value(figures.conversion_warnings(t), x)
+    assert found("| a | \n|b") == [figures.BROKEN_ROW + "2"] and found("x ≤ y") == [figures.NO_TABLES, figures.NO_MATH]
+    assert found("| a = b |") == [figures.NO_MATH] and found("| a = b | $x$ |") == []
+
+
+def test_resolved_images(spark):
+    refs = spark.createDataFrame([("b", "img/A.png"), ("b", "img/A.png"), ("b", "x/none.png"), ("b", "C.jpeg")], "key string, rel_path string")
+    files = spark.createDataFrame([("b", "/1/img/A.png", "img/A.png"), ("b", "/1/a.PNG", "a.PNG"), ("b", "/1/c.png", "c.png"), ("z", "/2/C.jpeg", "C.jpeg")], "key string, path string, rel_path string")
+    assert sorted((r.rel_path, r.path) for r in figures.resolved(refs, files).collect()) == [("C.jpeg", "/1/c.png"), ("img/A.png", "/1/img/A.png"), ("img/A.png", "/1/img/A.png"), ("x/none.png", None)]
