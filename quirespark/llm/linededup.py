@@ -2,10 +2,10 @@
 
 Lines are exploded as 128-bit hashes of their normalised form with their position, never as text. Distinct
 (hash, document) pairs are counted per hash, which leaves at most one row a hash and task for the second
-shuffle, so a line that every document holds costs no task more than another. Occurrences of the hashes over
-the threshold become positions per text, and each text is put together from the stretches between them. The
-join of occurrences and frequent hashes is left to the adaptive planner: it broadcasts the frequent side only
-when its measured size allows, and splits hot hashes otherwise.
+shuffle, so a line that every document holds costs no task more than another. The hashes over the threshold are
+counted; up to ``BROADCAST_KEYS`` they are broadcast and occurrences meet them in the scan, beyond that both sides
+are salted by position and shuffled, so that occurrences of a hot line meet in many tasks. Positions are gathered
+per text, and each text is put together from the stretches between them.
 """
 
 from __future__ import annotations
@@ -13,7 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import SPACE_CHARS, UPPER, ascii_lower, let, table, text_of
+from quirespark.llm.common import SPACE_CHARS, UPPER, ascii_lower, fresh, let, measured, table, text_of
+
+
+#: So many hashes (two longs each, 8 MB) may be broadcast; beyond, each is dealt to so many places.
+BROADCAST_KEYS = 500_000
+SALTS = 32
 
 
 def line_key(line: Column) -> Column:
@@ -39,8 +44,13 @@ def frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .filter("_key IS NOT NULL")
         .select("_id", "_text", "_pos", "_key.a", "_key.b")
     )
-    often = lines.select("a", "b", "_id").distinct().groupBy("a", "b").count().filter(F.col("count") >= min_docs).select("a", "b")
-    return lines.join(often, ["a", "b"], "left_semi").select("_id", "_text", "_pos")
+    often, seen = measured(lines.select("a", "b", "_id").distinct().groupBy("a", "b").count().filter(F.col("count") >= min_docs).select("a", "b"))
+    if seen["rows"] <= BROADCAST_KEYS:
+        found = lines.join(F.broadcast(often), ["a", "b"], "left_semi")
+    else:
+        salted = often.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = lines.withColumn("_salt", F.pmod(F.xxhash64("_id", "_pos"), F.lit(SALTS)).cast("int")).join(salted, ["a", "b", "_salt"], "left_semi")
+    return found.select("_id", "_text", "_pos")
 
 
 def _without(text: Column, positions: Column) -> Column:
@@ -60,16 +70,20 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     """``docs`` with frequent lines taken out of ``text``, and ``<prefix>n`` and ``<prefix>dropped`` added.
 
     A null text is an empty one: a single empty line, whose key is too short to be dropped. A text that loses
-    all its lines becomes empty. Rows with equal id and text get the same result; a row keeps all its columns.
+    all its lines becomes empty; a very long one is judged line by line like any other. Rows with equal id and text get
+    the same result. Columns of the two new names are replaced, all others stay.
     """
-    gone = frequent_lines(docs, doc_id, text, min_docs, min_chars).groupBy("_id", "_text").agg(F.sort_array(F.collect_set("_pos")).alias("_gone"))
-    body = text_of(docs[text])
-    joined = docs.join(gone, docs[doc_id].eqNullSafe(gone["_id"]) & (F.xxhash64(body) == gone["_text"]), "left")
-    kept = F.when(gone["_gone"].isNull(), body).otherwise(_without(body, gone["_gone"]))
+    n, dropped = f"{prefix}n", f"{prefix}dropped"
+    own = [c for c in docs.columns if c.lower() not in (n.lower(), dropped.lower())]
+    i, t, g = (fresh([*docs.columns, n, dropped], f"{prefix}{x}") for x in ("id", "text", "gone"))
+    gone = frequent_lines(docs, doc_id, text, min_docs, min_chars).groupBy(F.col("_id").alias(i), F.col("_text").alias(t)).agg(F.sort_array(F.collect_set("_pos")).alias(g))
+    body, at = text_of(text), F.col(g)
+    joined = docs.select(*own).join(gone, F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(body) == F.col(t)), "left")
+    kept = F.when(at.isNull(), body).otherwise(_without(body, at))
     return joined.select(
-        *(kept.alias(text) if c == text else docs[c] for c in docs.columns),
-        (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(f"{prefix}n"),
-        F.coalesce(F.size(gone["_gone"]), F.lit(0)).cast("long").alias(f"{prefix}dropped"),
+        *(kept.alias(text) if c == text else F.col(f"`{c}`") for c in own),
+        (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(n),
+        F.coalesce(F.size(at), F.lit(0)).cast("long").alias(dropped),
     )
 
 
