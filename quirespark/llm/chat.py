@@ -64,7 +64,7 @@ def messages(events: DataFrame, conversation: str = "conv_id", seq: str = "seq",
     sets = F.transform(F.col("e"), lambda x, i: F.when(x["k"].isin(*SETS), i))
     one = F.struct(
         F.col("e")[0]["s"].alias("position"),
-        F.coalesce(F.element_at(F.filter(F.transform("e", lambda x: x["r"]), lambda r: r.isNotNull()), -1), F.lit("")).alias("role"),
+        F.coalesce(F.try_element_at(F.filter(F.transform("e", lambda x: x["r"]), lambda r: r.isNotNull()), F.lit(-1)), F.lit("")).alias("role"),
         let(
             F.coalesce(F.array_max(sets), F.lit(0)),
             lambda i: F.array_join(F.transform(F.slice("e", i + 1, F.size("e")), lambda x: x["t"]), ""),
@@ -110,10 +110,24 @@ def under_loss(segments: Column) -> Column:
     return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
 
 
+def as_events(turns: DataFrame) -> DataFrame:
+    """The event log of whole turns (conv_id, turn, role, text): drafts that are edited, or, for an assistant, generated
+    anew and streamed in two deltas."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    event = lambda k, kind, role, text: F.struct((F.col("turn").cast("long") * 4 + k).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+    role, text, none = F.col("role"), F.col("text"), F.lit(None).cast("string")
+    said = F.array(
+        event(0, "message", role, F.lit("draft")), event(1, "regenerate", none, none), event(2, "delta", none, F.left(text, half)), event(3, "delta", none, F.substring(text, half + 1, F.length(text)))
+    )
+    typed = F.array(event(0, "message", role, F.concat(F.left(text, half), F.lit("?"))), event(1, "edit", none, text))
+    numbered = turns.withColumn("message", F.monotonically_increasing_id())  # equal turns are messages of their own
+    return numbered.select("conv_id", "message", F.inline(F.when(role == ASSISTANT, said).otherwise(typed)))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", text_of("text").alias("text"))
     planted = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
-    events = rows.unionByName(planted).select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.lit(None).cast("long").alias("message"), "role", "text")
+    events = as_events(rows.unionByName(planted))
     out = formatted(messages(events)).select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), under_loss(F.col("segments")).alias("loss"))
     digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
     return out.select(
