@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import SPACE, settled, small_enough, table, text_of, words_of
+from quirespark.llm.common import SPACE, fresh, settled, small_enough, table, text_of, words_of
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -66,24 +66,33 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def with_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, prefix: str = "_mix_", **weighing) -> DataFrame:
     """``docs`` with ``<prefix>size``, ``source_size``, ``target`` and ``copies``: how often the mix takes the row.
 
-    A null text has size 0; rows without an id draw as one; rows that repeat an id draw alike. Reruns agree.
+    A null text has size 0, a very long one is counted whole; rows without an id draw as one; rows that repeat an id
+    draw alike; rows without a source are a source of their own. Reruns agree. Columns of these four names are
+    replaced, all others stay.
     """
-    measured = docs.withColumn(f"{prefix}size", size_of(F.col(text)))
-    plan = settled(targets(measured.select(F.col(source).alias("source"), F.col(f"{prefix}size").alias("size")), **weighing))
-    plan = plan.select(*(F.col(c).alias(prefix + c) for c in plan.columns))
+    new = [prefix + x for x in ("size", "source_size", "target", "copies")]
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in new}]
+    size, salt, rate = (fresh([*docs.columns, *new], f"{prefix}{x}") for x in ("words", "salt", "rate"))
+    at, place = (fresh([*docs.columns, *new], f"{prefix}{x}") for x in ("source", "place"))
+    counted = docs.select(*own).withColumn(size, size_of(F.col(text)))
+    plan = settled(targets(counted.select(F.col(source).alias("source"), F.col(size).alias("size")), **weighing))
+    plan = plan.select(F.col("source").alias(at), F.col("source_size").alias(new[1]), F.col("target").alias(new[2]), F.col("rate").alias(rate))
     if small_enough(plan, BROADCAST_SOURCES):
-        joined = measured.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col(f"{prefix}source")))
+        joined = counted.join(F.broadcast(plan), F.col(source).eqNullSafe(F.col(at)))
     else:
-        measured = measured.withColumn(f"{prefix}salt", F.pmod(F.xxhash64(doc_id, text), F.lit(SALTS)))
-        plan = plan.withColumn(f"{prefix}salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
-        joined = measured.join(plan, F.col(source).eqNullSafe(F.col(f"{prefix}source")) & (measured[f"{prefix}salt"] == plan[f"{prefix}salt"]))
-    rate = F.col(f"{prefix}rate")
-    copies = (F.floor(rate) + (draw(F.col(doc_id), seed) < rate - F.floor(rate)).cast("long")).alias(f"{prefix}copies")
-    return joined.select(*docs.columns, f"{prefix}size", f"{prefix}source_size", f"{prefix}target", copies)
-
-
-def mixed(docs: DataFrame, prefix: str = "_mix_", **options) -> DataFrame:
-    """The mix: the rows of ``docs``, each as often as it is taken, with their own columns."""
+        counted = counted.withColumn(salt, F.pmod(F.xxhash64(doc_id, text), F.lit(SALTS)))
+        plan = plan.withColumn(place, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        joined = counted.join(plan, F.col(source).eqNullSafe(F.col(at)) & (F.col(salt) == F.col(place)))
+    over = F.col(rate) - F.floor(rate)
+    copies = F.floor(rate) + (draw(F.col(doc_id), seed) < over).cast("long")
+    return joined.select(*own, F.col(size).alias(new[0]), new[1], new[2], copies.alias(new[3]))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix: the rows of ``docs``, each as often as it is taken, with all their own columns."""
+    prefix = "_mix_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
     counted = with_copies(docs, prefix=prefix, **options)
     times = F.explode(F.sequence(F.lit(1), F.col(f"{prefix}copies")))
     return counted.filter(F.col(f"{prefix}copies") > 0).select(*docs.columns, times.alias(f"{prefix}copy")).select(*docs.columns)
