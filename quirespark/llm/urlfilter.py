@@ -3,14 +3,16 @@
 The labelled URLs are those a rule decides. The trees learn from a bounded sample of them (``TRAIN_ROWS``, least
 hashes first, so the same URLs are drawn however the table is dealt) and become one CASE expression, which scores
 every URL in the scan. Statistics of host suffixes are those of all labelled URLs; they are joined, by broadcast if
-they have at most ``BROADCAST_SUFFIXES`` rows, else by a shuffle in which a suffix has ``SALTS`` places. Training compresses the sample to distinct vectors of bin numbers and then asks, a tree level
-at a time, for one histogram of gradients per node, feature and bin.
+they have at most ``BROADCAST_SUFFIXES`` rows, else by a shuffle in which a suffix has ``SALTS`` places. The rows that
+trees learn from see the statistics of other URLs only, half of them, so that no row finds its own label in them, and
+one fold of the URLs is held out of both to measure the trees. Training compresses the sample to distinct vectors of bin numbers and then
+asks, a tree level at a time, for one histogram of gradients per node, feature and bin.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ RATE = 0.3
 #: Regularisation of leaf weights, and of suffix rates towards the overall rate.
 LAMBDA = 1.0
 PRIOR = 20.0
+#: Folds of URLs: fold 0 is held out, those up to ``STATISTICS`` give the suffix statistics that trees learn with.
+FOLDS, STATISTICS = 10, 5
 
 
 @dataclass(frozen=True)
@@ -42,6 +46,7 @@ class Model:
     trees: list[list[tuple[str | None, float, float]]]
     suffixes: DataFrame
     rate: float
+    held_out: float | None = None  # share of the held-out sample that the trees decide as the rules do
 
     def margin(self) -> Column:
         """The log odds of blocking, from the feature columns."""
@@ -127,20 +132,27 @@ def with_features(urls: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumns({"_rule": rule_of(F.col("host"), F.col("path")), **lexical(F.col(url), F.col("host"), F.col("path"))})
 
 
+def _fold() -> Column:
+    """Of a row with host and path; URLs that differ in neither are of one fold."""
+    return F.pmod(F.xxhash64(F.lit("fold"), "host", "path"), F.lit(FOLDS)).cast("int")
+
+
 def _suffix_rates(labelled: DataFrame, rate: float) -> DataFrame:
+    """By suffix of a labelled host the block rates of all its rows, and of those in the folds of statistics."""
     # A host of one label is its own suffix twice; rows count once for each suffix they have.
     names = F.explode(F.array_distinct(F.array(*(suffix_of(F.col("host"), n) for n in SUFFIX_FEATURES.values())))).alias("suffix")
-    rows = labelled.select("y", names)
-    return rows.groupBy("suffix").agg(((F.sum("y") + F.lit(PRIOR * rate)) / (F.count("*") + F.lit(PRIOR))).alias("suffix_rate"))
+    some = _fold().between(1, STATISTICS).cast("double")
+    share = lambda y, n: (F.sum(y) + F.lit(PRIOR * rate)) / (F.sum(n) + F.lit(PRIOR))
+    return labelled.select("y", some.alias("some"), names).groupBy("suffix").agg(share(F.col("y"), F.lit(1.0)).alias("all"), share(F.col("y") * F.col("some"), F.col("some")).alias("some"))
 
 
-def _with_rates(rows: DataFrame, suffixes: DataFrame, rate: float) -> DataFrame:
+def _with_rates(rows: DataFrame, suffixes: DataFrame, rate: float, which: str = "all") -> DataFrame:
     """Rows with the block rates of their suffixes."""
     few = small_enough(suffixes, BROADCAST_SUFFIXES)
     if not few:  # repeated URLs are dealt apart, too
         rows = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
     for name, n in SUFFIX_FEATURES.items():
-        stats = suffixes.select(F.col("suffix").alias("_s"), F.col("suffix_rate").alias(name))
+        stats = suffixes.select(F.col("suffix").alias("_s"), F.col(which).alias(name))
         on = suffix_of(F.col("host"), n) == F.col("_s")
         if few:
             stats = F.broadcast(stats)
@@ -157,7 +169,7 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     Without rows of both kinds there are no trees: the model says what it has seen, or allow if it has seen none.
     """
     names = [c for c in lexical(F.lit(""), F.lit(""), F.lit(""))]
-    drawn = labelled.select("host", "y", *names, F.xxhash64("host", "path", *names).alias("_hash")).orderBy("_hash").limit(rows)
+    drawn = labelled.select("host", "path", "y", *names, F.xxhash64("host", "path", *names).alias("_hash")).orderBy("_hash").limit(rows)
     sample = settled(drawn)
     n, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
     rate = positive / n if n else 0.0
@@ -165,8 +177,11 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     if not 0 < positive < n:
         return Model(1.0 if positive else -1.0, {}, [], suffixes, rate)
     names += list(SUFFIX_FEATURES)
-    sample = _with_rates(sample, suffixes, rate)
+    sample = _with_rates(sample, suffixes, rate, "some").withColumn("_fold", _fold())
+    judged_by, sample = sample.filter("_fold = 0"), sample.filter(F.col("_fold") > STATISTICS)
     edges = sample.agg(*(F.percentile_approx(c, [i / BINS for i in range(1, BINS)], 10_000).alias(c) for c in names)).first()
+    if edges[names[0]] is None:  # no URL is left to learn from
+        return Model(1.0 if rate > 0.5 else -1.0, {}, [], suffixes, rate)
     cuts = {c: sorted(set(edges[c])) for c in names}
     bins = [sum(((F.col(c) > x).cast("int") for x in cuts[c]), F.lit(0)).alias(c) for c in names]
     # Rows with equal bins are one row from here on.
@@ -182,7 +197,9 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             break
         binned.append(tree)
         trees.append([(f, float(cuts[f][int(cut)]) if f else 0.0, value) for f, cut, value in tree])
-    return Model(bias, cuts, trees, suffixes, rate)
+    model = Model(bias, cuts, trees, suffixes, rate)
+    right = judged_by.agg(F.avg(((model.margin() > 0).cast("double") == F.col("y")).cast("double"))).first()[0]
+    return replace(model, held_out=right)
 
 
 def _grow(vectors: DataFrame, names: list[str]) -> list[tuple[str | None, float, float]]:
@@ -246,7 +263,7 @@ def judged(urls: DataFrame, url: str = "url", model: Model | None = None) -> Dat
     """``urls`` with host, path, rule, verdict and ``block_margin``, the trees' log odds.
 
     A URL that is null or has no ``://`` has an empty host and path, fits no rule and is judged by its features.
-    Repeated URLs are judged alike. The new columns replace columns of their names.
+    Repeated URLs are judged alike, and very long ones whole. The new columns replace columns of their names.
     """
     rows = urls.withColumn("_url", F.col(url))
     full = with_features(rows.select("_url", F.struct(*urls.columns).alias("_own")), "_url")
