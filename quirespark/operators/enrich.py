@@ -15,7 +15,11 @@ PROMPTS = {
     "table_header": "Rewrite the header row of this Markdown table so that each column has one clear label. Keep every data row as it is.\n\n%s",
     "math": "Correct the LaTeX of this formula, name it and say in words what it states. Keep the formula.\n\n%s",
     "table": "Format this Markdown table and describe its subject, properties, columns and units. Keep every value.\n\n%s",
+    "code": "Format this code block and say what it does. Keep every statement.\n\n%s",
+    "list": "Format this Markdown list. Keep every item.\n\n%s",
 }
+#: For any other task.
+PROMPT = "Improve the Markdown of this passage. Keep what it says.\n\n%s"
 
 
 def preprocessed(c: Column) -> Column:
@@ -66,7 +70,7 @@ def is_safe(original: Column, enhanced: Column) -> Column:
 
 
 def prompt(task: str, content: Column) -> Column:
-    return F.format_string(PROMPTS[task], content)
+    return F.format_string(PROMPTS.get(task, PROMPT), content)
 
 
 def tables_widened(c: Column) -> Column:
@@ -78,25 +82,80 @@ def without_echoes(c: Column) -> Column:
     return kernels.without_echoes_udf()(c)
 
 
-def elements(docs: DataFrame, key: str = "source_file", text: str = "text") -> DataFrame:
-    """What there is to ask about: (key, task, ordinal, input), a row per formula and per table."""
-    found = F.concat(
-        F.transform(formulas(F.col(text)), lambda x, i: F.struct(F.lit("math").alias("task"), i.alias("ordinal"), x.alias("input"))),
-        F.transform(kernels.tables_udf()(F.col(text)), lambda t, i: F.struct(F.lit("table").alias("task"), i.alias("ordinal"), t["text"].alias("input"))),
-    )
-    return docs.select(key, F.inline(found))
+def table_blocks(c: Column) -> Column:
+    """array of (start, end, text): stretches of table rows; tables that only blank lines part are one."""
+    return kernels.table_blocks_udf()(c)
+
+
+def code_blocks(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"(?s)```[\w-]*\n.*?\n```"), F.lit(0))
+
+
+def list_blocks(c: Column) -> Column:
+    return kernels.list_blocks_udf()(c)
 
 
-def answered(asked: DataFrame, model, done: DataFrame | None = None) -> DataFrame:
+def elements(docs: DataFrame, key: str = "source_file", text: str = "text", tasks: tuple[str, ...] = TASKS) -> DataFrame:
+    """What there is to ask about: (key, task, ordinal, input), a row per table with a collapsed header, per formula and
+    per table, and, if ``tasks`` asks for them, per code block and per list."""
+    with_tables = docs.withColumn("_tables", F.transform(table_blocks(F.col(text)), lambda t: t["text"]))
+    found = {
+        "table_header": F.filter("_tables", has_collapsed_headers),
+        "math": formulas(F.col(text)),
+        "table": F.col("_tables"),
+        "code": code_blocks(F.col(text)),
+        "list": list_blocks(F.col(text)),
+    }
+    named = lambda task: F.transform(found[task], lambda x, i: F.struct(F.lit(task).alias("task"), i.alias("ordinal"), x.alias("input")))
+    return with_tables.select(key, F.inline(F.concat(*(named(t) for t in tasks))))
+
+
+def answered(asked: DataFrame, model, done: DataFrame | None = None, workers: int | None = None) -> DataFrame:
     """A log row per element: the model's answer if it is safe, else null. Elements in ``done`` are not asked again;
-    (key, task, ordinal) tells them apart, so a retried task writes the same rows."""
+    (key, task, ordinal) tells them apart, so a retried task writes the same rows. At most ``workers`` tasks ask at a
+    time."""
     keys = [c for c in asked.columns if c != "input"]
     todo = asked.join(done, keys, "left_anti") if done is not None else asked
-    out = model(todo.withColumn("prompt", F.coalesce(*(F.when(F.col("task") == t, prompt(t, F.col("input"))) for t in TASKS))))
+    todo = todo.repartition(workers) if workers else todo
+    asked_for = F.coalesce(*(F.when(F.col("task") == t, prompt(t, F.col("input"))) for t in PROMPTS), F.format_string(PROMPT, F.col("input")))
+    out = model(todo.withColumn("prompt", asked_for))
     log = out.withColumn("output", F.when(is_safe(F.col("input"), F.col("output")), F.col("output"))).select(*asked.columns, "output")
     return log.unionByName(done) if done is not None else log
 
 
+def enriched(docs: DataFrame, model, path: str, key: str = "source_file", text: str = "text", tasks: tuple[str, ...] = TASKS, workers: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``docs`` after a pass for each task, each over the text that the one before has left, and the log of all.
+
+    Each pass writes its log below ``path``, so that no model is asked twice; a log that is there is taken up again.
+    """
+    logs, spark = [], docs.sparkSession
+    for n, task in enumerate(tasks):
+        folder = f"{path.rstrip('/')}/{n}-{task}"
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            answered(elements(docs, key, text, (task,)), model, workers=workers).write.mode("overwrite").parquet(folder)
+        logs.append(spark.read.parquet(folder))
+        docs = replayed(docs, logs[-1], key, text)
+    out = logs[0]
+    for log in logs[1:]:
+        out = out.unionByName(log)
+    return docs, out
+
+
+def statistics(log: DataFrame) -> DataFrame:
+    """(task, asked, enhanced, failed) of a log, and a row for all tasks, whose task is null."""
+    done = F.count("output")
+    return log.rollup("task").agg(F.count("*").alias("asked"), done.alias("enhanced"), (F.count("*") - done).alias("failed"))
+
+
+def cleanup_totals(docs: DataFrame, key: str = "source_file", text: str = "text") -> DataFrame:
+    """One row: how many documents there are and change, and how many steps, labels and superscripts were taken out."""
+    cleaned = docs.select(text, without_echoes(F.col(text)).alias("o"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c.split(".")[-1])
+    changed = F.count_if(F.col("o.steps") + F.col("o.labels") + F.col("o.sups") > 0)
+    return cleaned.agg(F.count("*").alias("documents"), changed.alias("changed"), total("o.steps"), total("o.labels"), total("o.sups"))
+
+
 def replayed(docs: DataFrame, log: DataFrame, key: str = "source_file", text: str = "text") -> DataFrame:
     """``docs`` with every answered element put in its place, headers before formulas before tables."""
     order = F.array_position(F.array(*map(F.lit, TASKS)), F.col("task"))

@@ -7,6 +7,8 @@ give its rows stable keys and write them before use, as tasks can be retried.
 
 from __future__ import annotations
 
+import hashlib
+import random
 import re
 import time
 from collections.abc import Callable
@@ -16,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.functions.text import strip, tokens
+from quirespark.functions.text import first_words, strip, tokens
 
 #: Accepted names of the columns of a question sheet, without case and punctuation.
 ALIASES = {
@@ -33,21 +35,60 @@ def resolved(df: DataFrame, role: str) -> str:
     return df.columns[min(fits)[1]]
 
 
-def called(client: Callable[[str], str], prompt: str = "prompt", into: str = "output", tries: int = 5, wait: Callable[[int], float] = lambda n: min(60, 2**n)) -> Callable[[DataFrame], DataFrame]:
-    """An adapter that calls ``client`` for each prompt, again after ``wait`` if it raises; null after ``tries``."""
+Wait = Callable[[int, Exception], float | None]
+
+
+def backoff(attempt: int, error: Exception) -> float:
+    """Seconds before the next attempt: doubling, a minute at most, with some jitter."""
+    return min(60, 2**attempt + random.random())
+
+
+#: Names of errors that another attempt cannot mend, and of those that ask for patience.
+HOPELESS = ("AuthenticationError", "PermissionDeniedError", "BadRequestError", "NotFoundError", "UnprocessableEntityError")
+LIMITED = ("RateLimitError",)
+
+
+def by_error_class(attempt: int, error: Exception) -> float | None:
+    """Two seconds more each time, or as long as a rate limit says; no further attempt after a hopeless error."""
+    kinds = {k.__name__ for k in type(error).__mro__}
+    if kinds & {*HOPELESS}:
+        return None
+    wait = 2.0 * (attempt + 1)
+    asked = re.search(r"(?i)wait\s+(\d+)\s*seconds", str(error)) if kinds & {*LIMITED} else None
+    return max(wait, float(asked[1])) if asked else wait
+
+
+def by_status(attempt: int, error: Exception) -> float:
+    """For image models: doubling from a second, from 15 after status 429, which may ask for more in ``retry_after``."""
+    if getattr(error, "code", None) != 429:
+        return 2.0**attempt + random.random()
+    return max(15 * 2.0**attempt, float(getattr(error, "retry_after", None) or 0)) + random.random()
+
+
+class Hopeless(RuntimeError):
+    """A model call that no further attempt can mend; it ends the run, as every other call would fail the same way."""
+
+
+def called(client: Callable[[str], str], prompt: str = "prompt", into: str = "output", tries: int = 5, wait: Wait = backoff, delay: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """An adapter that calls ``client`` for each prompt, ``delay`` seconds after the last, again after ``wait`` if it
+    raises; null after ``tries``. If ``wait`` gives None the run fails."""
+
+    def one(text: str) -> str | None:
+        for attempt in range(tries):
+            time.sleep(delay)
+            try:
+                return client(text)
+            except Exception as error:
+                seconds = wait(attempt, error)
+                if seconds is None:
+                    raise Hopeless(str(error)) from error
+                if attempt + 1 < tries:
+                    time.sleep(seconds)
+        return None
 
     def adapter(rows: DataFrame) -> DataFrame:
         @F.pandas_udf("string")
         def ask(prompts: pd.Series) -> pd.Series:
-            def one(text: str) -> str | None:
-                for attempt in range(tries):
-                    try:
-                        return client(text)
-                    except Exception:
-                        if attempt + 1 < tries:
-                            time.sleep(wait(attempt))
-                return None
-
             return prompts.map(one)
 
         return rows.withColumn(into, ask.asNondeterministic()(F.col(prompt)))
@@ -55,6 +96,43 @@ def called(client: Callable[[str], str], prompt: str = "prompt", into: str = "ou
     return adapter
 
 
+def either(first: Callable[[str], str], second: Callable[[str], str]) -> Callable[[str], str]:
+    """A client that asks ``second`` if ``first`` raises."""
+
+    def ask(text: str) -> str:
+        try:
+            return first(text)
+        except Exception:
+            return second(text)
+
+    return ask
+
+
+def rag_prompt(question: Column, context: Column) -> Column:
+    """What a generator is asked with a context; without one, the question alone."""
+    told = F.concat(F.lit("Answer the question from this context.\n\nContext:\n"), context, F.lit("\n\nQuestion:\n"), question)
+    return F.when(F.coalesce(strip(context), F.lit("")) == "", question).otherwise(told)
+
+
+def base_prompt(question: Column, max_tokens: int) -> Column:
+    """What a generator is asked without retrieval, with its cap."""
+    return F.concat(question, F.lit(f"\n\nAnswer in {max_tokens} tokens at most."))
+
+
+def answer_of(response: Column, max_tokens: int) -> Column:
+    """(text, count, truncated) of a chat response in JSON, cut to ``max_tokens`` words.
+
+    The answer is the first choice's message. If that is empty though tokens were counted, it is the choice's text,
+    else its message as it is, else the response.
+    """
+    get = lambda path: F.get_json_object(response, path)
+    said = strip(F.coalesce(get("$.choices[0].message.content"), F.lit("")))
+    filled = lambda c: F.when(strip(c) != "", c)
+    other = F.coalesce(filled(get("$.choices[0].text")), filled(get("$.choices[0].message")), response)
+    spent = F.coalesce(get("$.usage.completion_tokens").cast("int"), F.lit(0))
+    return first_words(F.coalesce(F.when((said == "") & (spent > 0), other).otherwise(said), F.lit("")), max_tokens)
+
+
 def echo(rows: DataFrame, prompt: str = "prompt", into: str = "output") -> DataFrame:
     """Stub of a generator: what follows the blank line of the prompt."""
     return rows.withColumn(into, F.regexp_replace(F.col(prompt), r"(?s)^.*?\n\n", ""))
@@ -92,6 +170,21 @@ def judged(block: Column) -> Column:
     return F.coalesce(strip(F.try_element_at(found, F.lit(-1))), F.lit(""))
 
 
+def judge_prompt(question: Column, answer: Column, result: Column) -> Column:
+    parts = (("Provided question", question), ("Official standard answer", answer), ("AI-generated answer", result))
+    return F.concat_ws("\n", *(F.concat(F.lit(f"**{name}**: "), F.coalesce(c.cast("string"), F.lit(""))) for name, c in parts))
+
+
+def judge(rows: DataFrame, model: Callable[[DataFrame], DataFrame], start: int = 0, index: str = "row_index") -> DataFrame:
+    """(index, question, Answer, Result, Result Accuracy) of the rows from ``start`` on that have anything; a row whose
+    call failed or gave no verdict stays, with an empty one."""
+    asked = judgeable(rows, "question", "Answer", "Result", start=start, index=index)
+    asked = asked.withColumn("prompt", judge_prompt(F.col("question"), F.col("Answer"), F.col("Result")))
+    verdict = judged(F.coalesce(F.col("output"), F.lit("")))
+    own = (F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("question", "Answer", "Result"))
+    return model(asked).select(index, *own, verdict.alias("Result Accuracy"))
+
+
 def judgeable(rows: DataFrame, *columns: str, start: int = 0, index: str = "row_index") -> DataFrame:
     """Rows from ``start`` on in which at least one of ``columns`` has something."""
     some = F.lit(False)
@@ -104,3 +197,29 @@ def pending(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
     """What is still to do: rows whose keys are not in ``done``."""
     return rows.join(done.select(*keys).distinct(), list(keys), "left_anti")
 
+
+
+def usable_models(wanted: tuple[str, ...], available: list[str]) -> tuple[str, ...]:
+    """Those of ``wanted`` that a server offers; an error if it offers none."""
+    found = tuple(m for m in wanted if m in available)
+    if not found:
+        raise ValueError(f"none of {wanted} is among {available}")
+    return found
+
+
+def cached_embeddings(docs: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, model: str, signature: str) -> tuple[DataFrame, bool]:
+    """``docs`` with vectors, and whether they were there already.
+
+    ``embed`` adds ``embedding`` to a table of texts. Vectors are kept as Parquet in a folder for the model and the
+    corpus signature, and taken from it if there is one for each document; else they are made and written anew.
+    """
+    spark = docs.sparkSession
+    folder = f"{path.rstrip('/')}/{hashlib.sha256(f'{model}|{signature}'.encode()).hexdigest()[:32]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        kept = spark.read.parquet(folder)
+        rows, dims = kept.agg(F.count("embedding"), F.countDistinct(F.size("embedding"))).first()
+        if rows == docs.count() and dims <= 1:
+            return kept, True
+    embed(docs).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder), False

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions import kernels
@@ -83,6 +86,71 @@ def reconciled(heuristic: Column, model: Column, second: Column, double_check: f
     return F.when(F.coalesce(agreement(heuristic, answer), F.lit(0.0)) >= accept, answer).otherwise(heuristic)
 
 
+#: Labels that a model may give: its first answer and, more leniently, its second.
+VOCABULARY = {NUMBERED: NUMBERED, OTHER: OTHER}
+LENIENT = VOCABULARY | {"non numbered": OTHER, "nonnumeric": OTHER, "non-numeric": OTHER}
+
+
+def format_prompt(headings: Column, examples: int = 6) -> Column:
+    """What a model is asked about a whole document, with its first numbered headings."""
+    numbered = F.slice(F.filter(headings, lambda h: heading_category(h) == NUMBERED), 1, examples)
+    shown = F.array_join(F.transform(numbered, lambda h: F.concat(F.lit("- "), h)), "\n")
+    return F.concat(F.lit(f'Is the body of this document structured by numbered headings? Say "{NUMBERED}" or "{OTHER}" and nothing else.\n\n'), shown)
+
+
+def labels_prompt(headings: Column) -> Column:
+    """What a model is asked for a label for each heading."""
+    shown = F.array_join(F.transform(headings, lambda h, i: F.concat((i + 1).cast("string"), F.lit(". "), h)), "\n")
+    return F.concat(F.lit(f'Label each heading "{NUMBERED}" or "{OTHER}". Answer with a JSON array of as many strings.\n\n'), shown)
+
+
+def format_said(answer: Column) -> Column:
+    """The format that a model's answer names first; null if it names none."""
+    found = F.regexp_extract(F.lower(answer), r"\b(non[- ]numbered|numbered)\b", 1)
+    return F.when(found == NUMBERED, F.lit(NUMBERED)).when(found != "", F.lit(OTHER))
+
+
+def classified(headings: Column, answer: Column, second: Column | None = None) -> Column:
+    """A document's format: the model's, else the detector's rule; with a ``second`` answer, the model's or ``unknown``."""
+    if second is None:
+        return F.coalesce(format_said(answer), strict_format(headings))
+    return F.coalesce(format_said(answer), format_said(second), F.lit("unknown"))
+
+
+def labels_said(answer: Column, n: Column, vocabulary: dict[str, str] = VOCABULARY) -> Column:
+    """The labels in a model's answer: a JSON array of ``n`` words of the vocabulary; else null."""
+    inner = F.regexp_extract(answer, r"(?s)(\[.*\])", 1)
+    typed = F.schema_of_variant(F.try_parse_json(inner)) == "ARRAY<STRING>"
+    words = F.transform(F.from_json(inner, "array<string>"), lambda w: F.lower(strip(w)))
+    known = F.create_map(*(F.lit(x) for pair in vocabulary.items() for x in pair))
+    found = F.transform(words, lambda w: F.try_element_at(known, w))
+    return F.when(typed & (F.size(found) == n) & F.forall(found, lambda x: x.isNotNull()), found)
+
+
+def report(headings: Column, model: Column, second: Column, double_check: float = 0.85, accept: float = 0.65) -> Column:
+    """What the detection of a document's format rests on; ``model`` and ``second`` are ``labels_said`` or null."""
+    share = lambda k: F.aggregate(k, F.lit(0.0), lambda a, x: a + (x == NUMBERED).cast("double")) / F.greatest(F.size(k), F.lit(1))
+    count = lambda k, v: F.size(F.filter(k, lambda x: x == v))
+    own = F.transform(headings, heading_category)
+    checked = (F.coalesce(agreement(own, model), F.lit(1.0)) < double_check) & second.isNotNull()
+    answer = F.when(checked, second).otherwise(model)
+    taken = F.coalesce(agreement(own, answer), F.lit(0.0)) >= accept
+    kinds = F.when(taken, answer).otherwise(own)
+    some = F.size(headings) > 0
+    return F.struct(
+        F.when(some & (2 * count(kinds, NUMBERED) >= F.size(kinds)), F.lit(NUMBERED)).otherwise(F.lit(OTHER)).alias("document_format"),
+        F.when(~some, F.lit("none")).when(taken, F.lit("model")).otherwise(F.lit("heuristic")).alias("detector"),
+        F.size(headings).alias("heading_count"),
+        count(kinds, NUMBERED).alias("numbered_count"),
+        count(kinds, OTHER).alias("non_numbered_count"),
+        (some & model.isNotNull()).alias("llm_used"),
+        (some & checked).alias("llm_double_checked"),
+        share(own).alias("heuristic_numbered_ratio"),
+        F.when(some & answer.isNotNull(), share(answer)).alias("llm_numbered_ratio"),
+        F.when(some, agreement(own, answer)).alias("agreement_ratio"),
+    )
+
+
 def _level(line: Column) -> Column:
     return F.length(F.regexp_extract(line, "^(#{1,6}) ", 1))
 
@@ -172,6 +240,41 @@ def headings(c: Column, levels: bool = True) -> Column:
     return kernels.headings_udf(levels)(c)
 
 
+def layered(docs: DataFrame, key: str = "source_file", text: str = "text", numbered=None, other=None) -> DataFrame:
+    """``docs`` with ``text`` normalised stretch by stretch: sections whose headings are of one category are taken
+    together, repaired by the normaliser of that category, and brought back to the level their first heading had."""
+    plain = lambda c: without_context_labels(with_hierarchy(c))
+    parts = docs.select(F.col(key).alias("_k"), F.posexplode(kernels.stretches_udf()(F.col(text))).alias("_n", "_s"))
+    kind = heading_category(F.col("_s.heading"))
+    kind = F.when(F.col("_s.heading").isNull(), F.lit(OTHER)).otherwise(kind)
+    own = Window.partitionBy("_k").orderBy("_n")
+    marked = parts.withColumn("_c", kind).withColumn("_new", (F.lag("_c").over(own) != F.col("_c")).cast("int"))
+    runs = marked.withColumn("_run", F.sum(F.coalesce("_new", F.lit(0))).over(own)).groupBy("_k", "_run", "_c").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_s.text"))), lambda x: x["text"]), "").alias("_t"),
+        F.min_by("_s.level", F.when(F.col("_s.level").isNotNull(), F.col("_n"))).alias("_level"),
+    )
+    done = F.when(F.col("_c") == NUMBERED, (numbered or (lambda c: plain(promoted(c))))(F.col("_t"))).otherwise((other or plain)(F.col("_t")))
+    done = F.when(F.col("_t").endswith("\n") & ~done.endswith("\n"), F.concat(done, F.lit("\n"))).otherwise(done)  # some drop the last end of line
+    repaired = runs.select("_k", "_run", done.alias("_t"), "_level")
+
+    def levelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["_t"] = [kernels.levelled(t or "", None if n is None or n != n else int(n)) for t, n in zip(b["_t"], b["_level"], strict=True)]
+            yield b[["_k", "_run", "_t"]]
+
+    levelled = repaired.mapInPandas(levelled, repaired.select("_k", "_run", "_t").schema)
+    whole = levelled.groupBy("_k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_run", "_t"))), lambda x: x["_t"]), "").alias("_t"))
+    joined = docs.join(whole, F.col(key) == F.col("_k"), "left")
+    return joined.select(*(F.coalesce("_t", F.lit("")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns))
+
+
+def section_runs(docs: DataFrame, title: str, runs: dict, key: str = "source_file", text: str = "text") -> DataFrame:
+    """(key, run, text): the sections whose heading is ``title``, as each of ``runs`` (name to Column function) leaves
+    them; for looking at one section."""
+    found = docs.select(key, F.explode(kernels.stretches_udf()(F.col(text))).alias("_s")).filter(F.col("_s.heading") == title)
+    return found.select(key, F.explode(F.create_map(*(x for n, f in runs.items() for x in (F.lit(n), f(F.col("_s.text")))))).alias("run", "text"))
+
+
 def refined(docs: DataFrame, text: str = "text", numbered=None, other=None) -> DataFrame:
     """Detect, route, repair: ``docs`` with ``text`` normalised, ``heading_format`` and ``backend``.
 

@@ -178,12 +178,22 @@ def orphans(children: DataFrame, corpus: DataFrame) -> DataFrame:
     return children.join(corpus.select(F.col("chunk_id").alias("parent_id")), "parent_id", "left_anti")
 
 
-def segment(rank: Column, source: Column, text: Column, section: Column | None = None, score: Column | None = None) -> Column:
+def annotated(candidates: DataFrame, weights: tuple[float, float] = (LEXICAL, DENSE)) -> DataFrame:
+    """``candidates`` (..., bm25, bm25_norm, dense, dense_norm, rerank) with the scores that a retrieved document shows:
+    bm25_score, dense_score, fused_score (not clipped) and rerank_score; what was not scored is 0."""
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    fused_score = F.lit(weights[0]) * zero("bm25_norm") + F.lit(weights[1]) * zero("dense_norm")
+    return candidates.withColumns({"bm25_score": zero("bm25"), "dense_score": zero("dense"), "fused_score": F.round(fused_score, DIGITS), "rerank_score": zero("rerank")})
+
+
+def segment(rank: Column, source: Column, text: Column, section: Column | None = None, score: Column | None = None, child: Column | None = None) -> Column:
     parts = [F.concat(F.lit("["), rank, F.lit("] From "), source)]
     if section is not None:
         parts.append(F.when(section != "", F.concat(F.lit(" | section="), section)).otherwise(F.lit("")))
     if score is not None:
         parts.append(F.when(score.isNotNull(), F.format_string(" | rerank=%.4f", score)).otherwise(F.lit("")))
+    if child is not None:
+        parts.append(F.coalesce(F.concat(F.lit(" | matched_child="), F.when(child != "", child)), F.lit("")))
     return F.concat(*parts, F.lit("\n"), text, F.lit("\n"))
 
 

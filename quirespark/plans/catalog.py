@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions import text as T
-from quirespark.functions.kernels import equations_udf, split_udf, table_rows_udf
+from quirespark.functions.kernels import equations_udf, table_rows_udf
 from quirespark.operators import chunk, enrich, figures, models, normalize, retrieve
 
 QUERIES: dict = {}
@@ -224,40 +224,6 @@ def chunk_summary(spark, sf):
     return out.select("total", "files", "tokens", of("text"), of("equation"), "mean_tokens")
 
 
-def _as_files(spark, sf) -> DataFrame:
-    """Documents as Markdown: a heading, prose, an equation with its variables, and a table of the nations."""
-    heading = F.concat(F.lit("# "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(" Part\n\n## "), (F.col("doc_id") % 7 + 1).cast("string"), F.lit(".1 Section\n\n"))
-    formula = F.concat(F.lit("\n\n$$E_{"), F.col("doc_id").cast("string"), F.lit("} = m c^2$$\nwhere m = mass\n\n"))
-    grid = F.lit("| key | name |\n|---|---|\n| 1 | one |\n| 2 | two |\n\nClosing words.\n")
-    return table(spark, sf, "documents").select(F.concat(F.lit("doc"), F.col("doc_id"), F.lit(".md")).alias("source_file"), F.concat(heading, "text", formula, grid).alias("text"))
-
-
-@query()
-def chunk_recursive(spark, sf):
-    pieces = F.posexplode(split_udf(2048, 300)(F.col("text")))
-    return corpus(spark, sf).select("doc_id", pieces.alias("ordinal", "piece")).select("doc_id", "ordinal", F.length("piece").alias("chars"), F.md5("piece").alias("piece_md5"))
-
-
-@query()
-def chunk_atomic(spark, sf):
-    return chunk.atomic_chunks(_as_files(spark, sf)).select("source_file", "ordinal", "section_heading", "content_type", "has_variables", "token_estimate", F.md5("text").alias("text_md5"))
-
-
-@query()
-def chunk_typed(spark, sf):
-    return chunk.typed_chunks(_as_files(spark, sf)).select("chunk_id", "source_file", "content_type", "section_heading", "has_variables", F.md5("text").alias("text_md5"))
-
-
-@query()
-def chunk_parent_child(spark, sf):
-    return chunk.parent_child_chunks(_as_files(spark, sf)).select("chunk_id", "parent_id", "chunk_role", "content_type", "source_file", F.size("child_ids").alias("n_children"))
-
-
-@query()
-def chunk_hierarchical(spark, sf):
-    return chunk.hierarchical_chunks(_as_files(spark, sf)).select("chunk_id", "source_file", "ordinal", "heading_path", "section", "parent_section", "has_variables", F.length("text").alias("chars"))
-
-
 _NUMBERS = "(o_orderkey % 9 + 1)::VARCHAR || CASE WHEN o_orderkey % 3 > 0 THEN '.' || (o_orderkey % 5) ELSE '' END || CASE WHEN o_orderkey % 3 > 1 THEN '.' || (o_orderkey % 4) ELSE '' END"
 
 
@@ -508,12 +474,6 @@ def figure_registry(spark, sf):
     return figures.registry(rows, "p_size").select("p_partkey", "registry_id")
 
 
-@query("""SELECT doc_id, (CASE WHEN contains(text, '|') THEN 0 ELSE 1 END + CASE WHEN regexp_matches(text, '(?:^|\\n)\\|[^\\n]*[^|\\s]\\s*(?:\\n|$)') THEN 1 ELSE 0 END) AS n FROM documents""")
-def conversion_warnings(spark, sf):
-    found = F.filter(figures.conversion_warnings(F.col("text")), lambda w: ~w.startswith("No LaTeX"))
-    return corpus(spark, sf).select("doc_id", F.size(found).alias("n"))
-
-
 # Answers, results, housekeeping ----------------------------------------------------------------------------------------
 
 
@@ -545,3 +505,6 @@ def excel_sanitize(spark, sf):
 @query("SELECT page_id, substr(regexp_replace(url, '[^A-Za-z0-9._()\\- +]+', '_', 'g'), 1, 160) AS name FROM pages")
 def path_sanitize(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.path_part(F.col("url")).alias("name"))
+
+
+from quirespark.plans import stages  # noqa: E402, F401  (registers its queries)

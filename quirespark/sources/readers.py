@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-MARKDOWN = "*.{md,MD,markdown}"
+from quirespark.operators import models
+from quirespark.operators.figures import IMAGES
+
+MARKDOWN = "*.{[mM][dD],[mM][aA][rR][kK][dD][oO][wW][nN]}"
+PDF = "*.[pP][dD][fF]"
 
 
 def _files(spark: SparkSession, root: str, kind: str, glob: str, recursive: bool):
@@ -41,18 +49,72 @@ def files(spark: SparkSession, root: str, glob: str, first: int | None = None, c
     return rows.orderBy("path").limit(first) if first else rows.orderBy("path")
 
 
+def matching(spark: SparkSession, root: str, pattern: str, most: int | None = None) -> DataFrame:
+    """The Markdown files that ``pattern`` finds right below ``root``, or if it finds none, all below it; the first
+    ``most`` by path."""
+    def load(glob: str, recursive: bool) -> DataFrame:
+        found = _files(spark, root, "binaryFile", glob, recursive).load(root)
+        return found.select(relative(F.col("path"), root).alias("rel_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+    rows = load(pattern, False)
+    rows = load(MARKDOWN, True) if rows.isEmpty() else rows
+    rows = rows.select(F.regexp_extract("rel_path", r"([^/]+)$", 1).alias("source_file"), "rel_path", "text")
+    return rows.orderBy("rel_path").limit(most) if most else rows
+
+
+def images(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+    """(key, path, rel_path[, content]) of the images below ``root``; the key is the folder right below it."""
+    rows = files(spark, root, "*.{" + ",".join(x for e in IMAGES for x in (e, e.upper())) + "}", content=content)
+    return rows.select(F.regexp_extract("rel_path", r"^([^/]+)/", 1).alias("key"), "path", "rel_path", *(["content"] if content else []))
+
+
+def converted(pdfs: DataFrame, convert: Callable[[bytes, float], str], timeout: float = 10_800) -> DataFrame:
+    """(path, status, seconds, text, detail) of what ``convert(content, timeout)`` makes of files (path, content); status
+    is success, timeout (it raised TimeoutError) or error (it raised anything else), and the detail is the error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                start, text, detail, status = time.monotonic(), None, None, "success"
+                try:
+                    text = convert(content, timeout)
+                except Exception as error:
+                    status, detail = "timeout" if isinstance(error, TimeoutError) else "error", str(error)
+                yield pd.DataFrame([(path, status, time.monotonic() - start, text, detail)], columns=["path", "status", "seconds", "text", "detail"])
+
+    return pdfs.select("path", "content").mapInPandas(run, "path string, status string, seconds double, text string, detail string")
+
+
+def conversion_statistics(runs: DataFrame) -> DataFrame:
+    """One row: files, succeeded, timed_out, failed, total and mean seconds, and files an hour."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    total = F.coalesce(F.sum("seconds"), F.lit(0.0))
+    return runs.agg(
+        F.count("*").alias("files"), of("success").alias("succeeded"), of("timeout").alias("timed_out"), of("error").alias("failed"),
+        total.alias("seconds"), F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("mean_seconds"), F.when(total > 0, F.count("*") * 3600 / total).alias("files_per_hour"),
+    )
+
+
 def chunks(spark: SparkSession, root: str, schema: str = "text string") -> DataFrame:
     """JSONL chunks under ``root``: (source, line, chunk_index, the fields of ``schema``).
 
     Lines that are blank, no JSON object or without text are dropped by themselves. ``line`` counts all lines of the
-    file from 1, ``chunk_index`` the kept ones from 0.
+    file from 1, ``chunk_index`` the kept ones from 0. Files are read by line and in splits: lines are numbered within
+    their split first, and the splits of a file then add up.
     """
-    whole = _files(spark, root, "text", "*.jsonl", True).option("wholetext", "true").load(root).select(F.col("_metadata.file_name").alias("source"), "value")
-    lines = whole.select("source", F.posexplode(F.split("value", "\r?\n")).alias("line", "raw"))
-    rows = lines.select("source", (F.col("line") + 1).alias("line"), F.from_json("raw", schema).alias("r"))
-    kept = rows.filter(F.regexp_replace(F.coalesce("r.text", F.lit("")), r"(?U)\s+", "") != "")
-    index = F.row_number().over(Window.partitionBy("source").orderBy("line")) - 1
-    return kept.select("source", "line", index.alias("chunk_index"), "r.*")
+    read = _files(spark, root, "text", "*.jsonl", True).load(root)
+    rows = read.select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"), F.from_json("value", schema).alias("r"),
+    ).withColumn("_kept", (F.regexp_replace(F.coalesce("r.text", F.lit("")), r"(?U)\s+", "") != "").cast("int"))
+    own = Window.partitionBy("_file", "_block").orderBy("_at")
+    local = rows.withColumns({"_line": F.row_number().over(own), "_index": F.sum("_kept").over(own)}).filter("_kept = 1")
+    sizes = rows.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.sum("_kept").alias("_m"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lines"), F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_chunks"))
+    return local.join(offsets, ["_file", "_block"]).select(
+        "source", (F.col("_lines") + F.col("_line")).cast("int").alias("line"), (F.col("_chunks") + F.col("_index") - 1).cast("int").alias("chunk_index"), "r.*"
+    )
 
 
 def parent_child(spark: SparkSession, parents_path: str, children_path: str) -> tuple[DataFrame, DataFrame]:
@@ -62,22 +124,41 @@ def parent_child(spark: SparkSession, parents_path: str, children_path: str) ->
     last = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.col("source").desc(), F.col("line").desc()))
     parents = own.filter("chunk_id IS NOT NULL").withColumn("_n", last).filter("_n = 1").drop("_n")
     children = chunks(spark, children_path, fields).filter("parent_id IS NOT NULL").withColumn("source_file", F.coalesce("source_file", "source"))
+    for name, rows in (("parents", parents), ("children", children)):
+        if rows.isEmpty():
+            raise ValueError(f"no {name} under {parents_path if name == 'parents' else children_path}")
     return parents, children
 
 
 def corpus(spark: SparkSession, root: str) -> DataFrame:
-    """Chunks if there are any, else whole Markdown files as chunks: (source, chunk_index, text)."""
-    try:
-        found = chunks(spark, root).select("source", "chunk_index", "text")
-        if not found.isEmpty():
-            return found
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            raise
-    docs = markdown(spark, root)
-    if docs.isEmpty():
+    """Chunks if there are any files of them, else whole Markdown files as chunks: (source, chunk_index, text). Only the
+    listing decides; an error while reading is an error."""
+    listed = lambda glob: not _files(spark, root, "binaryFile", glob, True).load(root).select("path").isEmpty()
+    if listed("*.jsonl"):
+        return chunks(spark, root).select("source", "chunk_index", "text")
+    if not listed(MARKDOWN):
         raise ValueError(f"no chunks and no Markdown under {root}")
-    return docs.select(F.col("rel_path").alias("source"), F.lit(0).alias("chunk_index"), "text")
+    return markdown(spark, root).select(F.col("rel_path").alias("source"), F.lit(0).alias("chunk_index"), "text")
+
+
+def sheet(spark: SparkSession, path: str) -> DataFrame:
+    """A table of questions: (row_index, question, answer) of a CSV, JSON lines or Parquet file, or, where the machine can
+    read them, a workbook; the columns are found by their names, and there may be no answers."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind in ("xlsx", "xls"):
+        rows = spark.createDataFrame(pd.read_excel(path, dtype=str).astype(object).where(lambda d: d.notna(), None))
+    elif kind == "csv":
+        rows = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+    else:
+        rows = spark.read.json(path) if kind in ("json", "jsonl") else spark.read.parquet(path)
+    question = models.resolved(rows, "question")
+    try:
+        answer = F.col(f"`{models.resolved(rows, 'answer')}`")
+    except ValueError:
+        answer = F.lit(None).cast("string")
+    numbered = rows.withColumn("_at", F.monotonically_increasing_id())  # a sheet is small
+    index = F.row_number().over(Window.orderBy("_at")) - 1
+    return numbered.select(index.alias("row_index"), F.col(f"`{question}`").alias("question"), answer.alias("answer"))
 
 
 #: Keys that may hold the list of records.

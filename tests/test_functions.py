@@ -219,7 +219,7 @@ def test_adapter_retries(spark):
             raise ValueError
         return text.upper()
 
-    out = {r.prompt: r.output for r in models.called(client, tries=2, wait=lambda n: 0)(asked).collect()}
+    out = {r.prompt: r.output for r in models.called(client, tries=2, wait=lambda n, error: 0)(asked).collect()}
     assert out == {"good": "GOOD", "bad": None}
 
 

@@ -5,8 +5,11 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
+from quirespark.functions import registry
+from quirespark.operators import enrich, figures, models
 from quirespark.sources import readers, sinks
 from quirespark.streaming import incremental
 
@@ -59,3 +62,181 @@ def test_stands_without_training_data_operators(tmp_path):
     root = Path(__file__).parent.parent
     code = f"import sys; sys.modules['quirespark.llm'] = None; sys.path.insert(0, {str(root)!r}); import __spark_entry__ as e; assert 'bm25_topk' in e.queries() and not any(k.startswith('op') and k[2].isdigit() for k in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_chunks_over_splits(spark, tmp_path):
+    """Numbers of lines go on over the splits of a file, and start again in the next."""
+    for name, n in (("a.jsonl", 400), ("b.jsonl", 30)):
+        (tmp_path / name).write_text("".join("\n" if i % 7 == 0 else json.dumps({"text": f"{name} {i} " + "x" * (i % 50)}) + "\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = readers.chunks(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, n in (("a.jsonl", 400), ("b.jsonl", 30)):
+        want = [(i + 1, k) for k, i in enumerate(i for i in range(n) if i % 7)]
+        assert sorted((r.line, r.chunk_index) for r in rows if r.source == name) == want
+        assert all(r.text.startswith(f"{name} {r.line - 1} ") for r in rows if r.source == name)
+
+
+def test_corpus_prefers_chunks(spark, tmp_path):
+    (tmp_path / "a.mD").write_text("# A")
+    assert [tuple(r) for r in readers.corpus(spark, str(tmp_path)).collect()] == [("a.mD", 0, "# A")]
+    (tmp_path / "x.jsonl").write_text('{"text": "one"}\n')
+    assert [tuple(r) for r in readers.corpus(spark, str(tmp_path)).collect()] == [("x.jsonl", 0, "one")]
+    (tmp_path / "empty").mkdir()
+    with pytest.raises(ValueError):
+        readers.corpus(spark, f"{tmp_path}/empty")
+
+
+def test_parents_and_children(spark, tmp_path):
+    for name, rows in (("p", [{"chunk_id": "a", "text": "old"}, {"chunk_id": "a", "text": "new"}]), ("c", [{"chunk_id": "b", "text": "t", "parent_id": "a"}, {"chunk_id": "d", "text": "t"}])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    parents, children = readers.parent_child(spark, f"{tmp_path}/p.jsonl", f"{tmp_path}/c.jsonl")
+    assert [r.text for r in parents.collect()] == ["new"] and [(r.chunk_id, r.source_file) for r in children.collect()] == [("b", "c.jsonl")]
+    with pytest.raises(ValueError):
+        readers.parent_child(spark, f"{tmp_path}/p.jsonl", f"{tmp_path}/p.jsonl")
+
+
+def test_matching_falls_back_to_all_markdown(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("b.md", "a.md", "sub/c.MD"):
+        (tmp_path / name).write_text(name)
+    names = lambda *a: [r.rel_path for r in readers.matching(spark, str(tmp_path), *a).orderBy("rel_path").collect()]
+    assert names("a*.md") == ["a.md"] and names("z*.md") == ["a.md", "b.md", "sub/c.MD"] and names("z*.md", 2) == ["a.md", "b.md"]
+
+
+def test_pdfs_and_images(spark, tmp_path):
+    (tmp_path / "book").mkdir()
+    for name in ("a.pdf", "b.PDF", "bad.pdf", "slow.pdf", "c.txt", "book/x.PNG", "book/y.jpeg", "book/z.md"):
+        (tmp_path / name).write_bytes(name.encode())
+
+    def convert(content, timeout):
+        if content == b"bad.pdf":
+            raise ValueError("no pdf")
+        if content == b"slow.pdf":
+            raise TimeoutError
+        return content.decode().upper()
+
+    pdfs = readers.files(spark, str(tmp_path), readers.PDF, content=True)
+    assert [r.rel_path for r in readers.files(spark, str(tmp_path), readers.PDF, first=2).collect()] == ["a.pdf", "b.PDF"]
+    runs = readers.converted(pdfs, convert)
+    assert sorted((r.status, r.text, r.detail) for r in runs.collect() if r.status != "timeout") == [("error", None, "no pdf"), ("success", "A.PDF", None), ("success", "B.PDF", None)]
+    one = readers.conversion_statistics(runs).first()
+    assert (one.files, one.succeeded, one.timed_out, one.failed) == (4, 2, 1, 1)
+    assert sorted((r.key, r.rel_path) for r in readers.images(spark, str(tmp_path)).collect()) == [("book", "book/x.PNG"), ("book", "book/y.jpeg")]
+
+
+def test_sheets(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('No,QUESTION ,Gold Answer\n1,"What, ""now""?",this\n2,And?,\n')
+    assert [tuple(r) for r in readers.sheet(spark, f"{tmp_path}/q.csv").collect()] == [(0, 'What, "now"?', "this"), (1, "And?", None)]
+    (tmp_path / "q.json").write_text('{"prompt": "p"}\n')
+    assert [tuple(r) for r in readers.sheet(spark, f"{tmp_path}/q.json").collect()] == [(0, "p", None)]
+    assert sinks.workbook_path("a") == "a.xlsx" and sinks.workbook_path("b.XLSX") == "b.XLSX"
+
+
+def test_tree_of_files(spark, tmp_path):
+    docs = spark.createDataFrame([("a.md", "# A\n"), ("sub/b c.md", "é"), ("../up.md", None)], "rel_path string, text string")
+    assert sinks.tree(docs, f"{tmp_path}/out") == 3 and sinks.tree(docs.limit(0), f"{tmp_path}/out") == 0
+    assert sinks.tree(docs, f"file://{tmp_path}/out") == 3
+    found = {str(p.relative_to(tmp_path / "out")): p.read_text() for p in (tmp_path / "out").rglob("*") if p.is_file()}
+    assert found == {"a.md": "# A\n", "sub/b c.md": "é", "up.md": ""}
+
+
+def test_summaries(spark, tmp_path):
+    chunks = spark.createDataFrame([("a.md", "x" * 40), ("b.md", "| t |")], "source_file string, text string")
+    sinks.with_summary(chunks, f"{tmp_path}/c")
+    (one,) = spark.read.json(f"{tmp_path}/c/summary").collect()
+    assert (one.total, one.files, one.tokens) == (2, 2, 11) and spark.read.json(f"{tmp_path}/c/chunks").count() == 2
+    sinks.run_summary(spark.createDataFrame([(2,)], "figures_found long"), f"{tmp_path}/s", {"workers": 4})
+    assert json.loads("".join(x.read_text() for x in Path(tmp_path, "s").glob("part*"))) == {"figures_found": 2, "config": {"workers": "4"}}
+    rows = spark.createDataFrame([(2, "q", "a", "r\x01", "Yes"), (1, None, "a", "r", "")], "row_index int, question string, Answer string, Result string, `Result Accuracy` string")
+    assert [tuple(r) for r in sinks.judged_sheet(rows).collect()] == [(None, "a", "r", ""), ("q", "a", "r", "Yes")]
+
+
+def test_registered_functions(spark):
+    assert "quire_headings" in registry.register(spark)
+    assert spark.sql("SELECT quire_headings('# A')[0].text AS h, quire_table_blocks('|a|')[0].end AS e").first() == ("A", 1)
+    told = []
+    rows, tell = registry.observed(spark.range(5), told.append, top=F.max("id"))
+    rows.collect()
+    tell()
+    assert told == [{"rows": 5, "top": 4}]
+
+
+def test_embedding_cache(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+    embed = lambda d: d.withColumn("embedding", models.hashed_embedding(F.col("text"), 8))
+    made, there = models.cached_embeddings(docs, embed, f"{tmp_path}/v", "m", "s")
+    again, now = models.cached_embeddings(docs, embed, f"{tmp_path}/v", "m", "s")
+    assert (there, now) == (False, True) and sorted(made.collect()) == sorted(again.collect())
+    assert not models.cached_embeddings(docs, embed, f"{tmp_path}/v", "m", "other")[1]
+    assert not models.cached_embeddings(docs.limit(1), embed, f"{tmp_path}/v", "m", "s")[1]
+
+
+def test_enrichment_passes(spark, tmp_path):
+    """Each pass sees what the one before has left, and a second run asks no model."""
+    head = "| " + "h" * 40 + " | " + "k" * 40 + " |"
+    docs = spark.createDataFrame([("a.md", f"$x$\n{head}\n|---|---|\n| $y$ | 2 |\n")], "source_file string, text string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def model(rows):
+        def say(batches):
+            for b in batches:
+                asked.add(len(b))
+                b["output"] = [i.replace("$x$", "$X$").replace("$y$", "$Z$" if t == "math" else "$y$").replace("hhh", "HHH").replace("| 2 |", "| 3 |" if t == "table" else "| 2 |") for t, i in zip(b["task"], b["input"], strict=True)]
+                yield b
+
+        return rows.mapInPandas(say, rows.select("*", F.lit("").alias("output")).schema)
+
+    for _ in range(2):
+        out, log = enrich.enriched(docs, model, f"{tmp_path}/log")
+        (row,) = out.collect()
+        assert row.text == f"$X$\n{head.replace('hhh', 'HHH')}\n|---|---|\n| $Z$ | 3 |\n"
+        assert asked.value == 4 and log.count() == 4
+
+
+def test_figures_with_a_model(spark):
+    docs = spark.createDataFrame([("b", "# H\n![a](a.png)\n![c](c.png)"), ("done", "![a](a.png)")], "source_file string, text string")
+    images = spark.createDataFrame([("b", "/b/a.png", "a.png", b"\x00\x01")], "key string, path string, rel_path string, content binary")
+
+    def client(prompt, url):
+        return json.dumps({"figure_id": "f", "figure_type": url[:22], "caption_summary": "Section heading: # H" in prompt and "yes", "confidence": 0.9, "extracted_text": "0123456789"})
+
+    out = figures.extracted(docs, images, client, done=spark.createDataFrame([("done",)], "source_file string"), delay=0.0, workers=1)
+    rows = {r.rel_path: r for r in out.collect()}
+    assert (rows["a.png"].status, rows["a.png"].confidence, rows["c.png"].status) == ("ok", 0.9, "missing")
+    assert json.loads(rows["a.png"].fields)["figure_type"] == "data:image/png;base64," and "Image not found" in rows["c.png"].block
+    text = figures.reinserted(docs, out).filter("source_file = 'b'").first().text
+    assert text.count("FIGURE_START") == 2 and "![c](c.png)" in text and "![a](a.png)" not in text
+
+
+def test_retries_by_error():
+    class RateLimitError(Exception):
+        pass
+
+    class BadRequestError(Exception):
+        pass
+
+    class Status(Exception):
+        code, retry_after = 429, 40
+
+    assert models.by_error_class(1, ValueError()) == 4 and models.by_error_class(0, RateLimitError("please wait 30 seconds")) == 30
+    assert models.by_error_class(0, BadRequestError()) is None and models.by_error_class(0, ValueError("wait 30 seconds")) == 2
+    assert 40 <= models.by_status(0, Status()) < 41 and 60 <= models.by_status(2, Status()) < 61 and 1 <= models.by_status(0, ValueError()) < 2
+    assert models.usable_models(("a", "b"), ["b", "c"]) == ("b",)
+    with pytest.raises(ValueError):
+        models.usable_models(("a",), ["b"])
+    assert models.either(lambda x: 1 / 0, str.upper)("a") == "A"
+
+
+def test_hopeless_calls_fail_the_run(spark):
+    class AuthenticationError(Exception):
+        pass
+
+    def client(text):
+        raise AuthenticationError("no key")
+
+    rows = spark.createDataFrame([("x",)], "prompt string")
+    with pytest.raises(Exception, match="no key"):
+        models.called(client, wait=models.by_error_class)(rows).collect()
