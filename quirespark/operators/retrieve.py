@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from quirespark.functions.text import let, tokens
 
@@ -18,45 +23,129 @@ BROADCAST_TERMS = 200_000
 DIGITS = 6
 
 
+def term_table(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df, docs, length): in how many documents a term is, and, of the documents whose first term it is, how many
+    there are and how long they are, so that one pass gives all of the corpus statistics. A document without terms
+    counts under the null term."""
+    body = let(tokens(F.col(text)), lambda w: F.when(F.size(w) == 0, F.array(_first(F.lit(None).cast("string"), F.lit(0), F.lit(0)))).otherwise(F.transform(F.array_distinct(w), lambda t, i: _first(t, i, F.size(w)))))
+    rows = docs.select(F.inline(body))
+    return rows.groupBy("term").agg(F.count("term").alias("df"), F.count("n").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length"))
+
+
+def _first(term: Column, place: Column, n: Column) -> Column:
+    return F.struct(term.alias("term"), F.when(place == 0, n).alias("n"))
+
+
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: n_docs, avg_length, n_terms and the mean inverse document frequency over all terms."""
-    sized = docs.select(F.size(tokens(F.col(text))).alias("n"))
-    totals = sized.agg(F.count("*").alias("n_docs"), F.avg("n").alias("avg_length"))
-    freqs = document_frequencies(docs, text).crossJoin(F.broadcast(totals.select("n_docs")))
-    terms = freqs.agg(F.count("*").alias("n_terms"), F.avg(_idf(F.col("n_docs"), F.col("df"))).alias("mean_idf"))
-    return totals.crossJoin(terms)
+    return _stats(term_table(docs, text))
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+def _stats(terms: DataFrame) -> DataFrame:
+    totals = terms.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n_docs"), (F.sum("length") / F.sum("docs")).alias("avg_length"))
+    rated = terms.filter("term IS NOT NULL").crossJoin(F.broadcast(totals.select("n_docs")))  # one row
+    return totals.crossJoin(rated.agg(F.count("*").alias("n_terms"), F.avg(_idf(F.col("n_docs"), F.col("df"))).alias("mean_idf")))
 
 
 def _idf(n: Column, df: Column) -> Column:
     return F.log(n - df + F.lit(0.5)) - F.log(df + F.lit(0.5))
 
 
-def _checked(frame: DataFrame, most: int) -> DataFrame:
-    """``frame`` marked for broadcast if it has at most ``most`` rows, which is counted."""
-    return F.broadcast(frame) if frame.limit(most + 1).count() <= most else frame
+def _weights(docs: DataFrame, terms: DataFrame, text: str, epsilon: float) -> DataFrame:
+    """(term, avg_length, idf) of those of ``terms`` (term) that the corpus has."""
+    found = term_table(docs, text)  # the shuffle of one is that of the other
+    weights = found.join(terms, "term", "left_semi").crossJoin(F.broadcast(_stats(found).select("n_docs", "avg_length", "mean_idf")))  # one row
+    idf = _idf(F.col("n_docs"), F.col("df"))
+    return weights.select("term", "avg_length", F.when(idf < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(idf).alias("idf"))
+
 
+#: A block of queries and their terms makes a matrix of so many cells at most.
+MATRIX_CELLS = 1 << 22
+SALTS = 16
 
-def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text", query_text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
-    """(query, doc, bm25) of all pairs that share a term; a term repeated in a query counts again.
 
-    Postings are thinned to the query terms before anything is grouped. Terms in more than half of the documents
-    get ``epsilon`` times the mean weight instead of a negative one.
+def bm25(
+    docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text", query_text: str = "text",
+    k1: float = K1, b: float = B, epsilon: float = EPSILON, top: int | None = None,
+) -> DataFrame:
+    """(query, doc, bm25) of all pairs that share a term, or with ``top`` of at least the ``top`` best of each query; a term
+    repeated in a query counts again.
+
+    Terms in more than half of the documents get ``epsilon`` times the mean weight instead of a negative one. The terms
+    of the queries, counted first, go to every task, which scores documents whole, an Arrow batch against a block of
+    queries at a time; nothing is shuffled but term counts. Beyond ``BROADCAST_TERMS`` postings and queries meet in a
+    join on the term in which both sides are salted.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    stats = corpus_stats(docs, text).select("n_docs", "avg_length", "mean_idf")
-    weights = document_frequencies(docs, text).join(_checked(asked.select("term").distinct(), BROADCAST_TERMS), "term", "left_semi").crossJoin(F.broadcast(stats))
-    idf = _idf(F.col("n_docs"), F.col("df"))
-    weights = weights.select("term", "avg_length", F.when(idf < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(idf).alias("idf"))
+    rows = asked.limit(BROADCAST_TERMS + 1).collect()
+    if len(rows) > BROADCAST_TERMS:
+        return _bm25_joined(docs, asked, doc_id, text, k1, b, epsilon)
+    names = sorted({r["term"] for r in rows})
+    spark, schema = docs.sparkSession, f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc_id {docs.select(F.col(doc_id)).schema[0].dataType.simpleString()}, bm25 double"
+    found = _weights(docs, F.broadcast(spark.createDataFrame([(n,) for n in names], "term string")), text, epsilon).collect() if names else []
+    if not found:
+        return spark.createDataFrame([], schema)
+    idf, average = {r["term"]: r["idf"] for r in found}, found[0]["avg_length"]
+    blocks = _query_blocks([r for r in rows if r["term"] in idf], idf, asked.schema["query_id"].dataType)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, n = batch.column(1), batch.num_rows
+            length, doc = pc.list_value_length(words).to_numpy(zero_copy_only=False), pc.list_parent_indices(words).to_numpy()
+            flat = words.flatten()
+            for ids, terms, matrix, asked_for in blocks:
+                at = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy()
+                there = np.flatnonzero(at >= 0)
+                pair, tf = np.unique(doc[there].astype(np.int64) * len(terms) + at[there], return_counts=True)
+                d, t = np.divmod(pair, len(terms))
+                part, present = np.zeros((len(terms), n)), np.zeros((len(terms), n), np.float32)
+                present[t, d] = 1  # a weight may be zero
+                part[t, d] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / average))
+                scores, hit = matrix @ part, asked_for @ present > 0
+                if top is not None and n > top:
+                    rounded = np.where(hit, np.round(scores, DIGITS), -np.inf)
+                    hit &= rounded >= np.partition(rounded, n - top, axis=1)[:, n - top][:, None]  # with all that tie
+                q, d = np.nonzero(hit)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "doc_id", "bm25"])
+
+    scored = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).mapInArrow(score, schema)
+    return scored.withColumn("bm25", F.round("bm25", DIGITS))
+
+
+def _query_blocks(rows: list, idf: dict[str, float], kind: DataType) -> list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
+    """Queries in blocks: ids, their terms, a matrix of query counts times weights, and one of what each asks for."""
+    by_query: dict = {}
+    for r in rows:
+        by_query.setdefault(r["query_id"], []).append(r)
+    blocks, held, seen = [], [], set()
+    for q, own in by_query.items():
+        terms = seen | {r["term"] for r in own}
+        if held and (len(held) + 1) * len(terms) > MATRIX_CELLS:
+            blocks.append(held)
+            held, terms = [], {r["term"] for r in own}
+        held, seen = [*held, q], terms
+    out = []
+    for block in [*blocks, held]:
+        terms = sorted({r["term"] for q in block for r in by_query[q]})
+        place, matrix = {t: i for i, t in enumerate(terms)}, np.zeros((len(block), len(terms)))
+        asked_for = np.zeros(matrix.shape, np.float32)
+        for i, q in enumerate(block):
+            for r in by_query[q]:
+                matrix[i, place[r["term"]]] = r["qtf"] * idf[r["term"]]
+                asked_for[i, place[r["term"]]] = 1
+        out.append((pa.array(block, to_arrow_type(kind)), pa.array(terms), matrix, asked_for))
+    return out
+
+
+def _bm25_joined(docs: DataFrame, asked: DataFrame, doc_id: str, text: str, k1: float, b: float, epsilon: float) -> DataFrame:
+    weights = _weights(docs, asked.select("term").distinct(), text, epsilon)
     # The length goes along with each token: computed beside the explode, it would be computed for every token again.
     body = let(tokens(F.col(text)), lambda w: F.transform(w, lambda t: F.struct(t.alias("term"), F.size(w).alias("length"))))
-    postings = docs.select(F.col(doc_id).alias("doc_id"), F.inline(body))
-    postings = postings.join(_checked(weights, BROADCAST_TERMS), "term").groupBy("doc_id", "term", "length", "idf", "avg_length").agg(F.count("*").alias("tf"))
+    salted = lambda side: side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    counted = docs.select(F.col(doc_id).alias("doc_id"), F.inline(body)).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+    postings = counted.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted(weights), ["term", "_salt"])
     part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("avg_length")))
-    pairs = postings.withColumn("part", part).join(asked, "term")
+    pairs = postings.withColumn("part", part).join(salted(asked), ["term", "_salt"])
     return pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("part")), DIGITS).alias("bm25"))
 
 
@@ -87,36 +176,62 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / (length(a) * length(b))))
 
 
+#: So many query vectors go to every task as one matrix; beyond that, so many and so many corpus vectors meet in a task.
+MATRIX_QUERIES, MATRIX_DOCS = 4096, 262_144
+
+
+def _matrix(vectors: list, dims: int) -> np.ndarray:
+    """Unit vectors; one that is null, of another length or has a null component is zero, alike to nothing."""
+    out = np.zeros((len(vectors), dims))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dims:
+            out[i] = np.asarray(v, dtype=float)
+    return _unit(np.where(np.isfinite(out).all(axis=1, keepdims=True), out, 0.0))
+
+
+def _best(ids: np.ndarray, matrix: np.ndarray, docs: np.ndarray, vectors: list, k: int) -> pd.DataFrame:
+    found = np.round(np.clip(matrix @ _matrix(vectors, matrix.shape[1]).T, 0, 1), DIGITS)
+    order = np.lexsort((np.broadcast_to(-docs, found.shape), -found), axis=1)[:, :k]
+    return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc_id": docs[order].ravel(), "dense": np.take_along_axis(found, order, 1).ravel()})
+
+
 def dense(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
-    """(query, doc, dense, rank) of the ``k`` nearest documents of each query.
+    """(query, doc, dense, rank) of the ``k`` nearest documents of each query; ids are whole numbers.
 
-    Queries are few beside the corpus and are broadcast after a check; they are matrix-multiplied with each Arrow
-    batch of the corpus, which keeps only its own best ``k`` per query before the final rank.
+    A vector that is null, of another length than most of the queries' or not finite counts as zero: its cosine is 0.
+    Few queries, which is counted, are multiplied as one matrix with each Arrow batch of the corpus, which keeps only
+    its own best ``k`` per query before the final rank. More meet the corpus block by block, each pair of blocks in a
+    task of its own with the same kernel.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector"))
-    if asked.limit(MATRIX_QUERIES + 1).count() > MATRIX_QUERIES:
-        pairs = corpus.select(F.col(doc_id).alias("doc_id"), F.col(vector).alias("_d")).crossJoin(asked)
-        return ranked(pairs.select("query_id", "doc_id", F.round(cosine(F.col("_d"), F.col("vector")), DIGITS).alias("dense")), "dense", k)
-    rows = asked.collect()
-    ids, matrix = np.array([r["query_id"] for r in rows]), _unit(np.array([r["vector"] for r in rows], float))
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            found = np.round(np.clip(matrix @ _unit(np.stack(batch["_d"]).astype(float)).T, 0, 1), DIGITS)
-            docs = batch["doc_id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(-docs, found.shape), -found), axis=1)[:, :k]
-            yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc_id": docs[order].ravel(), "dense": np.take_along_axis(found, order, 1).ravel()})
-
-    if not rows:
-        return corpus.limit(0).select(F.lit(0).cast("long").alias("query_id"), F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("dense"), F.lit(0).alias("rank"))
+    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("vector"))
     own = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vector).alias("_d"))
-    return ranked(own.mapInPandas(best, "query_id long, doc_id long, dense double"), "dense", k)
-
-
-#: So many query vectors go to every task as one matrix.
-MATRIX_QUERIES = 4096
+    schema = "query_id long, doc_id long, dense double"
+    rows = asked.limit(MATRIX_QUERIES + 1).collect()
+    dims = Counter(len(r["vector"]) for r in rows if r["vector"] is not None).most_common(1)
+    if not dims:
+        return ranked(own.crossJoin(asked.select("query_id")).select("query_id", "doc_id", F.lit(0.0).alias("dense")), "dense", k) if rows else ranked(asked.sparkSession.createDataFrame([], schema), "dense", k)
+    width = dims[0][0]
+    if len(rows) <= MATRIX_QUERIES:
+        ids, matrix = np.array([r["query_id"] for r in rows]), _matrix([r["vector"] for r in rows], width)
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield _best(ids, matrix, batch["doc_id"].to_numpy(), batch["_d"].tolist(), k)
+
+        return ranked(own.mapInPandas(best, schema), "dense", k)
+
+    def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "doc_id": [], "dense": []})
+        return _best(left["query_id"].to_numpy(), _matrix(left["vector"].tolist(), width), right["doc_id"].to_numpy(), right["_d"].tolist(), k)
+
+    n, m = -(-asked.count() // MATRIX_QUERIES), -(-own.count() // MATRIX_DOCS)
+    dealt = lambda side, key, parts: side.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(max(parts, 1) - 1)))
+    left = dealt(asked, "query_id", n).withColumn("j", every(m)).withColumnRenamed("_own", "i")
+    right = dealt(own, "doc_id", max(m, 1)).withColumn("i", every(n)).withColumnRenamed("_own", "j")
+    return ranked(left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(met, schema), "dense", k)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -158,7 +273,7 @@ def diversified(candidates: DataFrame, target: int = 20, weight: float = 0.7) ->
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank").reset_index(drop=True)
-        order = mmr_order(group["fused"].tolist(), np.stack(group["embedding"]), target, weight)
+        order = mmr_order(group["fused"].tolist(), _matrix(group["embedding"].tolist(), max((len(v) for v in group["embedding"] if v is not None), default=1)), target, weight)
         return pd.DataFrame({"query_id": group["query_id"].iloc[order], "doc_id": group["doc_id"].iloc[order], "fused": group["fused"].iloc[order], "mmr_rank": range(1, len(order) + 1)})
 
     return candidates.select("query_id", "doc_id", "rank", "fused", "embedding").groupBy("query_id").applyInPandas(pick, "query_id long, doc_id long, fused double, mmr_rank int")

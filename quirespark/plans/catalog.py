@@ -59,7 +59,7 @@ b AS (SELECT query_id, doc_id,
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id DESC) AS rank FROM b QUALIFY rank <= 100")
 def bm25_topk(spark, sf):
-    return retrieve.ranked(retrieve.bm25(corpus(spark, sf), questions(spark, sf)), "bm25", 100)
+    return retrieve.ranked(retrieve.bm25(corpus(spark, sf), questions(spark, sf), top=100), "bm25", 100)
 
 
 _MINMAX = """
@@ -132,13 +132,37 @@ def hybrid_fused(spark, sf):
     return _fused(spark, sf).select("query_id", "doc_id", "fused", "rank")
 
 
-@query()
+_FUSED_SQL = SQL["hybrid_fused"]
+# Each turn every query picks the candidate of the greatest gain among those left, and likeness to it is carried on.
+_MMR = f"""
+z0 AS ({_FUSED_SQL}),
+cand AS (SELECT query_id, doc_id, fused, rank, embedding::DOUBLE[] AS e FROM z0 JOIN embeddings ON vec_id = doc_id),
+unit AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM cand),
+alike AS (SELECT a.query_id, a.rank AS i, b.rank AS j, greatest(0, least(1, list_dot_product(a.e, b.e) / (a.n * b.n))) AS c FROM unit a JOIN unit b USING (query_id)),
+mmr AS (
+  SELECT query_id, doc_id, fused, rank, 0::DOUBLE AS near, NULL::INT AS place, 0 AS turn FROM cand
+  UNION ALL
+  SELECT r.query_id, r.doc_id, r.fused, r.rank, greatest(near, c), CASE WHEN place IS NULL AND rank = pick THEN turn + 1 ELSE place END, turn + 1
+  FROM (SELECT *, first_value(rank) OVER (PARTITION BY query_id ORDER BY CASE WHEN place IS NULL THEN 0 ELSE 1 END, 0.7::DOUBLE * fused - (1 - 0.7::DOUBLE) * near DESC, rank) AS pick FROM mmr WHERE turn < 20) r
+  JOIN alike a ON a.query_id = r.query_id AND a.i = r.rank AND a.j = r.pick),
+picked AS (SELECT query_id, doc_id, fused, place AS mmr_rank FROM mmr WHERE turn = 20 AND place IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_MMR.lstrip()} SELECT query_id, doc_id, fused, mmr_rank FROM picked")
 def mmr_select(spark, sf):
     docs, _ = _hybrid(spark, sf)
     return retrieve.diversified(_fused(spark, sf).select("query_id", "doc_id", "fused", "rank").join(docs.select("doc_id", "embedding"), "doc_id"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MMR.lstrip()},
+w AS (SELECT doc_id, text, {_TOKENS} AS w FROM documents),
+s0 AS (SELECT p.query_id, p.doc_id, mmr_rank, d.text, round(CASE WHEN len(list_distinct(q.w)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(q.w), d.w)) / len(list_distinct(q.w)) END, 6) AS score
+       FROM picked p JOIN w d ON d.doc_id = p.doc_id JOIN w q ON q.doc_id = p.query_id),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, mmr_rank) AS rank FROM s0 QUALIFY rank <= 5),
+s2 AS (SELECT query_id, rank, '[' || rank || '] From ' || doc_id || ' | rerank=' || printf('%.4f', score) || chr(10) || text || chr(10) AS segment FROM s1),
+s3 AS (SELECT *, sum(length(segment)) OVER (PARTITION BY query_id ORDER BY rank) AS n FROM s2),
+s4 AS (SELECT query_id, rank, substr(segment, 1, 10000) AS segment FROM s3 WHERE n <= 10000 OR rank = 1)
+SELECT query_id, count(*) AS used, length(regexp_replace(string_agg(segment, chr(10) ORDER BY rank), '^\\s+|\\s+$', '', 'g'))::INT AS answer_chars FROM s4 GROUP BY query_id""")
 def rag_answers(spark, sf):
     """The whole cascade with stub models: fusion, MMR, rerank, context, answer."""
     docs, asked = _hybrid(spark, sf)

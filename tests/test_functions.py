@@ -183,14 +183,41 @@ def test_mmr():
     assert retrieve.mmr_order([0.5, 0.5], np.array([[0, 0], [1, 1]]), 5) == [0, 1]
 
 
-def test_dense_by_matrix_and_by_columns_agree(spark, monkeypatch):
+def test_dense_by_one_matrix_and_by_blocks_agree(spark, monkeypatch):
     rng = np.random.default_rng(0)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)] + [(60, [0.0] * 8)]
     corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
     asked = corpus.filter("doc_id < 5").withColumnRenamed("doc_id", "query_id")
     one = {tuple(r) for r in retrieve.dense(corpus, asked, 7).collect()}
-    monkeypatch.setattr(retrieve, "MATRIX_QUERIES", 1)
-    assert one == {(r.query_id, r.doc_id, r.dense, r["rank"]) for r in retrieve.dense(corpus, asked, 7).collect()}
+    monkeypatch.setattr(retrieve, "MATRIX_QUERIES", 2)
+    monkeypatch.setattr(retrieve, "MATRIX_DOCS", 20)
+    assert len(one) == 35 and one == {(r.query_id, r.doc_id, r.dense, r["rank"]) for r in retrieve.dense(corpus, asked, 7).collect()}
+
+
+def test_dense_takes_odd_vectors_for_zero(spark):
+    rows = [(0, [1.0, 0.0]), (1, None), (2, [1.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [2.0, 0.0]), (6, [])]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    asked = corpus.filter("doc_id IN (0, 1, 5)").withColumnRenamed("doc_id", "query_id")
+    got = {(r.query_id, r.doc_id): r.dense for r in retrieve.dense(corpus, asked, 9).collect()}
+    assert got == {(q, d): float(q in (0, 5) and d in (0, 5)) for q in (0, 1, 5) for d in range(7)}
+    assert {r.dense for r in retrieve.dense(corpus, asked.filter("query_id = 1"), 9).collect()} == {0.0}
+    assert retrieve.dense(corpus, asked.limit(0), 9).collect() == [] == retrieve.dense(corpus.limit(0), asked, 9).collect()
+
+
+@pytest.mark.parametrize("setting", [("BROADCAST_TERMS", 3), ("MATRIX_CELLS", 8)])
+def test_bm25_by_other_plans(spark, monkeypatch, setting):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(9)))) for i in range(80)] + [(90, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([("p", "a b b"), ("q", "c zz"), ("r", "dd e f a"), ("s", "none"), ("t", None)], "query_id string, text string")
+    want = sorted(map(tuple, retrieve.bm25(docs, asked).collect()))
+    best = {(r.query_id, r.doc_id) for r in retrieve.ranked(retrieve.bm25(docs, asked, top=5), "bm25", 5).collect()}
+    assert best == {(r.query_id, r.doc_id) for r in retrieve.ranked(retrieve.bm25(docs, asked), "bm25", 5).collect()} and len(want) > 50
+    monkeypatch.setattr(retrieve, *setting)
+    got = sorted(map(tuple, retrieve.bm25(docs, asked).collect()))
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
+    assert retrieve.bm25(docs, asked.limit(0)).collect() == []
+    stats = retrieve.corpus_stats(docs).first()
+    assert stats.n_docs == 81 and retrieve.corpus_stats(docs.limit(0)).first().n_docs == 0
 
 
 def test_confidence(value):
