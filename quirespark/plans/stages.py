@@ -107,10 +107,10 @@ def schema_tables(spark, sf):
     return table(spark, sf, "part").select("p_partkey", chunk.is_schema_table(text).alias("schema_table"))
 
 
-@query("SELECT p_partkey, [p_size::VARCHAR, '3.' || (p_partkey % 7)] AS equations, ['A' || p_size] AS tables FROM part")
+@query("SELECT p_partkey, p_size || ',3.' || (p_partkey % 7) AS equations, 'A' || p_size AS tables FROM part")
 def quoted_ids(spark, sf):
     text = F.concat(F.lit("x \\tag{"), "p_size", F.lit("} see (3."), F.col("p_partkey") % 7, F.lit(") and \\tag{"), "p_size", F.lit("}; Table A"), "p_size", F.lit(", table A"), "p_size")
-    return table(spark, sf, "part").select("p_partkey", chunk.equation_ids(text).alias("equations"), chunk.table_ids(text).alias("tables"))
+    return table(spark, sf, "part").select("p_partkey", F.array_join(chunk.equation_ids(text), ",").alias("equations"), F.array_join(chunk.table_ids(text), ",").alias("tables"))
 
 
 @query("SELECT p_partkey, '$$' || p_brand || '$$' AS equation FROM part")
