@@ -37,7 +37,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Shingles whose processes run at a time.
-BATCH = 400_000
+BATCH = 200_000
 #: So many ids (a long each) may be broadcast.
 BROADCAST_IDS = 500_000
 #: Bounds of a block of a group of nodes whose pairs are tested.
