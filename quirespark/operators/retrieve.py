@@ -269,7 +269,7 @@ def mmr_order(relevance: list[float], vectors: np.ndarray, target: int, weight:
 
 def diversified(candidates: DataFrame, target: int = 20, weight: float = 0.7) -> DataFrame:
     """``candidates`` (query_id, doc_id, rank, fused, embedding) reordered by MMR, at most ``target`` of each query; a
-    group is one query's candidates, which the fusion has cut to its top."""
+    group is one query's candidates, which the fusion has cut to its top. One without a vector is alike to none."""
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank").reset_index(drop=True)

@@ -102,20 +102,22 @@ def dense_topk(spark, sf):
     return retrieve.dense(*_vectors(spark, sf), 100)
 
 
-def _hybrid(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Documents that have a vector; queries are every fiftieth document, asked with its own text and vector."""
-    docs = corpus(spark, sf).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
-    return docs, docs.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+def _hybrid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All documents; the vectors that some of them have; and queries: every fiftieth document of those, asked with its
+    own text and vector."""
+    docs, vectors = corpus(spark, sf), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    vectors = vectors.join(docs.select("doc_id"), "doc_id", "left_semi")
+    return docs, vectors, docs.filter("doc_id % 50 = 0").join(vectors, "doc_id").withColumnRenamed("doc_id", "query_id")
 
 
 def _fused(spark, sf) -> DataFrame:
-    docs, asked = _hybrid(spark, sf)
+    docs, vectors, asked = _hybrid(spark, sf)
     lexical = retrieve.min_max(retrieve.bm25(docs, asked), "bm25", F.lit(docs.count()))
-    return retrieve.fused(lexical, retrieve.dense(docs, asked, 100))
+    return retrieve.fused(lexical, retrieve.dense(vectors, asked, 100))
 
 
-_HYBRID_BM25 = _BM25.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))").replace(
-    "SELECT item_id AS query_id, unnest(" + _TOKENS + ") AS term FROM benchmark", "SELECT doc_id AS query_id, unnest(w) AS term FROM d WHERE doc_id % 50 = 0"
+_HYBRID_BM25 = _BM25.replace(
+    "SELECT item_id AS query_id, unnest(" + _TOKENS + ") AS term FROM benchmark", "SELECT doc_id AS query_id, unnest(w) AS term FROM d WHERE doc_id % 50 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)"
 )
 
 
@@ -136,9 +138,9 @@ _FUSED_SQL = SQL["hybrid_fused"]
 # Each turn every query picks the candidate of the greatest gain among those left, and likeness to it is carried on.
 _MMR = f"""
 z0 AS ({_FUSED_SQL}),
-cand AS (SELECT query_id, doc_id, fused, rank, embedding::DOUBLE[] AS e FROM z0 JOIN embeddings ON vec_id = doc_id),
+cand AS (SELECT query_id, doc_id, fused, rank, embedding::DOUBLE[] AS e FROM z0 LEFT JOIN embeddings ON vec_id = doc_id),
 unit AS (SELECT *, sqrt(list_dot_product(e, e)) AS n FROM cand),
-alike AS (SELECT a.query_id, a.rank AS i, b.rank AS j, greatest(0, least(1, list_dot_product(a.e, b.e) / (a.n * b.n))) AS c FROM unit a JOIN unit b USING (query_id)),
+alike AS (SELECT a.query_id, a.rank AS i, b.rank AS j, CASE WHEN a.n * b.n > 0 THEN greatest(0, least(1, list_dot_product(a.e, b.e) / (a.n * b.n))) ELSE 0 END AS c FROM unit a JOIN unit b USING (query_id)),
 mmr AS (
   SELECT query_id, doc_id, fused, rank, 0::DOUBLE AS near, NULL::INT AS place, 0 AS turn FROM cand
   UNION ALL
@@ -150,8 +152,8 @@ picked AS (SELECT query_id, doc_id, fused, place AS mmr_rank FROM mmr WHERE turn
 
 @query(f"WITH RECURSIVE {_MMR.lstrip()} SELECT query_id, doc_id, fused, mmr_rank FROM picked")
 def mmr_select(spark, sf):
-    docs, _ = _hybrid(spark, sf)
-    return retrieve.diversified(_fused(spark, sf).select("query_id", "doc_id", "fused", "rank").join(docs.select("doc_id", "embedding"), "doc_id"))
+    _, vectors, _ = _hybrid(spark, sf)
+    return retrieve.diversified(_fused(spark, sf).select("query_id", "doc_id", "fused", "rank").join(vectors, "doc_id", "left"))
 
 
 @query(f"""WITH RECURSIVE {_MMR.lstrip()},
@@ -165,7 +167,7 @@ s4 AS (SELECT query_id, rank, substr(segment, 1, 10000) AS segment FROM s3 WHERE
 SELECT query_id, count(*) AS used, length(regexp_replace(string_agg(segment, chr(10) ORDER BY rank), '^\\s+|\\s+$', '', 'g'))::INT AS answer_chars FROM s4 GROUP BY query_id""")
 def rag_answers(spark, sf):
     """The whole cascade with stub models: fusion, MMR, rerank, context, answer."""
-    docs, asked = _hybrid(spark, sf)
+    docs, _, asked = _hybrid(spark, sf)
     picked = mmr_select(spark, sf).join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
     scored = picked.withColumn("rerank", F.round(models.overlap_score(F.col("question"), F.col("text")), 6))
     best = retrieve.ranked(scored, "rerank", 5, F.col("mmr_rank").asc())
