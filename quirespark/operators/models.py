@@ -199,6 +199,32 @@ def pending(rows: DataFrame, done: DataFrame, *keys: str) -> DataFrame:
 
 
 
+def vectors(encode: Callable[[list[str]], list[list[float]]], text: str = "text", into: str = "embedding") -> Callable[[DataFrame], DataFrame]:
+    """An embedder made of ``encode(texts)``, which is asked an Arrow batch at a time; vectors get length one, a null text
+    has a null vector."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), dtype=object)
+        there = np.flatnonzero(texts.notna())
+        for i, v in zip(there, encode(texts.iloc[there].tolist()) if len(there) else [], strict=True):
+            n = float(np.linalg.norm(v))
+            out.iloc[i] = [float(x) / (n or 1.0) for x in v]
+        return out
+
+    return lambda rows: rows.withColumn(into, run(F.col(text)))
+
+
+def scores(score: Callable[[list[tuple[str, str]]], list[float]], question: str = "question", text: str = "text", into: str = "rerank") -> Callable[[DataFrame], DataFrame]:
+    """A reranker made of ``score(pairs)``, which is asked an Arrow batch at a time."""
+
+    @F.pandas_udf("double")
+    def run(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(score(list(zip(questions.fillna(""), texts.fillna(""), strict=True))), dtype=float)
+
+    return lambda rows: rows.withColumn(into, run(F.col(question), F.col(text)))
+
+
 def usable_models(wanted: tuple[str, ...], available: list[str]) -> tuple[str, ...]:
     """Those of ``wanted`` that a server offers; an error if it offers none."""
     found = tuple(m for m in wanted if m in available)

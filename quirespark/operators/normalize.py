@@ -275,15 +275,33 @@ def section_runs(docs: DataFrame, title: str, runs: dict, key: str = "source_fil
     return found.select(key, F.explode(F.create_map(*(x for n, f in runs.items() for x in (F.lit(n), f(F.col("_s.text")))))).alias("run", "text"))
 
 
+def external(call):
+    """A normaliser made of ``call(text)``: a Column function whose result is null where the call raises."""
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else call(text)
+        except Exception:
+            return None
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return run
+
+
 def refined(docs: DataFrame, text: str = "text", numbered=None, other=None) -> DataFrame:
     """Detect, route, repair: ``docs`` with ``text`` normalised, ``heading_format`` and ``backend``.
 
-    ``numbered`` and ``other`` stand for external normalisers (Column to Column); without them the local repair
-    of the hierarchy is all that is done, for either format.
+    ``numbered`` and ``other`` stand for external normalisers (Column to Column, see ``external``); where there is none
+    or its result is null, the local repair of the hierarchy is all that is done, and the backend is ``fallback``.
     """
     found = docs.withColumn("_headings", headings(F.col(text)))
     found = found.withColumn("heading_format", document_format(F.transform("_headings", lambda h: h["text"]))["format"])
-    is_numbered = F.col("heading_format") == NUMBERED
-    by_format = F.when(is_numbered, (numbered or with_hierarchy)(F.col(text))).otherwise((other or with_hierarchy)(F.col(text)))
-    backend = F.when(is_numbered, F.lit("external" if numbered else "fallback")).otherwise(F.lit("external" if other else "fallback"))
-    return found.withColumns({text: without_context_labels(with_hierarchy(by_format)), "backend": backend}).drop("_headings")
+    of = lambda hook: hook(F.col(text)) if hook else F.lit(None).cast("string")
+    made = found.withColumns({"_numbered": of(numbered), "_other": of(other)})
+    made = made.withColumn("_made", F.when(F.col("heading_format") == NUMBERED, F.col("_numbered")).otherwise(F.col("_other")))
+    backend = F.when(F.col("_made").isNull(), F.lit("fallback")).otherwise(F.lit("external"))
+    repaired = without_context_labels(with_hierarchy(F.coalesce("_made", with_hierarchy(F.col(text)))))
+    return made.withColumns({"backend": backend, text: repaired}).drop("_headings", "_numbered", "_other", "_made")

@@ -239,12 +239,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(n == 0, 1, n)
 
 
-def fused(lexical: DataFrame, dense_ranked: DataFrame, top: int = 50, top_k: int = 100, weights: tuple[float, float] = (LEXICAL, DENSE)) -> DataFrame:
+def fused(lexical: DataFrame, dense_ranked: DataFrame, n_docs: Column, top: int = 50, top_k: int = 100, weights: tuple[float, float] = (LEXICAL, DENSE)) -> DataFrame:
     """The ``top`` candidates of each query by weighted normalised scores; lexical: (query, doc, bm25, bm25_norm),
-    all documents; dense: (query, doc, dense, rank). Candidates are the best of either; their order there breaks ties.
+    all documents; dense: (query, doc, dense, rank), which are normalised as if the other of ``n_docs`` documents had 0; give
+    all scores, and ranks beyond ``top_k`` count in the norm only. Candidates are the best of either; their order there
+    breaks ties.
     """
     lex = ranked(lexical, "bm25", top_k).select("query_id", "doc_id", F.col("rank").alias("lex_rank"))
-    den = min_max(dense_ranked, "dense").withColumnRenamed("rank", "dense_rank")
+    den = min_max(dense_ranked, "dense", n_docs).withColumnRenamed("rank", "dense_rank").filter(F.col("dense_rank") <= top_k)
     both = lex.join(den, ["query_id", "doc_id"], "full").join(lexical.select("query_id", "doc_id", "bm25", "bm25_norm"), ["query_id", "doc_id"], "left")
     score = F.lit(weights[0]) * F.coalesce("bm25_norm", F.lit(0.0)) + F.lit(weights[1]) * F.coalesce("dense_norm", F.lit(0.0))
     place = F.coalesce(F.col("lex_rank"), F.lit(top_k) + F.col("dense_rank"))

@@ -112,8 +112,8 @@ def _hybrid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _fused(spark, sf) -> DataFrame:
     docs, vectors, asked = _hybrid(spark, sf)
-    lexical = retrieve.min_max(retrieve.bm25(docs, asked), "bm25", F.lit(docs.count()))
-    return retrieve.fused(lexical, retrieve.dense(vectors, asked, 100))
+    n = F.lit(docs.count())
+    return retrieve.fused(retrieve.min_max(retrieve.bm25(docs, asked), "bm25", n), retrieve.dense(vectors, asked, 100), n)
 
 
 _HYBRID_BM25 = _BM25.replace(
@@ -124,8 +124,9 @@ _HYBRID_BM25 = _BM25.replace(
 @query(f"""WITH {_HYBRID_BM25}, {_MINMAX},
 {_DENSE.replace("FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")},
 l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id DESC) AS lr FROM nb QUALIFY lr <= 100),
-e AS (SELECT query_id, doc_id, rank AS dr, CASE WHEN max(dense) OVER w > min(dense) OVER w THEN (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w) ELSE 1.0::DOUBLE END AS dn
-      FROM t WINDOW w AS (PARTITION BY query_id)),
+o AS (SELECT query_id, doc_id, rank AS dr, dense, max(dense) OVER w AS hi, CASE WHEN count(*) OVER w < n THEN least(0, min(dense) OVER w) ELSE min(dense) OVER w END AS lo
+      FROM t, s WINDOW w AS (PARTITION BY query_id)),
+e AS (SELECT query_id, doc_id, dr, CASE WHEN hi > lo THEN (dense - lo) / (hi - lo) ELSE 1.0::DOUBLE END AS dn FROM o),
 u AS (SELECT coalesce(l.query_id, e.query_id) AS query_id, coalesce(l.doc_id, e.doc_id) AS doc_id, lr, dr, dn FROM l FULL JOIN e ON l.query_id = e.query_id AND l.doc_id = e.doc_id),
 z AS (SELECT u.query_id, u.doc_id, round(greatest(0, least(1, 0.4::DOUBLE * coalesce(bm25_norm, 0) + 0.6::DOUBLE * coalesce(dn, 0))), 6) AS fused, coalesce(lr, 100 + dr) AS place
       FROM u LEFT JOIN nb ON u.query_id = nb.query_id AND u.doc_id = nb.doc_id)

@@ -343,3 +343,20 @@ def test_resolved_images(spark):
     refs = spark.createDataFrame([("b", "img/A.png"), ("b", "img/A.png"), ("b", "x/none.png"), ("b", "C.jpeg")], "key string, rel_path string")
     files = spark.createDataFrame([("b", "/1/img/A.png", "img/A.png"), ("b", "/1/a.PNG", "a.PNG"), ("b", "/1/c.png", "c.png"), ("z", "/2/C.jpeg", "C.jpeg")], "key string, path string, rel_path string")
     assert sorted((r.rel_path, r.path) for r in figures.resolved(refs, files).collect()) == [("C.jpeg", "/1/c.png"), ("img/A.png", "/1/img/A.png"), ("img/A.png", "/1/img/A.png"), ("x/none.png", None)]
+
+
+def test_external_normalisers_fall_back(spark):
+    def call(text):
+        if "bad" in text:
+            raise ValueError
+        return text.upper()
+
+    docs = spark.createDataFrame([("# 1 good",), ("# 1 bad\n### x",), ("# Annex",)], "text string")
+    out = {(r.backend, r.heading_format, r.text) for r in normalize.refined(docs, numbered=normalize.external(call)).collect()}
+    assert out == {("external", "numbered", "# 1 GOOD"), ("fallback", "numbered", "# 1 bad\n## x"), ("fallback", "non-numbered", "# Annex")}
+
+
+def test_batch_adapters(spark):
+    rows = spark.createDataFrame([("q", "aa"), ("q", None)], "question string, text string")
+    out = {r.text: r for r in models.scores(lambda p: [float(len(t)) for _, t in p])(models.vectors(lambda ts: [[3.0 * len(t), 0.0] for t in ts])(rows)).collect()}
+    assert out["aa"].embedding == [1.0, 0.0] and out["aa"].rerank == 2.0 and out[None].embedding is None and out[None].rerank == 0.0
