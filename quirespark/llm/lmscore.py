@@ -4,18 +4,23 @@ Smoothing is by Dirichlet priors, p(w | h) = (c(hw) + mu * p(w | h')) / (c(h) +
 absolute discounting, whose left-over mass is that of the unknown word. As an automaton: each context seen in
 training is a state; an arc for each n-gram seen carries log10 p(w | h) and leads to the longest context it
 ends in; a failure arc carries log10 mu / (c(h) + mu) and leads to the context without its first word. A text
-is read left to right from the start state, which has its own arcs; nothing else is kept but the sum.
+is read left to right from the start state, which has its own arcs; nothing else is kept but the state and the sum.
 
-No task needs the whole model. Texts are dealt into blocks by hash; a block sends its distinct n-grams, as
-64-bit hashes in sorted runs, to buckets by ranges of the hash; a bucket sums the counts of all blocks and
+No task needs the whole model. Texts are dealt by hash into blocks of ``BLOCK`` bytes; a block sends its distinct
+n-grams, as hashes in sorted runs, to buckets by ranges of the hash; a bucket sums the counts of all blocks and
 answers each with the totals of the n-grams it sent, in the order sent; then the block builds the automaton of
 its own n-grams and reads its texts. A run holds an n-gram once however often the block has it, so a frequent
-n-gram costs a bucket one entry a block. There are as many buckets as shuffle
-partitions and a few times as many blocks, which is what bounds both kinds of task; the texts and the runs are shuffled once.
+n-gram costs a bucket one entry a block, and a run that would be empty is not sent. Numbers of blocks and buckets
+follow the bytes of the corpus, which bounds both kinds of task; the texts and the runs are shuffled once. Hashes have
+``SPARE`` bits more than it takes to number the corpus's bytes, those of single words, which are counted exactly,
+``SPARE_WORDS`` more, so that two n-grams share one as seldom in any size. What smoothing needs of all words at once,
+how many there are and how many come once and twice, is summed before, from runs of single words.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,15 +32,19 @@ from pyspark.sql import functions as F
 
 from quirespark.llm.common import table, text_of
 
-ORDER = 2
+ORDER = 3
 MU = 200.0
 FOLDS, HELD_OUT = 7, 2
-#: A block's n-grams and automaton are in memory at a time; a partition has so many blocks.
-BLOCKS_PER_PARTITION = 2
-ROOT = 0
+#: Bytes of a block's texts, and of the texts whose n-grams a bucket sums.
+BLOCK, BUCKET = 5_000_000, 10_000_000
+SPARE, SPARE_WORDS = 14, 27
+#: Texts read at a time where words are summed before.
+BATCH = 4_000_000
+#: Words of a stretch of text; stretches are read side by side.
+STRETCH = 512
 
 RUN = "bucket int, block int, rank int, keys binary, counts binary"
-ANSWER = "block int, bucket int, rank int, totals binary, tokens long, types long, once long, twice long"
+ANSWER = "block int, bucket int, rank int, totals binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -57,221 +66,270 @@ def _unpacked(data: bytes, kind) -> np.ndarray:
 
 @dataclass
 class Grams:
-    """The n-grams of some texts: word ids with a start and an end for each text, and by order their distinct
-    sorted hashes, and where each position's n-gram is among them (-1: none, it would begin before the text)."""
+    """The n-grams of some texts. Each text is a start, its words and an end; ``doc`` and ``place`` say whose a position
+    is and how far into its text, ``first`` where texts begin. ``keys[k - 1]`` has, by position, the hash of the n-gram
+    of k words that ends there, if there is one: a start is a context, never a token, and none reaches over a start.
+    """
 
-    tokens: np.ndarray
     doc: np.ndarray
+    place: np.ndarray
     first: np.ndarray
-    n_words: int
     keys: list[np.ndarray]
-    at: list[np.ndarray]
 
     @classmethod
-    def of(cls, texts: pa.Array, order: int) -> Grams:
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    def of(cls, texts: pa.Array, order: int, bits: tuple[int, int]) -> Grams:
+        # A slice is copied first: the cast to 64-bit offsets misreads one.
+        whole = texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(whole))
         words, doc = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
         real = pc.not_equal(words, "")
         coded, doc = words.filter(real).dictionary_encode(), doc[real.to_numpy(zero_copy_only=False)]
         n = len(coded.dictionary)
-        start, end = n, n + 1
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in [*coded.dictionary.to_pylist(), " ", "\n"]], np.uint64)
         sizes = np.bincount(doc, minlength=len(texts)).astype(np.int64)
         before = np.cumsum(sizes) - sizes
         first = before + 2 * np.arange(len(texts))
-        tokens = np.full(len(doc) + 2 * len(texts), end, np.int64)
-        tokens[first] = start
+        tokens = np.full(len(doc) + 2 * len(texts), n + 1, np.int64)
+        tokens[first] = n
         if len(doc):
             tokens[first[doc] + 1 + np.arange(len(doc)) - before[doc]] = coded.indices.to_numpy()
         owner = np.repeat(np.arange(len(texts)), sizes + 2)
-        place = np.arange(len(tokens)) - first[owner]
-        keys, at, gram = [], [], _mixed(hashes[tokens]) if len(tokens) else np.zeros(0, np.uint64)
-        own = gram
-        for k in range(1, order + 1):
-            if k > 1:
-                gram = np.concatenate([gram[:1], _mixed(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:])])
-            there = place >= max(k - 1, 1)  # the start is a context, never a token
-            distinct, where = np.unique(gram[there], return_inverse=True)
-            index = np.full(len(tokens), -1, np.int64)
-            index[there] = where
-            keys.append(distinct)
-            at.append(index)
-        return cls(tokens, owner, first, n, keys, at)
-
-    def counts(self, rank: int, trained: np.ndarray) -> np.ndarray:
-        there = self.at[rank] >= 0
-        return np.bincount(self.at[rank][there], weights=trained[self.doc[there]], minlength=len(self.keys[rank])).astype(np.uint32)
-
-    def cuts(self, rank: int, buckets: int) -> np.ndarray:
-        edges = np.array([i * 2**64 // buckets for i in range(1, buckets)], np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.keys[rank], edges), [len(self.keys[rank])]]).astype(np.int64)
-
-
-def _runs(block: pa.Table, order: int, buckets: int) -> pa.Table:
-    """The runs of a block: for each bucket the sorted hashes, as differences, and their counts in training."""
-    grams = Grams.of(block["text"].combine_chunks(), order)
-    trained, out = ~block["held_out"].to_numpy(), []
-    number = block["block"][0].as_py()
+        own = _mixed(hashes[tokens])
+        gram, keys = own, [own >> np.uint64(64 - bits[0])]
+        for _ in range(1, order):
+            gram = np.concatenate([gram[:1], _mixed(gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + own[1:])])
+            keys.append(gram >> np.uint64(64 - bits[1]))
+        return cls(owner, np.arange(len(tokens)) - first[owner], first, keys)
+
+    def there(self, rank: int) -> np.ndarray:
+        """The positions where an n-gram of rank + 1 words ends."""
+        return np.flatnonzero(self.place >= max(rank, 1))
+
+    def counted(self, rank: int, trained: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct hashes, sorted, and how often each is there in texts that are ``trained`` on."""
+        at = self.there(rank)
+        marked = np.sort((self.keys[rank][at] << np.uint64(1)) | trained[self.doc[at]].astype(np.uint64))
+        keys, taken = marked >> np.uint64(1), (marked & np.uint64(1)).astype(np.int64)
+        new = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1))) if len(keys) else np.zeros(0, np.int64)
+        return keys[new], np.add.reduceat(taken, new).astype(np.uint32) if len(new) else np.zeros(0, np.uint32)
+
+    def spread(self, rank: int, totals: np.ndarray) -> np.ndarray:
+        """By position, what ``totals`` has for its n-gram: they go by the sorted distinct hashes. 0 where there is none."""
+        at, out = self.there(rank), np.zeros(len(self.place))
+        order = np.argsort(self.keys[rank][at])
+        keys = self.keys[rank][at][order]
+        out[at[order]] = totals[np.cumsum(np.diff(keys, prepend=keys[:1]) > 0)] if len(keys) else 0
+        return out
+
+
+def _cut(keys: np.ndarray, buckets: int, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of the stretches of sorted hashes that fall into one of equal ranges."""
+    high = (keys >> np.uint64(max(bits - 32, 0))).astype(np.float64) * (buckets / 2.0 ** min(bits, 32))
+    bucket = np.minimum(high.astype(np.int64), buckets - 1)
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(keys))
+    return zip(bucket[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def _table(rows: list[tuple], schema: str) -> pa.Table:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, pa.binary() if kind == "binary" else pa.int32()) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _runs_of(grams: Grams, trained: np.ndarray, number: int, order: int, buckets: int, bits: tuple[int, int]) -> list[tuple]:
+    """For each bucket the sorted hashes, as differences, and their counts in training."""
+    out = []
     for rank in range(order):
-        counts, cuts = grams.counts(rank, trained), grams.cuts(rank, buckets)
-        for b in range(buckets):
-            a, z = cuts[b], cuts[b + 1]
-            if z > a or rank == 0:  # each bucket's share of the totals comes with its answer on unigrams
-                keys = np.diff(grams.keys[rank][a:z], prepend=np.uint64(0))
-                out.append((b, number, rank, _packed(keys), _packed(counts[a:z])))
-    names = [f.split()[0] for f in RUN.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds, strict=True)], names=names)
+        keys, counts = grams.counted(rank, trained)
+        for b, a, z in _cut(keys, buckets, bits[min(rank, 1)]):
+            out.append((b, number, rank, _packed(np.diff(keys[a:z], prepend=np.uint64(0))), _packed(counts[a:z])))
+    return out
+
+
+def _text(block: pa.Table) -> pa.Array:
+    return pa.chunked_array(block["text"].chunks, pa.string()).combine_chunks()
+
+
+def _runs(block: pa.Table, order: int, buckets: int, bits: tuple[int, int]) -> pa.Table:
+    return _table(_runs_of(Grams.of(_text(block), order, bits), ~block["held_out"].to_numpy(), block["block"][0].as_py(), order, buckets, bits), RUN)
+
+
+def _word_runs(batches: Iterator[pa.RecordBatch], buckets: int, bits: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Runs of the single words of texts, all of them trained on."""
+    for b in batches:
+        held = np.cumsum(pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False)) // BATCH
+        edges = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), b.num_rows]
+        for a, z in zip(edges, edges[1:], strict=False):
+            texts = b.column(0).slice(a, z - a)
+            yield from _table(_runs_of(Grams.of(texts, 1, bits), np.ones(len(texts), bool), 0, 1, buckets, bits), RUN).to_batches()
+
+
+def _summed(runs: pa.Table, rank: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of a rank: where they are, their sizes, the order of all their hashes, which distinct one each is in that
+    order, and the totals of the distinct ones."""
+    own = np.flatnonzero(runs["rank"].to_numpy() == rank).tolist()
+    some = runs.take(pa.array(own))
+    keys = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in some["keys"].to_pylist()]
+    order = np.argsort(everything := np.concatenate(keys))
+    which = np.cumsum(np.diff(ordered := everything[order], prepend=ordered[:1]) > 0)
+    weights = np.concatenate([_unpacked(c, np.uint32) for c in some["counts"].to_pylist()])
+    return own, [*map(len, keys)], order, which, np.bincount(which, weights=weights[order]).astype(np.uint64)
 
 
 def _answers(runs: pa.Table) -> pa.Table:
-    """For each run of a bucket the total counts of its n-grams, with the bucket's sums over unigrams."""
-    rows, out, sums = runs.to_pylist(), [], (0, 0, 0, 0)
-    for rank in sorted({r["rank"] for r in rows}):
-        own = [r for r in rows if r["rank"] == rank]
-        keys = [np.cumsum(_unpacked(r["keys"], np.uint64), dtype=np.uint64) for r in own]
-        distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
-        weights = np.concatenate([_unpacked(r["counts"], np.uint32) for r in own])
-        totals = np.bincount(where, weights=weights, minlength=len(distinct)).astype(np.uint64)
-        if rank == 0:
-            sums = tuple(int(x) for x in (totals.sum(), (totals > 0).sum(), (totals == 1).sum(), (totals == 2).sum()))
-        at = 0
-        for r, k in zip(own, keys, strict=True):
-            out.append((r["block"], r["bucket"], rank, _packed(totals[where[at : at + len(k)]]), *(sums if rank == 0 else (0, 0, 0, 0))))
-            at += len(k)
-    names = [f.split()[0] for f in ANSWER.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4]
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds, strict=True)], names=names)
+    """For each run of a bucket the total counts of its n-grams."""
+    block, bucket, out = runs["block"].to_numpy(), runs["bucket"][0].as_py(), []
+    for rank in sorted({*runs["rank"].to_pylist()}):
+        own, sizes, order, which, totals = _summed(runs, rank)
+        each = np.empty(len(order), np.uint64)
+        each[order] = totals[which]
+        out += [(int(block[i]), bucket, rank, _packed(x)) for i, x in zip(own, np.split(each, np.cumsum(sizes)[:-1]), strict=True)]
+    return _table(out, ANSWER)
+
+
+@dataclass(frozen=True)
+class Words:
+    """Of all texts trained on: how many there are, how many tokens, and how many kinds of token, in all, come once and
+    come twice. The end of a text is a token, too."""
+
+    texts: int
+    tokens: int
+    types: int
+    once: int
+    twice: int
+
+    @classmethod
+    def of(cls, texts: DataFrame, buckets: int, bits: tuple[int, int]) -> Words:
+        """Of the texts in a table of one column."""
+
+        def summed(runs: pa.Table) -> pa.Table:
+            totals = _summed(runs, 0)[4]
+            sums = [len(totals), int(totals.sum()), int((totals == 1).sum()), int((totals == 2).sum())]
+            return pa.table({n: pa.array([x], pa.int64()) for n, x in zip("abcd", sums, strict=True)})
+
+        runs = texts.mapInArrow(lambda b: _word_runs(b, buckets, bits), RUN)
+        sums = runs.groupBy("bucket").applyInArrow(summed, "a long, b long, c long, d long")
+        types, tokens, once, twice = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "abcd")).first()
+        return cls(texts.count(), tokens, types, once, twice)
 
 
 class Automaton:
     """States, arcs and failure arcs for the n-grams of some texts.
 
-    State 0 is the root, the empty context. ``root`` gives its arcs by word, ``arcs`` those of the others by
-    state * width + word; ``weight`` and ``goes`` are by arc, ``fail`` and ``fail_weight`` by state.
+    A state of k words is known by a position where its n-gram ends, and so is the arc that reads the word there: by
+    position and k, ``weight`` is the weight of the arc from the state of the k words before (nan: no arc, the n-gram is
+    not in training), and ``fail`` that of the failure arc of that state. An arc from k words leads to the state of k + 1,
+    as far as there are states. ``totals`` has by rank and position how often the n-gram that ends there was trained on.
     """
 
-    def __init__(self, grams: Grams, totals: list[np.ndarray], tokens: int, types: int, once: int, twice: int, mu: float):
-        order = len(totals)
-        self.width, self.unknown = grams.n_words + 2, 0.0
-        starts, ends = np.flatnonzero(grams.tokens == grams.n_words), np.flatnonzero(grams.tokens == grams.n_words + 1)
-        # A start is seen as often as an end, and its state comes after those of the words.
-        first = [1]
-        for k in range(1, order):
-            first.append(first[-1] + len(totals[k - 1]) + (k == 1))
-        self.start = first[0] + len(totals[0])
-        n_starts = float(totals[0][grams.at[0][ends[0]]]) if len(ends) else 0.0
-
-        def state(k: int, position: np.ndarray) -> np.ndarray:
-            """Of the n-gram of k words that ends at each position."""
-            if k == 0:
-                return np.zeros(len(position), np.int64)
-            at = grams.at[k - 1][position]
-            return np.where(at >= 0, first[k - 1] + at, self.start if k == 1 else -1)
-
-        n_states = first[-1] if order > 1 else self.start + 1
-        self.fail, seen = np.zeros(n_states, np.int64), np.zeros(n_states)
-        keys, weights, goes, below = [], [], [], None
-        discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once + twice else 0.5
-        for k in range(1, order + 1):
-            total = totals[k - 1].astype(np.float64)
-            end = np.zeros(len(total), np.int64)  # a position where each distinct n-gram ends
-            there = np.flatnonzero(grams.at[k - 1] >= 0)
-            end[grams.at[k - 1][there]] = there
-            if k == 1:
-                p = np.maximum(total - discount, 0) / max(tokens, 1)
-            else:
-                context = seen[state(k - 1, end - 1)]
-                p = (total + mu * below[grams.at[k - 2][end]]) / (context + mu)
-            if k < order:
-                seen[first[k - 1] : first[k - 1] + len(total)] = total
-                self.fail[first[k - 1] : first[k - 1] + len(total)] = state(k - 1, end)
+    def __init__(self, grams: Grams, totals: list[np.ndarray], words: Words, mu: float):
+        self.order, self.grams = len(totals), grams
+        discount = min(max(words.once / (words.once + 2 * words.twice), 0.1), 0.95) if words.once + words.twice else 0.5
+        self.unknown = math.log10(discount * words.types / words.tokens) if words.tokens else 0.0
+        self.weight, self.fail = [], []
+        with np.errstate(divide="ignore"):
+            p = np.maximum(totals[0] - discount, 0) / max(words.tokens, 1)
+            self.weight.append(np.where(totals[0] > 0, np.log10(p), np.nan))
+            self.fail.append(np.zeros(len(p)))
+            p = np.where(totals[0] > 0, p, 0.0)
+            for k in range(1, self.order):
+                context = np.append(0.0, totals[k - 1][:-1])  # of the k words that end one position before
                 if k == 1:
-                    seen[self.start] = n_starts
-            known = total > 0
-            source = state(k - 1, end - 1) if k > 1 else np.zeros(len(total), np.int64)
-            keys.append((source * self.width + grams.tokens[end])[known])
-            weights.append(np.log10(p[known]))
-            goes.append((state(min(k, order - 1), end))[known])
-            below = p
-        self.unknown = float(np.log10(discount * types / tokens)) if tokens else 0.0
-        self.fail_weight = np.log10(mu / (seen + mu))
-        self.fail_weight[ROOT] = 0.0
-        # The root has an arc for nearly every word: a list by word. Other states have few: a table by state and word.
-        root = np.full(self.width, -1, np.int64)
-        root[keys[0]] = np.arange(len(keys[0]))
-        self.root = root.tolist()
-        rest = np.concatenate([np.zeros(0, np.int64), *keys[1:]])
-        self.arcs = dict(zip(rest.tolist(), range(len(keys[0]), len(keys[0]) + len(rest)), strict=True))
-        self.weight, self.goes = np.concatenate(weights).tolist(), np.concatenate(goes).tolist()
-        self.fail, self.fail_weight = self.fail.tolist(), self.fail_weight.tolist()
-        if order == 1:
-            self.start = ROOT
-
-    def read(self, words: list[int]) -> float:
-        """The log10 probability of the words, the end among them, in one traversal."""
-        arcs, root, weight, goes, fail, fail_weight, width = self.arcs, self.root, self.weight, self.goes, self.fail, self.fail_weight, self.width
-        at, out = self.start, 0.0
-        for w in words:
-            while at != ROOT:
-                arc = arcs.get(at * width + w)
-                if arc is not None:
-                    break
-                out += fail_weight[at]
-                at = fail[at]
-            else:
-                arc = root[w]
-                if arc < 0:
-                    out += self.unknown
-                    continue
-            out += weight[arc]
-            at = goes[arc]
-        return out
-
-
-def _scored(block: pa.Table, answers: pa.Table, order: int, mu: float) -> pa.Table:
-    grams = Grams.of(block["text"].combine_chunks(), order)
-    rows = sorted(answers.to_pylist(), key=lambda r: (r["rank"], r["bucket"]))
-    totals = [np.concatenate([np.zeros(0, np.uint64), *(_unpacked(r["totals"], np.uint64) for r in rows if r["rank"] == k)]) for k in range(order)]
-    tokens, types, once, twice = (sum(r[c] for r in rows) for c in ("tokens", "types", "once", "twice"))
-    there = np.flatnonzero(grams.at[0] >= 0)
-    seen, doc, n = totals[0][grams.at[0][there]].astype(np.float64), grams.doc[there], len(block)
-    base = np.bincount(doc, weights=np.log10((seen + 1) / (tokens + types + 1)), minlength=n)
-    machine = Automaton(grams, totals, tokens, types, once, twice, mu)
-    edges = [*grams.first.tolist(), len(grams.tokens)]
-    score = [machine.read(grams.tokens[a + 1 : z].tolist()) for a, z in zip(edges[:-1], edges[1:], strict=True)]
+                    context[grams.place == 1] = words.texts
+                p = (totals[k] + mu * p) / (context + mu)
+                self.weight.append(np.where(totals[k] > 0, np.log10(p), np.nan))
+                self.fail.append(np.log10(mu / (context + mu)))
+
+    def read(self) -> np.ndarray:
+        """The log10 probability of each text, its end among them, in one traversal from left to right.
+
+        Long texts are read in stretches side by side. The state before a stretch is that of the words that precede it,
+        of which a state has order - 1 at most, so a traversal that starts that much earlier has come to it.
+        """
+        doc, place, most = self.grams.doc, self.grams.place, self.order - 1
+        begin = np.flatnonzero((place >= 1) & ((place - 1) % STRETCH == 0))
+        ends = np.append(self.grams.first[1:], len(place))
+        last = np.minimum(begin + STRETCH, ends[doc[begin]])
+        starts = begin
+        early = np.minimum(most, place[begin] - 1)
+        at, sums = begin - early, np.zeros(len(begin))
+        # The state: how many words of context it holds. At a text's first word that is the start.
+        held = np.where(place[at] == 1, min(1, most), 0)
+        order = np.argsort(at - last, kind="stable")  # the longest first, so that those that go on stay in front
+        begin, last, at, held = begin[order], last[order], at[order], held[order]
+        while len(at):
+            live = int(np.searchsorted(-(last - at), 0))  # all that have a word left
+            at, last, begin, held = at[:live], last[:live], begin[:live], held[:live]
+            if not live:
+                break
+            added, todo = np.zeros(live), np.arange(live)
+            for k in range(most, -1, -1):
+                here = todo[held[todo] == k]
+                w = self.weight[k][at[here]]
+                found = ~np.isnan(w)
+                added[here[found]] += w[found]
+                held[here[found]] = -min(k + 1, most) - 1  # done; the state it leads to
+                rest = here[~found]
+                if k:
+                    added[rest] += self.fail[k][at[rest]]
+                    held[rest] = k - 1
+                else:
+                    added[rest] += self.unknown
+                    held[rest] = -1
+            held = -held - 1
+            sums[order[:live]] += np.where(at >= begin, added, 0.0)
+            at = at + 1
+        return np.bincount(doc[starts], weights=sums, minlength=len(self.grams.first))
+
+
+def _scored(block: pa.Table, answers: pa.Table, order: int, mu: float, bits: tuple[int, int], words: Words) -> pa.Table:
+    grams = Grams.of(_text(block), order, bits)
+    block = block.select(["doc_id", "held_out"])
+    rows, placed = sorted(answers.to_pylist(), key=lambda r: (r["rank"], r["bucket"])), []
+    for k in range(order):
+        totals = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(r["totals"], np.uint64) for r in rows if r["rank"] == k)])
+        placed.append(grams.spread(k, totals))
+    grams.keys.clear()
+    there, n = grams.there(0), len(block)
+    seen, doc = placed[0][there], grams.doc[there]
+    base = np.bincount(doc, weights=np.log10((seen + 1) / (words.tokens + words.types + 1)), minlength=n)
+    machine = Automaton(grams, placed, words, mu)
+    del placed, rows
     added = {
         "n_tokens": pa.array(np.bincount(doc, minlength=n), pa.int64()),
         "n_known": pa.array(np.bincount(doc, weights=seen > 0, minlength=n).astype(np.int64), pa.int64()),
-        "train_tokens": pa.array([tokens] * n, pa.int64()),
+        "train_tokens": pa.array([words.tokens] * n, pa.int64()),
         "base_score": pa.array(base, pa.float64()),
-        "score": pa.array(score, pa.float64()),
+        "score": pa.array(machine.read(), pa.float64()),
     }
     return pa.table({"doc_id": block["doc_id"], "held_out": block["held_out"], **added})
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, mu: float = MU, blocks: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, mu: float = MU, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
     """One row per row of ``docs``: its id, ``held_out``, token counts, the add-one unigram ``base_score`` and ``score``.
 
     Learns from the rows whose crc32(id as text) mod 7 is not 2; a row without an id has the empty id. A text is
     its words, split at ASCII white space with A-Z lower-cased, and one end; a null or empty one is just the
-    end. Repeated rows count and are scored as often as they come. If nothing is trained on, every word is the
-    unknown one, of probability 1.
+    end. Very long texts are read whole. Repeated rows count and are scored as often as they come. If nothing is
+    trained on, every word is the unknown one, of probability 1. Other columns play no part.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = blocks or BLOCKS_PER_PARTITION * n
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(text)) + 1), F.lit(0))).first()[0]
+    blocks, buckets = max(1, math.ceil(size / block)), max(1, math.ceil(size / bucket))
+    bits = tuple(min(63, max(40, spare + math.ceil(math.log2(size + 1)))) for spare in (SPARE_WORDS, SPARE))
     number = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    held_out = F.crc32(number.cast("binary")) % FOLDS == HELD_OUT
+    words = Words.of(docs.filter(~held_out).select(text_of(text).alias("text")), buckets, bits)
     dealt = docs.select(
         F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).cast("int").alias("block"),
         F.col(doc_id).alias("doc_id"),
         text_of(text).alias("text"),
-        (F.crc32(number.cast("binary")) % FOLDS == HELD_OUT).alias("held_out"),
-    ).repartition(n, "block")
-    runs = dealt.groupBy("block").applyInArrow(lambda t: _runs(t, order, n), RUN)
+        held_out.alias("held_out"),
+    ).repartition(min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
+    runs = dealt.groupBy("block").applyInArrow(lambda t: _runs(t, order, buckets, bits), RUN)
     answers = runs.groupBy("bucket").applyInArrow(_answers, ANSWER)
     out = docs.select(F.col(doc_id).alias("doc_id")).schema
     schema = out.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _scored(t, a, order, mu), schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _scored(t, a, order, mu, bits, words), schema)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
