@@ -38,40 +38,57 @@ ODD = [None, "", " \n\t ", "one", "É é\u00a0x", "a\n\nb\n", "Ünïcode wörds
 # 1 ---------------------------------------------------------------------------------------------------------------
 
 
-def model_by_hand(rows, mu):
-    """Scores of a bigram model, straight from the recursive formula."""
+def model_by_hand(rows, mu, order=3):
+    """Scores of an n-gram model, straight from the recursive formula."""
     tokens = {k: [*WORD.findall(lower(t or "")), "</s>"] for k, (_, t) in enumerate(rows)}
     held = {k: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for k, (i, _) in enumerate(rows)}
-    uni, bi, ctx = Counter(), Counter(), Counter()
+    grams, starts = Counter(), 0
     for k, ts in tokens.items():
         if not held[k]:
-            uni.update(ts)
-            for a, b in zip(["<s>", *ts], ts):
-                bi[a, b] += 1
-                ctx[a] += 1
+            starts += 1
+            ts = ["<s>", *ts]
+            grams.update(tuple(ts[i - n + 1 : i + 1]) for n in range(1, order + 1) for i in range(max(n - 1, 1), len(ts)))
+    uni = {g[0]: c for g, c in grams.items() if len(g) == 1}
     n, v = sum(uni.values()), len(uni)
     once, twice = sum(c == 1 for c in uni.values()), sum(c == 2 for c in uni.values())
     d = min(max(once / (once + 2 * twice), 0.1), 0.95) if once + twice else 0.5
-    p1 = lambda w: (uni[w] - d) / n if uni[w] else (d * v / n if n else 1.0)
+
+    def p(history, w):
+        if not history:
+            return (uni[w] - d) / n if w in uni else (d * v / n if n else 1.0)
+        seen = starts if history == ("<s>",) else grams[history]
+        return (grams[(*history, w)] + mu * p(history[1:], w)) / (seen + mu)
+
     out = []
     for k, ts in tokens.items():
-        base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in ts)
-        score = sum(math.log10((bi[a, w] + mu * p1(w)) / (ctx[a] + mu)) for a, w in zip(["<s>", *ts], ts))
-        out.append((rows[k][0], held[k], len(ts), sum(uni[w] > 0 for w in ts), n, base, score))
+        base = sum(math.log10((uni.get(w, 0) + 1) / (n + v + 1)) for w in ts)
+        full = ["<s>", *ts]
+        score = sum(math.log10(p(tuple(full[max(0, i - order + 1) : i]), full[i])) for i in range(1, len(full)))
+        out.append((rows[k][0], held[k], len(ts), sum(w in uni for w in ts), n, base, score))
     return out
 
 
-def test_lm_scoring(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_lm_scoring(spark, monkeypatch, order):
+    monkeypatch.setattr(lmscore, "STRETCH", 7)
+    monkeypatch.setattr(lmscore, "BATCH", 600)
     rng = random.Random(1)
-    rows = [(i, prose(rng, rng.randrange(60))) for i in range(80)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(None, "w1 w2"), (5, "w1 W2 w3"), (5, "w1 W2 w3")]
+    rows = [(i, prose(rng, rng.randrange(60), 40)) for i in range(80)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(None, "w1 w2"), (5, "w1 W2 w3"), (5, "w1 W2 w3")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, held_out string, block int")
-    got = sorted(map(tuple, lmscore.scored(df).collect()), key=str)
-    want = sorted(model_by_hand(rows, lmscore.MU), key=str)
+    got = sorted(map(tuple, lmscore.scored(df, order=order, block=900, bucket=2000).collect()), key=str)
+    want = sorted(model_by_hand(rows, lmscore.MU, order), key=str)
     for g, w in zip(got, want, strict=True):
         assert g[:5] == w[:5]
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+def test_lm_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    want = {r[0]: r for r in model_by_hand(rows, lmscore.MU)}
+    for r in lmscore.op1_lm_scoring(spark, "/root/testdata/sf0.001").collect():
+        assert tuple(r)[:5] == want[r.doc_id][:5] and tuple(r)[5:] == pytest.approx(want[r.doc_id][5:], rel=1e-9)
+
+
 @pytest.mark.parametrize("order", [1, 3])
 def test_lm_orders_sum_to_one(spark, order):
     """Over all continuations of a context, the unknown word among them, probabilities sum to one."""
@@ -79,14 +96,27 @@ def test_lm_orders_sum_to_one(spark, order):
 
     rng = random.Random(2)
     texts = [prose(rng, 30, 6) for _ in range(20)] + [f"w0 w1 {w}" for w in ("w0", "w1", "w2", "w3", "w4", "w5", "zz")] + ["w0 w1"]
-    grams = lmscore.Grams.of(pa.array(texts), order)
+    grams = lmscore.Grams.of(pa.array(texts), order, (60, 60))
     trained = np.arange(len(texts)) < 20
-    totals = [grams.counts(k, trained).astype(np.uint64) for k in range(order)]
+    totals = [grams.counted(k, trained)[1].astype(float) for k in range(order)]
     u = totals[0]
-    m = lmscore.Automaton(grams, totals, int(u.sum()), int((u > 0).sum()), int((u == 1).sum()), int((u == 2).sum()), 20.0)
-    words = lambda i: grams.tokens[grams.first[i] + 1 : (grams.first[i + 1] if i + 1 < len(texts) else None)].tolist()
-    head = m.read(words(len(texts) - 1)[:2])
-    after = [m.read(words(20 + i)[:3]) - head for i in range(7)] + [m.read(words(len(texts) - 1)) - head]
+    words = lmscore.Words(20, int(u.sum()), int((u > 0).sum()), int((u == 1).sum()), int((u == 2).sum()))
+    scores = lmscore.Automaton(grams, [grams.spread(k, t) for k, t in enumerate(totals)], words, 20.0)
+    whole = scores.read()
+    last = lambda i: scores_of(scores, grams, i)
+
+    def scores_of(machine, grams, i):  # without the end
+        cut = lmscore.Grams.of(pa.array([texts[i]]), order, (60, 60))
+        at = grams.first[i] + len(cut.place) - 1
+        k = min(order - 1, 1)
+        held, total = min(order - 1, len(cut.place) - 2), 0.0
+        while np.isnan(machine.weight[held][at]):
+            total += machine.fail[held][at] if held else machine.unknown
+            held -= 1
+        return whole[i] - total - (machine.weight[held][at] if held >= 0 else 0.0) + 0.0 * k
+
+    head = last(len(texts) - 1)
+    after = [last(20 + i) - head for i in range(7)] + [whole[-1] - head]
     assert sum(10**x for x in after) == pytest.approx(1.0)
 
 
@@ -887,6 +917,34 @@ def test_pipeline_stages_on_planted_rows(spark, tmp_path):
     assert Counter(r.doc_id for r in out) == counted and all(r.lossless and r.n_pieces == len(r.pieces) > 0 for r in out)
 
 
+def test_near_duplicate_query(spark):
+    rows = sorted(tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect())
+    find = classes_by_hand(rows)
+    want = {}
+    for k, (i, _) in enumerate(rows):
+        want.setdefault(find(k), i)  # the least id, as rows are sorted
+    got = {r.doc_id: r.component_id for r in neardup.op7_minhash_neardup(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: want[find(k)] for k, (i, _) in enumerate(rows)} and len(set(got.values())) < len(rows)
+
+
+def test_pieces_query(spark):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()}
+    keys = dict(map(tuple, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.xxhash64(F.lit(pieces.SEED), "doc_id")).collect()))
+    own, out = pieces.Model(PATH, pieces.DROPOUT, pieces.SEED), pieces.op9_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert {r.doc_id for r in out} == set(texts)
+    for r in out:
+        text = texts[r.doc_id]
+        assert r.lossless and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and r.n_bytes == len(text.encode())
+    for r in sorted(out)[:12]:
+        assert r.n_pieces == len(pieces_by_hand(own, texts[r.doc_id], keys[r.doc_id] % 2**64, pieces.DROPOUT))
+
+
+def test_cosine_query(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding").collect()]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedup.op10_embedding_neardup(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: (n, c, c == i) for i, (n, c) in links_by_hand(rows).items()}
+
+
 def test_digests_of_queries(spark):
     """The registered queries over a driver table, against plain Python."""
     sf = "/root/testdata/sf0.001"
