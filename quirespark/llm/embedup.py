@@ -432,14 +432,15 @@ def cosine_classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     rows = rows.withColumn("vector", F.when(usable, F.transform("vector", lambda x: x + F.lit(0.0))))
     keyed = rows.withColumns({"key_a": F.xxhash64("vector"), "key_b": F.xxhash64(F.lit(1), "vector")})
     usable_rows = keyed.filter("vector IS NOT NULL")
-    points = usable_rows.groupBy("key_a", "key_b").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).filter("node IS NOT NULL")
+    # Aggregates are settled before they are joined: a join splits a hot key only where nothing stands between it and the shuffle.
+    points = settled(usable_rows.groupBy("key_a", "key_b").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")).filter("node IS NOT NULL"))
     members = settled(keyed.drop("vector").join(points, ["key_a", "key_b"], "left").withColumn("node", F.when(F.col("key_a").isNotNull(), F.col("node"))))
     chosen, seen = measured(usable_rows.join(points, ["key_a", "key_b"]).filter("vec_id = node").dropDuplicates(["key_a", "key_b"]).select("node", "copies", "vector"), values=F.sum(F.size("vector")))
     sample = [list(r["vector"]) for r in chosen.select("vector", F.xxhash64("vector").alias("h")).orderBy("h").limit(SAMPLE).collect()]
     cells = Cells(sample, min(PIVOTS, math.ceil((seen["values"] or 0) / block)), least)
     dealt = chosen.mapInArrow(lambda batches: map(cells.deal, batches), POINT)
     found = settled(_tasks(dealt, block, least).groupBy("length", "pair").applyInArrow(lambda t: _linked(t, least), "node long, other long, n long"))
-    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    counts = settled(found.groupBy("node").agg(F.sum("n").alias("n")))
     classes = components(found.filter("other IS NOT NULL"), "node", "other")
     out = members.join(counts, "node", "left").join(classes, "node", "left")
     links = F.when(F.col("node").isNull(), F.lit(0)).otherwise(F.coalesce("n", F.lit(0)) + F.col("copies") - 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import measured, released
+from quirespark.llm.common import measured, released, settled
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -23,7 +23,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last, (now, seen) = now, measured(_round(now), fell=F.sum(F.col("fell").cast("int")))
         released(last)
         now, fell = now.select("low", "high"), seen["fell"]
-    return now.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("component"))
+    named = settled(now.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("component")))
+    released(now)
+    return named
 
 
 def _round(edges: DataFrame) -> DataFrame:

@@ -192,21 +192,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     texts = _texts(docs, doc_id, text)
     signed = settled(signatures(texts, words))
-    # One row of each text, a row of its least id, carries the signature on.
-    first = signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.min_by("row", "doc_id").alias("first"))
+    # One row of each text, a row of its least id, carries the signature on. Aggregates are settled before they are joined:
+    # a join splits a hot key only where nothing stands between it and the shuffle.
+    first = settled(signed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("node"), F.min_by("row", "doc_id").alias("first")))
     carried = F.when((F.col("row") == F.col("first")) & (F.col("n_words") > 0), F.col("signature"))
     rows = settled(signed.join(first, ["key_a", "key_b"]).select("doc_id", "raw", "node", "n_words", carried.alias("signature")))
     released(signed)
+    released(first)
     nodes = rows.filter("signature IS NOT NULL").select("node", "raw", "n_words", "signature")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, F.lit(ROWS))))
     banded = nodes.select("node", "raw", F.posexplode(band).alias("k", "band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_z"), F.count("*").alias("n")).filter("a < _z").select("band", "a", "n")
+    shared = settled(banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_z"), F.count("*").alias("n")).filter("a < _z").select("band", "a", "n"))
     in_buckets = settled(banded.join(shared, "band").filter("a < node").select("band", "n", "k", "a", F.col("node").alias("b"), "raw"))
     links = _verified(in_buckets.select("a", "b"), texts, words, least)
     # An id of several texts ties them together.
     several = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a < _z")
     links = links.unionByName(rows.join(several, F.col("doc_id") == F.col("_id")).select("a", F.col("node").alias("b")))
-    classes = settled(components(links))
+    classes = components(links)
     joined = components(_between_classes(in_buckets, nodes, classes, texts, words, least))
     named = rows.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("node"))
     named = named.join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
@@ -216,15 +218,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _between_classes(in_buckets: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Links (a, b) between classes, of nodes that share a bucket of which neither is the least node."""
     named = in_buckets.filter("n > 2").join(classes.withColumnRenamed("node", "b"), "b", "left").select("band", "k", F.col("b").alias("node"), "raw", F.coalesce("component", "b").alias("class"))
-    split = named.groupBy("band").agg(F.min("class").alias("_l"), F.max("class").alias("_h")).filter("_l < _h").select("band")
-    open_, seen = measured(named.join(split, "band", "left_semi"))
+    split, seen = measured(named.groupBy("band").agg(F.min("class").alias("_l"), F.max("class").alias("_h")).filter("_l < _h").select("band"))
+    open_ = named.join(split, "band", "left_semi")
     if not seen["rows"]:
         return open_.select(F.col("node").alias("a"), F.col("class").alias("b")).limit(0)
+    open_, seen = measured(open_)
     wanted = _thinned(texts, open_.select(F.col("node").alias("doc_id")), seen["rows"]).withColumnRenamed("doc_id", "node").dropDuplicates(["node", "raw"])
     own = nodes.join(wanted, ["node", "raw"])
     held = open_.join(own, ["node", "raw"])
     n = F.greatest(F.count("*") / F.lit(BLOCK_NODES), F.sum("n_words") / F.lit(BLOCK_WORDS))
-    sized = open_.join(nodes.select("node", "raw", "n_words"), ["node", "raw"]).groupBy("band").agg(F.ceil(n).cast("int").alias("blocks"))
+    sized = settled(open_.join(nodes.select("node", "raw", "n_words"), ["node", "raw"]).groupBy("band").agg(F.ceil(n).cast("int").alias("blocks")))
     dealt = held.join(sized, "band").withColumn("block", F.pmod(F.xxhash64("node", "raw"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     tasks = dealt.withColumn("pair", F.explode(pairs)).select("band", "k", "pair.i", "pair.j", "class", "signature", "block", "text")
