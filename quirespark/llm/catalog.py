@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from quirespark.llm import chat, embedup, linededup, lmscore, mixing, neardup, pieces, quality, tokencount, urlfilter
+from quirespark.llm import chat, divergence, embedup, leaks, linededup, lmscore, mixing, neardup, pieces, quality, tokencount, urlfilter
 
 QUERIES = {
     "op1_lm_scoring": lmscore.op1_lm_scoring,
@@ -13,10 +13,14 @@ QUERIES = {
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_embedding_neardup": embedup.op10_embedding_neardup,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_decontamination": leaks.op12_decontamination,
 }
 SQL = {
     "op3_mixing": mixing.SQL,
     "op4_line_dedup": linededup.SQL,
     "op5_quality_rules": quality.SQL,
     "op8_chat_formatting": chat.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_decontamination": leaks.SQL,
 }
