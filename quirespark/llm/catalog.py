@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from quirespark.llm import chat, divergence, embedup, leaks, linededup, lmscore, mixing, neardup, pieces, quality, tokencount, urlfilter
+from quirespark.llm import chat, divergence, embedup, leaks, linededup, lmscore, mixing, neardup, pieces, quality, quantiles, tokencount, urlfilter
 
 QUERIES = {
     "op1_lm_scoring": lmscore.op1_lm_scoring,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_embedding_neardup": embedup.op10_embedding_neardup,
     "op11_source_divergence": divergence.op11_source_divergence,
     "op12_decontamination": leaks.op12_decontamination,
+    "op13_quantile_summaries": quantiles.op13_quantile_summaries,
 }
 SQL = {
     "op3_mixing": mixing.SQL,
