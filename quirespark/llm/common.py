@@ -84,6 +84,12 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def place_of(frame: DataFrame, column: str) -> int:
+    """Where ``column``, in any case that Spark takes for it, stands among the columns."""
+    name = frame.select(F.col(column)).columns[0]
+    return frame.columns.index(name) if name in frame.columns else [c.lower() for c in frame.columns].index(name.lower())
+
+
 def small_enough(frame: DataFrame, most: int) -> bool:
     """Whether ``frame`` has at most ``most`` rows; what justifies a broadcast."""
     return frame.limit(most + 1).count() <= most

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import SPACE_CHARS, UPPER, ascii_lower, fresh, let, measured, table, text_of
+from quirespark.llm.common import SPACE_CHARS, UPPER, ascii_lower, fresh, let, measured, place_of, table, text_of
 
 
 #: So many hashes (two longs each, 8 MB) may be broadcast; beyond, each is dealt to so many places.
@@ -77,11 +77,11 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     own = [c for c in docs.columns if c.lower() not in (n.lower(), dropped.lower())]
     i, t, g = (fresh([*docs.columns, n, dropped], f"{prefix}{x}") for x in ("id", "text", "gone"))
     gone = frequent_lines(docs, doc_id, text, min_docs, min_chars).groupBy(F.col("_id").alias(i), F.col("_text").alias(t)).agg(F.sort_array(F.collect_set("_pos")).alias(g))
-    body, at = text_of(text), F.col(g)
+    body, at, name = text_of(text), F.col(g), docs.columns[place_of(docs, text)]
     joined = docs.select(*own).join(gone, F.col(doc_id).eqNullSafe(F.col(i)) & (F.xxhash64(body) == F.col(t)), "left")
     kept = F.when(at.isNull(), body).otherwise(_without(body, at))
     return joined.select(
-        *(kept.alias(text) if c == text else F.col(f"`{c}`") for c in own),
+        *(kept.alias(c) if c == name else F.col(f"`{c}`") for c in own),
         (F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1).cast("long").alias(n),
         F.coalesce(F.size(at), F.lit(0)).cast("long").alias(dropped),
     )

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import fresh, table, text_of
+from quirespark.llm.common import fresh, place_of, table, text_of
 from quirespark.llm.tokencount import path_of
 
 MODEL = "piece_bpe_32k.model"
@@ -386,21 +386,23 @@ def encoded(
     """``docs`` with the ids of each whole text in ``into``, an array of int; a null or empty text has none.
 
     ``path`` is that of a file every executor has. Rows of equal id, text and ``copy`` get equal ids, in every run;
-    ``copy`` tells rows of one id apart. A column already called ``into`` is replaced, all others stay. A very long
+    ``copy`` tells rows of one id apart, and rows without an id count as rows of one. A column already called ``into``,
+    in any case, is replaced, all others stay. A very long
     text is encoded in one piece, in arrays of a few times its size.
     """
-    rows = docs.drop(into) if into in docs.columns else docs
+    rows = docs.drop(into)
+    at = place_of(rows, text)
     schema = rows.select("*", F.array().cast("array<int>").alias(into)).schema
     keyed = rows.withColumn(fresh(rows.columns, "_key"), F.xxhash64(F.lit(seed), F.col(doc_id), *([] if copy is None else [copy])))
 
-    return keyed.mapInArrow(lambda batches: _encoded(batches, path, text, into, dropout, seed), schema)
+    return keyed.mapInArrow(lambda batches: _encoded(batches, path, at, into, dropout, seed), schema)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], path: str, text: str, into: str, dropout: float, seed: int) -> Iterator[pa.RecordBatch]:
-    """Batches whose last column is the rows' keys, with the ids in its place."""
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, text: int, into: str, dropout: float, seed: int) -> Iterator[pa.RecordBatch]:
+    """Batches whose last column is the rows' keys, with the ids of column ``text`` in its place."""
     own = model(path, dropout, seed)
     for b in batches:
-        texts = pc.fill_null(b.column(b.schema.get_field_index(text)).cast(pa.string()), "")
+        texts = pc.fill_null(b.column(text).cast(pa.string()), "")
         keys = b.column(b.num_columns - 1).to_numpy().view(np.uint64)
         for part in _pieces(pc.binary_length(texts).to_numpy(zero_copy_only=False)):
             at, n = int(part[0]), len(part)
@@ -412,17 +414,18 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str, text: str, into: str,
 def decoded(docs: DataFrame, path: str, pieces: str = "pieces", into: str = "decoded") -> DataFrame:
     """``docs`` with the text that the ids in ``pieces`` spell; null ids, and ids of no piece, spell nothing.
 
-    A column already called ``into`` is replaced, all others stay.
+    A column already called ``into``, in any case, is replaced, all others stay.
     """
-    rows = docs.drop(into) if into in docs.columns else docs
+    rows = docs.drop(into)
+    at = place_of(rows, pieces)
     schema = rows.select("*", F.lit("").alias(into)).schema
-    return rows.mapInArrow(lambda batches: _decoded(batches, path, pieces, into), schema)
+    return rows.mapInArrow(lambda batches: _decoded(batches, path, at, into), schema)
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str, pieces: str, into: str) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, pieces: int, into: str) -> Iterator[pa.RecordBatch]:
     own = model(path, 0.0, 0)
     for b in batches:
-        lists = b.column(b.schema.get_field_index(pieces))
+        lists = b.column(pieces)
         if lists.null_count:
             lists = pc.if_else(pc.is_valid(lists), lists, pa.scalar([], lists.type))
         ids = pc.fill_null(lists.values, -1).to_numpy(zero_copy_only=False)
@@ -436,9 +439,10 @@ def _decoded(batches: Iterator[pa.RecordBatch], path: str, pieces: str, into: st
 def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", copy: Column | None = None) -> DataFrame:
     """``docs`` with ``pieces`` and the text they ``decoded`` to, encoded and decoded in one pass."""
     rows = docs.drop("pieces", "decoded")
+    at, last = place_of(rows, text), len(rows.columns)
     keyed = rows.withColumn(fresh(rows.columns, "_key"), F.xxhash64(F.lit(SEED), F.col(doc_id), *([] if copy is None else [copy])))
     schema = rows.select("*", F.array().cast("array<int>").alias("pieces"), F.lit("").alias("decoded")).schema
-    return keyed.mapInArrow(lambda batches: _decoded(_encoded(batches, path, text, "pieces", DROPOUT, SEED), path, "pieces", "decoded"), schema)
+    return keyed.mapInArrow(lambda batches: _decoded(_encoded(batches, path, at, "pieces", DROPOUT, SEED), path, last, "decoded"), schema)
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import table, text_of
+from quirespark.llm.common import place_of, table, text_of
 
 CHUNK = 16_384
 OVERLAP = 512
@@ -214,16 +214,17 @@ def counts(texts: pa.Array, own: Encoder, chunk: int = CHUNK, overlap: int = OVE
 def with_token_counts(docs: DataFrame, tokenizer: str, text: str = "text", into: str = "n_tokens", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``docs`` with the number of tokens of each whole text; a null text counts as an empty one.
 
-    ``tokenizer`` is the path of a file that every executor has. A very long text is read in chunks. The column ``into``
-    is replaced if it is there, all others stay.
+    ``tokenizer`` is the path of a file that every executor has. A very long text is read in chunks. The column ``into``,
+    in any case, is replaced if it is there and is not the text itself; all others stay.
     """
-    rows = docs.drop(into) if into in docs.columns else docs
+    rows = docs.drop(into)
+    at = place_of(rows, text)
     schema = rows.select("*", F.lit(0).cast("long").alias(into)).schema
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for b in batches:
-            texts = pc.fill_null(b.column(b.schema.get_field_index(text)), "")
+            texts = pc.fill_null(b.column(at), "")
             n = pa.array(counts(texts.cast(pa.string()), own, chunk, overlap), pa.int64())
             yield pa.RecordBatch.from_arrays([*b.columns, n], names=[*b.schema.names, into])
 

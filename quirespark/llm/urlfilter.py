@@ -263,7 +263,7 @@ def judged(urls: DataFrame, url: str = "url", model: Model | None = None) -> Dat
     """``urls`` with host, path, rule, verdict and ``block_margin``, the trees' log odds.
 
     A URL that is null or has no ``://`` has an empty host and path, fits no rule and is judged by its features.
-    Repeated URLs are judged alike, and very long ones whole. The new columns replace columns of their names.
+    Repeated URLs are judged alike, and very long ones whole. The new columns replace columns of their names, in any case.
     """
     rows = urls.withColumn("_url", F.col(url))
     full = with_features(rows.select("_url", F.struct(*urls.columns).alias("_own")), "_url")
@@ -273,7 +273,7 @@ def judged(urls: DataFrame, url: str = "url", model: Model | None = None) -> Dat
     scored = _with_rates(full, model.suffixes, model.rate).withColumn("block_margin", model.margin())
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_margin") > 0, F.lit("block")).otherwise(F.lit("allow")))
     new = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("_rule.rule"), "verdict": verdict, "block_margin": F.col("block_margin")}
-    return scored.select(*(F.col(f"_own.`{c}`").alias(c) for c in urls.columns if c not in new), *(c.alias(n) for n, c in new.items()))
+    return scored.select(*(F.col(f"_own.`{c}`").alias(c) for c in urls.columns if c.lower() not in new), *(c.alias(n) for n, c in new.items()))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quirespark.llm import divergence, leaks, quantiles, terms
+from quirespark.llm import divergence, leaks, linededup, pieces, quantiles, terms, tokencount, urlfilter
 
 ODD = [None, "", " \n\t ", "one", "É é x", "a\n\nb\n", "Ünïcode wörds \U0001f600 fine", "x" * 5000, "tab\tand\x0bfeed\x0c here\r\n", "MiXed Case\x00nul\x7fdel", "7 up 7up"]
 SF = "/root/testdata/sf0.001"
@@ -305,3 +305,33 @@ def test_contamination_digest(spark):
         w = words(text)
         found = {n for k in {len(p) for p in parts} for s in range(len(w) - k + 1) for n in parts.get(tuple(w[s : s + k]), ())}
         assert got[i].items_sha256 == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() and got[i].contaminated == bool(found)
+
+
+# names in another case -------------------------------------------------------------------------------------------
+
+
+def test_columns_in_another_case(spark):
+    rows = [(1, "one two three four", "en", 7), (2, None, "xyz", 8)]
+    docs = spark.createDataFrame(rows, "Doc_ID long, TEXT string, lang string, N_Tokens int")
+    path = tokencount.path_of("word_bpe_49k.json")
+    own = tokencount.with_token_counts(docs, path)
+    assert own.columns == ["Doc_ID", "TEXT", "lang", "n_tokens"]
+    assert {r.n_tokens for r in own.filter("lang = 'en'").select("n_tokens").collect()} == {tokencount.encoder(path).counts(["one two three four"])[0]}
+
+    model = tokencount.path_of(pieces.MODEL)
+    named = docs.withColumnsRenamed({"N_Tokens": "Pieces"})
+    ids = pieces.encoded(named, model)
+    assert ids.columns == ["Doc_ID", "TEXT", "lang", "pieces"]
+    back = pieces.decoded(ids.select(F.col("pieces").alias("PIECES"), "TEXT", F.lit(1).alias("Decoded")), model)
+    assert [(r.decoded, r.TEXT) for r in back.select("decoded", "TEXT").collect()] == [("one two three four",) * 2, ("", None)]
+    trip = pieces.round_trip(named, model)
+    assert [(r.decoded, r.pieces == p.pieces) for r, p in zip(trip.collect(), ids.collect(), strict=True)] == [("one two three four", True), ("", True)]
+
+    lines = spark.createDataFrame([(k, "common\nown") for k in range(12)], "Doc_Id long, Text string")
+    assert {r.Text for r in linededup.drop_lines(lines).collect()} == {""}
+    assert linededup.drop_lines(lines).columns == ["Doc_Id", "Text", "_line_n", "_line_dropped"]
+
+    urls = spark.createDataFrame([("http://a.net/x", "own", 1)], "URL string, HOST string, Rule int")
+    out = urlfilter.judged(urls)
+    assert out.columns == ["URL", "host", "path", "rule", "verdict", "block_margin"]
+    assert out.select("host", "rule", "verdict").first() == ("a.net", "net/", "block")
