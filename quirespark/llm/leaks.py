@@ -22,6 +22,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,15 +119,19 @@ def _met(batches: Iterator[pa.RecordBatch], sieve: Sieve, sizes: list[int], wind
             names = ["_row", "_id", "n_words", "at", "gram", "before", "after"]
             yield pa.RecordBatch.from_arrays(heads, names=names)
             row, at = row + size, at + size
+            if not len(places):
+                continue
+            spelt = pc.binary_join_element_wise(flat, *(pa.scalar(x, pa.large_string()) for x in (" ", "")))  # every word with a space after it, one after another
+            bounds, data = (np.frombuffer(x, kind) for x, kind in zip(spelt.buffers()[1:], (np.int64, np.uint8), strict=True))
+            data = data.tobytes()
             owner = np.searchsorted(offsets, places, "right") - 1
             for low in range(0, len(places), 20_000):
-                part = slice(low, low + 20_000)
-                own, where = owner[part], places[part]
-                first, last = np.maximum(offsets[own], where - window), np.minimum(offsets[own + 1], where + window)
-                n, span = len(own), flat.slice(int(first.min()), int(last.max() - first.min())).to_pylist()
-                cut = lambda x, y, off=first.min(), span=span: [_joined(span[i - off : j - off]) for i, j in zip(x, y, strict=True)]
-                rows = [pa.array(ids[own]), none(n, b.column(0).type), none(n, pa.int64()), pa.array((where - offsets[own]).astype(np.int32)), pa.array(grams[part].view(np.int64))]
-                yield pa.RecordBatch.from_arrays([*rows, pa.array(cut(first, where), pa.string()), pa.array(cut(where, last), pa.string())], names=names)
+                own, where = owner[low : low + 20_000], places[low : low + 20_000]
+                n, middle = len(own), bounds[where].tolist()
+                first, last = bounds[np.maximum(offsets[own], where - window)].tolist(), bounds[np.minimum(offsets[own + 1], where + window)].tolist()
+                rows = [pa.array(ids[own]), none(n, b.column(0).type), none(n, pa.int64()), pa.array((where - offsets[own]).astype(np.int32)), pa.array(grams[low : low + 20_000].view(np.int64))]
+                before, after = ([data[i:j] for i, j in zip(x, y, strict=True)] for x, y in ((first, middle), (middle, last)))
+                yield pa.RecordBatch.from_arrays([*rows, pa.array(before, pa.binary()).cast(pa.string()), pa.array(after, pa.binary()).cast(pa.string())], names=names)
 
 
 def _placed(at: Column, start: Column, n: Column) -> Column:
