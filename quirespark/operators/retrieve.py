@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import DataType
 
 from quirespark.functions.text import let, tokens
+from quirespark.sources import store
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 LEXICAL, DENSE = 0.4, 0.6
@@ -59,94 +58,166 @@ def _weights(docs: DataFrame, terms: DataFrame, text: str, epsilon: float) -> Da
     return weights.select("term", "avg_length", F.when(idf < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(idf).alias("idf"))
 
 
-#: A block of queries and their terms makes a matrix of so many cells at most.
+#: A block of queries and an Arrow batch make so many scores at a time.
 MATRIX_CELLS = 1 << 22
+#: Query terms of so many bytes in all may be broadcast, with 24 bytes for each besides.
+BROADCAST_BYTES = 32 << 20
 SALTS = 16
 
 
+def weighted(docs: DataFrame, queries: DataFrame, query_id: str = "query_id", text: str = "text", query_text: str = "text", epsilon: float = EPSILON) -> DataFrame:
+    """(query_id, term, w, avg_length) of the terms of each query that the corpus has: how often it is asked for times
+    its weight. Terms in more than half of the documents weigh ``epsilon`` times the mean instead of less than nothing."""
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    weights = _weights(docs, asked.select("term").distinct(), text, epsilon)
+    return store.written(asked.join(weights, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avg_length"))
+
+
 def bm25(
     docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", query_id: str = "query_id", text: str = "text", query_text: str = "text",
     k1: float = K1, b: float = B, epsilon: float = EPSILON, top: int | None = None,
 ) -> DataFrame:
     """(query, doc, bm25) of all pairs that share a term, or with ``top`` of at least the ``top`` best of each query; a term
-    repeated in a query counts again.
+    repeated in a query counts again. ``index`` answers from a stored index that need not be read whole."""
+    return scored(docs, weighted(docs, queries, query_id, text, query_text, epsilon), doc_id, text, k1, b, top).select("query_id", "doc_id", "bm25")
+
+
+def scored(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B, top: int | None = None, edges: bool = False) -> DataFrame:
+    """(query, doc, bm25) for queries that are ``weighted``; with ``edges`` also (query, null, null, low, high, n) of the
+    scores of all n documents that share a term with the query, in parts to be merged.
 
-    Terms in more than half of the documents get ``epsilon`` times the mean weight instead of a negative one. The terms
-    of the queries, counted first, go to every task, which scores documents whole, an Arrow batch against a block of
-    queries at a time; nothing is shuffled but term counts. Beyond ``BROADCAST_TERMS`` postings and queries meet in a
-    join on the term in which both sides are salted.
+    Query terms, counted first, go to every task, which scores documents whole, an Arrow batch against a block of
+    queries at a time; nothing is shuffled. Beyond ``BROADCAST_TERMS`` or ``BROADCAST_BYTES`` postings and queries meet in
+    a join on the term in which both sides are salted.
     """
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    rows = asked.limit(BROADCAST_TERMS + 1).collect()
-    if len(rows) > BROADCAST_TERMS:
-        return _bm25_joined(docs, asked, doc_id, text, k1, b, epsilon)
-    names = sorted({r["term"] for r in rows})
-    spark, schema = docs.sparkSession, f"query_id {asked.schema['query_id'].dataType.simpleString()}, doc_id {docs.select(F.col(doc_id)).schema[0].dataType.simpleString()}, bm25 double"
-    found = _weights(docs, F.broadcast(spark.createDataFrame([(n,) for n in names], "term string")), text, epsilon).collect() if names else []
-    if not found:
-        return spark.createDataFrame([], schema)
-    idf, average = {r["term"]: r["idf"] for r in found}, found[0]["avg_length"]
-    blocks = _query_blocks([r for r in rows if r["term"] in idf], idf, asked.schema["query_id"].dataType)
+    kinds = f"query_id {weights.schema['query_id'].dataType.simpleString()}, doc_id {docs.select(F.col(doc_id)).schema[0].dataType.simpleString()}, bm25 double"
+    kinds += ", low double, high double, n long" if edges else ""
+    n, size = weights.agg(F.count("*"), F.sum(F.octet_length("term") + 24)).first()
+    if n > BROADCAST_TERMS or (size or 0) > BROADCAST_BYTES:
+        return _scored_by_join(docs, weights, doc_id, text, k1, b, edges)
+    rows = weights.orderBy("query_id", "term").collect()
+    if not rows:
+        return docs.sparkSession.createDataFrame([], kinds)
+    average, names, queries = rows[0]["avg_length"], sorted({r["term"] for r in rows}), {}
+    place = {t: i for i, t in enumerate(names)}
+    for r in rows:
+        queries.setdefault(r["query_id"], []).append((place[r["term"]], r["w"]))
+    ids, asked, terms = pa.array(list(queries), to_arrow_type(weights.schema["query_id"].dataType)), list(queries.values()), pa.array(names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, n = batch.column(1), batch.num_rows
+            if not n:
+                continue
             length, doc = pc.list_value_length(words).to_numpy(zero_copy_only=False), pc.list_parent_indices(words).to_numpy()
-            flat = words.flatten()
-            for ids, terms, matrix, asked_for in blocks:
-                at = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy()
-                there = np.flatnonzero(at >= 0)
-                pair, tf = np.unique(doc[there].astype(np.int64) * len(terms) + at[there], return_counts=True)
-                d, t = np.divmod(pair, len(terms))
-                part, present = np.zeros((len(terms), n)), np.zeros((len(terms), n), np.float32)
-                present[t, d] = 1  # a weight may be zero
-                part[t, d] = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / average))
-                scores, hit = matrix @ part, asked_for @ present > 0
-                if top is not None and n > top:
-                    rounded = np.where(hit, np.round(scores, DIGITS), -np.inf)
-                    hit &= rounded >= np.partition(rounded, n - top, axis=1)[:, n - top][:, None]  # with all that tie
-                q, d = np.nonzero(hit)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(d)), pa.array(scores[q, d])], names=["query_id", "doc_id", "bm25"])
-
-    scored = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).mapInArrow(score, schema)
-    return scored.withColumn("bm25", F.round("bm25", DIGITS))
-
-
-def _query_blocks(rows: list, idf: dict[str, float], kind: DataType) -> list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """Queries in blocks: ids, their terms, a matrix of query counts times weights, and one of what each asks for."""
-    by_query: dict = {}
-    for r in rows:
-        by_query.setdefault(r["query_id"], []).append(r)
-    blocks, held, seen = [], [], set()
-    for q, own in by_query.items():
-        terms = seen | {r["term"] for r in own}
-        if held and (len(held) + 1) * len(terms) > MATRIX_CELLS:
-            blocks.append(held)
-            held, terms = [], {r["term"] for r in own}
-        held, seen = [*held, q], terms
-    out = []
-    for block in [*blocks, held]:
-        terms = sorted({r["term"] for q in block for r in by_query[q]})
-        place, matrix = {t: i for i, t in enumerate(terms)}, np.zeros((len(block), len(terms)))
-        asked_for = np.zeros(matrix.shape, np.float32)
-        for i, q in enumerate(block):
-            for r in by_query[q]:
-                matrix[i, place[r["term"]]] = r["qtf"] * idf[r["term"]]
-                asked_for[i, place[r["term"]]] = 1
-        out.append((pa.array(block, to_arrow_type(kind)), pa.array(terms), matrix, asked_for))
-    return out
+            at = pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy()
+            there = np.flatnonzero(at >= 0)
+            pair, tf = np.unique(at[there].astype(np.int64) * n + doc[there], return_counts=True)
+            t, d = np.divmod(pair, n)
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / average))
+            ends = np.searchsorted(t, np.arange(len(terms) + 1)).tolist()  # postings of the batch, by term
+            last = pc.sort_indices(batch.column(0), sort_keys=[("", "ascending")], null_placement="at_start").to_numpy()
+            order = np.empty(n, np.int64)
+            order[last] = np.arange(n)  # among equal scores the greater id comes first
+            block = max(1, MATRIX_CELLS // n)
+            for low in range(0, len(asked), block):
+                some = asked[low : low + block]
+                scores, hit = np.zeros((len(some), n)), np.zeros((len(some), n), bool)
+                for q, own in enumerate(some):
+                    for term, w in own:
+                        own_docs = d[ends[term] : ends[term + 1]]
+                        scores[q, own_docs] += w * part[ends[term] : ends[term + 1]]
+                        hit[q, own_docs] = True  # a weight may be zero
+                scores = np.round(scores, DIGITS)
+                if edges:
+                    lows, highs = np.where(hit, scores, np.inf).min(axis=1), np.where(hit, scores, -np.inf).max(axis=1)
+                    has = np.flatnonzero(hit.any(axis=1))
+                    none = [pa.nulls(len(has), batch.column(0).type), pa.nulls(len(has), pa.float64())]
+                    yield _batch([ids.take(pa.array(low + has)), *none, pa.array(lows[has]), pa.array(highs[has]), pa.array(hit[has].sum(axis=1))])
+                q, x = _best_of(scores, hit, order, top)
+                found = [ids.take(pa.array(low + q)), batch.column(0).take(pa.array(x)), pa.array(scores[q, x])]
+                yield _batch([*found, *([pa.nulls(len(q), k) for k in (pa.float64(), pa.float64(), pa.int64())] if edges else [])])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).mapInArrow(score, kinds)
+
+
+def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "bm25", "low", "high", "n"][: len(columns)])
+
+
+def _best_of(scores: np.ndarray, hit: np.ndarray, order: np.ndarray, top: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what is ``hit``, or of the ``top`` best in each row of it."""
+    if top is None or scores.shape[1] <= top:
+        return np.nonzero(hit)
+    worth = np.where(hit, scores, -np.inf)
+    least = np.partition(worth, worth.shape[1] - top, axis=1)[:, worth.shape[1] - top]
+    q, x = np.nonzero(hit & (worth >= least[:, None]))
+    ranked_ = np.lexsort((-order[x], -worth[q, x], q))
+    q, x = q[ranked_], x[ranked_]
+    first = np.searchsorted(q, np.arange(len(scores)))
+    kept = np.arange(len(q)) - first[q] < top
+    return q[kept], x[kept]
+
+
+def _scored_by_join(docs: DataFrame, weights: DataFrame, doc_id: str, text: str, k1: float, b: float, edges: bool) -> DataFrame:
+    salted = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    postings = _postings(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = postings.join(salted, ["term", "_salt"]).groupBy("query_id", "doc_id").agg(_sum(k1, b))
+    if not edges:
+        return out
+    out = store.written(out)
+    none = lambda kind: F.lit(None).cast(kind)
+    ends = out.groupBy("query_id").agg(F.min("bm25").alias("low"), F.max("bm25").alias("high"), F.count("*").alias("n"))
+    rows = out.select("*", none("double").alias("low"), none("double").alias("high"), none("long").alias("n"))
+    return rows.unionByName(ends.withColumns({"doc_id": none(out.schema["doc_id"].dataType), "bm25": none("double")}))
+
+
+def _postings(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, term, length, tf) of rows with a ``text``."""
+    # The length goes along with each token: computed beside the explode, it would be computed for every token again.
+    body = let(tokens(F.col("text")), lambda w: F.transform(w, lambda t: F.struct(t.alias("term"), F.size(w).alias("length"))))
+    return rows.select(*keys, F.inline(body)).groupBy(*keys, "term", "length").agg(F.count("*").alias("tf"))
 
 
-def _bm25_joined(docs: DataFrame, asked: DataFrame, doc_id: str, text: str, k1: float, b: float, epsilon: float) -> DataFrame:
-    weights = _weights(docs, asked.select("term").distinct(), text, epsilon)
-    # The length goes along with each token: computed beside the explode, it would be computed for every token again.
-    body = let(tokens(F.col(text)), lambda w: F.transform(w, lambda t: F.struct(t.alias("term"), F.size(w).alias("length"))))
-    salted = lambda side: side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    counted = docs.select(F.col(doc_id).alias("doc_id"), F.inline(body)).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
-    postings = counted.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted(weights), ["term", "_salt"])
-    part = F.col("idf") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("avg_length")))
-    pairs = postings.withColumn("part", part).join(salted(asked), ["term", "_salt"])
-    return pairs.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("part")), DIGITS).alias("bm25"))
+def _sum(k1: float, b: float) -> Column:
+    part = F.col("w") * F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("length") / F.col("avg_length")))
+    return F.round(F.sum(part), DIGITS).alias("bm25")
+
+
+def scored_pairs(docs: DataFrame, weights: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
+    """(query, doc, bm25) of the ``pairs`` (query_id, doc_id) that share a term, for queries that are ``weighted``."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(pairs.select("query_id", "doc_id"), "doc_id")
+    return _postings(rows, "query_id", "doc_id").join(weights, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(_sum(k1, b))
+
+
+def _norm(score: str, low: Column, high: Column) -> Column:
+    return F.when(high > low, (F.col(score) - low) / (high - low)).otherwise(F.lit(1.0))
+
+
+def lexical(docs: DataFrame, weights: DataFrame, n_docs: Column, top: int, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The ``top`` documents of each ``weighted`` query (query_id, doc_id, bm25, bm25_norm, rank), and for each query the
+    (low, high) that norm all of its scores: extremes over ``n_docs`` documents, of which those without a common term score 0.
+
+    One pass over the texts cuts to the best of a batch and merges its extremes; no window sees more than these.
+    """
+    found = store.written(scored(docs, weights, doc_id, text, top=top, edges=True))
+    ends = found.filter("n IS NOT NULL").groupBy("query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+    zero = F.when(F.col("n") < n_docs, F.lit(0.0))
+    ends = ends.select("query_id", F.least("low", zero).alias("low"), F.greatest("high", zero).alias("high"))
+    best = ranked(found.filter("n IS NULL"), "bm25", top).select("query_id", "doc_id", "bm25", "rank").join(ends, "query_id")
+    return best.select("query_id", "doc_id", "bm25", _norm("bm25", F.col("low"), F.col("high")).alias("bm25_norm"), "rank"), ends
+
+
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top: int = 50, top_k: int = 100, weights: tuple[float, float] = (LEXICAL, DENSE)) -> DataFrame:
+    """``fused`` candidates of ``queries`` (query_id, text, embedding) among ``docs`` (doc_id, text) and their ``vectors``
+    (doc_id, embedding). Both sides are cut to ``top_k`` before they meet; the lexical scores of what only the dense side
+    has found are made for those pairs alone."""
+    n_docs, terms = F.lit(docs.count()), weighted(docs, queries)
+    lex, ends = lexical(docs, terms, n_docs, top_k)
+    lex, den = store.written(lex), store.written(dense(vectors, queries, top_k))
+    more = scored_pairs(docs, terms, den.join(lex, ["query_id", "doc_id"], "left_anti")).join(ends, "query_id")
+    more = more.select("query_id", "doc_id", "bm25", _norm("bm25", F.col("low"), F.col("high")).alias("bm25_norm"))
+    return fused(lex.select(more.columns).unionByName(more), den, n_docs, top, top_k, weights)
 
 
 def ranked(scores: DataFrame, score: str, k: int, tie: Column | str = "doc_id") -> DataFrame:
@@ -157,15 +228,13 @@ def ranked(scores: DataFrame, score: str, k: int, tie: Column | str = "doc_id")
 
 def min_max(scores: DataFrame, score: str, n_docs: Column | None = None) -> DataFrame:
     """``scores`` with ``<score>_norm`` in [0, 1] per query; all equal gives 1. With ``n_docs``, documents without a row
-    count as zeros."""
-    own = Window.partitionBy("query_id")
-    low, high = F.min(score).over(own), F.max(score).over(own)
+    count as zeros. Extremes are aggregated and joined, so that no task sorts a query's scores; ``scores`` are read twice."""
+    ends = scores.groupBy(F.col("query_id").alias("_query")).agg(F.min(score).alias("_low"), F.max(score).alias("_high"), F.count("*").alias("_rows"))
     if n_docs is not None:
-        rest = F.count("*").over(own) < n_docs
-        low, high = F.when(rest, F.least(low, F.lit(0.0))).otherwise(low), F.when(rest, F.greatest(high, F.lit(0.0))).otherwise(high)
-    out = scores.withColumns({"_low": low, "_high": high})
-    norm = F.when(F.col("_high") > F.col("_low"), (F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low"))).otherwise(F.lit(1.0))
-    return out.withColumn(f"{score}_norm", norm).drop("_low", "_high")
+        zero = F.when(F.col("_rows") < n_docs, F.lit(0.0))
+        ends = ends.select("_query", F.least("_low", zero).alias("_low"), F.greatest("_high", zero).alias("_high"))
+    out = scores.join(ends, F.col("query_id").eqNullSafe(F.col("_query")))
+    return out.select(*scores.columns, _norm(score, F.col("_low"), F.col("_high")).alias(f"{score}_norm"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -189,8 +258,20 @@ def _matrix(vectors: list, dims: int) -> np.ndarray:
     return _unit(np.where(np.isfinite(out).all(axis=1, keepdims=True), out, 0.0))
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, docs: np.ndarray, vectors: list, k: int) -> pd.DataFrame:
-    found = np.round(np.clip(matrix @ _matrix(vectors, matrix.shape[1]).T, 0, 1), DIGITS)
+def _by_width(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each length of vectors where they are, and they as unit vectors."""
+    places: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        if v is not None and len(v):
+            places.setdefault(len(v), []).append(i)
+    return {w: (np.array(at), _matrix([vectors[i] for i in at], w)) for w, at in places.items()}
+
+
+def _best(ids: np.ndarray, asked: dict, docs: np.ndarray, vectors: list, k: int) -> pd.DataFrame:
+    found, own = np.zeros((len(ids), len(docs))), _by_width(vectors)
+    for w in asked.keys() & own.keys():
+        (q, a), (d, b) = asked[w], own[w]
+        found[np.ix_(q, d)] = np.round(np.clip(a @ b.T, 0, 1), DIGITS)
     order = np.lexsort((np.broadcast_to(-docs, found.shape), -found), axis=1)[:, :k]
     return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc_id": docs[order].ravel(), "dense": np.take_along_axis(found, order, 1).ravel()})
 
@@ -198,33 +279,29 @@ def _best(ids: np.ndarray, matrix: np.ndarray, docs: np.ndarray, vectors: list,
 def dense(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(query, doc, dense, rank) of the ``k`` nearest documents of each query; ids are whole numbers.
 
-    A vector that is null, of another length than most of the queries' or not finite counts as zero: its cosine is 0.
-    Few queries, which is counted, are multiplied as one matrix with each Arrow batch of the corpus, which keeps only
-    its own best ``k`` per query before the final rank. More meet the corpus block by block, each pair of blocks in a
-    task of its own with the same kernel.
+    Vectors of different lengths have a cosine of 0, as has one that is null or not finite with all. Few queries, which is
+    counted, go to every task, which multiplies them with each Arrow batch of the corpus and keeps only its own best ``k``
+    per query before the final rank. More meet the corpus block by block, each pair of blocks in a task of its own with
+    the same kernel. ``nearest`` answers from a stored table that need not be read whole.
     """
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).alias("vector"))
     own = corpus.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(vector).alias("_d"))
     schema = "query_id long, doc_id long, dense double"
     rows = asked.limit(MATRIX_QUERIES + 1).collect()
-    dims = Counter(len(r["vector"]) for r in rows if r["vector"] is not None).most_common(1)
-    if not dims:
-        return ranked(own.crossJoin(asked.select("query_id")).select("query_id", "doc_id", F.lit(0.0).alias("dense")), "dense", k) if rows else ranked(asked.sparkSession.createDataFrame([], schema), "dense", k)
-    width = dims[0][0]
     if len(rows) <= MATRIX_QUERIES:
-        ids, matrix = np.array([r["query_id"] for r in rows]), _matrix([r["vector"] for r in rows], width)
+        ids, matrices = np.array([r["query_id"] for r in rows], np.int64), _by_width([r["vector"] for r in rows])
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
-                    yield _best(ids, matrix, batch["doc_id"].to_numpy(), batch["_d"].tolist(), k)
+                if len(batch) and len(ids):
+                    yield _best(ids, matrices, batch["doc_id"].to_numpy(), batch["_d"].tolist(), k)
 
         return ranked(own.mapInPandas(best, schema), "dense", k)
 
     def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "doc_id": [], "dense": []})
-        return _best(left["query_id"].to_numpy(), _matrix(left["vector"].tolist(), width), right["doc_id"].to_numpy(), right["_d"].tolist(), k)
+        return _best(left["query_id"].to_numpy(), _by_width(left["vector"].tolist()), right["doc_id"].to_numpy(), right["_d"].tolist(), k)
 
     n, m = -(-asked.count() // MATRIX_QUERIES), -(-own.count() // MATRIX_DOCS)
     dealt = lambda side, key, parts: side.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
@@ -240,8 +317,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def fused(lexical: DataFrame, dense_ranked: DataFrame, n_docs: Column, top: int = 50, top_k: int = 100, weights: tuple[float, float] = (LEXICAL, DENSE)) -> DataFrame:
-    """The ``top`` candidates of each query by weighted normalised scores; lexical: (query, doc, bm25, bm25_norm),
-    all documents; dense: (query, doc, dense, rank), which are normalised as if the other of ``n_docs`` documents had 0; give
+    """The ``top`` candidates of each query by weighted normalised scores; lexical: (query, doc, bm25, bm25_norm) of the
+    ``top_k`` best documents and of whatever dense has found; dense: (query, doc, dense, rank), which are normalised as if the other of ``n_docs`` documents had 0; give
     all scores, and ranks beyond ``top_k`` count in the norm only. Candidates are the best of either; their order there
     breaks ties.
     """

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from quirespark.functions import text as T
 from quirespark.functions.kernels import equations_udf, table_rows_udf
-from quirespark.operators import chunk, enrich, figures, models, normalize, retrieve
+from quirespark.operators import chunk, enrich, figures, index, models, nearest, normalize, retrieve
+from quirespark.sources import store
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -62,6 +63,30 @@ def bm25_topk(spark, sf):
     return retrieve.ranked(retrieve.bm25(corpus(spark, sf), questions(spark, sf), top=100), "bm25", 100)
 
 
+@query(f"""WITH {_BM25} SELECT query_id, doc_id::VARCHAR AS doc_id, bm25, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id::VARCHAR DESC) AS rank FROM b QUALIFY rank <= 10""")
+def index_topk(spark, sf):
+    """The ten best documents of each passage, from a stored index."""
+    path = store.workspace(spark)
+    index.update(corpus(spark, sf), path)
+    return index.search(path, questions(spark, sf), 10).rows.select("query_id", "doc_id", "bm25", "rank")
+
+
+@query(f"""WITH {_BM25}, u AS (SELECT count(*) FILTER (WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0) AS added, count(*) FILTER (WHERE doc_id % 7 > 0 AND doc_id % 5 = 0 OR doc_id % 11 = 0) AS dead FROM documents)
+SELECT added, dead, n AS n_docs, round(avgdl, 6) AS avg_length, (SELECT count(*) FROM f) AS n_terms, round(mean_idf, 6) AS mean_idf FROM s, m, u""")
+def index_update(spark, sf):
+    """Statistics of an index of an older corpus (less a seventh of the documents, a fifth with other texts, some that went)
+    after it was brought up to date."""
+    now, path = corpus(spark, sf), store.workspace(spark)
+    fifth = F.when(F.col("doc_id") % 5 == 0, F.concat(F.reverse("text"), F.lit(" old"))).otherwise(F.col("text"))
+    older = now.filter("doc_id % 7 > 0 AND doc_id % 11 > 0").withColumn("text", fifth)
+    gone = now.filter("doc_id % 11 = 0").select((-F.col("doc_id") - 1).alias("doc_id"), F.concat("text", F.lit(" gone")).alias("text"))
+    index.update(older.unionByName(gone), path)
+    done = index.update(now, path)
+    own = index.stats(spark, path)
+    row = (done["added"], done["dead"], own.n_docs, round(own.avg_length, 6), own.n_terms, round(own.mean_idf, 6))
+    return spark.createDataFrame([row], "added long, dead long, n_docs long, avg_length double, n_terms long, mean_idf double")
+
+
 _MINMAX = """
 r AS (SELECT *, count(*) OVER w < n AS rest, min(bm25) OVER w AS lo, max(bm25) OVER w AS hi FROM b, s WINDOW w AS (PARTITION BY query_id)),
 x AS (SELECT query_id, doc_id, bm25, CASE WHEN rest THEN least(lo, 0) ELSE lo END AS lo, CASE WHEN rest THEN greatest(hi, 0) ELSE hi END AS hi FROM r),
@@ -70,7 +95,7 @@ nb AS (SELECT query_id, doc_id, bm25, CASE WHEN hi > lo THEN (bm25 - lo) / (hi -
 
 def _normalized(spark, sf) -> DataFrame:
     n = corpus(spark, sf).count()
-    return retrieve.min_max(retrieve.bm25(corpus(spark, sf), questions(spark, sf)), "bm25", F.lit(n))
+    return retrieve.min_max(store.written(retrieve.bm25(corpus(spark, sf), questions(spark, sf))), "bm25", F.lit(n))
 
 
 @query(f"WITH {_BM25}, {_MINMAX} SELECT query_id, doc_id, round(bm25_norm, 6) AS bm25_norm FROM nb")
@@ -102,6 +127,14 @@ def dense_topk(spark, sf):
     return retrieve.dense(*_vectors(spark, sf), 100)
 
 
+@query(f"WITH {_DENSE} SELECT query_id, doc_id, dense, rank FROM t")
+def nearest_topk(spark, sf):
+    """The same from a stored table of cells."""
+    path, (vectors, asked) = store.workspace(spark), _vectors(spark, sf)
+    nearest.build(vectors, path)
+    return nearest.search(path, asked, 100).rows.select("query_id", "doc_id", "dense", "rank")
+
+
 def _hybrid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All documents; the vectors that some of them have; and queries: every fiftieth document of those, asked with its
     own text and vector."""
@@ -111,9 +144,7 @@ def _hybrid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _fused(spark, sf) -> DataFrame:
-    docs, vectors, asked = _hybrid(spark, sf)
-    n = F.lit(docs.count())
-    return retrieve.fused(retrieve.min_max(retrieve.bm25(docs, asked), "bm25", n), retrieve.dense(vectors, asked, 100), n)
+    return retrieve.hybrid(*_hybrid(spark, sf))
 
 
 _HYBRID_BM25 = _BM25.replace(
