@@ -304,9 +304,32 @@ def without_echoes(text: str | None) -> dict:
     rows = [(line, fence.inside(line)) for line in text.splitlines()]
     kept = [(line, None if fenced else _unmarked(line)) for line, fenced in rows if not is_step_echo(line)]
     joined = "\n".join(line if plain is None else plain for line, plain in kept) + "\n" * text.endswith("\n")
-    joined, marks = re.subn(r"(?i)<sup>\s*r\s*</sup>", "", joined)
-    joined, alone = re.subn(r"(?im)(?:^|\s)</?sup>(?:\s|$)", " ", joined)
-    return {"text": joined, "steps": len(rows) - len(kept), "labels": sum(plain is not None for _, plain in kept), "sups": marks + alone}
+    joined, sups = _without_sups(joined)
+    return {"text": joined, "steps": len(rows) - len(kept), "labels": sum(plain is not None for _, plain in kept), "sups": sups}
+
+
+def _without_sups(text: str) -> tuple[str, int]:
+    """``text`` without registered-mark superscripts, and with a space for each superscript tag that stands alone between
+    white space; and how many of either there were."""
+    parts = re.split(r"(</?sup>)", text, flags=re.I)  # text, tag, text, tag, ...
+    kept, n, i = [parts[0]], 0, 1
+    while i < len(parts):
+        if parts[i].lower() == "<sup>" and parts[i + 1].strip().lower() == "r" and "".join(parts[i + 2 : i + 3]).lower() == "</sup>":
+            kept[-1] += parts[i + 3]
+            n, i = n + 1, i + 4
+        else:
+            kept += parts[i : i + 2]
+            i += 2
+    # ``free`` is what no tag has used yet; the white space around one that goes, goes with it.
+    done, free, used = "", kept[0], ""
+    for k, (tag, rest) in enumerate(zip(kept[1::2], kept[2::2], strict=True)):
+        begins = free[-1].isspace() if free else used in ("", "\n")
+        ends = rest[0].isspace() if rest else 2 * k + 3 == len(kept)
+        if begins and ends:
+            done, free, used, n = f"{done}{free[:-1]} ", rest[1:], rest[:1], n + 1
+        else:
+            free += tag + rest
+    return done + free, n
 
 
 @cache

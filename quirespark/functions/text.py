@@ -15,6 +15,34 @@ from pyspark.sql import functions as F
 LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
 
+#: What counts as white space, for functions that trim sets of characters.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def ltrim(c: Column, chars: str = WHITE) -> Column:
+    return F.ltrim(c, F.lit(chars))
+
+
+def rtrim(c: Column, chars: str = WHITE) -> Column:
+    return F.rtrim(c, F.lit(chars))
+
+
+def after(c: Column, n: Column | int) -> Column:
+    """``c`` without its first ``n`` characters."""
+    n = F.lit(n) if isinstance(n, int) else n
+    return F.substring(c, n + 1, F.length(c))
+
+
+def led(c: Column, rest: Column) -> Column:
+    """What ``c`` has before ``rest``, which it ends with."""
+    return F.substring(c, F.lit(1), F.length(c) - F.length(rest))
+
+
+def less(c: Column, char: str, most: int) -> Column:
+    """``c`` without up to ``most`` of a character at its start."""
+    return after(c, F.least(F.lit(most), F.length(c) - F.length(ltrim(c, char))))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 

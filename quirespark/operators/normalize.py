@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions import kernels
-from quirespark.functions.text import each_line, let, lines, occurrences, strip, unlines
+from quirespark.functions.text import WHITE, after, each_line, led, less, let, lines, ltrim, occurrences, rtrim, strip, unlines
 
 NUMBERED, OTHER = "numbered", "non-numbered"
 
@@ -21,8 +21,8 @@ PAGE_SPAN = (
     r"(?isU)<span\b[^>]*\bid\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^>\s]+)[^>]*>" + _BLANK + r"</span>"
     r"|<span\b[^>]*\bid\s*=\s*" + _ID.format(r"\s*page[\\\-\d_]*\s*") + r"(?=[\s>])[^>]*>" + _LABEL + r"</span>"
 )
-PAGE_LINK = r"\[([^\]]*)\]\(#page-\d+(?:-\d+){0,2}\)"
-_PAGE_NUMBER = r"(?:[ivxlcdm]{1,12}|\d{1,4})"
+#: A link whose target is a page, named by up to three numbers.
+PAGE_LINK = r"(?iU)\[\s*([^\]]*?)\s*\]\(\s*#page[-_]?\d+(?:[-_]\d+){0,2}\s*\)"
 
 
 def without_page_spans(c: Column) -> Column:
@@ -30,25 +30,61 @@ def without_page_spans(c: Column) -> Column:
     return F.struct(F.regexp_replace(c, PAGE_SPAN, "").alias("text"), F.size(F.regexp_extract_all(c, F.lit(PAGE_SPAN), F.lit(0))).alias("removed"))
 
 
+def _is_page_number(word: Column) -> Column:
+    """Up to four digits, or up to twelve letters that Roman numerals have."""
+    roman = (F.translate(F.lower(word), "ivxlcdm", "") == "") & F.length(word).between(1, 12)
+    return roman | word.rlike(r"(?U)^\d{1,4}$")
+
+
+def _ends(line: Column) -> Column:
+    """(before, word, marks): the last word of a line, without the asterisks after it, and what stands before."""
+    whole = rtrim(line)
+    plain = rtrim(whole, "*")
+    word = F.element_at(F.split(plain, r"(?U)\s"), -1)
+    return F.struct(F.substring(plain, F.lit(1), F.length(plain) - F.length(word)).alias("before"), word.alias("word"), after(whole, F.length(plain)).alias("marks"))
+
+
 def without_page_links(c: Column) -> Column:
-    """(text, unwrapped): links to pages become their labels; a line of contents loses its page number too."""
+    """(text, unwrapped): links to pages become their labels; a line of contents, in which a page number follows the last
+    link, loses that number too, but not the asterisks that close it."""
 
     def unwrapped(line: Column) -> Column:
         # The label is stripped as it is put in: spaces at its ends go with the brackets.
-        plain = F.regexp_replace(line, r"(?U)\[\s*([^\]]*?)\s*\]\(#page-\d+(?:-\d+){0,2}\)", "$1")
-        listed = line.rlike(PAGE_LINK) & line.rlike(rf"(?iU)\)\s*\*{{0,3}}\s+{_PAGE_NUMBER}\s*\*{{0,3}}\s*$")
-        short = F.regexp_replace(F.regexp_replace(plain, rf"(?iU)\s+{_PAGE_NUMBER}(\*{{0,3}})\s*$", "$1"), r"(?U)\s+$", "")
+        plain = F.regexp_replace(line, PAGE_LINK, "$1")
+        tail = F.substring_index(line, ")", -1)  # what follows the last bracket: marks, the number, marks
+        number = F.btrim(tail, F.lit(WHITE + "*"))
+        lead = led(tail, ltrim(tail, WHITE + "*"))
+        few = lambda x: F.length(x) - F.length(F.replace(x, F.lit("*"), F.lit(""))) <= 3
+        listed = line.rlike(PAGE_LINK) & _is_page_number(number) & (lead != rtrim(lead)) & few(lead) & few(after(tail, F.length(lead) + F.length(number)))
+        short = let(_ends(plain), lambda e: F.when(_is_page_number(e["word"]) & (e["before"] != rtrim(e["before"])), F.concat(rtrim(e["before"]), e["marks"])).otherwise(rtrim(plain)))
         return F.when(listed, short).otherwise(plain)
 
     return F.struct(each_line(c, unwrapped, keep_end=True).alias("text"), F.size(F.regexp_extract_all(c, F.lit(PAGE_LINK), F.lit(0))).alias("unwrapped"))
 
 
+#: Tags of emphasis.
+EMPHASIS = ("strong", "b", "em", "i")
+
+
+def _without_tags(c: Column) -> Column:
+    """``c`` without one tag of emphasis at either end."""
+    opened = ltrim(c)
+    for tag in EMPHASIS:
+        opened = F.when(F.lower(ltrim(c)).startswith(f"<{tag}>"), ltrim(after(ltrim(c), len(tag) + 2))).otherwise(opened)
+
+    def closed(x: Column) -> Column:
+        out = x
+        for tag in EMPHASIS:
+            out = F.when(F.lower(rtrim(x)).endswith(f"</{tag}>"), rtrim(F.substring(rtrim(x), F.lit(1), F.length(rtrim(x)) - len(tag) - 3))).otherwise(out)
+        return out
+
+    return let(opened, closed)
+
+
 def heading_category(c: Column) -> Column:
     """``numbered`` if the heading, without emphasis, quotes and markers, begins with a section number."""
-    bare = strip(c)
-    for pattern in (r"(?iU)^\s*<(?:strong|b|em|i)>\s*", r"(?iU)\s*</(?:strong|b|em|i)>\s*$", "^[*_`\"']+", "[*_`\"']+$", r"(?U)^[\s>\-*]+"):
-        bare = F.regexp_replace(bare, pattern, "")
-    return F.when(bare.rlike(r"(?U)^\s*\d+(?:\.\d+)*\b"), F.lit(NUMBERED)).otherwise(F.lit(OTHER))
+    bare = ltrim(F.btrim(_without_tags(strip(c)), F.lit("*_`\"'")), WHITE + ">-*")
+    return F.when(bare.rlike(r"(?U)^\d++(?!\w)"), F.lit(NUMBERED)).otherwise(F.lit(OTHER))
 
 
 def document_format(headings: Column) -> Column:
@@ -172,8 +208,25 @@ def with_hierarchy(c: Column) -> Column:
     return let(lines(c), moved)
 
 
-#: What may stand before the number of a section: heading marks, then a bullet, then a quote, then emphasis.
-_LEAD = r"(?U)^\s*(?:#{1,6}\s*)?(?:[-*+]\s+)?(?:>\s+)?[*]{0,2}"
+def _marked_by(c: Column, marks: str) -> Column:
+    """``c`` without one of ``marks`` that white space follows."""
+    rest = after(c, 1)
+    return F.when(F.substring(c, 1, 1).isin(*marks) & (ltrim(rest) != rest), ltrim(rest)).otherwise(c)
+
+
+def _without_lead(c: Column, quotes: bool = True) -> Column:
+    """``c`` without what may stand before the number of a section: heading marks, a bullet, a quote, emphasis, in this order."""
+    steps = [ltrim, lambda x: ltrim(less(x, "#", 6)), lambda x: _marked_by(x, "-*+"), *([lambda x: _marked_by(x, ">")] if quotes else []), lambda x: less(x, "*", 2)]
+    out = steps[0](c)
+    for step in steps[1:]:
+        out = let(out, step)
+    return out
+
+
+def _number(c: Column) -> Column:
+    """The section number that ``c`` begins with, else '': parts of digits with single dots between."""
+    parts = F.split(led(c, F.regexp_replace(c, r"(?U)^[\d.]+", "")), "[.]")
+    return let(parts, lambda p: F.array_join(F.when(F.array_contains(p, ""), F.slice(p, F.lit(1), F.array_position(p, "").cast("int") - 1)).otherwise(p), "."))
 
 
 def promoted(c: Column) -> Column:
@@ -181,31 +234,31 @@ def promoted(c: Column) -> Column:
     number ends in a bracket."""
 
     def up(x: Column) -> Column:
-        # Two steps: what is left of the lead, split into the number and the rest.
-        bare = F.regexp_replace(x, _LEAD, "")
-        number = F.regexp_extract(bare, r"(?U)^\d+(\.\d+)*", 0)
-        rest = F.substring(bare, F.length(number) + 1, F.length(bare))
-        listed = F.regexp_extract(rest, r"(?U)^[\s.:\-)]*", 0).contains(")")
-        title = strip(F.regexp_replace(F.regexp_replace(rest, r"(?U)^[\s.:\-]*(?:[*]{1,2})?", ""), r"(?U)[*]{0,2}\s*$", ""))
-        heading = F.concat_ws(" ", F.repeat(F.lit("#"), F.least(F.lit(6), occurrences(number, ".") + 1)), number, F.when(title != "", title))
+        return let(_without_lead(x), lambda bare: let(F.struct(bare.alias("bare"), _number(bare).alias("number")), lambda b: raised(x, b["bare"], b["number"])))
+
+    def raised(x: Column, bare: Column, number: Column) -> Column:
+        rest = after(bare, F.length(number))
+        listed = led(rest, ltrim(rest, WHITE + ".:-)")).contains(")")
+        title = less(ltrim(rest, WHITE + ".:-"), "*", 2)
+        title = F.reverse(less(F.reverse(rtrim(title)), "*", 2))
+        heading = F.concat_ws(" ", F.repeat(F.lit("#"), F.least(F.lit(6), occurrences(number, ".") + 1)), number, F.when(strip(title) != "", strip(title)))
         return F.when((number != "") & ~listed, heading).otherwise(x)
 
     return each_line(c, up)
 
 
-_HAS_NUMBER = r"(?U)^\s*(?:#{1,6}\s*)?(?:[-*+]\s+)?\*{0,2}\d+(?:\.\d+)*"
 _PLAIN_HEADING = r"(?U)^\s*#{1,6}\s+(.*)$"
 
 
 def _bare(x: Column) -> Column:
-    return strip(F.regexp_replace(strip(F.regexp_extract(x, _PLAIN_HEADING, 1)), r"^\*+|\*+$", ""))
+    return strip(F.btrim(strip(F.regexp_extract(x, _PLAIN_HEADING, 1)), F.lit("*")))
 
 
 def demoted_front_matter(c: Column) -> Column:
     """Headings before the first numbered line become plain lines."""
 
     def over(ls: Column) -> Column:
-        numbered = F.transform(ls, lambda x, i: F.when(x.rlike(_HAS_NUMBER), i))
+        numbered = F.transform(ls, lambda x, i: F.when(_number(_without_lead(x, quotes=False)) != "", i))
         return let(
             F.coalesce(F.array_min(numbered), F.size(ls)),
             lambda first: unlines(F.transform(ls, lambda x, i: F.when((i < first) & x.rlike(r"(?U)^\s*#{1,6}\s+"), _bare(x)).otherwise(x))),
@@ -222,11 +275,34 @@ def stripped_headings(c: Column) -> Column:
 
 #: Lines that only name what a model has added.
 CONTEXT_LABELS = ("Formula context for RAG", "RAG enrichment block")
-_CONTEXT_LABEL = r"(?miU)^\s*(?:" + "|".join(x.replace(" ", r"\s*") for x in CONTEXT_LABELS) + r"):?\s*$\n?"
+
+
+def _is_label(line: Column) -> Column:
+    """Whether a line is one of the labels, with any spacing and case, and maybe a colon."""
+    said = F.lower(F.translate(line, WHITE, ""))
+    return F.regexp_replace(said, ":$", "").isin(*(x.replace(" ", "").lower() for x in CONTEXT_LABELS))
 
 
 def without_context_labels(c: Column) -> Column:
-    return F.regexp_replace(c, _CONTEXT_LABEL, "")
+    """``c`` without the lines that are labels and the blank lines next to them."""
+    kind = lambda x: F.when(_is_label(x), F.lit(2)).when(strip(x) == "", F.lit(0)).otherwise(F.lit(1))
+
+    def kept(ls: Column) -> Column:
+        return let(F.transform(ls, kind), lambda kinds: let(F.filter(F.sequence(F.lit(0), F.size(ls) - 1), lambda i: F.get(kinds, i) > 0), lambda full: joined(ls, kinds, full)))
+
+    def joined(ls: Column, kinds: Column, full: Column) -> Column:
+        """The lines at the places ``full``, which are not blank, with the blank ones before them."""
+        label = lambda k: F.get(kinds, F.get(full, k)) == 2
+
+        def piece(i: Column, k: Column) -> Column:
+            first = F.when(k == 0, F.lit(0)).when(label(k - 1), i).otherwise(F.get(full, k - 1) + 1)
+            return F.when(label(k), F.array().cast("array<string>")).otherwise(F.slice(ls, first + 1, i - first + 1))
+
+        last = F.element_at(full, -1)
+        end = F.when(F.get(kinds, last) == 2, F.array(F.lit(""))).otherwise(F.slice(ls, last + 2, F.size(ls)))
+        return F.array_join(F.concat(F.flatten(F.transform(full, piece)), end), "\n")
+
+    return F.when(F.exists(F.split(c, "\n"), _is_label), let(F.split(c, "\n"), kept)).otherwise(c)
 
 
 def locally_normalized(c: Column, labels: bool = False) -> Column:

@@ -35,6 +35,9 @@ def column(spark):
         ("[2 Loads](#page-9-1) 17**\n", "2 Loads**\n", 1),
         ("[2 Loads](#page-9-1) applies in 1999", "2 Loads applies in 1999", 1),
         ("[x](http://a) [y](#fig-1)", "[x](http://a) [y](#fig-1)", 0),
+        ("[a]( #Page3 ) and [b](#page_3-1_2)", "a and b", 2),
+        ("[ii Preface ](#page-3) xii", "ii Preface", 1),
+        ("[x](#page-1-2-3-4)", "[x](#page-1-2-3-4)", 0),
         ("", "", 0),
     ],
 )
@@ -68,6 +71,29 @@ def test_promoted(value, text, want):
     assert value(normalize.promoted(t), text) == want
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("a\n\nFormula context for RAG:\n\nb\n", "a\nb\n"),
+        ("rag  enrichment BLOCK\nRAG enrichment block:\n  b", "  b"),
+        ("a\n RAG enrichment block", "a\n"),
+        ("RAG enrichment blocks\n\nx", "RAG enrichment blocks\n\nx"),
+        ("Formula context for RAG", ""),
+        (None, None),
+    ],
+)
+def test_context_labels(value, text, want):
+    assert value(normalize.without_context_labels(t), text) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("Figure 3: short\nFig. 2.1 – A pump", "short"), ("figures 3\nCaption\n  on the next line\n", "on the next line"), ("fig 4 abc", ""), (" FIG.7-1: a long caption", "a long caption")],
+)
+def test_captions(value, text, want):
+    assert value(figures.context(t, F.lit(0), F.lit(""))["caption"], text) == want
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [("**1. INTRODUCTION**", "numbered"), ("<b>3.2</b> Scope", "numbered"), ("> 4 Loads", "numbered"), ("Foreword", "non-numbered"), ("2nd edition", "non-numbered")],
