@@ -2,11 +2,14 @@
 
 The labelled URLs are those a rule decides. The trees learn from a bounded sample of them (``TRAIN_ROWS``, least
 hashes first, so the same URLs are drawn however the table is dealt) and become one CASE expression, which scores
-every URL in the scan. Statistics of host suffixes are those of all labelled URLs; they are joined, by broadcast if
-they have at most ``BROADCAST_SUFFIXES`` rows, else by a shuffle in which a suffix has ``SALTS`` places. The rows that
-trees learn from see the statistics of other URLs only, half of them, so that no row finds its own label in them, and
-one fold of the URLs is held out of both to measure the trees. Training compresses the sample to distinct vectors of bin numbers and then
-asks, a tree level at a time, for one histogram of gradients per node, feature and bin.
+every URL in the scan. One fold of the URLs is held out to measure them.
+
+Statistics of host suffixes are those of all URLs, labelled or not: how many a site (a suffix of ``SITE`` labels) has, and how
+deep, parametrised and full of digits they are. Shares of labels are not among them. Rules name hosts, so above a site
+the host says which rules could apply, and trees that know the labels' share there learn the rules' hosts and nothing
+else. Statistics are joined, by broadcast if they have at most ``BROADCAST_SUFFIXES`` rows, else by a shuffle in which a
+suffix has ``SALTS`` places. Training compresses the sample to distinct vectors of bin numbers and then asks, a tree level
+at a time, for one histogram of gradients per node, feature and bin.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import ascii_lower, let, settled, small_enough, table, text_of
+from quirespark.llm.common import ascii_lower, let, released, settled, small_enough, table, text_of
 
 #: (rule, verdict); a rule is a host and the beginning of a path.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -30,11 +33,12 @@ BINS = 16
 TREES = 8
 DEPTH = 3
 RATE = 0.3
-#: Regularisation of leaf weights, and of suffix rates towards the overall rate.
+#: Regularisation of leaf weights.
 LAMBDA = 1.0
-PRIOR = 20.0
-#: Folds of URLs: fold 0 is held out, those up to ``STATISTICS`` give the suffix statistics that trees learn with.
-FOLDS, STATISTICS = 10, 5
+#: Folds of URLs, of which the first is held out.
+FOLDS = 10
+#: Labels of the suffix that stands for a site.
+SITE = 3
 
 
 @dataclass(frozen=True)
@@ -45,8 +49,8 @@ class Model:
     cuts: dict[str, list[float]]
     trees: list[list[tuple[str | None, float, float]]]
     suffixes: DataFrame
-    rate: float
     held_out: float | None = None  # share of the held-out sample that the trees decide as the rules do
+    larger_class: float | None = None  # share that the larger class alone would get right there
 
     def margin(self) -> Column:
         """The log odds of blocking, from the feature columns."""
@@ -123,7 +127,7 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-SUFFIX_FEATURES = {"tld_rate": 1, "domain_rate": 2}
+SUFFIX_FEATURES = ("site_urls", "site_depth", "site_params", "site_digits")
 
 
 def with_features(urls: DataFrame, url: str = "url") -> DataFrame:
@@ -137,51 +141,44 @@ def _fold() -> Column:
     return F.pmod(F.xxhash64(F.lit("fold"), "host", "path"), F.lit(FOLDS)).cast("int")
 
 
-def _suffix_rates(labelled: DataFrame, rate: float) -> DataFrame:
-    """By suffix of a labelled host the block rates of all its rows, and of those in the folds of statistics."""
-    # A host of one label is its own suffix twice; rows count once for each suffix they have.
-    names = F.explode(F.array_distinct(F.array(*(suffix_of(F.col("host"), n) for n in SUFFIX_FEATURES.values())))).alias("suffix")
-    some = _fold().between(1, STATISTICS).cast("double")
-    share = lambda y, n: (F.sum(y) + F.lit(PRIOR * rate)) / (F.sum(n) + F.lit(PRIOR))
-    return labelled.select("y", some.alias("some"), names).groupBy("suffix").agg(share(F.col("y"), F.lit(1.0)).alias("all"), share(F.col("y") * F.col("some"), F.col("some")).alias("some"))
+def site_statistics(urls: DataFrame) -> DataFrame:
+    """By suffix of ``SITE`` labels what all URLs (with features) of the site are like."""
+    of = {"site_urls": F.log2(F.count("*") + 1), "site_depth": F.avg("path_depth"), "site_params": F.avg("n_params"), "site_digits": F.avg("digit_ratio")}
+    return urls.groupBy(suffix_of(F.col("host"), SITE).alias("suffix")).agg(*(c.alias(n) for n, c in of.items()))
 
 
-def _with_rates(rows: DataFrame, suffixes: DataFrame, rate: float, which: str = "all") -> DataFrame:
-    """Rows with the block rates of their suffixes."""
-    few = small_enough(suffixes, BROADCAST_SUFFIXES)
-    if not few:  # repeated URLs are dealt apart, too
+def _with_sites(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
+    """Rows with the statistics of their sites; an unknown site has zeros."""
+    on = suffix_of(F.col("host"), SITE) == F.col("_s")
+    stats = suffixes.withColumnRenamed("suffix", "_s")
+    if small_enough(suffixes, BROADCAST_SUFFIXES):
+        out = rows.join(F.broadcast(stats), on, "left")
+    else:  # repeated URLs are dealt apart, too
         rows = rows.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int"))
-    for name, n in SUFFIX_FEATURES.items():
-        stats = suffixes.select(F.col("suffix").alias("_s"), F.col(which).alias(name))
-        on = suffix_of(F.col("host"), n) == F.col("_s")
-        if few:
-            stats = F.broadcast(stats)
-        else:
-            stats = stats.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-            on = on & (F.col("_salt") == F.col("_place"))
-        rows = rows.join(stats, on, "left").drop("_s", "_place").fillna({name: rate})
-    return rows.drop("_salt")
-
-
-def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+        out = rows.join(stats.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), on & (F.col("_salt") == F.col("_place")), "left").drop("_salt", "_place")
+    return out.drop("_s").fillna(0.0, list(SUFFIX_FEATURES))
+
+
+def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, suffixes: DataFrame | None = None) -> Model:
     """A model from rows with host, lexical features and ``y`` (1: block); trees are learnt from ``rows`` of them at most.
 
-    Without rows of both kinds there are no trees: the model says what it has seen, or allow if it has seen none.
+    ``suffixes`` are the statistics of the sites of all URLs; without them those of the labelled ones. Without rows of both
+    kinds there are no trees: the model says what it has seen, or allow if it has seen none.
     """
     names = [c for c in lexical(F.lit(""), F.lit(""), F.lit(""))]
     drawn = labelled.select("host", "path", "y", *names, F.xxhash64("host", "path", *names).alias("_hash")).orderBy("_hash").limit(rows)
     sample = settled(drawn)
+    suffixes = settled(site_statistics(labelled)) if suffixes is None else suffixes
     n, positive = labelled.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    rate = positive / n if n else 0.0
-    suffixes = settled(_suffix_rates(labelled, rate))
     if not 0 < positive < n:
-        return Model(1.0 if positive else -1.0, {}, [], suffixes, rate)
-    names += list(SUFFIX_FEATURES)
-    sample = _with_rates(sample, suffixes, rate, "some").withColumn("_fold", _fold())
-    judged_by, sample = sample.filter("_fold = 0"), sample.filter(F.col("_fold") > STATISTICS)
+        return Model(1.0 if positive else -1.0, {}, [], suffixes)
+    rate = positive / n
+    names += SUFFIX_FEATURES
+    sample = _with_sites(sample, suffixes).withColumn("_fold", _fold())
+    judged_by, sample = sample.filter("_fold = 0"), sample.filter("_fold > 0")
     edges = sample.agg(*(F.percentile_approx(c, [i / BINS for i in range(1, BINS)], 10_000).alias(c) for c in names)).first()
     if edges[names[0]] is None:  # no URL is left to learn from
-        return Model(1.0 if rate > 0.5 else -1.0, {}, [], suffixes, rate)
+        return Model(1.0 if rate > 0.5 else -1.0, {}, [], suffixes)
     cuts = {c: sorted(set(edges[c])) for c in names}
     bins = [sum(((F.col(c) > x).cast("int") for x in cuts[c]), F.lit(0)).alias(c) for c in names]
     # Rows with equal bins are one row from here on.
@@ -197,9 +194,10 @@ def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             break
         binned.append(tree)
         trees.append([(f, float(cuts[f][int(cut)]) if f else 0.0, value) for f, cut, value in tree])
-    model = Model(bias, cuts, trees, suffixes, rate)
-    right = judged_by.agg(F.avg(((model.margin() > 0).cast("double") == F.col("y")).cast("double"))).first()[0]
-    return replace(model, held_out=right)
+    model = Model(bias, cuts, trees, suffixes)
+    right, blocked = judged_by.agg(F.avg(((model.margin() > 0).cast("double") == F.col("y")).cast("double")), F.avg("y")).first()
+    released(vectors)
+    return replace(model, held_out=right, larger_class=None if blocked is None else max(blocked, 1 - blocked))
 
 
 def _grow(vectors: DataFrame, names: list[str]) -> list[tuple[str | None, float, float]]:
@@ -269,8 +267,8 @@ def judged(urls: DataFrame, url: str = "url", model: Model | None = None) -> Dat
     full = with_features(rows.select("_url", F.struct(*urls.columns).alias("_own")), "_url")
     if model is None:
         known = full.filter("_rule IS NOT NULL").withColumn("y", (F.col("_rule.verdict") == "block").cast("double"))
-        model = fit(known)
-    scored = _with_rates(full, model.suffixes, model.rate).withColumn("block_margin", model.margin())
+        model = fit(known, suffixes=settled(site_statistics(full)))
+    scored = _with_sites(full, model.suffixes).withColumn("block_margin", model.margin())
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("block_margin") > 0, F.lit("block")).otherwise(F.lit("allow")))
     new = {"host": F.col("host"), "path": F.col("path"), "rule": F.col("_rule.rule"), "verdict": verdict, "block_margin": F.col("block_margin")}
     return scored.select(*(F.col(f"_own.`{c}`").alias(c) for c in urls.columns if c.lower() not in new), *(c.alias(n) for n, c in new.items()))

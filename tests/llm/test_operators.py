@@ -161,11 +161,11 @@ URLS = [
 
 def test_url_rules_and_verdicts(spark):
     rows = [(i, u[0], "own", "own") for i, u in enumerate(URLS)]
-    out = urlfilter.judged(spark.createDataFrame(rows, "page_id long, url string, host string, tld_rate string")).orderBy("page_id").collect()
+    out = urlfilter.judged(spark.createDataFrame(rows, "page_id long, url string, host string, site_urls string")).orderBy("page_id").collect()
     for r, (_, host, path, rule, verdict) in zip(out, URLS, strict=True):
         assert (r.host, r.path, r.rule) == (host, path, rule)
         assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
-        assert r.tld_rate == "own"
+        assert r.site_urls == "own"
 
 
 def test_url_trees_learn(spark):
@@ -177,9 +177,9 @@ def test_url_trees_learn(spark):
         rows.append((i, f"http://{host}/" + "/".join("p" * rng.randrange(1, 4)), float(bad)))
     df = urlfilter.with_features(spark.createDataFrame(rows, "id long, url string, y double")).cache()
     model = urlfilter.fit(df.filter("id < 1400"))
-    scored = urlfilter._with_rates(df.filter("id >= 1400"), model.suffixes, model.rate).withColumn("m", model.margin())
+    scored = urlfilter._with_sites(df.filter("id >= 1400"), model.suffixes).withColumn("m", model.margin())
     right = scored.filter((F.col("m") > 0).cast("double") == F.col("y")).count()
-    assert model.trees and right >= 380 and model.held_out > 0.9
+    assert model.trees and right >= 380 and model.held_out > 0.9 > model.larger_class
 
 
 def test_url_without_labels(spark):
@@ -204,32 +204,39 @@ def test_entropy_of_whole_long_paths(spark):
 
 
 @pytest.mark.parametrize("bound", [200_000, 3])
-def test_suffix_rates_of_all_labelled_urls(spark, monkeypatch, bound):
+def test_site_statistics_of_all_urls(spark, monkeypatch, bound):
     monkeypatch.setattr(urlfilter, "BROADCAST_SUFFIXES", bound)
-    rows = [(i, f"http://h{i % 3}.d{i % 7}.com/p{i}", float(i % 7 < 2)) for i in range(140)]
+    rows = [(i, f"http://m{i % 2}.h{i % 7}.d.com/p{i}" + "/x" * (i % 7) + "?a=1&b=2" * (i % 3 == 0), float(i % 7 < 2)) for i in range(140)]
     df = urlfilter.with_features(spark.createDataFrame(rows, "id long, url string, y double"))
-    model = urlfilter.fit(df, rows=10)
-    rate = 40 / 140
-    assert model.rate == rate
-    out = urlfilter._with_rates(df, model.suffixes, model.rate).collect()
+    stats = urlfilter.site_statistics(df)
+    model = urlfilter.fit(df.filter("id < 70"), rows=10, suffixes=stats)
+    out = urlfilter._with_sites(df, model.suffixes).collect()
     assert len(out) == 140
     for r in out:
-        assert r.domain_rate == pytest.approx((20 * r.y + 20 * rate) / 40) and r.tld_rate == pytest.approx((40 + 20 * rate) / 160)
-    # What trees learn with comes from other URLs than they learn from.
-    folds = dict(map(tuple, df.select("id", urlfilter._fold()).collect()))
-    others = [x for x in out if 1 <= folds[x.id] <= urlfilter.STATISTICS]
-    for r in urlfilter._with_rates(df, model.suffixes, model.rate, "some").collect():
-        domain = [x.y for x in others if x.host.split(".")[1:] == r.host.split(".")[1:]]
-        assert r.domain_rate == pytest.approx((sum(domain) + 20 * rate) / (len(domain) + 20))
-        assert r.tld_rate == pytest.approx((sum(x.y for x in others) + 20 * rate) / (len(others) + 20))
+        own = [x for x in out if x.id % 7 == r.id % 7]
+        assert r.site_urls == math.log2(21) and r.site_depth == 1 + r.id % 7
+        assert r.site_params == pytest.approx(sum(x.n_params for x in own) / 20) and r.site_digits == pytest.approx(sum(x.digit_ratio for x in own) / 20)
+    (other,) = urlfilter._with_sites(urlfilter.with_features(spark.createDataFrame([("http://else.org/",)], "url string")), model.suffixes).collect()
+    assert [other[c] for c in urlfilter.SUFFIX_FEATURES] == [0.0] * 4
+
+
+def test_top_level_alone_does_not_fix_the_verdict(spark):
+    """All labelled .com URLs are to be blocked, so a model that knew shares of labels would block every other one."""
+    pages = urlfilter.with_features(spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url"))
+    known = pages.filter("_rule IS NOT NULL").withColumn("y", (F.col("_rule.verdict") == "block").cast("double"))
+    model = urlfilter.fit(known, suffixes=urlfilter.site_statistics(pages))
+    assert model.held_out > model.larger_class
+    scored = urlfilter._with_sites(pages.filter("_rule IS NULL AND host LIKE '%.com'"), model.suffixes)
+    own = scored.select((model.margin() > 0).alias("block")).groupBy("block").count().collect()
+    assert len(own) == 2 and min(r["count"] for r in own) > 100
 
 
 def test_url_query_by_hand(spark):
     """Hosts, paths, rules and features in plain Python, and the trees walked with them."""
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
     full = urlfilter.with_features(pages)
-    model = urlfilter.fit(full.filter("_rule IS NOT NULL").withColumn("y", (F.col("_rule.verdict") == "block").cast("double")))
-    known = {r.suffix: r["all"] for r in model.suffixes.collect()}
+    model = urlfilter.fit(full.filter("_rule IS NOT NULL").withColumn("y", (F.col("_rule.verdict") == "block").cast("double")), suffixes=urlfilter.site_statistics(full))
+    known = {r.suffix: r for r in model.suffixes.collect()}
     entropy = lambda t: -sum(k / len(t) * math.log2(k / len(t)) for k in Counter(t).values()) + 0.0
 
     def by_hand(url):
@@ -241,8 +248,7 @@ def test_url_query_by_hand(spark):
         query = m[1] if (m := re.search(r"(?s)\?([^#]*)", u)) else ""
         x = {"url_length": len(u), "host_length": len(host), "host_depth": host.count("."), "path_depth": path.count("/"), "digit_ratio": len(re.findall("[0-9]", u)) / max(len(u), 1)}
         x |= {"host_entropy": entropy(host), "path_entropy": entropy(path), "n_params": query.count("&") + 1 if query else 0, "n_hyphens": host.count("-")}
-        for name, n in urlfilter.SUFFIX_FEATURES.items():
-            x[name] = known.get(".".join(host.split(".")[-n:]), model.rate)
+        x |= {name: known[".".join(host.split(".")[-urlfilter.SITE :])][name] for name in urlfilter.SUFFIX_FEATURES}
         margin = model.bias
         for tree in model.trees:
             at = 0
