@@ -162,7 +162,7 @@ def _with_sites(rows: DataFrame, suffixes: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS, suffixes: DataFrame | None = None) -> Model:
     """A model from rows with host, lexical features and ``y`` (1: block); trees are learnt from ``rows`` of them at most.
 
-    ``suffixes`` are the statistics of the sites of all URLs; without them those of the labelled ones. Without rows of both
+    ``suffixes`` are the statistics of the sites of all URLs, those to be judged among them; without them those of the labelled ones. Without rows of both
     kinds there are no trees: the model says what it has seen, or allow if it has seen none.
     """
     names = [c for c in lexical(F.lit(""), F.lit(""), F.lit(""))]
