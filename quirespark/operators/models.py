@@ -11,6 +11,7 @@ import hashlib
 import random
 import re
 import time
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirespark.functions.text import first_words, strip, tokens
+from quirespark.sources import store
 
 #: Accepted names of the columns of a question sheet, without case and punctuation.
 ALIASES = {
@@ -233,19 +235,48 @@ def usable_models(wanted: tuple[str, ...], available: list[str]) -> tuple[str, .
     return found
 
 
+def maintained_embeddings(docs: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, model: str, text: str = "text") -> tuple[DataFrame, int]:
+    """``docs`` with ``embedding``, and how many texts were embedded for that.
+
+    Vectors are kept by the digest of their text, in a folder of the model's that only grows: a run embeds the texts
+    that no run has embedded before, each once however many rows have it, and adds them in one commit. A text that
+    goes and comes again is known. A null text is an empty one; a column ``embedding`` is replaced.
+    """
+    spark = docs.sparkSession
+    folder = f"{path.rstrip('/')}/{hashlib.sha256(model.encode()).hexdigest()[:32]}"
+    rows = docs.drop("embedding").withColumn("_digest", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    parts = [f"{folder}/{n}" for n in store.children(spark, folder) if store.exists(spark, f"{folder}/{n}/_SUCCESS")]
+    known = spark.read.parquet(*parts) if parts else None
+    new = rows.select("_digest", F.coalesce(F.col(text), F.lit("")).alias(text)).dropDuplicates(["_digest"])
+    if known is not None:
+        new = new.join(known.select("_digest"), "_digest", "left_anti")
+    at = f"{folder}/{len(store.children(spark, folder)):08d}-{uuid.uuid4().hex[:8]}"
+    embed(new).select("_digest", "embedding").write.parquet(at)
+    made = spark.read.parquet(at)
+    n = made.count()
+    if not n:
+        store.removed(spark, at)
+    every = made if known is None else known.unionByName(made) if n else known
+    # two runs at a time may both have embedded a text
+    return rows.join(every.dropDuplicates(["_digest"]), "_digest", "left").drop("_digest"), n
+
+
 def cached_embeddings(docs: DataFrame, embed: Callable[[DataFrame], DataFrame], path: str, model: str, signature: str) -> tuple[DataFrame, bool]:
     """``docs`` with vectors, and whether they were there already.
 
     ``embed`` adds ``embedding`` to a table of texts. Vectors are kept as Parquet in a folder for the model and the
-    corpus signature, and taken from it if there is one for each document; else they are made and written anew.
+    corpus signature, and taken from it if the rows there are those of ``docs``; else they are made and written anew.
+    ``maintained_embeddings`` embeds what is new only.
     """
     spark = docs.sparkSession
     folder = f"{path.rstrip('/')}/{hashlib.sha256(f'{model}|{signature}'.encode()).hexdigest()[:32]}"
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         kept = spark.read.parquet(folder)
-        rows, dims = kept.agg(F.count("embedding"), F.countDistinct(F.size("embedding"))).first()
-        if rows == docs.count() and dims <= 1:
+        dims = kept.agg(F.countDistinct(F.size("embedding"))).first()[0]
+        ids = [c for c in docs.columns if c in kept.columns and c != "embedding"]
+        same = not docs.select(*ids).exceptAll(kept.select(*ids)).limit(1).count() and not kept.select(*ids).exceptAll(docs.select(*ids)).limit(1).count()
+        if same and dims <= 1:
             return kept, True
     embed(docs).write.mode("overwrite").parquet(folder)
     return spark.read.parquet(folder), False

@@ -391,11 +391,57 @@ def segment(rank: Column, source: Column, text: Column, section: Column | None =
     return F.concat(*parts, F.lit("\n"), text, F.lit("\n"))
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (query, rank, segment) those that can be among the first of their query within the budget, as far as the
+    task knows: what the segments of lesser rank in the same task leave room for, and the first one, cut to the budget."""
+    held: dict = {}  # query: sorted (rank, length, segment), the budget and one segment at most
+    size, names = 0, None
+
+    def cut(own: list) -> list:
+        own.sort(key=lambda x: x[0])
+        total = np.cumsum([n for _, n, _ in own])
+        return own[: max(1, int(np.searchsorted(total, budget, "right")))]
+
+    def batch(rows: list[tuple], kinds: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["query_id", "rank", "_length", "segment"])
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        rows = [(q, *x) for q, own in held.items() for x in cut(own)]
+        for at in range(0, len(rows), 1000):
+            yield batch(rows[at : at + 1000], names)
+
+    for b in batches:
+        names = [b.column(0).type, b.column(1).type, pa.int64(), pa.string()]
+        touched = set()
+        for q, rank, segment in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if segment is not None:
+                held.setdefault(q, []).append((rank, len(segment), segment[:budget]))
+                touched.add(q)
+        for q in touched:
+            held[q] = cut(held[q])
+        size = sum(len(s) for own in held.values() for _, _, s in own)
+        if size > HELD_CHARS:
+            yield from flushed()
+            held = {}
+    if held:
+        yield from flushed()
+
+
+#: So many characters of segments a task holds before it hands on what it has.
+HELD_CHARS = 64 << 20
+
+
 def contexts(segments: DataFrame, budget: int = 10_000) -> DataFrame:
-    """(query_id, context, used): ranked segments while they fit the budget; a first one that does not fit is cut."""
+    """(query_id, context, used): ranked segments while they fit the budget; a first one that does not fit is cut.
+
+    Tasks cut what they hold of a query to its budget before anything is shuffled, so that a query's window sees at most
+    the budget from each. Segments of null are left out; ranks of a query are distinct.
+    """
     budget = max(320, budget)
+    kinds = ", ".join(f"`{c}` {k}" for c, k in segments.select("query_id", "rank").dtypes)
+    cut = segments.select("query_id", "rank", "segment").mapInArrow(lambda batches: _prefixes(batches, budget), f"{kinds}, _length long, segment string")
     own = Window.partitionBy("query_id").orderBy("rank")
-    running = segments.withColumns({"_sum": F.sum(F.length("segment")).over(own.rowsBetween(Window.unboundedPreceding, 0)), "_first": F.row_number().over(own) == 1})
-    kept = running.filter((F.col("_sum") <= budget) | F.col("_first")).withColumn("segment", F.substring("segment", 1, budget))
+    running = cut.withColumns({"_sum": F.sum("_length").over(own.rowsBetween(Window.unboundedPreceding, 0)), "_first": F.row_number().over(own) == 1})
+    kept = running.filter((F.col("_sum") <= budget) | F.col("_first"))
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "segment"))), lambda s: s["segment"]), "\n")
     return kept.groupBy("query_id").agg(F.regexp_replace(joined, r"(?U)^\s+|\s+$", "").alias("context"), F.count("*").alias("used"))

@@ -135,6 +135,19 @@ def nearest_topk(spark, sf):
     return nearest.search(path, asked, 100).rows.select("query_id", "doc_id", "dense", "rank")
 
 
+@query("""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 7 > 0 AS was, CASE WHEN doc_id % 5 = 0 THEN reverse(coalesce(text, '')) || ' old' ELSE coalesce(text, '') END AS before FROM documents)
+SELECT (SELECT count(DISTINCT text) FROM t WHERE text NOT IN (SELECT before FROM t WHERE was)) AS embedded, count(*) AS rows, count(DISTINCT text) AS texts FROM t""")
+def maintained_vectors(spark, sf):
+    """A second run over a corpus of which a seventh is new and a fifth has changed embeds the texts it has not seen."""
+    now, path = corpus(spark, sf), store.workspace(spark)
+    older = now.filter("doc_id % 7 > 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.reverse(F.coalesce("text", F.lit(""))), F.lit(" old"))).otherwise(F.col("text")))
+    embed = lambda rows: rows.withColumn("embedding", models.hashed_embedding(F.col("text"), 16))
+    models.maintained_embeddings(older, embed, path, "stub")
+    rows, made = models.maintained_embeddings(now, embed, path, "stub")
+    found = rows.filter("embedding IS NOT NULL")
+    return found.agg(F.lit(made).cast("long").alias("embedded"), F.count("*").alias("rows"), F.countDistinct(F.coalesce("text", F.lit(""))).alias("texts"))
+
+
 def _hybrid(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All documents; the vectors that some of them have; and queries: every fiftieth document of those, asked with its
     own text and vector."""
@@ -242,8 +255,10 @@ c AS (SELECT *, sum(length(segment)) OVER (PARTITION BY query_id ORDER BY rank)
 k AS (SELECT query_id, rank, substr(segment, 1, 16000) AS segment FROM c WHERE n <= 16000 OR rank = 1)
 SELECT query_id, md5(regexp_replace(string_agg(segment, chr(10) ORDER BY rank), '^\\s+|\\s+$', '', 'g')) AS context_md5, count(*) AS used FROM k GROUP BY query_id""")
 def context_budget(spark, sf):
+    # A segment has eight characters and more, so a source needs no more of its documents than this.
     rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    rows = table(spark, sf, "documents").select(F.col("source").alias("query_id"), rank.alias("rank"), "doc_id", "text")
+    first = table(spark, sf, "documents").select("source", "doc_id").withColumn("rank", rank).filter(F.col("rank") <= 16_000 // 8)
+    rows = table(spark, sf, "documents").join(first, ["source", "doc_id"]).select(F.col("source").alias("query_id"), "rank", "doc_id", "text")
     parts = rows.select("query_id", "rank", retrieve.segment(F.col("rank"), F.concat(F.lit("doc"), "doc_id"), F.col("text")).alias("segment"))
     return retrieve.contexts(parts, 16_000).select("query_id", F.md5("context").alias("context_md5"), "used")
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirespark.operators import index, nearest, retrieve
+from quirespark.operators import index, models, nearest, retrieve
 from quirespark.sources import store
 
 
@@ -147,3 +147,52 @@ def test_hybrid_sorts_no_query_by_all_documents(spark):
     asked = docs.filter("doc_id < 2").join(vectors, "doc_id").withColumnRenamed("doc_id", "query_id")
     plan = retrieve.hybrid(docs, vectors, asked, top_k=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # what the windows see was cut and written before
+
+
+def contexts_by_hand(rows, budget):
+    out = {}
+    for q in {r[0] for r in rows}:
+        own = sorted((rank, s) for p, rank, s in rows if p == q and s is not None)
+        kept, total = [], 0
+        for k, (_, s) in enumerate(own):
+            total += len(s)
+            if total <= budget or k == 0:
+                kept.append(s[:budget])
+        if own:
+            out[q] = ("\n".join(kept).strip(), len(kept))
+    return out
+
+
+@pytest.mark.parametrize("held", [retrieve.HELD_CHARS, 100])
+def test_contexts_cut_in_the_tasks(spark, monkeypatch, held):
+    monkeypatch.setattr(retrieve, "HELD_CHARS", held)
+    rng = random.Random(6)
+    rows = [(q, rank, None if rng.random() < 0.05 else chr(97 + rank % 26) * rng.choice([1, 5, 50, 400])) for q in (0, 1, None) for rank in rng.sample(range(300), 200)]
+    rows += [(2, 1, "x" * 900), (2, 2, "y"), (3, 4, "  short "), (4, 1, None)]
+    frame = spark.createDataFrame(rows, "query_id long, rank int, segment string").repartition(6)
+    got = {r.query_id: (r.context, r.used) for r in retrieve.contexts(frame, 500).collect()}
+    assert got == contexts_by_hand(rows, 500)
+    sent = frame.mapInArrow(lambda b: retrieve._prefixes(b, 500), "query_id long, rank int, _length long, segment string")
+    if held > 100:  # a query's segments of one task fit the budget
+        size = sent.groupBy("query_id", F.spark_partition_id()).agg(F.sum(F.length("segment")).alias("n")).agg(F.max("n")).first()[0]
+        assert size <= 500
+
+
+def test_embeddings_are_made_for_new_texts_only(spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    def encode(texts):
+        asked.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    embed = models.vectors(encode)
+    docs = spark.createDataFrame([(1, "a"), (2, "bb"), (3, "bb"), (4, None), (5, "")], "id long, text string")
+    run = lambda d, model="m": models.maintained_embeddings(d, embed, str(tmp_path), model)
+    rows, n = run(docs)
+    assert n == 3 == asked.value and {(r.id, r.embedding[0] > 0) for r in rows.collect()} == {(1, True), (2, True), (3, True), (4, False), (5, False)}
+    assert run(docs)[1] == 0 and asked.value == 3
+    changed = docs.filter("id <> 1").unionByName(spark.createDataFrame([(6, "ccc")], "id long, text string")).withColumn("embedding", F.lit("own"))
+    rows, n = run(changed)
+    assert n == 1 and asked.value == 4 and all(len(r.embedding) == 2 for r in rows.collect())
+    assert run(docs)[1] == 0 and run(docs, "other")[1] == 3
+    assert run(docs.limit(0))[0].collect() == []
