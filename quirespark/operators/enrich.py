@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quirespark.functions import kernels
 from quirespark.functions.text import each_line, let, lines, occurrences, strip
+from quirespark.operators import calls
+from quirespark.sources import store
 
 MATH = r"\$\$[^$]*\$\$|\$[^$\n]+\$"
 TASKS = ("table_header", "math", "table")
@@ -126,19 +128,19 @@ def answered(asked: DataFrame, model, done: DataFrame | None = None, workers: in
 def enriched(docs: DataFrame, model, path: str, key: str = "source_file", text: str = "text", tasks: tuple[str, ...] = TASKS, workers: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``docs`` after a pass for each task, each over the text that the one before has left, and the log of all.
 
-    Each pass writes its log below ``path``, so that no model is asked twice; a log that is there is taken up again.
+    Each pass keeps a log below ``path``, in which answers are committed task by task, so that no model is asked twice;
+    a log that is there is taken up again, for the elements that are still the same. An answer that is not safe is kept but
+    not put in; an element without any answer is asked again by the next run.
     """
-    logs, spark = [], docs.sparkSession
+    out = None
     for n, task in enumerate(tasks):
-        folder = f"{path.rstrip('/')}/{n}-{task}"
-        at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
-        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-            answered(elements(docs, key, text, (task,)), model, workers=workers).write.mode("overwrite").parquet(folder)
-        logs.append(spark.read.parquet(folder))
-        docs = replayed(docs, logs[-1], key, text)
-    out = logs[0]
-    for log in logs[1:]:
-        out = out.unionByName(log)
+        asked = elements(docs, key, text, (task,)).withColumn("digest", F.sha2("input", 256))
+        asked_for = F.coalesce(*(F.when(F.col("task") == t, prompt(t, F.col("input"))) for t in PROMPTS), F.format_string(PROMPT, F.col("input")))
+        said = calls.logged(asked.withColumn("prompt", asked_for), model, f"{path.rstrip('/')}/{n}-{task}", [key, "task", "ordinal", "digest"], rounds=1, workers=workers)
+        log = said.select(key, "task", "ordinal", "input", F.when(is_safe(F.col("input"), F.col("output")), F.col("output")).alias("output"))
+        log = store.written(log)
+        docs = replayed(docs, log, key, text)
+        out = log if out is None else out.unionByName(log)
     return docs, out
 
 

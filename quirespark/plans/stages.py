@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -305,6 +307,43 @@ def figure_totals(spark, sf):
     return figures.totals(figures.extracted(*_figures(spark, sf)))
 
 
+def _stub(name: str):
+    """A vision model that goes by the length of the heading it is told: of four kinds it fails at one and chats at one."""
+
+    def client(prompt: str, url: str) -> str:
+        kind = len(prompt.split("\n")[0].removeprefix("Section heading: # ")) % 4
+        if kind == 0:
+            raise OSError("no answer")
+        if kind == 1:
+            return "I see a figure."
+        sure = 0.9 if (name, kind) == ("second", 2) else 0.5
+        return json.dumps({"figure_id": "f", "figure_type": name, "caption_summary": "c", "confidence": sure, "extracted_text": "more than ten"})
+
+    return client
+
+
+def _described(spark, sf) -> DataFrame:
+    return figures.extracted(*_figures(spark, sf), client={n: _stub(n) for n in ("first", "second")}, delay=0.0, tries=1, workers=8)
+
+
+_STATUS = "CASE WHEN ordinal = 0 AND p_partkey % 2 = 1 THEN 'missing' WHEN length(p_name) % 4 = 0 THEN 'error' WHEN length(p_name) % 4 = 1 THEN 'fallback' ELSE 'ok' END"
+
+
+@query(f"""SELECT source_file, ordinal, status, CASE WHEN status = 'missing' THEN NULL WHEN status = 'ok' AND n % 4 = 2 THEN 'second' ELSE 'first' END AS model,
+       CASE WHEN status <> 'ok' THEN 0.0 WHEN n % 4 = 2 THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN status = 'missing' THEN 0 ELSE 2 END AS answers, status = 'ok' AS compared
+FROM (SELECT p_partkey::VARCHAR AS source_file, ordinal, length(p_name) AS n, {_STATUS} AS status FROM part, (VALUES (0), (1)) o(ordinal))""")
+def figure_models(spark, sf):
+    """Two models asked about every figure, one answer taken."""
+    answers = F.coalesce(F.size("results"), F.lit(0))
+    return _described(spark, sf).select("source_file", "ordinal", "status", "model", "confidence", F.when(answers < 0, 0).otherwise(answers).alias("answers"), (F.contains("block", F.lit("**Model Comparison Results**")) & (F.col("status") != "fallback")).alias("compared"))
+
+
+@query(f"""SELECT p_partkey::VARCHAR AS source_file, count(*) AS figures_found, count(*) FILTER (WHERE s = 'missing') AS missing_images, count(*) FILTER (WHERE s = 'fallback') AS fallbacks_used, count(*) FILTER (WHERE s = 'error') AS errors
+FROM (SELECT p_partkey, {_STATUS} AS s FROM part, (VALUES (0), (1)) o(ordinal)) GROUP BY ROLLUP (p_partkey)""")
+def figure_model_totals(spark, sf):
+    return figures.totals(_described(spark, sf))
+
+
 _BLOCK = """'<!--FIGURE_START id="f' || p_partkey || '"-->' || chr(10) || '- **Figure**: f' || p_partkey || chr(10) || '- **Figure title**: ' || p_name || chr(10) || '- **Figure name**: ' || chr(10) || '- **Figure type**: plot' || chr(10) ||
 '- **Image file**: a.png' || chr(10) || '- **Section**: (none)' || chr(10) || '- **Caption**: ' || p_brand || chr(10) || '- **Extracted text**: ' || chr(10) || '- **Visual elements**:   - bar' || chr(10) || '  - axis' || chr(10) ||
 '- **Keywords**: k1, k2' || chr(10) || '- **Notes**: ' || chr(10) || '- **Selected model**: m1 (confidence: 0.80)' || chr(10) || chr(10) || '**Model Comparison Results**:' || chr(10) || '| Model | Confidence |' || chr(10) || '|---|---|' || chr(10) ||

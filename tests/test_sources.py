@@ -1,6 +1,8 @@
 """Sources and sinks on small trees, and that the library stands without the training-data operators."""
 
 import json
+import time
+from collections import Counter
 import subprocess
 import sys
 from pathlib import Path
@@ -9,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirespark.functions import registry
-from quirespark.operators import enrich, figures, models
+from quirespark.operators import calls, enrich, figures, models
 from quirespark.sources import readers, sinks
 from quirespark.streaming import incremental
 
@@ -211,6 +213,68 @@ def test_figures_with_a_model(spark):
     assert text.count("FIGURE_START") == 2 and "![c](c.png)" in text and "![a](a.png)" not in text
 
 
+def test_a_killed_run_repeats_no_committed_call(spark, tmp_path):
+    """Each call leaves a line in a file; one of a task of its own ends the first run, after others have committed."""
+    rows = spark.createDataFrame([(i, f"p{i}") for i in range(20)] + [(3, "p3")], "id int, prompt string")
+
+    def client(fatal):
+        def ask(text):
+            if fatal and text == "p13":
+                while len(list(Path(tmp_path, "log").glob("*/part-*"))) < 10:
+                    time.sleep(0.05)
+                raise ValueError("stop")
+            with open(tmp_path / "calls", "a") as f:
+                f.write(text + "\n")
+            return None if text == "p5" else text.upper()
+
+        return models.called(ask, tries=1, wait=lambda n, error: None)
+
+    run = lambda fatal: calls.logged(rows, client(fatal), f"{tmp_path}/log", ["id"], per_task=1)
+    with pytest.raises(Exception, match="stop"):
+        run(True)
+    committed = {r.id for r in calls.answers(spark, f"{tmp_path}/log", "id int, output string").filter("output IS NOT NULL").collect()}
+    before = Counter(Path(tmp_path, "calls").read_text().split())
+    assert len(committed) >= 5 and 13 not in committed
+    out = {(r.id, r.output) for r in run(False).collect()}
+    assert out == {(i, None if i == 5 else f"P{i}") for i in range(20)}
+    after = Counter(Path(tmp_path, "calls").read_text().split()) - before
+    assert not {f"p{i}" for i in committed} & set(after) and after["p5"] == 2 and set(after) >= {f"p{i}" for i in range(20) if i not in committed}
+    assert run(False).count() == 21 and Counter(Path(tmp_path, "calls").read_text().split()) - before - after == Counter({"p5": 2})
+
+
+def test_calls_go_in_waves(spark, tmp_path):
+    rows = spark.range(30).withColumn("prompt", F.col("id").cast("string"))
+    out = calls.logged(rows, lambda d: d.withColumn("output", F.col("prompt")), str(tmp_path), ["id"], workers=2, per_task=4)
+    assert out.filter("output = id").count() == 30 and len(list(tmp_path.glob("*-*"))) == 4
+    assert calls.logged(rows.limit(0), lambda d: 1 / 0, str(tmp_path), ["id"]).collect() == []
+
+
+def test_several_models_by_log(spark, tmp_path):
+    docs = spark.createDataFrame([("b", "# H\n![a](a.png)\n![c](c.png)\n![d](d.png)")], "source_file string, text string")
+    images = spark.createDataFrame([("b", "/b/a.png", "a.png", b"a"), ("b", "/b/d.png", "d.png", b"d")], "key string, path string, rel_path string, content binary")
+
+    def client(sure):
+        def ask(prompt, url):
+            with open(tmp_path / "calls", "a") as f:
+                f.write("x\n")
+            if url.endswith("ZA=="):  # of the second image
+                raise OSError("down")
+            return json.dumps({"figure_id": "f", "figure_type": "t", "caption_summary": "c", "confidence": sure, "extracted_text": "0123456789"})
+
+        return ask
+
+    clients = {"m1": client(0.6), "m2": client(0.8), "m3": client(0.8)}
+    for run in range(2):
+        out = figures.extracted(docs, images, clients, log=f"{tmp_path}/log", delay=0.0, tries=1)
+        rows = {r.rel_path: r for r in out.collect()}
+        assert (rows["a.png"].model, rows["a.png"].confidence, rows["a.png"].status) == ("m2", 0.8, "ok")
+        assert "| m2 | 0.80 ← SELECTED |\n| m3 | 0.80 |\n| m1 | 0.60 |" in rows["a.png"].block
+        assert rows["c.png"].status == "missing" and rows["d.png"].status == "error" and "![d](d.png)" in rows["d.png"].block
+        assert {(r.model, r.output is None) for r in figures.by_model(out).filter("ordinal = 2").collect()} == {("m1", True), ("m2", True), ("m3", True)}
+        assert figures.totals(out).filter("source_file IS NULL").first()[1:] == (3, 1, 0, 1)
+        assert len(Path(tmp_path, "calls").read_text().split()) == 3 + (run + 1) * 2 * 3  # what failed is asked again, twice a run
+
+
 def test_retries_by_error():
     class RateLimitError(Exception):
         pass
