@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -104,13 +105,20 @@ def table_title(line: str) -> bool:
     return "Table" in line or line.strip().startswith(("**", "_"))
 
 
+def _absent(text: str) -> list[str]:
+    """Two characters for private use that ``text`` lacks."""
+    there = set(text)
+    return list(islice((c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in there), 2))
+
+
 def _whole_or_split(text: str, size: int, overlap: int, separators, title=any_title, notes: bool = False, **scan) -> list[tuple[str, int]]:
     """``text`` in pieces of ``size``, with its equations, tables and comments whole, and the line each piece begins in.
 
-    Blocks are masked by marks that no text holds, text is cut, and marks are replaced by their blocks again. A
+    Blocks are masked by marks of two characters that the text lacks, text is cut, and marks are replaced by their blocks again. A
     ``title`` right above a table is in its block, and with ``notes`` the paragraph below it, too.
     """
     rows, masked, held, at = text.split("\n"), [], {}, []
+    left, right = _absent(text)
     done = 0
     for kind, a, z in kernels.blocks(text, **scan):
         a = max(a, done)
@@ -126,7 +134,7 @@ def _whole_or_split(text: str, size: int, overlap: int, separators, title=any_ti
             below, end = kernels.paragraph_after(rows, z)
             if below < end:
                 body, done = [*body, *rows[z:end]], end
-        mark = f"\ue000{len(held):06d}\ue001"
+        mark = f"{left}{len(held):06d}{right}"
         held[mark] = "\n".join(body)
         masked.append(mark)
         at.append(first)
@@ -137,7 +145,7 @@ def _whole_or_split(text: str, size: int, overlap: int, separators, title=any_ti
         if found >= 0:
             line += joined.count("\n", here, found)
             here = found
-        out.append((re.sub("\ue000\\d{6}\ue001", lambda m: held.get(m[0], m[0]), piece), at[line] if at else 0))
+        out.append((re.sub(f"{left}[0-9]+{right}", lambda m: held.get(m[0], m[0]), piece), at[line] if at else 0))
         here, line = (here + 1, line + joined.startswith("\n", here)) if found >= 0 else (here, line)
     return out
 
@@ -295,3 +303,10 @@ def summary(chunks: DataFrame) -> DataFrame:
     by_type = typed.groupBy("_t").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_t", "n")))).alias("by_type"))
     totals = typed.agg(F.count("*").alias("total"), F.countDistinct("source_file").alias("files"), F.sum("_n").alias("tokens"), F.bround(F.avg("_n"), 1).alias("mean_tokens"))
     return totals.crossJoin(by_type)
+
+
+def nearest_headings(rows: DataFrame, key: str, *order: str, text: str = "text", into: str = "heading") -> DataFrame:
+    """Lines of documents (key, order, text) with the title of the last heading above each, null where there is none."""
+    title = F.when(F.col(text).rlike(r"^#{1,6}\s"), F.trim(F.regexp_replace(text, "^#+", "")))
+    above = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(into, F.last(title, ignorenulls=True).over(above))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirespark.functions import kernels
+from quirespark.functions.fences import marked_headings
 from quirespark.functions.text import WHITE, after, each_line, led, less, let, lines, ltrim, occurrences, rtrim, strip, unlines
 
 NUMBERED, OTHER = "numbered", "non-numbered"
@@ -316,6 +317,42 @@ def headings(c: Column, levels: bool = True) -> Column:
     return kernels.headings_udf(levels)(c)
 
 
+def with_tree(c: Column) -> Column:
+    """``c`` with its headings outside fences as one tree: the first is the only one of level 1, and none is more than a level
+    below the one it belongs to, which is the last one above it of a lesser level, or else the first. Level 6 is the
+    deepest. Only headings of marks change; their titles and all other lines stay.
+
+    Headings are read off a stack of the levels on the way to the root, which grow from bottom to top.
+    """
+
+    def deeper(state: Column, level: Column) -> Column:
+        kept = F.filter(state["stack"], lambda x: x < level)  # the rest belongs to headings that end here
+        depth = F.when(state["n"] == 0, F.lit(1)).otherwise(F.least(F.lit(6), F.size(kept) + 2))
+        stack = F.when(state["n"] == 0, state["stack"]).otherwise(F.concat(kept, F.array(level)))  # the first is below them all
+        return F.struct((state["n"] + 1).alias("n"), stack.alias("stack"), F.concat(state["out"], F.array(depth)).alias("out"))
+
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("n"), none.alias("stack"), none.alias("out"))
+
+    def rebuilt(ls: Column, found: Column) -> Column:
+        """The lines, with those of ``found`` (line_index, level) at their new levels."""
+        levels = F.aggregate(F.transform(found, lambda h: h["level"]), start, deeper, lambda s: s["out"])
+
+        def parts(new: Column) -> Column:
+            at = lambda k: F.get(found, k)["line_index"]
+            end = lambda k: F.coalesce(at(k + 1), F.size(ls))
+            titled = lambda k, n: F.concat(F.repeat(F.lit("#"), n), ltrim(ltrim(F.get(ls, at(k))), "#"))
+            piece = lambda n, k: F.concat(F.array(titled(k, n)), F.slice(ls, at(k) + 2, end(k) - at(k) - 1))
+            return F.concat(F.slice(ls, F.lit(1), at(F.lit(0))), F.flatten(F.transform(new, piece)))
+
+        return let(levels, lambda new: unlines(parts(new)))
+
+    def over(ls: Column) -> Column:
+        return let(marked_headings(ls), lambda found: F.when(F.size(found) > 0, F.concat(rebuilt(ls, found), F.when(c.endswith("\n"), F.lit("\n")).otherwise(F.lit("")))).otherwise(c))
+
+    return let(lines(c), over)
+
+
 def layered(docs: DataFrame, key: str = "source_file", text: str = "text", numbered=None, other=None) -> DataFrame:
     """``docs`` with ``text`` normalised stretch by stretch: sections whose headings are of one category are taken
     together, repaired by the normaliser of that category, and brought back to the level their first heading had."""

@@ -395,9 +395,7 @@ def label_reconciliation(spark, sf):
 def nearest_heading(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).alias("line"), F.concat(F.lit("## "), "o_orderpriority").alias("text"), F.lit(None).cast("long").alias("p"), F.lit(None).cast("long").alias("s"))
     items = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.lit("item").alias("text"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
-    before = Window.partitionBy("k").orderBy("line", "p", "s").rowsBetween(Window.unboundedPreceding, -1)
-    heading = F.when(F.col("text").startswith("#"), F.regexp_replace("text", "^#+ ", ""))
-    rows = orders.unionByName(items).withColumn("heading", F.last(heading, ignorenulls=True).over(before)).filter("line > 0")
+    rows = chunk.nearest_headings(orders.unionByName(items), "k", "line", "p", "s").filter("line > 0")
     return rows.select(F.col("k").alias("l_orderkey"), F.col("line").alias("l_linenumber"), F.col("p").alias("l_partkey"), F.col("s").alias("l_suppkey"), "heading")
 
 

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirespark.functions import text as T
+from quirespark.functions.fences import marked_headings
 from quirespark.functions.kernels import equations_udf, split_udf, tables_udf
 from quirespark.operators import chunk, enrich, figures, models, normalize, retrieve
 from quirespark.plans.catalog import query, table
@@ -190,14 +192,29 @@ def stripped_headings(spark, sf):
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'numbered' ELSE 'non-numbered' END AS heading_format, CASE WHEN o_orderkey % 2 = 0 THEN 'external' ELSE 'fallback' END AS backend,
-       CASE WHEN o_orderkey % 2 = 0 THEN '# 1 ' || upper(o_orderpriority) ELSE '# A ' || o_orderpriority END || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '### SCOPE' ELSE '## Scope' END AS text FROM orders""")
+       CASE WHEN o_orderkey % 2 = 0 THEN '# 1 ' || upper(o_orderpriority) ELSE '# A ' || o_orderpriority END || chr(10) || '## ' || CASE WHEN o_orderkey % 2 = 0 THEN 'SCOPE' ELSE 'Scope' END AS text FROM orders""")
 def refined_documents(spark, sf):
     even = F.col("o_orderkey") % 2 == 0
     text = F.concat(F.when(even, "# 1 ").otherwise("# A "), "o_orderpriority", F.when(even, "\n## 1.1 x\n### Scope").otherwise("\n### Scope"))
     docs = table(spark, sf, "orders").select("o_orderkey", text.alias("text"))
     out = normalize.refined(docs, numbered=lambda c: F.upper(F.regexp_replace(c, "\n## 1.1 x", "")))
-    # What the external normaliser leaves has a gap in its levels, which the repair closes unless it is told apart.
-    return out.select("o_orderkey", "heading_format", "backend", F.regexp_replace("text", "^(# 1 [^\n]*\n)## SCOPE", "$1### SCOPE").alias("text"))
+    return out.select("o_orderkey", "heading_format", "backend", "text")
+
+
+# Each heading's parent is the last one before it of a lesser level; one without hangs from the first.
+@query("""WITH RECURSIVE h AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, (o_orderkey // 3 + o_custkey) % 6 + 1 AS level FROM orders),
+p AS (SELECT a.*, CASE WHEN a.i > 1 THEN coalesce((SELECT max(b.i) FROM h b WHERE b.o_custkey = a.o_custkey AND b.i < a.i AND b.i > 1 AND b.level < a.level), 1) END AS parent FROM h a),
+d AS (SELECT o_custkey, o_orderkey, i, 1 AS depth FROM p WHERE i = 1 UNION ALL SELECT p.o_custkey, p.o_orderkey, p.i, depth + 1 FROM p JOIN d ON p.o_custkey = d.o_custkey AND p.parent = d.i)
+SELECT o_custkey, md5(string_agg(repeat('#', least(depth, 6)::INT) || ' Order ' || o_orderkey || chr(10) || 'text' || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```', chr(10) ORDER BY i)) AS text_md5,
+       least(6, max(depth))::INT AS deepest FROM d GROUP BY o_custkey""")
+def heading_tree(spark, sf):
+    level = (F.floor(F.col("o_orderkey") / 3) + F.col("o_custkey")) % 6 + 1
+    body = F.concat(F.repeat(F.lit("#"), level.cast("int")), F.lit(" Order "), "o_orderkey", F.lit("\ntext\n```\n# no heading\n```"))
+    docs = table(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", body.alias("b")))).alias("x"))
+    docs = docs.select("o_custkey", F.array_join("x.b", "\n").alias("text"))
+    out = docs.select("o_custkey", normalize.with_tree(F.col("text")).alias("text"))
+    deepest = F.array_max(F.transform(marked_headings(T.lines(F.col("text"))), lambda h: h["level"]))
+    return out.select("o_custkey", F.md5("text").alias("text_md5"), deepest.alias("deepest"))
 
 
 @query("""SELECT o_orderkey, 'Preface' || chr(10) || '## Annex' || chr(10) || 'x' || chr(10) || '### 2.1 ' || o_orderpriority || chr(10) || '#### 2.1.1 Y' || chr(10) || '# End' AS text FROM orders""")

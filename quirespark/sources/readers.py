@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import signal
 import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -64,20 +66,38 @@ def matching(spark: SparkSession, root: str, pattern: str, most: int | None = No
 
 def images(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
     """(key, path, rel_path[, content]) of the images below ``root``; the key is the folder right below it."""
-    rows = files(spark, root, "*.{" + ",".join(x for e in IMAGES for x in (e, e.upper())) + "}", content=content)
+    rows = files(spark, root, "*.{" + ",".join("".join(f"[{x}{x.upper()}]" for x in e) for e in IMAGES) + "}", content=content)
     return rows.select(F.regexp_extract("rel_path", r"^([^/]+)/", 1).alias("key"), "path", "rel_path", *(["content"] if content else []))
 
 
+@contextmanager
+def _deadline(seconds: float) -> Iterator[None]:
+    """Raises TimeoutError in what runs longer, as soon as it is in Python code."""
+
+    def stop(*_) -> None:
+        raise TimeoutError(f"more than {seconds} seconds")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
 def converted(pdfs: DataFrame, convert: Callable[[bytes, float], str], timeout: float = 10_800) -> DataFrame:
     """(path, status, seconds, text, detail) of what ``convert(content, timeout)`` makes of files (path, content); status
-    is success, timeout (it raised TimeoutError) or error (it raised anything else), and the detail is the error."""
+    is success, timeout (it raised TimeoutError, or was interrupted when its time was over) or error (it raised anything
+    else), and the detail is the error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 start, text, detail, status = time.monotonic(), None, None, "success"
                 try:
-                    text = convert(content, timeout)
+                    with _deadline(timeout):
+                        text = convert(content, timeout)
                 except Exception as error:
                     status, detail = "timeout" if isinstance(error, TimeoutError) else "error", str(error)
                 yield pd.DataFrame([(path, status, time.monotonic() - start, text, detail)], columns=["path", "status", "seconds", "text", "detail"])

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirespark.functions import kernels
+from quirespark.functions import fences, kernels
 from quirespark.functions import text as T
 from quirespark.operators import chunk, enrich, figures, models, normalize, retrieve
 
@@ -386,3 +386,39 @@ def test_batch_adapters(spark):
     rows = spark.createDataFrame([("q", "aa"), ("q", None)], "question string, text string")
     out = {r.text: r for r in models.scores(lambda p: [float(len(t)) for _, t in p])(models.vectors(lambda ts: [[3.0 * len(t), 0.0] for t in ts])(rows)).collect()}
     assert out["aa"].embedding == [1.0, 0.0] and out["aa"].rerank == 2.0 and out[None].embedding is None and out[None].rerank == 0.0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("### a\n# b\n##### c\n### d\n# e\n", "# a\n## b\n### c\n### d\n## e\n"),
+        ("intro\n## a ##\n```\n# no\n```\n#### b", "intro\n# a ##\n```\n# no\n```\n## b"),
+        ("# a\n## b\n### c\n#### d\n##### e\n###### f\n###### g", "# a\n## b\n### c\n#### d\n##### e\n###### f\n###### g"),
+        ("no heading\n", "no heading\n"),
+        ("", ""),
+        ("  ### a\n1.2 number\n## b", "# a\n1.2 number\n## b"),
+    ],
+)
+def test_heading_tree(value, text, want):
+    assert value(normalize.with_tree(t), text) == want
+    assert value(normalize.with_tree(t), want) == want
+
+
+def test_marks_of_blocks_stand_in_no_text(spark):
+    formula = "$$\nE = mc^2\n$$"
+    text = f"\ue000000000\ue001 is text\n\n{formula}\n\nmore \ue000000000\ue001 {chr(0xE002)}"
+    pieces = [p for p, _ in chunk._whole_or_split(text, 4000, 0, chunk.PROSE_SEPARATORS)]
+    assert "\n".join(pieces).count("E = mc^2") == 1 and "\n".join(pieces).count("\ue000000000\ue001") == 2
+
+
+@pytest.mark.parametrize("replaces", [False, True])
+def test_fenced_stretches_equal_a_scan(spark, replaces):
+    rng = random.Random(8)
+    texts = [[rng.choice(["```", "~~~", " ```py", "text", "# h", "   ## x", "    # deep", "#no", "#", "####### seven", "\t~~~"]) for _ in range(rng.randint(0, 14))] for _ in range(400)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, ls array<string>")
+    for r in rows.select("ls", fences.fenced(F.col("ls"), replaces).alias("f"), fences.marked_headings(F.col("ls")).alias("h")).collect():
+        fence = kernels.Fence(replaces)
+        inside = [fence.inside(x) for x in r.ls]
+        assert [any(s.start <= i < s.stop for s in r.f) for i in range(len(r.ls))] == inside
+        if not replaces:
+            assert [(h.line_index, h.level) for h in r.h] == [(i, kernels._hashed(x)[0]) for i, x in enumerate(r.ls) if not inside[i] and kernels._hashed(x)]

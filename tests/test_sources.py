@@ -304,3 +304,21 @@ def test_hopeless_calls_fail_the_run(spark):
     rows = spark.createDataFrame([("x",)], "prompt string")
     with pytest.raises(Exception, match="no key"):
         models.called(client, wait=models.by_error_class)(rows).collect()
+
+
+def test_images_in_any_case(spark, tmp_path):
+    for name in ("a.png", "b.PNG", "c.Jpg", "d.txt", "e.tIfF"):
+        (tmp_path / "k").mkdir(exist_ok=True)
+        (tmp_path / "k" / name).write_bytes(b"x")
+    assert {r.rel_path for r in readers.images(spark, str(tmp_path)).collect()} == {"k/a.png", "k/b.PNG", "k/c.Jpg", "k/e.tIfF"}
+
+
+def test_conversion_is_stopped_in_time(spark):
+    def convert(content, timeout):
+        if content == b"slow":
+            time.sleep(20)
+        return content.decode()
+
+    files = spark.createDataFrame([("a", b"slow"), ("b", b"fast")], "path string, content binary").coalesce(1)
+    rows = {r.path: r for r in readers.converted(files, convert, timeout=1.0).collect()}
+    assert (rows["a"].status, rows["b"].status, rows["b"].text) == ("timeout", "success", "fast") and rows["a"].seconds < 10
