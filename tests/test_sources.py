@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quirespark.functions import registry
 from quirespark.operators import calls, enrich, figures, models
-from quirespark.sources import readers, sinks
+from quirespark.sources import readers, sinks, tree
 from quirespark.streaming import incremental
 
 
@@ -322,3 +322,29 @@ def test_conversion_is_stopped_in_time(spark):
     files = spark.createDataFrame([("a", b"slow"), ("b", b"fast")], "path string, content binary").coalesce(1)
     rows = {r.path: r for r in readers.converted(files, convert, timeout=1.0).collect()}
     assert (rows["a"].status, rows["b"].status, rows["b"].text) == ("timeout", "success", "fast") and rows["a"].seconds < 10
+
+
+def test_tree_source_and_sink(spark, tmp_path):
+    form, out = tree.register(spark), f"{tmp_path}/out"
+    rows = [("a.md", "A"), ("x/b.MD", "é\n"), ("x/y/c.markdown", None), ("../d.md", "inside"), ("e.txt", "other")]
+    docs = spark.createDataFrame(rows, "rel_path string, text string").repartition(3)
+    docs.write.format(form).mode("append").save(out)
+    back = spark.read.format(form).load(out)
+    assert {tuple(r) for r in back.collect()} == {("a.md", "A"), ("x/b.MD", "é\n"), ("x/y/c.markdown", ""), ("d.md", "inside")}
+    assert spark.read.format(form).option("suffixes", "txt").load(out).collect() == [("e.txt", "other")]
+    assert spark.read.format(form).option("partitionbytes", "1").load(out).rdd.getNumPartitions() > 1
+    docs.filter("rel_path = 'a.md'").withColumn("text", F.lit("new")).write.format(form).mode("append").save(f"file://{out}")
+    assert back.filter("rel_path = 'a.md'").first().text == "new" and back.count() == 4
+    assert not [p for p in Path(out).rglob("*") if tree.STAGING in p.name or p.name == "manifest"]
+    assert spark.read.format(form).load(str(tmp_path / "out" / "x" / "y")).count() == 1
+
+
+def test_tree_sink_leaves_nothing_of_a_failed_job(spark, tmp_path):
+    form, out = tree.register(spark), f"{tmp_path}/out"
+    docs = spark.createDataFrame([(f"{i}.md", "x") for i in range(40)], "rel_path string, text string").repartition(4)
+    docs.write.format(form).mode("append").save(out)
+    bad = docs.withColumn("text", F.lit("y")).unionByName(spark.createDataFrame([(None, "no path")], "rel_path string, text string"))
+    with pytest.raises(Exception, match="without a path"):
+        bad.write.format(form).mode("append").save(out)
+    assert {r.text for r in spark.read.format(form).load(out).collect()} == {"x"}
+    assert sorted(p.name for p in Path(out).iterdir()) == sorted(f"{i}.md" for i in range(40))
