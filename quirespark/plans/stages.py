@@ -12,7 +12,7 @@ from quirespark.functions.fences import marked_headings
 from quirespark.functions.kernels import equations_udf, split_udf, tables_udf
 from quirespark.operators import chunk, enrich, figures, models, normalize, retrieve
 from quirespark.plans.catalog import query, table
-from quirespark.sources import sinks
+from quirespark.sources import sinks, store, tree
 
 # Chunks of documents made from orders ------------------------------------------------------------------------------------
 #
@@ -291,6 +291,37 @@ def cleanup_totals(spark, sf):
     return enrich.cleanup_totals(table(spark, sf, "part").select(text.alias("text")))
 
 
+# Whole documents -----------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, true AS covered, true AS in_order, true AS sized, trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '' AS any FROM documents""")
+def chunk_properties(spark, sf):
+    """What holds for the chunks of any document: they have all of its words, are numbered from 0, and exceed the size only
+    where they hold a block that must stay whole."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.coalesce("text", F.lit("")).alias("text"))
+    chunks = chunk.atomic_chunks(docs)
+    words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?U)[^\s]+"), F.lit(0)))
+    fits = (F.length("text") <= chunk.ATOMIC[0]) | (F.col("content_type") != "text")
+    per = chunks.groupBy("source_file").agg(
+        F.array_distinct(F.flatten(F.collect_list(words(F.col("text"))))).alias("had"), F.sort_array(F.collect_list(F.struct("ordinal", "text"))).alias("pieces"), F.every(fits).alias("sized")
+    )
+    both = docs.join(per, "source_file", "left")
+    covered = F.size(F.array_except(words(F.col("text")), F.coalesce("had", F.array().cast("array<string>")))) == 0
+    pieces = F.coalesce("pieces", F.array().cast("array<struct<ordinal:int,text:string>>"))
+    numbered = F.forall(F.transform(pieces, lambda p, i: p["ordinal"] == i), lambda x: x)
+    return both.select(F.col("source_file").cast("long").alias("doc_id"), covered.alias("covered"), numbered.alias("in_order"), F.coalesce("sized", F.lit(True)).alias("sized"), (F.size(pieces) > 0).alias("any"))
+
+
+@query("""SELECT coalesce(lang, 'none') || '/' || coalesce(source, 'none') || '/' || doc_id || '.md' AS rel_path, md5(coalesce(text, '')) AS text_md5 FROM documents""")
+def tree_roundtrip(spark, sf):
+    """Documents written as a tree of files and read again."""
+    form, path = tree.register(spark), store.workspace(spark)
+    none = lambda c: F.coalesce(c, F.lit("none"))
+    name = F.concat(none("lang"), F.lit("/"), none("source"), F.lit("/"), "doc_id", F.lit(".md"))
+    table(spark, sf, "documents").select(name.alias("rel_path"), "text").write.format(form).mode("append").save(path)
+    return spark.read.format(form).load(path).select("rel_path", F.md5("text").alias("text_md5"))
+
+
 # Figures -------------------------------------------------------------------------------------------------------------------
 
 
