@@ -109,22 +109,40 @@ def update(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     gone = store.written(known.join(now.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti").select(F.col("segment").alias("of"), "number"), at("dead"))
 
     words = now.join(there, ["doc_id", "digest"], "left_anti").select("doc_id", "digest", F.sort_array(tokens(F.col("text"))).alias("words"))
-    words = words.withColumn("length", F.size("words")).repartitionByRange("length", "doc_id").sortWithinPartitions("length", "doc_id")
-    forward = store.written(words.select(F.monotonically_increasing_id().alias("number"), "doc_id", "digest", "length", _counted(F.col("words")).alias("terms")), at("forward"))
+    forward = _numbered(words.select("doc_id", "digest", F.size("words").alias("length"), _counted(F.col("words")).alias("terms")), at("forward"))
     added, length = forward.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     less = _read(spark, path, "forward", updates).join(gone.withColumnRenamed("of", "segment"), ["segment", "number"], "left_semi")
     dead, lost = less.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     if not added and not dead:
         return {"added": 0, "dead": 0}
-
-    _blocks(forward).write.mode("overwrite").option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(at("postings"))
-    moved = lambda frame, by: frame.select(F.explode("terms.term").alias("term"), F.lit(by).cast("long").alias("n"))
-    store.written(moved(forward, 1).unionByName(moved(less, -1)).groupBy("term").agg(F.sum("n").alias("n")).filter("n != 0"), at("deltas"))
     before = stats(spark, path)
-    _committed(spark, path, [*updates, n], before.n_docs + added - dead, before.total_length + length - lost)
+    _segment(forward, less, path, [*updates, n], before.n_docs + added - dead, before.total_length + length - lost)
     return {"added": added, "dead": dead}
 
 
+def compacted(spark: SparkSession, path: str, into: str) -> None:
+    """Writes the documents that the index in ``path`` stands for as an index of one segment, a new folder; no text is needed."""
+    own = stats(spark, path)
+    forward = _numbered(live(spark, path).select("doc_id", "digest", "length", "terms"), f"{into}/forward/0")
+    store.written(spark.createDataFrame([], _SEGMENT["dead"]), f"{into}/dead/0")
+    _segment(forward, forward.limit(0), into, [0], own.n_docs, own.total_length)
+
+
+def _numbered(rows: DataFrame, path: str) -> DataFrame:
+    """Documents in the order of their length, with their places in it."""
+    ordered = rows.repartitionByRange("length", "doc_id").sortWithinPartitions("length", "doc_id")
+    return store.written(ordered.select(F.monotonically_increasing_id().alias("number"), "doc_id", "digest", "length", "terms"), path)
+
+
+def _segment(forward: DataFrame, less: DataFrame, path: str, updates: list[int], n_docs: int, total_length: int) -> None:
+    """Postings and deltas of a segment of ``forward`` documents, with which those of ``less`` go, and the commit."""
+    spark, n = forward.sparkSession, updates[-1]
+    _blocks(forward).write.mode("overwrite").option("parquet.block.size", 4 << 20).partitionBy("bucket").parquet(f"{path}/postings/{n}")
+    moved = lambda frame, by: frame.select(F.explode("terms.term").alias("term"), F.lit(by).cast("long").alias("n"))
+    store.written(moved(forward, 1).unionByName(moved(less, -1)).groupBy("term").agg(F.sum("n").alias("n")).filter("n != 0"), f"{path}/deltas/{n}")
+    _committed(spark, path, updates, n_docs, total_length)
+
+
 def _counted(words: Column) -> Column:
     """The distinct terms of sorted words with how often each stands there: from where runs begin."""
 

@@ -74,6 +74,9 @@ def test_index_updates_equal_a_full_build(spark, tmp_path):
     index.update(back, path)
     least = back.filter("text <> 'w9'")  # of rows that repeat an id the least text counts
     assert stats_of(spark, path) == full_stats(least) and by_index(path, asked, 8)[0] == pytest.approx(by_scan(least, asked, 8), abs=2e-6)
+    index.compacted(spark, path, f"{path}-one")
+    assert index._updates(spark, f"{path}-one") == [0] and stats_of(spark, f"{path}-one") == full_stats(least)
+    assert by_index(f"{path}-one", asked, 8)[0] == by_index(path, asked, 8)[0] and index.update(back, f"{path}-one") == {"added": 0, "dead": 0}
     index.update(first.limit(0), path)
     assert index.stats(spark, path)[:3] == (0, 0, 0) and by_index(path, asked, 8)[0] == {}
 
