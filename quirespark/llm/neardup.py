@@ -9,11 +9,13 @@ counts if it ends up at or below w. Points come in order and stop at the largest
 cost about its length plus a constant. Two signatures agree in a register with the probability of the weighted
 Jaccard similarity.
 
-Signatures are cut into bands. Within a band's bucket, all nodes are paired with the least one only, and every
-pair is verified by the multiset overlap of its texts. Buckets whose other nodes do not end up in one class are
-tested on, in tasks of two blocks of a bucket's nodes each: of the pairs between classes that meet in no earlier band,
-those whose signatures agree enough to make the threshold possible (within five standard errors) are verified, and
-what comes back is a spanning forest of links between classes. So no bucket is cut off and none emits its pairs.
+Signatures are cut into bands. Within a band's bucket, all nodes are paired with the least one only, its hub, and
+every pair is verified by the multiset overlap of its texts: they are sorted by hub, whose text goes before those it
+meets and is sent once for so many of them, not once a pair. Buckets whose other nodes do not end up in one class are
+tested on, first by signatures alone, in tasks of two blocks of a bucket's nodes each: what counts are pairs between
+classes that meet in no earlier band and whose sizes and signatures make the threshold possible (the latter within five
+standard errors). Only the texts of nodes with such a partner travel, to tasks of two blocks of those, and what comes
+back is a spanning forest of verified links between classes. So no bucket is cut off and none emits its pairs.
 Components are searched once over the links of nodes and once over those of classes.
 """
 
@@ -25,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirespark.llm.common import fresh, measured, released, settled, small_enough, table, text_of
@@ -40,7 +42,10 @@ REGISTERS = BANDS * ROWS
 BATCH = 200_000
 #: So many ids (a long each) may be broadcast.
 BROADCAST_IDS = 500_000
-#: Bounds of a block of a group of nodes whose pairs are tested.
+#: So many nodes of a bucket meet one copy of their hub's text.
+HUB_NODES = 1024
+#: Bounds of a block of a bucket's nodes whose signatures are compared, and of one whose texts are.
+SCREEN_NODES = 4096
 BLOCK_NODES, BLOCK_WORDS = 1024, 1_000_000
 
 
@@ -136,23 +141,37 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([*(b.column(i).slice(at, n) for i in range(3)), *map(pa.array, halves), pa.array(sizes, pa.int64()), lists], names=[x.split()[0] for x in SIGNED.split(", ")])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch], words: int, least: float) -> Iterator[pa.RecordBatch]:
-    """The pairs whose texts have a weighted Jaccard similarity of ``least`` or more."""
-    for b in batches:
-        rough = pc.add(pc.binary_length(b.column(2)), pc.binary_length(b.column(3))).to_numpy(zero_copy_only=False) // 6
-        for part in _pieces(rough):
-            at, n = int(part[0]), len(part)
-            both = pa.concat_arrays([b.column(i).slice(at, n).cast(pa.string()) for i in (2, 3)])
-            text, shingle, weight = shingled(both, words)
-            # A shingle that both texts of a pair have comes twice in a row when sorted by pair.
-            pair = text % n
-            order = np.lexsort((shingle, pair))
-            pair, shingle, weight = pair[order], shingle[order], weight[order]
-            total = np.bincount(pair, weights=weight, minlength=n)
-            twice = np.flatnonzero((pair[1:] == pair[:-1]) & (shingle[1:] == shingle[:-1]))
-            shared = np.bincount(pair[twice], weights=np.minimum(weight[twice], weight[twice + 1]), minlength=n)
-            good = pa.array((shared > 0) & (shared >= least * (total - shared) - 1e-9))
-            yield pa.RecordBatch.from_arrays([b.column(i).slice(at, n).filter(good) for i in (0, 1)], names=["a", "b"])
+def _shared(one: tuple[np.ndarray, np.ndarray], texts: np.ndarray, shingles: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """By text, 0 to n, the overlap of its (shingle, weight) with those of ``one``, which are sorted."""
+    at = np.searchsorted(one[0], shingles)
+    at[at == len(one[0])] = 0
+    same = one[0][at] == shingles
+    return np.bincount(texts[same], weights=np.minimum(one[1][at[same]], weights[same]), minlength=n)
+
+
+def _near_hubs(batches: Iterator[pa.RecordBatch], words: int, least: float) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) of weighted Jaccard similarity of ``least`` or more, of rows (a, b, text) in which a hub's own text,
+    whose b is null, goes before those it meets. Between batches only a hub's shingles are kept."""
+    hub, size = (np.zeros(1, np.uint64), np.zeros(1, np.int64)), 0
+    for batch in batches:
+        for part in _pieces(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False) // 6):
+            own = batch.slice(int(part[0]), len(part))
+            text, shingle, weight = shingled(own.column(2).cast(pa.string()), words)
+            edges = np.searchsorted(text, np.arange(len(part) + 1))
+            total = np.bincount(text, weights=weight, minlength=len(part))
+            shared, against = np.zeros(len(part)), np.zeros(len(part))
+            starts = np.flatnonzero(own.column(1).is_null().to_numpy(zero_copy_only=False))
+            for first, end in zip([-1, *starts.tolist()], [*starts.tolist(), len(part)], strict=True):
+                if first >= 0:
+                    x, y = edges[first], edges[first + 1]
+                    hub, size = (shingle[x:y], weight[x:y]), total[first]
+                x, y = edges[first + 1], edges[end]
+                if x < y:
+                    shared[first + 1 : end] = _shared(hub, text[x:y] - (first + 1), shingle[x:y], weight[x:y], end - first - 1)
+                    against[first + 1 : end] = size
+            good = (shared > 0) & (shared >= least * (total + against - shared) - 1e-9)
+            good[starts] = False
+            yield own.select([0, 1]).filter(pa.array(good))
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -172,14 +191,21 @@ def _thinned(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     return texts.join(F.broadcast(ids) if most <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """The pairs (a, b) of ids of which two texts are similar enough."""
-    pairs, seen = measured(pairs.distinct())
-    texts = _thinned(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), 2 * seen["rows"])
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda x: _overlaps(x, words, least), "a long, b long")
+def _wanted(texts: DataFrame, asked: DataFrame, most: int) -> DataFrame:
+    """(node, raw, text), once each, of the at most ``most`` nodes that ``asked`` names."""
+    return _thinned(texts, asked.select(F.col("node").alias("doc_id")), most).withColumnRenamed("doc_id", "node").dropDuplicates(["node", "raw"])
+
+
+def _verified(in_buckets: DataFrame, texts: DataFrame, words: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of a hub and a node of its buckets that are similar enough, and the settled frame they are read from."""
+    pairs = in_buckets.groupBy("a", "raw_a", "b", "raw_b").agg(F.ceil(F.max("n") / HUB_NODES).cast("int").alias("parts"))
+    pairs, seen = measured(pairs.withColumn("part", F.pmod(F.xxhash64("b", "raw_b"), F.col("parts")).cast("int")))
+    group = ["a", "raw_a", "parts", "part"]
+    hubs = pairs.select(F.col("a").alias("node"), F.col("raw_a").alias("raw"), *group, F.lit(None).cast("long").alias("b")).distinct()
+    asked = pairs.select(F.col("b").alias("node"), F.col("raw_b").alias("raw"), *group, "b").unionByName(hubs)
+    met = asked.join(_wanted(texts, asked, 2 * seen["rows"]), ["node", "raw"]).repartition(*group)
+    rows = met.sortWithinPartitions(*group, F.col("b").asc_nulls_first()).select("a", "b", "text")
+    return rows.mapInArrow(lambda x: _near_hubs(x, words, least), "a long, b long"), pairs
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
@@ -202,65 +228,109 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = rows.filter("signature IS NOT NULL").select("node", "raw", "n_words", "signature")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, F.lit(ROWS))))
     banded = nodes.select("node", "raw", F.posexplode(band).alias("k", "band"))
-    shared = settled(banded.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_z"), F.count("*").alias("n")).filter("a < _z").select("band", "a", "n"))
-    in_buckets = settled(banded.join(shared, "band").filter("a < node").select("band", "n", "k", "a", F.col("node").alias("b"), "raw"))
-    links = _verified(in_buckets.select("a", "b"), texts, words, least)
+    hubs = banded.groupBy("band").agg(F.min("node").alias("a"), F.min_by("raw", "node").alias("raw_a"), F.count("*").alias("n"))
+    hubs = settled(hubs.filter("n > 1"))
+    others = banded.join(hubs, "band").filter("node != a OR raw != raw_a")
+    in_buckets = settled(others.select("band", "n", "k", "a", "raw_a", F.col("node").alias("b"), F.col("raw").alias("raw_b")))
+    released(hubs)
+    links, pairs = _verified(in_buckets, texts, words, least)
     # An id of several texts ties them together.
     several = rows.groupBy(F.col("doc_id").alias("_id")).agg(F.min("node").alias("a"), F.max("node").alias("_z")).filter("a < _z")
     links = links.unionByName(rows.join(several, F.col("doc_id") == F.col("_id")).select("a", F.col("node").alias("b")))
     classes = components(links)
-    joined = components(_between_classes(in_buckets, nodes, classes, texts, words, least))
+    released(pairs)
+    between, read = _between_classes(in_buckets, nodes, classes, texts, words, least)
+    joined = components(between)
+    for frame in (in_buckets, *read):
+        released(frame)
     named = rows.select("doc_id", "node").join(classes, "node", "left").select("doc_id", F.coalesce("component", "node").alias("node"))
     named = named.join(joined, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return named.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _between_classes(in_buckets: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Links (a, b) between classes, of nodes that share a bucket of which neither is the least node."""
-    named = in_buckets.filter("n > 2").join(classes.withColumnRenamed("node", "b"), "b", "left").select("band", "k", F.col("b").alias("node"), "raw", F.coalesce("component", "b").alias("class"))
-    split, seen = measured(named.groupBy("band").agg(F.min("class").alias("_l"), F.max("class").alias("_h")).filter("_l < _h").select("band"))
-    open_ = named.join(split, "band", "left_semi")
+def _between_classes(in_buckets: DataFrame, nodes: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) between classes, of nodes that share a bucket of which neither is the hub, and the settled frames they
+    are read from."""
+    named = in_buckets.filter("n > 2").join(classes.withColumnRenamed("node", "b"), "b", "left")
+    named = named.select("band", "k", F.col("b").alias("node"), F.col("raw_b").alias("raw"), F.coalesce("component", "b").alias("class"))
+    mixed = named.groupBy("band").agg(F.min("class").alias("_l"), F.max("class").alias("_h"), F.ceil(F.count("*") / SCREEN_NODES).cast("int").alias("screens"))
+    mixed, seen = measured(mixed.filter("_l < _h").select("band", "screens"))
+    none = mixed.select(F.col("band").alias("a"), F.col("band").alias("b")).limit(0)
     if not seen["rows"]:
-        return open_.select(F.col("node").alias("a"), F.col("class").alias("b")).limit(0)
-    open_, seen = measured(open_)
-    wanted = _thinned(texts, open_.select(F.col("node").alias("doc_id")), seen["rows"]).withColumnRenamed("doc_id", "node").dropDuplicates(["node", "raw"])
-    own = nodes.join(wanted, ["node", "raw"])
-    held = open_.join(own, ["node", "raw"])
-    n = F.greatest(F.count("*") / F.lit(BLOCK_NODES), F.sum("n_words") / F.lit(BLOCK_WORDS))
-    sized = settled(open_.join(nodes.select("node", "raw", "n_words"), ["node", "raw"]).groupBy("band").agg(F.ceil(n).cast("int").alias("blocks")))
-    dealt = held.join(sized, "band").withColumn("block", F.pmod(F.xxhash64("node", "raw"), F.col("blocks")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    tasks = dealt.withColumn("pair", F.explode(pairs)).select("band", "k", "pair.i", "pair.j", "class", "signature", "block", "text")
-    return tasks.groupBy("band", "i", "j").applyInArrow(lambda t: _forest(t, words, least), "a long, b long")
+        return none, [mixed]
+    signed = named.join(mixed, "band").join(nodes, ["node", "raw"]).withColumn("screen", F.pmod(F.xxhash64("node", "raw"), F.col("screens")).cast("int"))
+    tasks = signed.select("*", F.explode(_pairs_with("screens", "screen", "i", "j")).alias("pair")).select("band", "k", "pair.i", "pair.j", "screen", "class", "node", "raw", "n_words", "signature")
+    open_, seen = measured(tasks.groupBy("band", "i", "j").applyInArrow(lambda t: _screened(t, words, least), OPEN))
+    if not seen["rows"]:
+        return none, [mixed, open_]
+    size = F.greatest(F.count("*") / F.lit(BLOCK_NODES), F.sum("n_words") / F.lit(BLOCK_WORDS))
+    sized = settled(open_.groupBy("band", "i", "j").agg(F.ceil(size).cast("int").alias("blocks")))
+    dealt = open_.join(sized, ["band", "i", "j"]).withColumn("block", F.pmod(F.xxhash64("raw", "node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("*", F.explode(_pairs_with("blocks", "block", "p", "q")).alias("pair"))
+    own = _wanted(texts, open_, seen["rows"]).join(nodes.drop("n_words"), ["node", "raw"])
+    tasks = dealt.join(own, ["node", "raw"]).select("band", "k", "i", "j", "pair.p", "pair.q", "screen", "block", "class", "signature", "text")
+    return tasks.groupBy("band", "i", "j", "p", "q").applyInArrow(lambda t: _forest(t, words, least), "a long, b long"), [mixed, open_, sized]
+
+
+def _pairs_with(n: str, own: str, i: str, j: str) -> Column:
+    """The pairs of blocks, of ``n``, that a row of the block ``own`` goes to."""
+    return F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda x: F.struct(F.least(x, F.col(own)).alias(i), F.greatest(x, F.col(own)).alias(j)))
+
+
+OPEN = "band long, k int, i int, j int, screen int, class long, node long, raw long, n_words long"
+
+
+class _Nodes:
+    """The nodes of a task, and which of them can be alike enough by size and signature and have met in no band before ``k``."""
+
+    def __init__(self, task: pa.Table, total: np.ndarray, least: float):
+        self.total, self.least, self.k = total, least, task["k"][0].as_py()
+        self.signature = task["signature"].combine_chunks().flatten().to_numpy().reshape(len(task), -1)
+        self.possible = (least - 5 * (least * (1 - least) / REGISTERS) ** 0.5) * REGISTERS
+
+    def alike(self, x: int, others: np.ndarray) -> np.ndarray:
+        small, large = (f(self.total[others], self.total[x]) for f in (np.minimum, np.maximum))
+        others = others[small >= self.least * large - 1e-9]
+        agree = self.signature[others] == self.signature[x]
+        others, agree = (v[agree.sum(axis=1) >= self.possible] for v in (others, agree))
+        return others[~agree[:, : self.k * ROWS].reshape(len(others), self.k, ROWS).all(axis=2).any(axis=1)]
+
+
+def _screened(task: pa.Table, words: int, least: float) -> pa.Table:
+    """The nodes of two blocks of a bucket that may be alike with one of the other block and of another class."""
+    group, screen = (task[c].to_numpy() for c in ("class", "screen"))
+    i, j = task["i"][0].as_py(), task["j"][0].as_py()
+    nodes = _Nodes(task, np.maximum(task["n_words"].to_numpy() - words + 1, 1), least)
+    left, right = np.flatnonzero(screen == i), np.flatnonzero(screen == j)
+    open_ = np.zeros(len(task), bool)
+    for x in left.tolist():
+        near = right[(right > x) if i == j else slice(None)]
+        near = nodes.alike(x, near[group[near] != group[x]])
+        if len(near):
+            open_[x] = open_[near] = True
+    return task.filter(pa.array(open_)).select([f.split()[0] for f in OPEN.split(", ")])
 
 
 def _forest(task: pa.Table, words: int, least: float) -> pa.Table:
-    """Links between classes, among the nodes of two blocks of a bucket, as few as join all they can."""
-    group = task["class"].to_numpy()
-    block, i, j, k = task["block"].to_numpy(), task["i"][0].as_py(), task["j"][0].as_py(), task["k"][0].as_py()
-    signature = task["signature"].combine_chunks().flatten().to_numpy().reshape(len(group), -1)
+    """Links between classes, among the nodes of two blocks of what a screen left, as few as join all they can."""
+    group, screen, block = (task[c].to_numpy() for c in ("class", "screen", "block"))
+    i, j, p, q = (task[c][0].as_py() for c in "ijpq")
     text, shingle, weight = shingled(task["text"].combine_chunks().cast(pa.string()), words)
     edges = np.searchsorted(text, np.arange(len(group) + 1))
-    total = np.add.reduceat(np.append(weight, 0), edges[:-1]) * (edges[1:] > edges[:-1])
-    possible = (least - 5 * (least * (1 - least) / REGISTERS) ** 0.5) * REGISTERS
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    total = np.bincount(text, weights=weight, minlength=len(group))
+    nodes = _Nodes(task, total, least)
+    left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
     label = np.unique(group, return_inverse=True)[1]
     out: list[tuple[int, int]] = []
     for x in left.tolist():
-        # Those that can be alike enough by size and signature, meet x in no earlier band and are not yet connected with it.
-        near = right[(right > x) if i == j else slice(None)]
-        near = near[(label[near] != label[x]) & (np.minimum(total[near], total[x]) >= least * np.maximum(total[near], total[x]) - 1e-9)]
-        agree = signature[near] == signature[x]
-        near = near[(agree.sum(axis=1) >= possible) & ~agree[:, : k * ROWS].reshape(len(near), k, ROWS).all(axis=2).any(axis=1)]
-        a, z = edges[x], edges[x + 1]
+        near = right[(right > x) if p == q else slice(None)]
+        near = nodes.alike(x, near[(label[near] != label[x]) & ((i == j) | (screen[near] != screen[x]))])
+        own = shingle[edges[x] : edges[x + 1]], weight[edges[x] : edges[x + 1]]
         for y in near.tolist():
             if label[x] == label[y]:
                 continue
-            b, e = edges[y], edges[y + 1]
-            at = np.searchsorted(shingle[a:z], shingle[b:e])
-            at[at == z - a] = 0
-            same = shingle[a:z][at] == shingle[b:e]
-            shared = np.minimum(weight[a:z][at], weight[b:e])[same].sum()
+            at = slice(edges[y], edges[y + 1])
+            shared = _shared(own, text[at] - y, shingle[at], weight[at], 1)[0]
             if shared >= least * (total[x] + total[y] - shared) - 1e-9:
                 out.append((int(group[x]), int(group[y])))
                 label[label == label[y]] = label[x]

@@ -531,6 +531,37 @@ def test_chain_whose_least_node_links_one(spark, monkeypatch, block):
         assert got == {i: min(j for j, _ in rows if find(j) == find(i)) for i, _ in rows}
 
 
+def test_near_duplicates_in_hot_buckets(spark, monkeypatch):
+    """Documents that share most of a long passage meet in many buckets, of which only near copies are links."""
+    for bound, n in (("HUB_NODES", 3), ("SCREEN_NODES", 8), ("BLOCK_NODES", 3)):
+        monkeypatch.setattr(neardup, bound, n)
+    rng = random.Random(31)
+    passage = prose(rng, 200, 10**5)
+    texts = [f"{passage} {prose(rng, rng.randrange(50, 90), 10**5)}" for _ in range(40)]
+    texts += [f"{t} end{i}" for i, t in enumerate(texts[:15])] + [f"start {t}" for t in texts[5:10]] + texts[:3]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    find = classes_by_hand(rows)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {i: min(j for j, _ in rows if find(j) == find(i)) for i, _ in rows}
+    assert 1 < len(set(got.values())) < len(texts)
+
+
+def test_hubs_over_batches():
+    """A hub's shingles last until the next hub, however its rows are cut into batches."""
+    rng = random.Random(32)
+    rows = []
+    for a in range(6):
+        base = prose(rng, 60, 10**5)
+        rows.append((a, None, base))
+        rows += [(a, 100 * a + k, base if k % 3 == 0 else f"{base} more" if k % 3 == 1 else prose(rng, 60, 10**5)) for k in range(1, 8)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)], names=["a", "b", "text"])
+    want = [(a, b) for a, b, _ in rows if b is not None and b % 100 % 3 != 2]
+    for step in (1, 5, 8, len(rows)):
+        out = neardup._near_hubs((whole.slice(i, step) for i in range(0, len(rows), step)), 5, 0.8)
+        assert [(r["a"], r["b"]) for b in out for r in b.to_pylist()] == want
+
+
 def test_near_duplicates_of_an_id_with_several_texts(spark):
     rng = random.Random(21)
     one, two, three = (prose(rng, 80, 3000) for _ in range(3))
