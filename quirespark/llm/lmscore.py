@@ -9,9 +9,13 @@ is read left to right from the start state, which has its own arcs; nothing else
 No task needs the whole model. Texts are dealt by hash into blocks of ``BLOCK`` bytes; a block sends its distinct
 n-grams, as hashes in sorted runs, to buckets by ranges of the hash; a bucket sums the counts of all blocks and
 answers each with the totals of the n-grams it sent, in the order sent; then the block builds the automaton of
-its own n-grams and reads its texts. A run holds an n-gram once however often the block has it, so a frequent
-n-gram costs a bucket one entry a block, and a run that would be empty is not sent. Numbers of blocks and buckets
-follow the bytes of the corpus, which bounds both kinds of task; the texts and the runs are shuffled once. Hashes have
+its own n-grams and reads its texts. A run holds an n-gram once however often the block has it, and a run that would be
+empty is not sent. Numbers of blocks and buckets follow the bytes of the corpus, which bounds both kinds of task; the
+texts and the runs are shuffled once.
+
+Blocks are the leaves of a tree: a node sums up to ``FAN`` blocks, in buckets of its own, and where there are several
+nodes, each of their buckets is a sender to the next node up, as a block is to its node; totals come back the same way.
+So a frequent n-gram costs a bucket at most ``FAN`` entries, at any size of the corpus. Hashes have
 ``SPARE`` bits more than it takes to number the corpus's bytes, those of single words, which are counted exactly,
 ``SPARE_WORDS`` more, so that two n-grams share one as seldom in any size. What smoothing needs of all words at once,
 how many there are and how many come once and twice, is summed before, from runs of single words.
@@ -20,13 +24,14 @@ how many there are and how many come once and twice, is summed before, from runs
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,13 +43,17 @@ FOLDS, HELD_OUT = 7, 2
 #: Bytes of a block's texts, and of the texts whose n-grams a bucket sums.
 BLOCK, BUCKET = 5_000_000, 10_000_000
 SPARE, SPARE_WORDS = 14, 27
+#: Senders to a node of the tree: up to 328 GB there is one node, up to 21 PB two levels of them. A bucket of ``BUCKET``
+#: bytes has over a million entries, beside which the entries of an n-gram that all senders have are few.
+FAN = 1 << 16
 #: Texts read at a time where words are summed before.
 BATCH = 4_000_000
 #: Words of a stretch of text; stretches are read side by side.
 STRETCH = 512
 
-RUN = "bucket int, block int, rank int, keys binary, counts binary"
-ANSWER = "block int, bucket int, rank int, totals binary"
+#: A run goes from a sender, which is a part of a block or node, to a bucket of a node; its answer goes back.
+RUN = "node int, bucket int, block int, part int, rank int, keys binary, counts binary"
+ANSWER = "block int, part int, bucket int, rank int, totals binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -136,57 +145,142 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, pa.binary() if kind == "binary" else pa.int32()) for c, (_, kind) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _runs_of(grams: Grams, trained: np.ndarray, number: int, order: int, buckets: int, bits: tuple[int, int]) -> list[tuple]:
-    """For each bucket the sorted hashes, as differences, and their counts in training."""
-    out = []
-    for rank in range(order):
-        keys, counts = grams.counted(rank, trained)
-        for b, a, z in _cut(keys, buckets, bits[min(rank, 1)]):
-            out.append((b, number, rank, _packed(np.diff(keys[a:z], prepend=np.uint64(0))), _packed(counts[a:z])))
-    return out
+@dataclass(frozen=True)
+class Level:
+    """Nodes that take up to ``fan`` senders each, and the number of a node's buckets. ``bits`` are those of the hashes
+    of single words and of longer n-grams."""
+
+    fan: int
+    buckets: int
+    bits: tuple[int, int]
+
+    @classmethod
+    def tree(cls, size: int, blocks: int, block: int, bucket: int, fan: int, bits: tuple[int, int]) -> list[Level]:
+        """The levels above the blocks, up to a single node."""
+        out, nodes, reach = [], blocks, block
+        while not out or nodes > 1:
+            nodes, reach = math.ceil(nodes / fan), reach * fan
+            out.append(cls(fan, max(1, math.ceil((size if nodes == 1 else min(size, reach)) / bucket)), bits))
+        return out
+
+    def runs(self, sender: tuple[int, int], rank: int, keys: np.ndarray, counts: np.ndarray) -> list[tuple]:
+        """For each bucket the sorted hashes, as differences, and their counts."""
+        cuts = _cut(keys, self.buckets, self.bits[min(rank, 1)])
+        return [(sender[0] // self.fan, b, *sender, rank, _packed(np.diff(keys[a:z], prepend=np.uint64(0))), _packed(counts[a:z])) for b, a, z in cuts]
+
+
+def _runs_of(grams: Grams, trained: np.ndarray, number: int, order: int, level: Level) -> list[tuple]:
+    """What a block sends: its n-grams and their counts in training."""
+    return [run for rank in range(order) for run in level.runs((number, 0), rank, *grams.counted(rank, trained))]
 
 
 def _text(block: pa.Table) -> pa.Array:
     return pa.chunked_array(block["text"].chunks, pa.string()).combine_chunks()
 
 
-def _runs(block: pa.Table, order: int, buckets: int, bits: tuple[int, int]) -> pa.Table:
-    return _table(_runs_of(Grams.of(_text(block), order, bits), ~block["held_out"].to_numpy(), block["block"][0].as_py(), order, buckets, bits), RUN)
+def _runs(block: pa.Table, order: int, level: Level) -> pa.Table:
+    return _table(_runs_of(Grams.of(_text(block), order, level.bits), ~block["held_out"].to_numpy(), block["block"][0].as_py(), order, level), RUN)
 
 
-def _word_runs(batches: Iterator[pa.RecordBatch], buckets: int, bits: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Runs of the single words of texts, all of them trained on."""
+def _word_runs(batches: Iterator[pa.RecordBatch], blocks: int, level: Level) -> Iterator[pa.RecordBatch]:
+    """Runs of the single words of texts, all of them trained on. Each batch sends as one of the blocks, dealt in turn
+    from a place of the task's own."""
+    place = TaskContext.get().partitionId() * 0x9E3779B1
     for b in batches:
         held = np.cumsum(pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False)) // BATCH
         edges = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), b.num_rows]
         for a, z in zip(edges, edges[1:], strict=False):
             texts = b.column(0).slice(a, z - a)
-            yield from _table(_runs_of(Grams.of(texts, 1, bits), np.ones(len(texts), bool), 0, 1, buckets, bits), RUN).to_batches()
-
-
-def _summed(runs: pa.Table, rank: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray, np.ndarray]:
-    """The runs of a rank: where they are, their sizes, the order of all their hashes, which distinct one each is in that
-    order, and the totals of the distinct ones."""
-    own = np.flatnonzero(runs["rank"].to_numpy() == rank).tolist()
-    some = runs.take(pa.array(own))
-    keys = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k in some["keys"].to_pylist()]
-    order = np.argsort(everything := np.concatenate(keys))
-    which = np.cumsum(np.diff(ordered := everything[order], prepend=ordered[:1]) > 0)
-    weights = np.concatenate([_unpacked(c, np.uint32) for c in some["counts"].to_pylist()])
-    return own, [*map(len, keys)], order, which, np.bincount(which, weights=weights[order]).astype(np.uint64)
-
-
-def _answers(runs: pa.Table) -> pa.Table:
-    """For each run of a bucket the total counts of its n-grams."""
-    block, bucket, out = runs["block"].to_numpy(), runs["bucket"][0].as_py(), []
-    for rank in sorted({*runs["rank"].to_pylist()}):
-        own, sizes, order, which, totals = _summed(runs, rank)
-        each = np.empty(len(order), np.uint64)
-        each[order] = totals[which]
-        out += [(int(block[i]), bucket, rank, _packed(x)) for i, x in zip(own, np.split(each, np.cumsum(sizes)[:-1]), strict=True)]
+            place += 1
+            yield from _table(_runs_of(Grams.of(texts, 1, level.bits), np.ones(len(texts), bool), place % blocks, 1, level), RUN).to_batches()
+
+
+@dataclass
+class Bucket:
+    """The runs of one rank in a bucket: which rows they are, how many hashes each has, the order that sorts all their
+    hashes, which of the distinct ones each is in that order, the distinct ones and the sums of their counts."""
+
+    rows: list[int]
+    sizes: list[int]
+    order: np.ndarray
+    which: np.ndarray
+    keys: np.ndarray
+    totals: np.ndarray
+
+    @classmethod
+    def of(cls, runs: pa.Table, rank: int) -> Bucket:
+        rows = np.flatnonzero(runs["rank"].to_numpy() == rank).tolist()
+        some = runs.take(pa.array(rows))
+        packed = [*zip(some["keys"].to_pylist(), some["counts"].to_pylist(), strict=True)]
+        keys = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k, _ in packed]
+        order = np.argsort(everything := np.concatenate(keys))
+        ordered = everything[order]
+        new = np.diff(ordered, prepend=ordered[:1]) > 0
+        which = np.cumsum(new)
+        new[:1] = True
+        # Blocks count in 32 bits, nodes in 64.
+        counts = np.concatenate([_unpacked(c, f"u{8 * len(c) // len(k)}").astype(np.uint64) for k, c in packed])[order]
+        return cls(rows, [*map(len, keys)], order, which, ordered[new], np.add.reduceat(counts, np.flatnonzero(new)))
+
+    def back(self, runs: pa.Table, rank: int, totals: np.ndarray) -> list[tuple]:
+        """For each run what ``totals`` has for its hashes, in the order sent."""
+        each = np.empty(len(self.order), np.uint64)
+        each[self.order] = totals[self.which]
+        block, part, bucket = runs["block"].to_numpy(), runs["part"].to_numpy(), runs["bucket"][0].as_py()
+        return [(int(block[i]), int(part[i]), bucket, rank, _packed(x)) for i, x in zip(self.rows, np.split(each, np.cumsum(self.sizes)[:-1]), strict=True)]
+
+
+def _ranks(runs: pa.Table) -> list[int]:
+    return sorted({*runs["rank"].to_pylist()})
+
+
+def _sends_to(level: Level) -> Callable[[pa.Table], pa.Table]:
+    """What makes the sums of a bucket runs for the level above."""
+
+    def sent(runs: pa.Table) -> pa.Table:
+        sender, out = (runs["node"][0].as_py(), runs["bucket"][0].as_py()), []
+        for rank in _ranks(runs):
+            own = Bucket.of(runs, rank)
+            out += level.runs(sender, rank, own.keys, own.totals)
+        return _table(out, RUN)
+
+    return sent
+
+
+def _totals(answers: pa.Table) -> dict[int, np.ndarray]:
+    """By rank, what a sender's answers say of its sorted distinct hashes: buckets are ranges of them."""
+    rows, out = sorted(answers.drop_columns(["block", "part"]).to_pylist(), key=lambda r: (r["rank"], r["bucket"])), {}
+    for r in rows:
+        out.setdefault(r["rank"], []).append(_unpacked(r["totals"], np.uint64))
+    return {rank: np.concatenate(found) for rank, found in out.items()}
+
+
+def _answers(runs: pa.Table, above: pa.Table | None = None) -> pa.Table:
+    """For each run of a bucket the total counts of its n-grams: the bucket's sums, or what the level above answers."""
+    out, known = [], None if above is None else _totals(above)
+    for rank in _ranks(runs):
+        own = Bucket.of(runs, rank)
+        out += own.back(runs, rank, own.totals if known is None else known[rank])
     return _table(out, ANSWER)
 
 
+def _climbed(runs: DataFrame, levels: list[Level]) -> list[DataFrame]:
+    """The runs that each level gets, from those of the blocks on."""
+    out = [runs]
+    for level in levels[1:]:
+        out.append(out[-1].groupBy("node", "bucket").applyInArrow(_sends_to(level), RUN))
+    return out
+
+
+def _answered(climbed: list[DataFrame]) -> DataFrame:
+    """The answers to the runs of the blocks."""
+    *lower, top = climbed
+    answers = top.groupBy("node", "bucket").applyInArrow(lambda t: _answers(t), ANSWER)
+    for runs in reversed(lower):
+        answers = runs.groupBy("node", "bucket").cogroup(answers.groupBy("block", "part")).applyInArrow(_answers, ANSWER)
+    return answers
+
+
 @dataclass(frozen=True)
 class Words:
     """Of all texts trained on: how many there are, how many tokens, and how many kinds of token, in all, come once and
@@ -199,16 +293,16 @@ class Words:
     twice: int
 
     @classmethod
-    def of(cls, texts: DataFrame, buckets: int, bits: tuple[int, int]) -> Words:
+    def of(cls, texts: DataFrame, blocks: int, levels: list[Level]) -> Words:
         """Of the texts in a table of one column."""
 
         def summed(runs: pa.Table) -> pa.Table:
-            totals = _summed(runs, 0)[4]
+            totals = Bucket.of(runs, 0).totals
             sums = [len(totals), int(totals.sum()), int((totals == 1).sum()), int((totals == 2).sum())]
             return pa.table({n: pa.array([x], pa.int64()) for n, x in zip("abcd", sums, strict=True)})
 
-        runs = texts.mapInArrow(lambda b: _word_runs(b, buckets, bits), RUN)
-        sums = runs.groupBy("bucket").applyInArrow(summed, "a long, b long, c long, d long")
+        runs = _climbed(texts.mapInArrow(lambda b: _word_runs(b, blocks, levels[0]), RUN), levels)[-1]
+        sums = runs.groupBy("node", "bucket").applyInArrow(summed, "a long, b long, c long, d long")
         types, tokens, once, twice = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in "abcd")).first()
         return cls(texts.count(), tokens, types, once, twice)
 
@@ -285,16 +379,14 @@ class Automaton:
 def _scored(block: pa.Table, answers: pa.Table, order: int, mu: float, bits: tuple[int, int], words: Words) -> pa.Table:
     grams = Grams.of(_text(block), order, bits)
     block = block.select(["doc_id", "held_out"])
-    rows, placed = sorted(answers.to_pylist(), key=lambda r: (r["rank"], r["bucket"])), []
-    for k in range(order):
-        totals = np.concatenate([np.zeros(0, np.uint64), *(_unpacked(r["totals"], np.uint64) for r in rows if r["rank"] == k)])
-        placed.append(grams.spread(k, totals))
+    totals = _totals(answers)
+    placed = [grams.spread(k, totals.get(k, np.zeros(0, np.uint64))) for k in range(order)]
     grams.keys.clear()
     there, n = grams.there(0), len(block)
     seen, doc = placed[0][there], grams.doc[there]
     base = np.bincount(doc, weights=np.log10((seen + 1) / (words.tokens + words.types + 1)), minlength=n)
     machine = Automaton(grams, placed, words, mu)
-    del placed, rows
+    del placed, totals
     added = {
         "n_tokens": pa.array(np.bincount(doc, minlength=n), pa.int64()),
         "n_known": pa.array(np.bincount(doc, weights=seen > 0, minlength=n).astype(np.int64), pa.int64()),
@@ -305,7 +397,7 @@ def _scored(block: pa.Table, answers: pa.Table, order: int, mu: float, bits: tup
     return pa.table({"doc_id": block["doc_id"], "held_out": block["held_out"], **added})
 
 
-def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, mu: float = MU, block: int = BLOCK, bucket: int = BUCKET) -> DataFrame:
+def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, mu: float = MU, block: int = BLOCK, bucket: int = BUCKET, fan: int = FAN) -> DataFrame:
     """One row per row of ``docs``: its id, ``held_out``, token counts, the add-one unigram ``base_score`` and ``score``.
 
     Learns from the rows whose crc32(id as text) mod 7 is not 2; a row without an id has the empty id. A text is
@@ -314,19 +406,19 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     trained on, every word is the unknown one, of probability 1. Other columns play no part.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_of(text)) + 1), F.lit(0))).first()[0]
-    blocks, buckets = max(1, math.ceil(size / block)), max(1, math.ceil(size / bucket))
+    blocks = max(1, math.ceil(size / block))
     bits = tuple(min(63, max(40, spare + math.ceil(math.log2(size + 1)))) for spare in (SPARE_WORDS, SPARE))
+    levels = Level.tree(size, blocks, block, bucket, fan, bits)
     number = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     held_out = F.crc32(number.cast("binary")) % FOLDS == HELD_OUT
-    words = Words.of(docs.filter(~held_out).select(text_of(text).alias("text")), buckets, bits)
+    words = Words.of(docs.filter(~held_out).select(text_of(text).alias("text")), blocks, levels)
     dealt = docs.select(
         F.pmod(F.xxhash64(doc_id, text), F.lit(blocks)).cast("int").alias("block"),
         F.col(doc_id).alias("doc_id"),
         text_of(text).alias("text"),
         held_out.alias("held_out"),
     ).repartition(min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block")
-    runs = dealt.groupBy("block").applyInArrow(lambda t: _runs(t, order, buckets, bits), RUN)
-    answers = runs.groupBy("bucket").applyInArrow(_answers, ANSWER)
+    answers = _answered(_climbed(dealt.groupBy("block").applyInArrow(lambda t: _runs(t, order, levels[0]), RUN), levels))
     out = docs.select(F.col(doc_id).alias("doc_id")).schema
     schema = out.add("held_out", "boolean").add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: _scored(t, a, order, mu, bits, words), schema)

@@ -83,6 +83,30 @@ def test_lm_scoring(spark, monkeypatch, order):
         assert g[5:] == pytest.approx(w[5:], rel=1e-9)
 
 
+@pytest.mark.parametrize("fan", [2, 5])
+def test_lm_tree_of_blocks(spark, fan, monkeypatch):
+    """With a word and a pair of words in every block, a bucket of the tree has at most ``fan`` entries of an n-gram, and
+    scores are those of a tree of one node."""
+    monkeypatch.setattr(lmscore, "BATCH", 300)
+    rng = random.Random(5)
+    rows = [(i, "the of " + prose(rng, rng.randrange(30), 60)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, lmscore.scored(df, block=700, bucket=1500, fan=fan).collect()))
+    for g, w in zip(got, sorted(model_by_hand(rows, lmscore.MU)), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+    levels = lmscore.Level.tree(14_000, 20, 700, 1500, fan, (44, 44))
+    assert levels[0].buckets == -(-700 * fan // 1500) and levels[-1].buckets == 10 and len(levels) == {2: 5, 5: 2}[fan]
+    blocks = spark.createDataFrame([(k, "the of the", False) for k in range(20)], "block int, text string, held_out boolean")
+    runs = blocks.groupBy("block").applyInArrow(lambda t: lmscore._runs(t, 3, levels[0]), lmscore.RUN)
+    climbed = lmscore._climbed(runs, levels)
+    for runs in climbed:
+        most = runs.groupBy("node", "bucket", "rank", "keys").count().agg(F.max("count")).first()[0]
+        assert most <= fan
+    assert {r.node for r in climbed[-1].select("node").collect()} == {0}
+    assert lmscore._answered(climbed).count() == climbed[0].count()
+
+
 def test_lm_query(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     want = {r[0]: r for r in model_by_hand(rows, lmscore.MU)}
