@@ -68,7 +68,7 @@ def _packed(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
 
 
-def _unpacked(data: bytes, kind) -> np.ndarray:
+def _unpacked(data: bytes | pa.Buffer, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
 
@@ -198,29 +198,33 @@ def _word_runs(batches: Iterator[pa.RecordBatch], blocks: int, level: Level) ->
 @dataclass
 class Bucket:
     """The runs of one rank in a bucket: which rows they are, how many hashes each has, the order that sorts all their
-    hashes, which of the distinct ones each is in that order, the distinct ones and the sums of their counts."""
+    hashes, which of the distinct ones each is in that order, the sums of the counts of the distinct ones and, where they
+    are to be sent on, these."""
 
     rows: list[int]
     sizes: list[int]
     order: np.ndarray
     which: np.ndarray
-    keys: np.ndarray
     totals: np.ndarray
+    keys: np.ndarray | None
 
     @classmethod
-    def of(cls, runs: pa.Table, rank: int) -> Bucket:
+    def of(cls, runs: pa.Table, rank: int, sent_on: bool = False) -> Bucket:
         rows = np.flatnonzero(runs["rank"].to_numpy() == rank).tolist()
-        some = runs.take(pa.array(rows))
-        packed = [*zip(some["keys"].to_pylist(), some["counts"].to_pylist(), strict=True)]
-        keys = [np.cumsum(_unpacked(k, np.uint64), dtype=np.uint64) for k, _ in packed]
-        order = np.argsort(everything := np.concatenate(keys))
-        ordered = everything[order]
-        new = np.diff(ordered, prepend=ordered[:1]) > 0
-        which = np.cumsum(new)
-        new[:1] = True
+        own = runs.select(["keys", "counts"]).take(pa.array(rows))
+        sizes = (pc.binary_length(own["keys"]).to_numpy() // 8).tolist()
+        keys = np.concatenate([np.cumsum(_unpacked(k.as_buffer(), np.uint64), dtype=np.uint64) for k in own["keys"]])
+        order = np.argsort(keys)
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        keys = keys[new] if sent_on else None
+        which = np.cumsum(new, dtype=np.int32)
+        which -= 1
         # Blocks count in 32 bits, nodes in 64.
-        counts = np.concatenate([_unpacked(c, f"u{8 * len(c) // len(k)}").astype(np.uint64) for k, c in packed])[order]
-        return cls(rows, [*map(len, keys)], order, which, ordered[new], np.add.reduceat(counts, np.flatnonzero(new)))
+        counts = np.concatenate([_unpacked(c.as_buffer(), f"u{c.as_buffer().size // n}") for c, n in zip(own["counts"], sizes, strict=True)])
+        del own
+        counts = counts[order]
+        return cls(rows, sizes, order, which, np.add.reduceat(counts, np.flatnonzero(new), dtype=np.uint64), keys)
 
     def back(self, runs: pa.Table, rank: int, totals: np.ndarray) -> list[tuple]:
         """For each run what ``totals`` has for its hashes, in the order sent."""
@@ -240,27 +244,29 @@ def _sends_to(level: Level) -> Callable[[pa.Table], pa.Table]:
     def sent(runs: pa.Table) -> pa.Table:
         sender, out = (runs["node"][0].as_py(), runs["bucket"][0].as_py()), []
         for rank in _ranks(runs):
-            own = Bucket.of(runs, rank)
+            own = Bucket.of(runs, rank, sent_on=True)
             out += level.runs(sender, rank, own.keys, own.totals)
         return _table(out, RUN)
 
     return sent
 
 
-def _totals(answers: pa.Table) -> dict[int, np.ndarray]:
-    """By rank, what a sender's answers say of its sorted distinct hashes: buckets are ranges of them."""
-    rows, out = sorted(answers.drop_columns(["block", "part"]).to_pylist(), key=lambda r: (r["rank"], r["bucket"])), {}
-    for r in rows:
-        out.setdefault(r["rank"], []).append(_unpacked(r["totals"], np.uint64))
-    return {rank: np.concatenate(found) for rank, found in out.items()}
+def _in_order(answers: pa.Table) -> list[dict]:
+    """A sender's answers by buckets, which are ranges of the hashes."""
+    return sorted(answers.select(["bucket", "rank", "totals"]).to_pylist(), key=lambda r: (r["rank"], r["bucket"]))
+
+
+def _totals(rows: list[dict], rank: int) -> np.ndarray:
+    """What answers say of the sorted distinct hashes of a rank."""
+    return np.concatenate([np.zeros(0, np.uint64), *(_unpacked(r["totals"], np.uint64) for r in rows if r["rank"] == rank)])
 
 
 def _answers(runs: pa.Table, above: pa.Table | None = None) -> pa.Table:
     """For each run of a bucket the total counts of its n-grams: the bucket's sums, or what the level above answers."""
-    out, known = [], None if above is None else _totals(above)
+    out, known = [], None if above is None else _in_order(above)
     for rank in _ranks(runs):
         own = Bucket.of(runs, rank)
-        out += own.back(runs, rank, own.totals if known is None else known[rank])
+        out += own.back(runs, rank, own.totals if known is None else _totals(known, rank))
     return _table(out, ANSWER)
 
 
@@ -379,14 +385,14 @@ class Automaton:
 def _scored(block: pa.Table, answers: pa.Table, order: int, mu: float, bits: tuple[int, int], words: Words) -> pa.Table:
     grams = Grams.of(_text(block), order, bits)
     block = block.select(["doc_id", "held_out"])
-    totals = _totals(answers)
-    placed = [grams.spread(k, totals.get(k, np.zeros(0, np.uint64))) for k in range(order)]
+    rows = _in_order(answers)
+    placed = [grams.spread(k, _totals(rows, k)) for k in range(order)]
     grams.keys.clear()
     there, n = grams.there(0), len(block)
     seen, doc = placed[0][there], grams.doc[there]
     base = np.bincount(doc, weights=np.log10((seen + 1) / (words.tokens + words.types + 1)), minlength=n)
     machine = Automaton(grams, placed, words, mu)
-    del placed, totals
+    del placed, rows
     added = {
         "n_tokens": pa.array(np.bincount(doc, minlength=n), pa.int64()),
         "n_known": pa.array(np.bincount(doc, weights=seen > 0, minlength=n).astype(np.int64), pa.int64()),
