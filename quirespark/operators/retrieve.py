@@ -393,14 +393,15 @@ def segment(rank: Column, source: Column, text: Column, section: Column | None =
 
 def _prefixes(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     """Of rows (query, rank, segment) those that can be among the first of their query within the budget, as far as the
-    task knows: what the segments of lesser rank in the same task leave room for, and the first one, cut to the budget."""
+    task knows: what the segments of lesser rank in the same task leave room for, and the first one, cut to the budget.
+    The first that does not fit comes without its text: its length ends the query's context, whatever other tasks hold."""
     held: dict = {}  # query: sorted (rank, length, segment), the budget and one segment at most
     size, names = 0, None
 
     def cut(own: list) -> list:
         own.sort(key=lambda x: x[0])
-        total = np.cumsum([n for _, n, _ in own])
-        return own[: max(1, int(np.searchsorted(total, budget, "right")))]
+        fits = int(np.searchsorted(np.cumsum([n for _, n, _ in own]), budget, "right"))
+        return own[: max(1, fits)] + [(rank, n, "") for rank, n, _ in own[max(1, fits) : fits + 1]]
 
     def batch(rows: list[tuple], kinds: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["query_id", "rank", "_length", "segment"])
@@ -435,7 +436,7 @@ def contexts(segments: DataFrame, budget: int = 10_000) -> DataFrame:
     """(query_id, context, used): ranked segments while they fit the budget; a first one that does not fit is cut.
 
     Tasks cut what they hold of a query to its budget before anything is shuffled, so that a query's window sees at most
-    the budget from each. Segments of null are left out; ranks of a query are distinct.
+    the budget from each, and the length of the first segment beyond it. Segments of null are left out; ranks of a query are distinct.
     """
     budget = max(320, budget)
     kinds = ", ".join(f"`{c}` {k}" for c, k in segments.select("query_id", "rank").dtypes)
