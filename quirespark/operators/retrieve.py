@@ -18,7 +18,7 @@ from quirespark.sources import store
 K1, B, EPSILON = 1.5, 0.75, 0.25
 LEXICAL, DENSE = 0.4, 0.6
 #: So many distinct query terms (a string and a double each) may be broadcast; beyond it the join shuffles.
-BROADCAST_TERMS = 200_000
+BROADCAST_TERMS = 50_000
 DIGITS = 6
 
 
@@ -58,11 +58,12 @@ def _weights(docs: DataFrame, terms: DataFrame, text: str, epsilon: float) -> Da
     return weights.select("term", "avg_length", F.when(idf < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(idf).alias("idf"))
 
 
-#: A block of queries and an Arrow batch make so many scores at a time.
-MATRIX_CELLS = 1 << 22
+#: A task scores documents of so many tokens at a time, and hands on rows in batches of so many.
+SLICE_TOKENS, ROWS = 1 << 20, 1 << 16
 #: Query terms of so many bytes in all may be broadcast, with 24 bytes for each besides.
-BROADCAST_BYTES = 32 << 20
-SALTS = 16
+BROADCAST_BYTES = 8 << 20
+#: Beyond that, queries of so many bytes of terms and documents of so many bytes of text meet in a task.
+QUERY_BYTES, DOC_BYTES = 16 << 20, 32 << 20
 
 
 def weighted(docs: DataFrame, queries: DataFrame, query_id: str = "query_id", text: str = "text", query_text: str = "text", epsilon: float = EPSILON) -> DataFrame:
@@ -86,90 +87,166 @@ def scored(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", text: st
     """(query, doc, bm25) for queries that are ``weighted``; with ``edges`` also (query, null, null, low, high, n) of the
     scores of all n documents that share a term with the query, in parts to be merged.
 
-    Query terms, counted first, go to every task, which scores documents whole, an Arrow batch against a block of
-    queries at a time; nothing is shuffled. Beyond ``BROADCAST_TERMS`` or ``BROADCAST_BYTES`` postings and queries meet in
-    a join on the term in which both sides are salted.
+    Query terms, counted first, go to every task, which scores documents whole, a slice of an Arrow batch at a time, and
+    keeps its own best and extremes; nothing is shuffled. Beyond ``BROADCAST_TERMS`` or ``BROADCAST_BYTES`` blocks of queries
+    and parts of the documents, both bounded by bytes, meet in tasks that do the same, and the driver sees none of them.
     """
-    kinds = f"query_id {weights.schema['query_id'].dataType.simpleString()}, doc_id {docs.select(F.col(doc_id)).schema[0].dataType.simpleString()}, bm25 double"
+    id_type, doc_type = weights.schema["query_id"].dataType, docs.select(F.col(doc_id)).schema[0].dataType
+    kinds = f"query_id {id_type.simpleString()}, doc_id {doc_type.simpleString()}, bm25 double"
     kinds += ", low double, high double, n long" if edges else ""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     n, size = weights.agg(F.count("*"), F.sum(F.octet_length("term") + 24)).first()
     if n > BROADCAST_TERMS or (size or 0) > BROADCAST_BYTES:
-        return _scored_by_join(docs, weights, doc_id, text, k1, b, edges)
+        return _scored_in_blocks(own, weights, size, kinds, k1, b, top, edges)
     rows = weights.orderBy("query_id", "term").collect()
     if not rows:
         return docs.sparkSession.createDataFrame([], kinds)
-    average, names, queries = rows[0]["avg_length"], sorted({r["term"] for r in rows}), {}
-    place = {t: i for i, t in enumerate(names)}
-    for r in rows:
-        queries.setdefault(r["query_id"], []).append((place[r["term"]], r["w"]))
-    ids, asked, terms = pa.array(list(queries), to_arrow_type(weights.schema["query_id"].dataType)), list(queries.values()), pa.array(names)
+    asked = pa.table({"query_id": pa.array([r["query_id"] for r in rows], to_arrow_type(id_type)), "term": [r["term"] for r in rows], "w": [r["w"] for r in rows]})
+    average = rows[0]["avg_length"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _Scores(asked, average, k1, b, top, edges)
         for batch in batches:
-            words, n = batch.column(1), batch.num_rows
-            if not n:
+            yield from scores.add(batch.column(0), batch.column(1))
+        yield from scores.end()
+
+    return own.select("doc_id", tokens(F.col("text"))).mapInArrow(score, kinds)
+
+
+def _scored_in_blocks(docs: DataFrame, weights: DataFrame, size: int, kinds: str, k1: float, b: float, top: int | None, edges: bool) -> DataFrame:
+    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    blocks, parts = -(-size // QUERY_BYTES), max(1, -(-text_bytes // DOC_BYTES))
+    dealt = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = weights.withColumn("_i", dealt(blocks, "query_id")).withColumn("_j", every(parts))
+    right = docs.select("doc_id", tokens(F.col("text")).alias("words"), dealt(parts, "doc_id", "text").alias("_j")).withColumn("_i", every(blocks))
+    names = [f.strip().split()[0] for f in kinds.split(", ")]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            scores = _Scores(left.sort_by([("query_id", "ascending"), ("term", "ascending")]), left["avg_length"][0].as_py(), k1, b, top, edges)
+            for batch in right.select(["doc_id", "words"]).to_batches():
+                out += scores.add(batch.column(0), batch.column(1))
+            out += scores.end()
+        if out:
+            return pa.Table.from_batches(out)
+        kind = [left.schema.field("query_id").type, right.schema.field("doc_id").type, *[pa.float64()] * (len(names) - 2)]
+        return pa.table([pa.array([], pa.int64() if name == "n" else k) for name, k in zip(names, kind, strict=True)], names=names)
+
+    return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(score, kinds)
+
+
+class _Scores:
+    """Scores of documents for the queries ``asked`` (query_id, term, w), sorted by these, as record batches: all pairs as they come,
+    or at the end the ``top`` best of each query; and with ``edges`` the extremes of all."""
+
+    def __init__(self, asked: pa.Table, average: float, k1: float, b: float, top: int | None, edges: bool):
+        asked = asked.combine_chunks()
+        place = asked["term"].combine_chunks().dictionary_encode()
+        place = place.chunk(0) if isinstance(place, pa.ChunkedArray) else place
+        names = pc.array_sort_indices(place.dictionary)
+        self.terms, rank = place.dictionary.take(names), np.empty(len(names), np.int64)
+        rank[names.to_numpy()] = np.arange(len(names))
+        self.place, self.w = rank[place.indices.to_numpy()], asked["w"].to_numpy()
+        ids = asked["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+        self.ids, self.cuts = ids.dictionary, np.searchsorted(ids.indices.to_numpy(), np.arange(len(ids.dictionary) + 1))
+        self.average, self.k1, self.b, self.top, self.edges = average, k1, b, top, edges
+        n = len(self.ids)
+        self.low, self.high, self.n = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
+        self.least, self.held = np.full(n, -np.inf), []  # what a document has to reach; (query, doc, score) so far
+
+    def add(self, docs: pa.Array, words: pa.ListArray) -> Iterator[pa.RecordBatch]:
+        self.doc_type = docs.type
+        length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total, at = np.cumsum(length), 0
+        while at < len(docs):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_TOKENS, "right")))
+            yield from self._slice(docs.slice(at, end - at), words.slice(at, end - at), length[at:end])
+            at = end
+
+    def _slice(self, docs: pa.Array, words: pa.ListArray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(docs)
+        at = pc.fill_null(pc.index_in(words.flatten(), value_set=self.terms), -1).to_numpy()
+        there = np.flatnonzero(at >= 0)
+        pair, tf = np.unique(at[there].astype(np.int64) * n + np.repeat(np.arange(n), length)[there], return_counts=True)
+        t, d = np.divmod(pair, n)
+        part = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[d] / self.average))
+        ends = np.searchsorted(t, np.arange(len(self.terms) + 1))  # postings of the slice, by term
+        last = pc.sort_indices(docs, sort_keys=[("", "ascending")], null_placement="at_start").to_numpy()
+        order = np.empty(n, np.int64)
+        order[last] = np.arange(n)  # among equal scores the greater id comes first
+        found, rows = [], 0
+        for q in range(len(self.ids)):
+            own = slice(self.cuts[q], self.cuts[q + 1])
+            first, many = ends[self.place[own]], ends[self.place[own] + 1] - ends[self.place[own]]
+            size = int(many.sum())
+            if not size:
                 continue
-            length, doc = pc.list_value_length(words).to_numpy(zero_copy_only=False), pc.list_parent_indices(words).to_numpy()
-            at = pc.fill_null(pc.index_in(words.flatten(), value_set=terms), -1).to_numpy()
-            there = np.flatnonzero(at >= 0)
-            pair, tf = np.unique(at[there].astype(np.int64) * n + doc[there], return_counts=True)
-            t, d = np.divmod(pair, n)
-            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / average))
-            ends = np.searchsorted(t, np.arange(len(terms) + 1)).tolist()  # postings of the batch, by term
-            last = pc.sort_indices(batch.column(0), sort_keys=[("", "ascending")], null_placement="at_start").to_numpy()
-            order = np.empty(n, np.int64)
-            order[last] = np.arange(n)  # among equal scores the greater id comes first
-            block = max(1, MATRIX_CELLS // n)
-            for low in range(0, len(asked), block):
-                some = asked[low : low + block]
-                scores, hit = np.zeros((len(some), n)), np.zeros((len(some), n), bool)
-                for q, own in enumerate(some):
-                    for term, w in own:
-                        own_docs = d[ends[term] : ends[term + 1]]
-                        scores[q, own_docs] += w * part[ends[term] : ends[term + 1]]
-                        hit[q, own_docs] = True  # a weight may be zero
-                scores = np.round(scores, DIGITS)
-                if edges:
-                    lows, highs = np.where(hit, scores, np.inf).min(axis=1), np.where(hit, scores, -np.inf).max(axis=1)
-                    has = np.flatnonzero(hit.any(axis=1))
-                    none = [pa.nulls(len(has), batch.column(0).type), pa.nulls(len(has), pa.float64())]
-                    yield _batch([ids.take(pa.array(low + has)), *none, pa.array(lows[has]), pa.array(highs[has]), pa.array(hit[has].sum(axis=1))])
-                q, x = _best_of(scores, hit, order, top)
-                found = [ids.take(pa.array(low + q)), batch.column(0).take(pa.array(x)), pa.array(scores[q, x])]
-                yield _batch([*found, *([pa.nulls(len(q), k) for k in (pa.float64(), pa.float64(), pa.int64())] if edges else [])])
-
-    return docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w")).mapInArrow(score, kinds)
+            which = np.repeat(first - np.cumsum(many) + many, many) + np.arange(size)
+            of = d[which]
+            score = np.bincount(of, np.repeat(self.w[own], many) * part[which], n)
+            x = np.flatnonzero(score > 0 if (self.w[own] > 0).all() else np.bincount(of, minlength=n))  # a weight may be zero
+            score = np.round(score[x], DIGITS)
+            if self.edges:
+                self.low[q], self.high[q], self.n[q] = min(self.low[q], score.min()), max(self.high[q], score.max()), self.n[q] + len(x)
+            if self.top is not None:
+                x, score = _best_of(x, score, order, self.top, self.least[q])
+            if len(x):
+                found.append((np.full(len(x), q), x, score))
+                rows += len(x)
+            if rows > ROWS:
+                yield from self._taken(found, docs)
+                found, rows = [], 0
+        yield from self._taken(found, docs)
+
+    def _taken(self, found: list, docs: pa.Array) -> Iterator[pa.RecordBatch]:
+        if found:
+            q, x, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            rows = pa.table({"q": q, "doc": docs.take(pa.array(x)), "bm25": score})
+            if self.top is None:
+                yield self._batch(rows)
+            else:
+                self.held.append(rows)
+                if sum(map(len, self.held)) > max(4 * ROWS, 2 * self.top * len(self.ids)):
+                    self._cut()
+
+    def _cut(self) -> None:
+        rows = pa.concat_tables(self.held)
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("q", "ascending"), ("bm25", "descending"), ("doc", "descending")]))
+        q, score = rows["q"].to_numpy(), rows["bm25"].to_numpy()
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        self.held = [rows.take(pa.array(np.flatnonzero(place < self.top))).combine_chunks()]
+        full = place == self.top - 1
+        self.least[q[full]] = score[full]
+
+    def _batch(self, rows: pa.Table) -> pa.RecordBatch:
+        doc = rows["doc"].combine_chunks()
+        columns = [self.ids.take(pa.array(rows["q"].to_numpy())), doc.chunk(0) if isinstance(doc, pa.ChunkedArray) else doc, pa.array(rows["bm25"].to_numpy())]
+        return _batch([*columns, *([pa.nulls(len(rows), k) for k in (pa.float64(), pa.float64(), pa.int64())] if self.edges else [])])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        has = np.flatnonzero(self.n)
+        if self.held:
+            self._cut()
+            yield from (self._batch(self.held[0].slice(at, ROWS)) for at in range(0, len(self.held[0]), ROWS))
+        if len(has):
+            yield _batch([self.ids.take(pa.array(has)), pa.nulls(len(has), self.doc_type), pa.nulls(len(has), pa.float64()), pa.array(self.low[has]), pa.array(self.high[has]), pa.array(self.n[has])])
 
 
 def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "bm25", "low", "high", "n"][: len(columns)])
 
 
-def _best_of(scores: np.ndarray, hit: np.ndarray, order: np.ndarray, top: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of what is ``hit``, or of the ``top`` best in each row of it."""
-    if top is None or scores.shape[1] <= top:
-        return np.nonzero(hit)
-    worth = np.where(hit, scores, -np.inf)
-    least = np.partition(worth, worth.shape[1] - top, axis=1)[:, worth.shape[1] - top]
-    q, x = np.nonzero(hit & (worth >= least[:, None]))
-    ranked_ = np.lexsort((-order[x], -worth[q, x], q))
-    q, x = q[ranked_], x[ranked_]
-    first = np.searchsorted(q, np.arange(len(scores)))
-    kept = np.arange(len(q)) - first[q] < top
-    return q[kept], x[kept]
-
-
-def _scored_by_join(docs: DataFrame, weights: DataFrame, doc_id: str, text: str, k1: float, b: float, edges: bool) -> DataFrame:
-    salted = weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    postings = _postings(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id").withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = postings.join(salted, ["term", "_salt"]).groupBy("query_id", "doc_id").agg(_sum(k1, b))
-    if not edges:
-        return out
-    out = store.written(out)
-    none = lambda kind: F.lit(None).cast(kind)
-    ends = out.groupBy("query_id").agg(F.min("bm25").alias("low"), F.max("bm25").alias("high"), F.count("*").alias("n"))
-    rows = out.select("*", none("double").alias("low"), none("double").alias("high"), none("long").alias("n"))
-    return rows.unionByName(ends.withColumns({"doc_id": none(out.schema["doc_id"].dataType), "bm25": none("double")}))
+def _best_of(x: np.ndarray, score: np.ndarray, order: np.ndarray, top: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of documents ``x`` the ``top`` best, as far as they reach ``least``."""
+    if len(x) > top:
+        least = max(least, np.partition(score, len(x) - top)[len(x) - top])
+    some = np.flatnonzero(score >= least)
+    if len(some) > top:  # equal scores
+        some = some[np.lexsort((-order[x[some]], -score[some]))[:top]]
+    return x[some], score[some]
 
 
 def _postings(rows: DataFrame, *keys: str) -> DataFrame:
@@ -245,6 +322,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(a, b) / (length(a) * length(b))))
 
 
+#: A block of query vectors and an Arrow batch make so many scores at a time.
+MATRIX_CELLS = 1 << 21
 #: So many query vectors go to every task as one matrix; beyond that, so many and so many corpus vectors meet in a task.
 MATRIX_QUERIES, MATRIX_DOCS = 4096, 262_144
 
@@ -267,13 +346,25 @@ def _by_width(vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {w: (np.array(at), _matrix([vectors[i] for i in at], w)) for w, at in places.items()}
 
 
-def _best(ids: np.ndarray, asked: dict, docs: np.ndarray, vectors: list, k: int) -> pd.DataFrame:
-    found, own = np.zeros((len(ids), len(docs))), _by_width(vectors)
-    for w in asked.keys() & own.keys():
-        (q, a), (d, b) = asked[w], own[w]
-        found[np.ix_(q, d)] = np.round(np.clip(a @ b.T, 0, 1), DIGITS)
-    order = np.lexsort((np.broadcast_to(-docs, found.shape), -found), axis=1)[:, :k]
-    return pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "doc_id": docs[order].ravel(), "dense": np.take_along_axis(found, order, 1).ravel()})
+def _best(ids: np.ndarray, asked: dict, docs: np.ndarray, vectors: list, k: int) -> Iterator[pd.DataFrame]:
+    """The best ``k`` of ``docs`` for each query, ``MATRIX_CELLS`` scores at a time."""
+    own = _by_width(vectors)
+    last = np.argsort(docs, kind="stable")
+    order = np.empty(len(docs), np.int64)
+    order[last] = np.arange(len(docs))  # among equal scores the greater id comes first
+    block = max(1, MATRIX_CELLS // max(1, len(docs)))
+    for low in range(0, len(ids), block):
+        found = np.zeros((min(block, len(ids) - low), len(docs)))
+        for w in asked.keys() & own.keys():
+            (q, a), (d, b) = asked[w], own[w]
+            here = slice(*np.searchsorted(q, (low, low + block)))
+            found[np.ix_(q[here] - low, d)] = np.round(np.clip(a[here] @ b.T, 0, 1), DIGITS)
+        kept = []
+        for q, score in enumerate(found):
+            x, score = _best_of(np.arange(len(docs)), score, order, k, -np.inf)
+            kept.append((np.full(len(x), ids[low + q]), docs[x], score))
+        q, d, score = (np.concatenate(c) for c in zip(*kept, strict=True))
+        yield pd.DataFrame({"query_id": q, "doc_id": d, "dense": score})
 
 
 def dense(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
@@ -294,14 +385,14 @@ def dense(corpus: DataFrame, queries: DataFrame, k: int, doc_id: str = "doc_id",
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch) and len(ids):
-                    yield _best(ids, matrices, batch["doc_id"].to_numpy(), batch["_d"].tolist(), k)
+                    yield from _best(ids, matrices, batch["doc_id"].to_numpy(), batch["_d"].tolist(), k)
 
         return ranked(own.mapInPandas(best, schema), "dense", k)
 
     def met(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "doc_id": [], "dense": []})
-        return _best(left["query_id"].to_numpy(), _by_width(left["vector"].tolist()), right["doc_id"].to_numpy(), right["_d"].tolist(), k)
+        return pd.concat(_best(left["query_id"].to_numpy(), _by_width(left["vector"].tolist()), right["doc_id"].to_numpy(), right["_d"].tolist(), k))
 
     n, m = -(-asked.count() // MATRIX_QUERIES), -(-own.count() // MATRIX_DOCS)
     dealt = lambda side, key, parts: side.withColumn("_own", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))

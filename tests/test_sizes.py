@@ -17,3 +17,18 @@ def test_words_parted_from_their_marks_are_covered(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = sorted(tuple(r) for r in catalog.QUERIES["chunk_properties"](spark, str(tmp_path)).collect())
     assert rows == [(0, True, True, True, True), (1, True, True, True, True), (2, True, True, True, False)]
+
+
+def test_blocks_of_queries_and_documents_equal_one_pass(spark, monkeypatch):
+    """Beyond the bounds neither the terms nor copies of them go through the driver, and tasks keep their best only."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', 'w' || id % 3, 'w' || id % 7, 'w' || id % 50, 'w' || id) AS text")
+    asked = docs.filter("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    weights = retrieve.weighted(docs, asked)
+    rows = lambda **how: sorted(map(str, retrieve.ranked(retrieve.scored(docs, weights, top=5, **how), "bm25", 5).collect()))
+    ends = lambda: sorted(map(str, retrieve.lexical(docs, weights, retrieve.F.lit(300), 5)[1].collect()))
+    want = rows(), ends()
+    for name, least in (("BROADCAST_TERMS", 3), ("QUERY_BYTES", 100), ("DOC_BYTES", 5000), ("SLICE_TOKENS", 20), ("ROWS", 4)):
+        monkeypatch.setattr(retrieve, name, least)
+    assert (rows(), ends()) == want and len(want[0]) == 30
+    plan = retrieve.scored(docs, weights, top=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
