@@ -23,21 +23,36 @@ DIGITS = 6
 
 
 def term_table(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df, docs, length): in how many documents a term is, and, of the documents whose first term it is, how many
-    there are and how long they are, so that one pass gives all of the corpus statistics. A document without terms
-    counts under the null term."""
-    body = let(tokens(F.col(text)), lambda w: F.when(F.size(w) == 0, F.array(_first(F.lit(None).cast("string"), F.lit(0), F.lit(0)))).otherwise(F.transform(F.array_distinct(w), lambda t, i: _first(t, i, F.size(w)))))
-    rows = docs.select(F.inline(body))
-    return rows.groupBy("term").agg(F.count("term").alias("df"), F.count("n").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("length"))
+    """(term, df, docs, length): in how many documents a term is; how many documents there are and how long they are stands
+    at the null term, so that one pass gives all of the corpus statistics. Tasks count a slice of documents at a time."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, length in _slices(batch.column(0)):
+                terms = words.flatten().dictionary_encode()
+                pairs = np.unique(terms.indices.to_numpy().astype(np.int64) * len(words) + np.repeat(np.arange(len(words)), length))
+                df = np.bincount(pairs // len(words), minlength=len(terms.dictionary))
+                none = np.zeros(len(df), np.int64)
+                columns = [pa.concat_arrays([terms.dictionary, pa.nulls(1, terms.dictionary.type)]), *(pa.array(np.append(x, y)) for x, y in ((df, 0), (none, len(words)), (none, length.sum())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["term", "df", "docs", "length"])
+
+    rows = docs.select(tokens(F.col(text))).mapInArrow(counted, "term string, df long, docs long, length long")
+    return rows.groupBy("term").agg(*(F.sum(c).alias(c) for c in ("df", "docs", "length")))
 
 
-def _first(term: Column, place: Column, n: Column) -> Column:
-    return F.struct(term.alias("term"), F.when(place == 0, n).alias("n"))
+def _slices(words: pa.ListArray) -> Iterator[tuple[pa.ListArray, np.ndarray]]:
+    """Lists of words, and how long they are, in stretches of ``SLICE_TOKENS`` words; a longer list is one by itself."""
+    length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    total, at = np.cumsum(length), 0
+    while at < len(words):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_TOKENS, "right")))
+        yield words.slice(at, end - at), length[at:end]
+        at = end
 
 
 def corpus_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row: n_docs, avg_length, n_terms and the mean inverse document frequency over all terms."""
-    return _stats(term_table(docs, text))
+    return _stats(store.written(term_table(docs, text)))
 
 
 def _stats(terms: DataFrame) -> DataFrame:
@@ -52,7 +67,7 @@ def _idf(n: Column, df: Column) -> Column:
 
 def _weights(docs: DataFrame, terms: DataFrame, text: str, epsilon: float) -> DataFrame:
     """(term, avg_length, idf) of those of ``terms`` (term) that the corpus has."""
-    found = term_table(docs, text)  # the shuffle of one is that of the other
+    found = store.written(term_table(docs, text))  # read three times
     weights = found.join(terms, "term", "left_semi").crossJoin(F.broadcast(_stats(found).select("n_docs", "avg_length", "mean_idf")))  # one row
     idf = _idf(F.col("n_docs"), F.col("df"))
     return weights.select("term", "avg_length", F.when(idf < 0, F.lit(epsilon) * F.col("mean_idf")).otherwise(idf).alias("idf"))
@@ -158,13 +173,10 @@ class _Scores:
         self.least, self.held = np.full(n, -np.inf), []  # what a document has to reach; (query, doc, score) so far
 
     def add(self, docs: pa.Array, words: pa.ListArray) -> Iterator[pa.RecordBatch]:
-        self.doc_type = docs.type
-        length = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        total, at = np.cumsum(length), 0
-        while at < len(docs):
-            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE_TOKENS, "right")))
-            yield from self._slice(docs.slice(at, end - at), words.slice(at, end - at), length[at:end])
-            at = end
+        self.doc_type, at = docs.type, 0
+        for some, length in _slices(words):
+            yield from self._slice(docs.slice(at, len(some)), some, length)
+            at += len(some)
 
     def _slice(self, docs: pa.Array, words: pa.ListArray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
         n = len(docs)
