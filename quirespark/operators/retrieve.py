@@ -337,7 +337,7 @@ def cosine(a: Column, b: Column) -> Column:
 #: A block of query vectors and an Arrow batch make so many scores at a time.
 MATRIX_CELLS = 1 << 21
 #: So many query vectors go to every task as one matrix; beyond that, so many and so many corpus vectors meet in a task.
-MATRIX_QUERIES, MATRIX_DOCS = 4096, 262_144
+MATRIX_QUERIES, MATRIX_DOCS = 4096, 65_536
 
 
 def _matrix(vectors: list, dims: int) -> np.ndarray:

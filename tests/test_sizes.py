@@ -1,6 +1,9 @@
 """What only larger tables show: segments of a query in many tasks, and what driver and tasks hold."""
 
-from quirespark.operators import retrieve
+import numpy as np
+import pandas as pd
+
+from quirespark.operators import chunk, retrieve
 from quirespark.plans import catalog
 
 
@@ -32,3 +35,20 @@ def test_blocks_of_queries_and_documents_equal_one_pass(spark, monkeypatch):
     assert (rows(), ends()) == want and len(want[0]) == 30
     plan = retrieve.scored(docs, weights, top=5)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_dense_scores_stay_within_their_bound(monkeypatch):
+    rng = np.random.default_rng(1)
+    asked, docs = retrieve._by_width(list(rng.normal(size=(9, 4)))), list(rng.normal(size=(20, 4)))
+    want = [r for f in retrieve._best(np.arange(9), asked, np.arange(20), docs, 3) for r in f.itertuples(index=False)]
+    monkeypatch.setattr(retrieve, "MATRIX_CELLS", 40)
+    got = list(retrieve._best(np.arange(9), asked, np.arange(20), docs, 3))
+    assert [len(f) for f in got] == [6, 6, 6, 6, 3] and sorted(want) == sorted(r for f in got for r in f.itertuples(index=False))
+
+
+def test_chunks_leave_a_task_in_bounded_frames(monkeypatch):
+    """A batch of documents makes several times its own text in chunks."""
+    monkeypatch.setattr(chunk, "HELD_CHARS", 25)
+    batch = pd.DataFrame({"source_file": list("abcdefg"), "text": ["x" * 10] * 6 + [None]})
+    got = list(chunk._frames([batch], lambda s, t: [{"source_file": s, "text": t}], ["source_file", "text"]))
+    assert [len(f) for f in got] == [3, 3, 1] and "".join(pd.concat(got)["source_file"]) == "abcdefg"
