@@ -69,15 +69,27 @@ def table_ids(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(?iU)Table\s+([\w\-]+)"), F.lit(1)))
 
 
-def _rows(docs: DataFrame, kernel: Callable[[str, str], list[dict]], schema: str) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(", ")]
+#: Chunks of so many characters leave a task's Python together.
+HELD_CHARS = 4 << 20
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [r for source, text in zip(batch["source_file"], batch["text"], strict=True) for r in kernel(source, text or "")]
-            yield pd.DataFrame(found, columns=names)
+def _frames(batches: Iterator[pd.DataFrame], kernel: Callable[[str, str], list[dict]], names: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of every document, as frames of ``HELD_CHARS`` characters of text and those of one document more."""
+    for batch in batches:
+        found, held = [], 0
+        for source, text in zip(batch["source_file"], batch["text"], strict=True):
+            rows = kernel(source, text or "")
+            found += rows
+            held += sum(len(r["text"]) for r in rows)
+            if held > HELD_CHARS:
+                yield pd.DataFrame(found, columns=names)
+                found, held = [], 0
+        yield pd.DataFrame(found, columns=names)
 
-    return docs.select("source_file", "text").mapInPandas(run, schema)
+
+def _rows(docs: DataFrame, kernel: Callable[[str, str], list[dict]], schema: str) -> DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
+    return docs.select("source_file", "text").mapInPandas(lambda batches: _frames(batches, kernel, names), schema)
 
 
 def _sections(text: str) -> list[tuple[dict[str, str], list[str]]]:
