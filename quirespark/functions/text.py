@@ -40,11 +40,11 @@ def led(c: Column, rest: Column) -> Column:
 
 def less(c: Column, char: str, most: int) -> Column:
     """``c`` without up to ``most`` of a character at its start."""
-    return after(c, F.least(F.lit(most), F.length(c) - F.length(ltrim(c, char))))
+    return F.regexp_replace(c, f"^[{char}]{{1,{most}}}", "")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

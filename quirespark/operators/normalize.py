@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -69,17 +71,22 @@ EMPHASIS = ("strong", "b", "em", "i")
 
 def _without_tags(c: Column) -> Column:
     """``c`` without one tag of emphasis at either end."""
-    opened = ltrim(c)
-    for tag in EMPHASIS:
-        opened = F.when(F.lower(ltrim(c)).startswith(f"<{tag}>"), ltrim(after(ltrim(c), len(tag) + 2))).otherwise(opened)
+
+    def opened(x: Column) -> Column:
+        out = x
+        for tag in EMPHASIS:
+            out = F.when(F.lower(F.substring(x, 1, len(tag) + 2)) == f"<{tag}>", ltrim(after(x, len(tag) + 2))).otherwise(out)
+        return out
 
     def closed(x: Column) -> Column:
         out = x
         for tag in EMPHASIS:
-            out = F.when(F.lower(rtrim(x)).endswith(f"</{tag}>"), rtrim(F.substring(rtrim(x), F.lit(1), F.length(rtrim(x)) - len(tag) - 3))).otherwise(out)
+            out = F.when(F.lower(F.substring(x, -len(tag) - 3, len(tag) + 3)) == f"</{tag}>", rtrim(F.substring(x, F.lit(1), F.length(x) - len(tag) - 3))).otherwise(out)
         return out
 
-    return let(opened, closed)
+    # only what begins or ends like a tag is looked at closer
+    start = let(ltrim(c), lambda x: F.when(x.startswith("<"), opened(x)).otherwise(x))
+    return let(start, lambda x: F.when(rtrim(x).endswith(">"), let(rtrim(x), closed)).otherwise(x))
 
 
 def heading_category(c: Column) -> Column:
@@ -168,66 +175,72 @@ def report(headings: Column, model: Column, second: Column, double_check: float
     """What the detection of a document's format rests on; ``model`` and ``second`` are ``labels_said`` or null."""
     share = lambda k: F.aggregate(k, F.lit(0.0), lambda a, x: a + (x == NUMBERED).cast("double")) / F.greatest(F.size(k), F.lit(1))
     count = lambda k, v: F.size(F.filter(k, lambda x: x == v))
-    own = F.transform(headings, heading_category)
-    checked = (F.coalesce(agreement(own, model), F.lit(1.0)) < double_check) & second.isNotNull()
-    answer = F.when(checked, second).otherwise(model)
-    taken = F.coalesce(agreement(own, answer), F.lit(0.0)) >= accept
-    kinds = F.when(taken, answer).otherwise(own)
-    some = F.size(headings) > 0
-    return F.struct(
-        F.when(some & (2 * count(kinds, NUMBERED) >= F.size(kinds)), F.lit(NUMBERED)).otherwise(F.lit(OTHER)).alias("document_format"),
-        F.when(~some, F.lit("none")).when(taken, F.lit("model")).otherwise(F.lit("heuristic")).alias("detector"),
-        F.size(headings).alias("heading_count"),
-        count(kinds, NUMBERED).alias("numbered_count"),
-        count(kinds, OTHER).alias("non_numbered_count"),
-        (some & model.isNotNull()).alias("llm_used"),
-        (some & checked).alias("llm_double_checked"),
-        share(own).alias("heuristic_numbered_ratio"),
-        F.when(some & answer.isNotNull(), share(answer)).alias("llm_numbered_ratio"),
-        F.when(some, agreement(own, answer)).alias("agreement_ratio"),
-    )
+
+    def checked(s: Column) -> Column:
+        """The labels, and whether the first answer agrees so little that the second counts."""
+        again = (F.coalesce(agreement(s["own"], s["model"]), F.lit(1.0)) < double_check) & s["second"].isNotNull()
+        return let(again, lambda x: F.struct(s["own"].alias("own"), x.alias("checked"), F.when(x, s["second"]).otherwise(s["model"]).alias("answer"), s["model"].isNotNull().alias("asked")))
+
+    def compared(s: Column) -> Column:
+        return let(agreement(s["own"], s["answer"]), lambda a: taken(s, a, F.coalesce(a, F.lit(0.0)) >= accept))
+
+    def taken(s: Column, agreed: Column, fits: Column) -> Column:
+        kinds = F.when(fits, s["answer"]).otherwise(s["own"])
+        numbered = lambda k: F.struct(count(k, NUMBERED).alias("n"), count(k, OTHER).alias("o"), F.size(k).alias("t"))
+        return let(let(kinds, numbered), lambda k: told(s, agreed, fits, k))
+
+    def told(s: Column, agreed: Column, fits: Column, k: Column) -> Column:
+        some = F.size(s["own"]) > 0
+        return F.struct(
+            F.when(some & (2 * k["n"] >= k["t"]), F.lit(NUMBERED)).otherwise(F.lit(OTHER)).alias("document_format"),
+            F.when(~some, F.lit("none")).when(fits, F.lit("model")).otherwise(F.lit("heuristic")).alias("detector"),
+            F.size(s["own"]).alias("heading_count"),
+            k["n"].alias("numbered_count"),
+            k["o"].alias("non_numbered_count"),
+            (some & s["asked"]).alias("llm_used"),
+            (some & s["checked"]).alias("llm_double_checked"),
+            share(s["own"]).alias("heuristic_numbered_ratio"),
+            F.when(some & s["answer"].isNotNull(), share(s["answer"])).alias("llm_numbered_ratio"),
+            F.when(some, agreed).alias("agreement_ratio"),
+        )
+
+    labels = F.struct(F.transform(headings, heading_category).alias("own"), model.alias("model"), second.alias("second"))
+    return let(let(labels, checked), compared)
 
 
 def _level(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, "^(#{1,6}) ", 1))
+    return F.when(line.startswith("#"), F.length(F.regexp_extract(line, "^(#{1,6}) ", 1))).otherwise(F.lit(0))
 
 
 def with_hierarchy(c: Column) -> Column:
     """If there are level 1 and deeper headings but no level 2, all deeper ones move up so that 2 is used."""
 
-    def moved(ls: Column) -> Column:
-        levels = F.filter(F.transform(ls, _level), lambda n: n > 0)
+    def moved(text: Column, ls: Column, levels: Column) -> Column:
         gap = F.array_min(F.filter(levels, lambda n: n > 1)) - 2
         wrong = F.array_contains(levels, 1) & ~F.array_contains(levels, 2) & (gap > 0)
 
         def shift(g: Column) -> Column:
-            up = lambda x: F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(2), _level(x) - g)), F.regexp_replace(x, "^#+", ""))
-            return unlines(F.transform(ls, lambda x: F.when(_level(x) > 1, up(x)).otherwise(x)))
-
-        return F.when(wrong, let(gap, shift)).otherwise(c)
-
-    return let(lines(c), moved)
+            up = lambda x, n: F.concat(F.repeat(F.lit("#"), F.greatest(F.lit(2), n - g)), F.regexp_replace(x, "^#+", ""))
+            return unlines(F.zip_with(ls, levels, lambda x, n: F.when(n > 1, up(x, n)).otherwise(x)))
 
+        return F.when(wrong, let(gap, shift)).otherwise(text)
 
-def _marked_by(c: Column, marks: str) -> Column:
-    """``c`` without one of ``marks`` that white space follows."""
-    rest = after(c, 1)
-    return F.when(F.substring(c, 1, 1).isin(*marks) & (ltrim(rest) != rest), ltrim(rest)).otherwise(c)
+    return let(c, lambda t: let(lines(t), lambda ls: let(F.transform(ls, _level), lambda n: moved(t, ls, n))))
 
 
 def _without_lead(c: Column, quotes: bool = True) -> Column:
     """``c`` without what may stand before the number of a section: heading marks, a bullet, a quote, emphasis, in this order."""
-    steps = [ltrim, lambda x: ltrim(less(x, "#", 6)), lambda x: _marked_by(x, "-*+"), *([lambda x: _marked_by(x, ">")] if quotes else []), lambda x: less(x, "*", 2)]
-    out = steps[0](c)
-    for step in steps[1:]:
-        out = let(out, step)
-    return out
+    quote = r"(?:>\s++)?+" if quotes else ""
+    return F.regexp_replace(c, rf"(?U)^\s*+#{{0,6}}+\s*+(?:[-*+]\s++)?+{quote}\*{{0,2}}+", "")
 
 
 def _number(c: Column) -> Column:
     """The section number that ``c`` begins with, else '': parts of digits with single dots between."""
-    parts = F.split(led(c, F.regexp_replace(c, r"(?U)^[\d.]+", "")), "[.]")
-    return let(parts, lambda p: F.array_join(F.when(F.array_contains(p, ""), F.slice(p, F.lit(1), F.array_position(p, "").cast("int") - 1)).otherwise(p), "."))
+    return F.regexp_extract(c, r"(?U)^\d+(?:\.\d+)*", 0)
+
+
+#: What a line has that begins with a number, as only this may stand before one.
+_MAY_NUMBER = r"(?U)^[\s#*+>-]*\d"
 
 
 def promoted(c: Column) -> Column:
@@ -235,15 +248,16 @@ def promoted(c: Column) -> Column:
     number ends in a bracket."""
 
     def up(x: Column) -> Column:
-        return let(_without_lead(x), lambda bare: let(F.struct(bare.alias("bare"), _number(bare).alias("number")), lambda b: raised(x, b["bare"], b["number"])))
+        found = let(_without_lead(x), lambda bare: let(F.struct(bare.alias("bare"), _number(bare).alias("number")), lambda b: raised(x, b["bare"], b["number"])))
+        return F.when(x.rlike(_MAY_NUMBER), found).otherwise(x)
 
     def raised(x: Column, bare: Column, number: Column) -> Column:
         rest = after(bare, F.length(number))
-        listed = led(rest, ltrim(rest, WHITE + ".:-)")).contains(")")
-        title = less(ltrim(rest, WHITE + ".:-"), "*", 2)
-        title = F.reverse(less(F.reverse(rtrim(title)), "*", 2))
-        heading = F.concat_ws(" ", F.repeat(F.lit("#"), F.least(F.lit(6), occurrences(number, ".") + 1)), number, F.when(strip(title) != "", strip(title)))
-        return F.when((number != "") & ~listed, heading).otherwise(x)
+        title = rtrim(F.regexp_replace(rest, r"(?U)^[\s.:-]*+\*{0,2}+", ""))
+        title = strip(F.regexp_replace(title, r"\*{1,2}$", ""))
+        marks = F.repeat(F.lit("#"), F.least(F.lit(6), occurrences(number, ".") + 1))
+        heading = let(title, lambda t: F.concat_ws(" ", marks, number, F.when(t != "", t)))
+        return F.when((number != "") & ~rest.rlike(r"(?U)^[\s.:-]*+\)"), heading).otherwise(x)
 
     return each_line(c, up)
 
@@ -259,10 +273,10 @@ def demoted_front_matter(c: Column) -> Column:
     """Headings before the first numbered line become plain lines."""
 
     def over(ls: Column) -> Column:
-        numbered = F.transform(ls, lambda x, i: F.when(_number(_without_lead(x, quotes=False)) != "", i))
+        numbered = F.transform(ls, lambda x, i: F.when(x.rlike(_MAY_NUMBER) & (_number(_without_lead(x, quotes=False)) != ""), i))
         return let(
             F.coalesce(F.array_min(numbered), F.size(ls)),
-            lambda first: unlines(F.transform(ls, lambda x, i: F.when((i < first) & x.rlike(r"(?U)^\s*#{1,6}\s+"), _bare(x)).otherwise(x))),
+            lambda first: unlines(F.transform(ls, lambda x, i: F.when((i < first) & x.contains("#") & x.rlike(r"(?U)^\s*#{1,6}\s+"), _bare(x)).otherwise(x))),
         )
 
     return let(lines(c), over)
@@ -271,7 +285,7 @@ def demoted_front_matter(c: Column) -> Column:
 def stripped_headings(c: Column) -> Column:
     """Headings whose title is not numbered become plain lines."""
     titled = lambda x: strip(F.regexp_extract(x, _PLAIN_HEADING, 1))
-    return each_line(c, lambda x: F.when(x.rlike(_PLAIN_HEADING) & ~titled(x).rlike(r"(?U)^\d+(?:\.\d+)*\s"), _bare(x)).otherwise(x))
+    return each_line(c, lambda x: F.when(x.contains("#") & x.rlike(_PLAIN_HEADING) & ~titled(x).rlike(r"(?U)^\d+(?:\.\d+)*\s"), _bare(x)).otherwise(x))
 
 
 #: Lines that only name what a model has added.
@@ -303,7 +317,14 @@ def without_context_labels(c: Column) -> Column:
         end = F.when(F.get(kinds, last) == 2, F.array(F.lit(""))).otherwise(F.slice(ls, last + 2, F.size(ls)))
         return F.array_join(F.concat(F.flatten(F.transform(full, piece)), end), "\n")
 
-    return F.when(F.exists(F.split(c, "\n"), _is_label), let(F.split(c, "\n"), kept)).otherwise(c)
+    def looked_at(text: Column) -> Column:
+        """Lines are looked at where the text has the letters of a label; white space may part them."""
+        said = F.lower(F.translate(text, WHITE, ""))
+        some = [F.contains(said, F.lit(x.replace(" ", "").lower())) for x in CONTEXT_LABELS]
+        out = let(F.split(text, "\n"), lambda ls: F.when(F.exists(ls, _is_label), kept(ls)).otherwise(text))
+        return F.when(reduce(or_, some), out).otherwise(text)
+
+    return let(c, looked_at)
 
 
 def locally_normalized(c: Column, labels: bool = False) -> Column:
@@ -367,7 +388,7 @@ def layered(docs: DataFrame, key: str = "source_file", text: str = "text", numbe
         F.min_by("_s.level", F.when(F.col("_s.level").isNotNull(), F.col("_n"))).alias("_level"),
     )
     done = F.when(F.col("_c") == NUMBERED, (numbered or (lambda c: plain(promoted(c))))(F.col("_t"))).otherwise((other or plain)(F.col("_t")))
-    done = F.when(F.col("_t").endswith("\n") & ~done.endswith("\n"), F.concat(done, F.lit("\n"))).otherwise(done)  # some drop the last end of line
+    done = let(done, lambda t: F.when(F.col("_t").endswith("\n") & ~t.endswith("\n"), F.concat(t, F.lit("\n"))).otherwise(t))  # some drop the last end of line
     repaired = runs.select("_k", "_run", done.alias("_t"), "_level")
 
     def levelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
