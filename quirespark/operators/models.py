@@ -155,9 +155,10 @@ def hashed_embedding(c: Column, dims: int = 64) -> Column:
             n = np.linalg.norm(v)
             return (v / n if n else v).tolist()
 
-        return words.map(one)
+        return words.map(lambda said: one(said.split(" ") if said else []))
 
-    return embed(tokens(c))
+    # As one string a text: the words of a batch of texts would take many times its size in Python.
+    return embed(F.array_join(tokens(c), " "))
 
 
 def overlap_score(query: Column, text: Column) -> Column:
