@@ -26,7 +26,7 @@ MAX_TOKENS, OVERLAP_TOKENS = 512, 80
 
 
 def content_type(c: Column, inline: str = r"\$[^$\n]+\$") -> Column:
-    math, table = c.contains("$$") | c.rlike(inline), c.rlike(r"(?m)^\|")
+    math, table = c.contains("$") & (c.contains("$$") | c.rlike(inline)), c.contains("|") & c.rlike(r"(?m)^\|")
     return F.when(math & table, "mixed").when(math, "equation").when(table, "table").otherwise("text")
 
 
@@ -36,7 +36,7 @@ _DEFINES = r"(?im)^[ \t]*(?:where\b|(?:[-*][ \t]*)?[a-z]\w*[ \t]*[:=][ \t]*[^\s]
 
 def has_variables(c: Column, inline: str = r"\$[^$\n]+\$") -> Column:
     """Whether a text has math and a line that defines a symbol."""
-    return (c.contains("$$") | c.rlike(inline)) & c.rlike(_DEFINES)
+    return c.contains("$") & (c.contains("$$") | c.rlike(inline)) & c.rlike(_DEFINES)
 
 
 #: What marks a table as the schema of another.
@@ -119,8 +119,7 @@ def table_title(line: str) -> bool:
 
 def _absent(text: str) -> list[str]:
     """Two characters for private use that ``text`` lacks."""
-    there = set(text)
-    return list(islice((c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in there), 2))
+    return list(islice((c for c in map(chr, chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))) if c not in text), 2))
 
 
 def _whole_or_split(text: str, size: int, overlap: int, separators, title=any_title, notes: bool = False, **scan) -> list[tuple[str, int]]:
@@ -162,6 +161,15 @@ def _whole_or_split(text: str, size: int, overlap: int, separators, title=any_ti
     return out
 
 
+def recursive_chunks(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1]) -> DataFrame:
+    """Pieces of ``size`` characters, blocks cut like all else: source_file, ordinal, text."""
+
+    def kernel(source: str, text: str) -> list[dict]:
+        return [{"source_file": source, "ordinal": i, "text": piece} for i, piece in enumerate(kernels.split(text, size, overlap))]
+
+    return _rows(docs, kernel, "source_file string, ordinal int, text string")
+
+
 def atomic_chunks(docs: DataFrame, size: int = ATOMIC[0], overlap: int = ATOMIC[1]) -> DataFrame:
     """Strategy 1: text of ``size`` characters, blocks whole, a table with the paragraph below it: text, source,
     section_heading, content_type, has_variables, token_estimate, in order ``ordinal``."""
@@ -202,6 +210,8 @@ def hierarchical_chunks(docs: DataFrame, max_tokens: int = MAX_TOKENS, overlap:
 def _without_label_runs(rows: list[str], lines: list[int]) -> tuple[list[str], list[int]]:
     """Prose without stretches of two or more label lines, which belong to a table."""
     is_label = [kernels.is_label_line(x) for x in rows]
+    if not any(is_label):
+        return rows, lines
     alone = [k for k, x in enumerate(is_label) if not x or not (is_label[k - 1 : k] == [True] or is_label[k + 1 : k + 2] == [True])]
     return [rows[k] for k in alone], [lines[k] for k in alone]
 
@@ -210,25 +220,26 @@ def _typed(text: str, size: int, overlap: int) -> list[dict]:
     """(content_type, text, section_heading) of a document: equations, tables, then the prose without them."""
     rows, prose, lines, out = text.split("\n"), [], [], []
     above = kernels.headings_above(rows)
-    for kind, a, z in kernels.blocks(text):
+    found = kernels.blocks(text)
+    for kind, a, z in found:
         if kind == "text":
             prose += rows[a:z]
             lines += range(a, z)
         elif kind == "equation":
             out.append({"content_type": "equation", "section_heading": above[a]})
-    for r, body in zip(out, kernels.equations(text), strict=True):
+    for r, body in zip(out, kernels.equations(text, found), strict=True):
         r["text"] = body
-    out += [{"content_type": "table", "section_heading": t["heading"], "text": t["text"]} for t in kernels.tables(text)]
+    out += [{"content_type": "table", "section_heading": t["heading"], "text": t["text"]} for t in kernels.tables(text, found=found, cells=False)]
     prose, lines = _without_label_runs(prose, lines)
     # Runs of blank lines shrink to one, so that lines keep their numbers.
     kept = [k for k in range(len(prose)) if prose[k] or k == 0 or prose[k - 1]]
     joined, lines = "\n".join(prose[k] for k in kept), [lines[k] for k in kept]
     here, line = 0, 0
     for piece in kernels.split(joined, size, overlap, PROSE_SEPARATORS):
-        found = joined.find(piece, here)
-        if found >= 0:
-            line += joined.count("\n", here, found)
-            here = found
+        at = joined.find(piece, here)
+        if at >= 0:
+            line += joined.count("\n", here, at)
+            here = at
         out.append({"content_type": "text", "section_heading": above[lines[line] + 1] if lines else "", "text": piece})
     return out
 
@@ -251,8 +262,13 @@ def typed_chunks(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1],
 
     out = _rows(docs, kernel, "source_file string, ordinal int, content_type string, text string, section_heading string")
     out = out.withColumns({"chunk_id": chunk_id(F.col("source_file"), F.col("text")), "has_variables": has_variables(F.col("text"), r"\$[^$\n]{2,200}\$")})
+    return first_typed(out) if distinct else out
+
+
+def first_typed(chunks: DataFrame) -> DataFrame:
+    """The first of each id of ``typed_chunks`` made with ``distinct=False``; columns that were dropped are not shuffled."""
     kinds = F.array(*map(F.lit, ("text", "equation", "table")))
-    return _first_of(out.withColumn("_t", F.array_position(kinds, F.col("content_type"))), "_t", "source_file", "ordinal").drop("_t") if distinct else out
+    return _first_of(chunks.withColumn("_t", F.array_position(kinds, F.col("content_type"))), "_t", "source_file", "ordinal").drop("_t")
 
 
 def table_children(rows: list[dict[str, str]], heading: str) -> list[tuple[int, str]]:

@@ -4,7 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from quirespark.operators import normalize
+from quirespark.functions import kernels
+from quirespark.operators import chunk, models, normalize
+from quirespark.plans import stages
 
 
 def size(spark, *columns):
@@ -53,3 +55,31 @@ def test_short_forms_equal_the_rules(spark):
 
     got = spark.createDataFrame([(x,) for x in rows], "x string").select("x", normalize.promoted(F.col("x")).alias("y")).collect()
     assert [(r.x, r.y) for r in got if r.y != raised(r.x)] == []
+
+
+def test_blocks_are_found_once_a_document(monkeypatch):
+    text = "# A\n\nx\n\n$$a$$\nwhere a = 1\n\n| p |\n|---|\n| 1 |\n\nnote"
+    want, calls, blocks = chunk._typed(text, 2048, 300), [], kernels.blocks
+    monkeypatch.setattr(kernels, "blocks", lambda *a, **k: calls.append(a) or blocks(*a, **k))
+    assert chunk._typed(text, 2048, 300) == want and len(calls) == 1
+    assert [r["content_type"] for r in want] == ["equation", "table", "text"]
+
+
+def test_typed_chunks_are_compared_without_their_texts(spark):
+    plan = stages.chunk_typed(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    window = next(x for x in plan.splitlines() if "Window [row_number" in x and "chunk_id" in x)
+    below = plan.split(window)[1].split("MapInPandas")[0]
+    assert " AS text_md5" in below
+
+
+def test_recursive_chunks_leave_a_task_in_bounded_frames(spark):
+    plan = stages.chunk_recursive(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" in plan and "ArrowEvalPython" not in plan
+
+
+def test_words_go_to_an_embedder_as_one_string(spark):
+    texts = spark.createDataFrame([("a b A",), ("",), (None,), ("x\u2003y",)], "t string")
+    made = texts.select("t", models.hashed_embedding(F.col("t"), 4).alias("v"))
+    assert "array_join" in made._jdf.queryExecution().optimizedPlan().toString()
+    rows = [r.v for r in made.collect()]
+    assert rows[1] == rows[2] == [0.0] * 4 and abs(sum(x * x for x in rows[0]) - 1) < 1e-9
