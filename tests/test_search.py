@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -199,3 +200,26 @@ def test_embeddings_are_made_for_new_texts_only(spark, tmp_path):
     assert n == 1 and asked.value == 4 and all(len(r.embedding) == 2 for r in rows.collect())
     assert run(docs)[1] == 0 and run(docs, "other")[1] == 3
     assert run(docs.limit(0))[0].collect() == []
+
+
+def test_index_terms_beyond_a_broadcast_give_the_same(spark, tmp_path, monkeypatch):
+    rng, path = random.Random(7), str(tmp_path)
+    docs = spark.createDataFrame(list(enumerate(texts(rng, 150))), "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "w5 w80 w200"), (2, "w0 w1 w2")], "query_id long, text string")
+    monkeypatch.setattr(index, "SLICE_TOKENS", 50)
+    index.update(docs, path)
+    got, reads = by_index(path, asked, 4)
+    monkeypatch.setattr(index, "BROADCAST_TERMS", 0)
+    assert by_index(path, asked, 4) == (pytest.approx(got, abs=2e-6), reads)
+    assert got == pytest.approx(by_scan(docs, asked, 4), abs=2e-6)
+
+
+def test_blocks_of_ranges_that_batches_part():
+    docs = [(n, 3, [{"term": t, "tf": 1 + n % 2} for t in ("a", f"b{n % 3}")]) for n in range(40)]
+    kind = pa.schema([("number", pa.int64()), ("length", pa.int32()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))])
+    whole = pa.Table.from_pylist([dict(zip(kind.names, d, strict=True)) for d in docs], kind).combine_chunks()
+    rows = lambda batches: sorted((tuple(r.items()) for b in index._packed(iter(batches)) for r in b.to_pylist()), key=repr)
+    blocks = rows(whole.to_batches())
+    assert blocks == rows(whole.to_batches(max_chunksize=7)) and len(blocks) == 12
+    first = dict(next(r for r in blocks if r[0] == ("term", "a") and r[1] == ("range", 0)))
+    assert (first["bits"], first["ats"], first["tfs"], first["max_tf"], first["min_length"]) == ((1 << 16) - 1, list(range(16)), [1, 2] * 8, 2, 3)
