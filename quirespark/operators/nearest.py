@@ -3,7 +3,8 @@
 Vectors of one width are dealt to the nearest of some of their own number, the pivots; a cell knows the widest angle of its
 vectors to its pivot. The angle between a query and any vector of the cell is at least that to the pivot less this
 radius. ``search`` goes two rounds: the nearest cells that hold k vectors together give the k-th best cosine, then only cells
-that can hold a better one are read. Cells are sorted in the table, so that row groups of others are skipped.
+that can hold a better one are compared. In the second round blocks of queries and parts of the table, of whole or parted
+cells, meet in tasks, which tell from the pivots what a query has to be compared with: no query is sent once for each cell.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from quirespark.sources import store
 PIVOTS = 2048
 #: So many vectors and queries of a cell meet in one task.
 CELL_ROWS, CELL_QUERIES = 32_768, 4096
+#: So many vectors and queries meet in a task of the second round, whose scores are made so many at a time.
+PART_ROWS, BLOCK_QUERIES, SCORES = 65_536, 16_384, 4 << 20
 _SLACK = 1e-9
 _VECTORS = "width int, cell int, doc_id long, unit array<double>, angle double"
 _CELLS = "width int, cell int, n long, radius double, pivot array<double>"
@@ -106,32 +109,28 @@ def search(path: str, queries: DataFrame, k: int, query_id: str = "query_id", ve
         cells[int(w)] = (own["cell"].to_numpy(), own["n"].to_numpy(), own["radius"].to_numpy(), np.stack(own["pivot"]))
 
     def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(query_id, width, unit, cell, reach, first): for each query every cell of its width with the best cosine that the
-        cell can hold, and whether it is of the nearest that hold k vectors."""
+        """(query_id, width, cell): for each query the nearest cells of its width that hold k vectors."""
         for w, b in _by_width(batches):
             if w not in cells:
                 continue
-            cell, n, radius, pivot = cells[w]
+            cell, n, _, pivot = cells[w]
             unit = _units(b.column(1), w)
             for at in range(0, len(unit), 256):
                 some = unit[at : at + 256]
                 angle = _angles(some, pivot)
                 order = np.argsort(angle, axis=1, kind="stable")
                 before = np.cumsum(n[order], axis=1) - n[order]
-                first = np.zeros(angle.shape, bool)
-                np.put_along_axis(first, order, before < k, axis=1)
-                reach = np.cos(np.maximum(0, angle - radius - _SLACK)) + _SLACK
-                q, c = np.nonzero(first | (reach > 0))
-                columns = [b.column(0).slice(at, len(some)).take(pa.array(q)), pa.array(np.full(len(q), w, np.int32)), pa.array(cell[c].astype(np.int32)), pa.array(reach[q, c]), pa.array(first[q, c])]
-                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "width", "cell", "reach", "first"])
+                q, c = np.nonzero(before < k)
+                columns = [b.column(0).slice(at, len(some)).take(pa.array(q)), pa.array(np.full(len(q), w, np.int32)), pa.array(cell[order[q, c]].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "width", "cell"])
 
     directed = store.written(asked.filter(_good(F.col("v"))))
-    plan = store.written(directed.mapInArrow(planned, "query_id long, width int, cell int, reach double, first boolean"))
-    first = store.written(_compared(path, plan.filter("first"), directed, k))
+    plan = store.written(directed.mapInArrow(planned, "query_id long, width int, cell int"))
+    first = store.written(_compared(path, plan, directed, k))
     bound = ranked(first, "dense", k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("dense").alias("least")).filter(F.col("n") >= k).select("query_id", "least")
-    later = plan.filter("NOT first").join(bound, "query_id", "left").filter(F.col("reach") >= F.coalesce("least", F.lit(0.0)) - F.lit(10.0**-DIGITS))
-    later = store.written(later.select("query_id", "width", "cell"))
-    found = first.unionByName(_compared(path, later, directed, k)).filter("dense > 0")
+    known = plan.groupBy("query_id").agg(F.collect_list("cell").alias("known"))  # few of a query's cells
+    later = store.written(_later(path, store.written(directed.join(known, "query_id").join(bound, "query_id", "left")), cells, k))
+    found = first.unionByName(later.filter("n IS NULL").select("query_id", "doc_id", "dense")).filter("dense > 0")
 
     # documents of cosine 0 count where fewer than k have more; of the greatest 2 k ids at least k are then left
     every = spark.read.schema(_VECTORS).parquet(f"{path}/vectors").select("doc_id").unionByName(spark.read.schema("doc_id long").parquet(f"{path}/odd"))
@@ -140,7 +139,7 @@ def search(path: str, queries: DataFrame, k: int, query_id: str = "query_id", ve
     rows = ranked(found.unionByName(blank.withColumn("dense", F.lit(0.0))), "dense", k)
 
     sizes = spark.read.schema(_CELLS).parquet(f"{path}/cells").select("width", "cell", "n")
-    read = plan.filter("first").select("width", "cell").unionByName(later.select("width", "cell")).join(sizes, ["width", "cell"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    read = plan.join(sizes, ["width", "cell"]).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + later.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     all_ = directed.select(F.size("v").alias("width")).join(sizes.groupBy("width").agg(F.sum("n").alias("n")), "width").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return Found(rows, 1 - read / all_ if all_ else 0.0)
 
@@ -174,3 +173,66 @@ def _compared(path: str, pairs: DataFrame, asked: DataFrame, k: int) -> DataFram
 
     group = ["width", "cell", "i", "j"]
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(best, "query_id long, doc_id long, dense double")
+
+
+def _later(path: str, asked: DataFrame, cells: dict[int, tuple], k: int) -> DataFrame:
+    """(query_id, doc_id, dense, n): the best ``k`` in each part of the table for queries (query_id, v, known, least), of cells
+    not ``known`` that can hold what reaches ``least``, and a row that says how many pairs a task has compared."""
+    parts = {w: max(1, -(-int(n.sum()) // PART_ROWS)) for w, (_, n, _, _) in cells.items()}
+    # Cells in their order are cut into parts of equal sizes, so that a part has few, or a share of a large one.
+    spans = {(w, int(c)): (int(before), int(n)) for w, (cell, ns, _, _) in cells.items() for c, n, before in zip(cell, ns, np.cumsum(ns) - ns, strict=True)}
+    spark = asked.sparkSession
+    if not spans:
+        return spark.createDataFrame([], "query_id long, doc_id long, dense double, n long")
+    widths = asked.groupBy(F.size("v").alias("width")).count().collect()
+    blocks = {r["width"]: max(1, -(-r["count"] // BLOCK_QUERIES)) for r in widths if r["width"] in parts}
+    shape = F.broadcast(spark.createDataFrame([(w, m, parts[w]) for w, m in blocks.items()], "width int, m int, parts int"))  # a row a width
+    places = F.broadcast(spark.createDataFrame([(*key, *at) for key, at in spans.items()], "width int, cell int, before long, size long"))  # ``PIVOTS`` of a width at most
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    share = lambda key, n: F.pmod(F.xxhash64(key), n)
+    group, tasks = ["width", "i", "j"], max(1, sum(m * parts[w] for w, m in blocks.items()))
+    left = asked.withColumn("width", F.size("v")).join(shape, "width").withColumn("i", share("query_id", F.col("m")).cast("int"))
+    left = left.withColumn("j", each("parts")).select(*group, "query_id", "v", "known", "least")
+    right = spark.read.schema(_VECTORS).parquet(f"{path}/vectors").join(shape, "width").join(places, ["width", "cell"])
+    right = right.withColumn("j", F.expr(f"least((before + pmod(xxhash64(doc_id), size)) div {PART_ROWS}, parts - 1)").cast("int"))
+    right = right.withColumn("i", each("m")).select(*group, "cell", "doc_id", "unit")
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out, compared = {"query_id": [], "doc_id": [], "dense": []}, 0
+        if left.num_rows and right.num_rows:
+            width = left["width"][0].as_py()
+            right = right.sort_by([("cell", "ascending"), ("doc_id", "ascending")])
+            docs, cell = right["doc_id"].to_numpy(), right["cell"].to_numpy()
+            unit = right["unit"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+            own, begins = np.unique(cell, return_index=True)
+            ends = np.append(begins[1:], len(cell))
+            names, _, radius, pivot = cells[width]
+            at = np.searchsorted(names, own)
+            ids, vectors, known = left["query_id"].to_numpy(), _units(left["v"].combine_chunks(), width), left["known"].to_pylist()
+            least = pc.fill_null(left["least"], 0.0).to_numpy()
+            step = max(1, SCORES // len(docs))
+            for start in range(0, len(ids), step):
+                some, floor = vectors[start : start + step], least[start : start + step]
+                reach = np.cos(np.maximum(0, _angles(some, pivot[at]) - radius[at] - _SLACK)) + _SLACK
+                need = (reach > 0) & (reach >= floor[:, None] - 10.0**-DIGITS)
+                for q, cs in enumerate(known[start : start + step]):
+                    need[q, np.isin(own, cs)] = False
+                score = np.zeros((len(some), len(docs)))
+                for c in np.flatnonzero(need.any(axis=0)):
+                    q, rows = np.flatnonzero(need[:, c]), slice(begins[c], ends[c])
+                    score[q, rows] = np.round(np.clip(some[q] @ unit[rows].T, 0, 1), DIGITS)
+                    compared += len(q) * int(ends[c] - begins[c])
+                for q in np.flatnonzero(need.any(axis=1)):
+                    x = np.flatnonzero((score[q] > 0) & (score[q] >= floor[q]))
+                    if len(x) > k:
+                        x = x[score[q, x] >= np.partition(score[q, x], len(x) - k)[len(x) - k]]
+                        x = x[np.lexsort((-docs[x], -score[q, x]))[:k]]
+                    out["query_id"].append(np.full(len(x), ids[start + q]))
+                    out["doc_id"].append(docs[x])
+                    out["dense"].append(score[q, x])
+        rows = pa.table({n: pa.array(np.concatenate(c) if c else [], pa.float64() if n == "dense" else pa.int64()) for n, c in out.items()})
+        seen = pa.table({"query_id": pa.nulls(1, pa.int64()), "doc_id": pa.nulls(1, pa.int64()), "dense": pa.nulls(1, pa.float64()), "n": pa.array([compared])})
+        return pa.concat_tables([rows.append_column("n", pa.nulls(len(rows), pa.int64())), seen])
+
+    both = (x.repartition(tasks, *group).groupBy(*group) for x in (left, right))  # a task's memory is that of few groups, however many there are
+    return next(both).cogroup(next(both)).applyInArrow(best, "query_id long, doc_id long, dense double, n long")

@@ -114,6 +114,16 @@ def test_nearest_equals_a_scan(spark, tmp_path, monkeypatch, clusters, rows, que
         assert k > 1 or found.spared > 0.8
 
 
+def test_nearest_in_small_parts_equals_a_scan(spark, tmp_path, monkeypatch, clusters):
+    for name, n in (("PART_ROWS", 400), ("BLOCK_QUERIES", 9), ("SCORES", 1000)):
+        monkeypatch.setattr(nearest, name, n)
+    docs = clusters.filter("doc_id <> 3007")
+    nearest.build(docs, str(tmp_path))
+    asked = docs.filter("doc_id % 100 = 0 OR doc_id > 2015").withColumnRenamed("doc_id", "query_id")
+    found = nearest.search(str(tmp_path), asked, 40)
+    assert {tuple(r) for r in found.rows.collect()} == {tuple(r) for r in retrieve.dense(docs, asked, 40).collect()}
+
+
 def test_nearest_of_nothing(spark, tmp_path, clusters):
     nearest.build(clusters.limit(0), str(tmp_path))
     asked = clusters.limit(2).withColumnRenamed("doc_id", "query_id")
