@@ -71,15 +71,16 @@ class Hopeless(RuntimeError):
     """A model call that no further attempt can mend; it ends the run, as every other call would fail the same way."""
 
 
-def called(client: Callable[[str], str], prompt: str = "prompt", into: str = "output", tries: int = 5, wait: Wait = backoff, delay: float = 0.0) -> Callable[[DataFrame], DataFrame]:
-    """An adapter that calls ``client`` for each prompt, ``delay`` seconds after the last, again after ``wait`` if it
-    raises; null after ``tries``. If ``wait`` gives None the run fails."""
+def tried(client: Callable[..., str], tries: int = 5, wait: Wait = backoff, delay: float = 0.0) -> Callable[..., str | None]:
+    """``client``, called ``delay`` seconds after the last call and again after ``wait`` if it raises; None after ``tries``.
+    If ``wait`` gives None the run fails."""
 
-    def one(text: str) -> str | None:
+    def one(*asked: str) -> str | None:
         for attempt in range(tries):
-            time.sleep(delay)
+            if delay:
+                time.sleep(delay)
             try:
-                return client(text)
+                return client(*asked)
             except Exception as error:
                 seconds = wait(attempt, error)
                 if seconds is None:
@@ -88,6 +89,13 @@ def called(client: Callable[[str], str], prompt: str = "prompt", into: str = "ou
                     time.sleep(seconds)
         return None
 
+    return one
+
+
+def called(client: Callable[[str], str], prompt: str = "prompt", into: str = "output", tries: int = 5, wait: Wait = backoff, delay: float = 0.0) -> Callable[[DataFrame], DataFrame]:
+    """An adapter that calls ``client`` for each prompt, as ``tried`` does."""
+    one = tried(client, tries, wait, delay)
+
     def adapter(rows: DataFrame) -> DataFrame:
         @F.pandas_udf("string")
         def ask(prompts: pd.Series) -> pd.Series:

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from quirespark.functions import kernels
-from quirespark.operators import chunk, models, normalize
+from quirespark.operators import chunk, figures, models, normalize
 from quirespark.plans import stages
 
 
@@ -83,3 +83,44 @@ def test_words_go_to_an_embedder_as_one_string(spark):
     assert "array_join" in made._jdf.queryExecution().optimizedPlan().toString()
     rows = [r.v for r in made.collect()]
     assert rows[1] == rows[2] == [0.0] * 4 and abs(sum(x * x for x in rows[0]) - 1) < 1e-9
+
+
+def test_figures_are_found_once_and_asked_about_in_one_row(spark):
+    """References are taken out of a text once, and an image goes to Python once, however many models see it."""
+    for made in (stages.figure_models, stages.figure_model_totals):
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate inline") == 1 and "explode" not in plan and "collect_list" not in plan
+
+
+def test_answers_are_looked_into_once(spark):
+    uses = lambda c, what: spark.range(1).selectExpr("cast(id AS string) AS c").select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count(what)
+    assert uses(figures.confidence(F.col("c"), F.lit(True)), "get_json_object") == 2 + len(figures.REQUIRED)
+    assert uses(figures.parsed(F.col("c")), "regexp_replace") == 2
+
+
+def test_every_kind_of_match_takes_the_least_path(spark):
+    """Images of a document in any order: the same path, else the same name, else the same stem, against plain Python."""
+    rng = random.Random(5)
+    some = lambda: rng.choice(["", "a/", "b/", "A/"]) + rng.choice(["x", "X", "y"]) + rng.choice([".png", ".PNG", ".jpg"])
+    refs = [(rng.choice(["k", "l", None]), i, some()) for i in range(120)] + [("k", 998, None), ("m", 999, "x.png")]
+    files = [(rng.choice(["k", "l", None]), f"/{rng.randint(0, 9)}/{i}", some()) for i in range(14)] + [("k", "/0", None), ("m", None, "x.png")]
+    name = lambda x: x.rsplit("/", 1)[-1].lower()
+    stem = lambda x: name(x).rsplit(".", 1)[0]
+
+    def best(key, rel):
+        own = [(0 if r == rel else 1 if name(r) == name(rel) else 2, p) for k, p, r in files if rel and r and p and k is not None and k == key and stem(r) == stem(rel)]
+        return min(own)[1] if own else None
+
+    got = figures.resolved(spark.createDataFrame(refs, "key string, ordinal int, rel_path string"), spark.createDataFrame(files, "key string, path string, rel_path string"))
+    assert got.columns == ["key", "ordinal", "rel_path", "path"]
+    assert {r.ordinal: r.path for r in got.collect()} == {i: best(k, x) for k, i, x in refs}
+
+
+def test_an_image_listed_twice_is_asked_about_once(spark):
+    docs = spark.createDataFrame([("b", "![a](a.png)\n![n](n.png)\n![m](m.png)")], "source_file string, text string")
+    images = spark.createDataFrame([("b", "/a.png", "a.png", b"x"), ("b", "/a.png", "a.png", b"x"), ("b", "/n.png", "n.png", None)], "key string, path string, rel_path string, content binary")
+    said = {"one": lambda p, u: '{"figure_id": "' + u[-4:] + '"}', "two": lambda p, u: "no"}
+    rows = {r.rel_path: r for r in figures.extracted(docs, images, said, delay=0.0, tries=1, workers=3).collect()}
+    assert [(r.model, r.output) for r in rows["a.png"].results] == [("one", '{"figure_id": "eA=="}'), ("two", "no")] and len(rows) == 3
+    assert [r.output for r in rows["n.png"].results] == [None, None] and rows["n.png"].status == "error"
+    assert rows["m.png"].results is None and rows["m.png"].status == "missing"
