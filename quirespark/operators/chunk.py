@@ -11,7 +11,9 @@ import re
 from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -229,7 +231,7 @@ def _typed(text: str, size: int, overlap: int) -> list[dict]:
             out.append({"content_type": "equation", "section_heading": above[a]})
     for r, body in zip(out, kernels.equations(text, found), strict=True):
         r["text"] = body
-    out += [{"content_type": "table", "section_heading": t["heading"], "text": t["text"]} for t in kernels.tables(text, found=found, cells=False)]
+    out += [{"content_type": "table", "section_heading": t["heading"], "text": t["text"]} for t in kernels.tables(text, found=found, cells=False, above=above)]
     prose, lines = _without_label_runs(prose, lines)
     # Runs of blank lines shrink to one, so that lines keep their numbers.
     kept = [k for k in range(len(prose)) if prose[k] or k == 0 or prose[k - 1]]
@@ -244,11 +246,6 @@ def _typed(text: str, size: int, overlap: int) -> list[dict]:
     return out
 
 
-def _id(source: str, text: str) -> str:
-    """``functions.text.chunk_id`` in a kernel."""
-    return "chunk_" + hashlib.md5(f"{source}::{text[:120]}".encode()).hexdigest()[:12]
-
-
 def _first_of(chunks: DataFrame, *order: str) -> DataFrame:
     """The first chunk of each id: ids come from a digest of the first 120 characters, so others may share one."""
     return chunks.withColumn("_n", F.row_number().over(Window.partitionBy("chunk_id").orderBy(*order))).filter("_n = 1").drop("_n")
@@ -271,15 +268,11 @@ def first_typed(chunks: DataFrame) -> DataFrame:
     return _first_of(chunks.withColumn("_t", F.array_position(kinds, F.col("content_type"))), "_t", "source_file", "ordinal").drop("_t")
 
 
-def table_children(rows: list[dict[str, str]], heading: str) -> list[tuple[int, str]]:
+def table_children(head: list[str], rows: list[list[str]], heading: str) -> list[tuple[int, str]]:
     """(first row, text) of the children of a table: a row each, or three if there are more than ten."""
-    step, out = 3 if len(rows) > 10 else 1, []
-    for a in range(0, len(rows), step):
-        head = list(rows[a])
-        shown = [head, ["---"] * len(head), *([r.get(h, "") for h in head] for r in rows[a : a + step])]
-        body = "\n".join("| " + " | ".join(r) + " |" for r in shown)
-        out.append((a, f"From table: {heading}\n{body}" if heading else body))
-    return out
+    step, shown = 3 if len(rows) > 10 else 1, lambda cells: "| " + " | ".join(cells) + " |"
+    above = (f"From table: {heading}\n" if heading else "") + shown(head) + "\n" + shown(["---"] * len(head))
+    return [(a, "\n".join([above, *map(shown, rows[a : a + step])])) for a in range(0, len(rows), step)]
 
 
 def _children(parent: dict, size: int, overlap: int) -> list[tuple[str, str]]:
@@ -290,10 +283,83 @@ def _children(parent: dict, size: int, overlap: int) -> list[tuple[str, str]]:
     if kind == "equation":
         said = [x.strip() for x in text.splitlines() if x.strip() and not x.strip().startswith(("$$", "<!--"))][:3]
         return [("_eq_child", " ".join(said) or text[:120])]
-    rows = kernels.table_rows(text)
+    head, rows = kernels.table_grid(text)
     if not rows:
         return [("_tbl_child", parent["section_heading"] or text[:200])]
-    return [(f"_tbl_child_{a}", t) for a, t in table_children(rows, parent["section_heading"])]
+    return [(f"_tbl_child_{a}", t) for a, t in table_children(head, rows, parent["section_heading"])]
+
+
+#: What a task knows of a chunk: its id and its parent's are the numbers that the ids spell.
+_FAMILY = pa.schema([("source_file", pa.string()), ("parent", pa.int32()), ("child", pa.int32()), ("content_type", pa.string()), ("section_heading", pa.string()), ("text", pa.string()), ("key", pa.int64()), ("parent_key", pa.int64()), ("child_keys", pa.list_(pa.int64())), ("n_children", pa.int32())])
+_FAMILY_SQL = "source_file string, parent int, child int, content_type string, section_heading string, text string, key long, parent_key long, child_keys array<long>, n_children int"
+
+
+def _family_batch(parents: list[tuple], keys: list[int], texts: list[str], columns: tuple[str, ...]) -> pa.RecordBatch:
+    """Rows of ``parents`` (source_file, parent, content_type, section_heading, n_children), each before its children; ``keys`` and
+    ``texts`` are of all rows."""
+    sources, numbers, kinds, headings, n = zip(*parents, strict=True) if parents else [()] * 5
+    n = np.array(n, np.int64)
+    first = np.cumsum(n + 1) - n - 1
+    own, at, key = np.repeat(np.arange(len(n)), n + 1), np.arange(len(keys)), np.array(keys, np.int64)
+    child = at - first[own] - 1
+    each = lambda x, kind: pa.array(x, kind).take(pa.array(own))
+    made = {
+        "source_file": lambda k: each(sources, k), "parent": lambda k: each(numbers, k), "child": lambda k: pa.array(child, k), "content_type": lambda k: each(kinds, k),
+        "section_heading": lambda k: each(headings, k), "text": lambda k: pa.array(texts, k), "key": lambda k: pa.array(key, k), "parent_key": lambda k: pa.array(key[first[own]], k, mask=child < 0),
+        # A child's list is empty: all offsets of a family but the first one are its end.
+        "child_keys": lambda k: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)[own]), pa.int32()), pa.array(key[child >= 0])), "n_children": lambda k: pa.array(np.where(child < 0, n[own], 0), k),
+    }
+    kinds_of = pa.schema([_FAMILY.field(c) for c in columns])
+    return pa.RecordBatch.from_arrays([made[f.name](f.type) for f in kinds_of], schema=kinds_of)
+
+
+def _families(docs: DataFrame, size: int, overlap: int, child: tuple[int, int], compat: bool, columns: tuple[str, ...]) -> DataFrame:
+    """The first chunk of each id among parents and among children: ``columns`` of ``_FAMILY``. Only these leave a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parents, keys, texts, held = [], [], [], 0
+        for batch in batches:
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for i, p in enumerate(_typed(text or "", size, overlap)):
+                    kind = p["content_type"]
+                    if compat and kind == "text":
+                        continue
+                    found = _children(p, *child)
+                    parents.append((source, i, kind, p["section_heading"], len(found)))
+                    keys.append(_key(source, p["text"]))
+                    keys += [_key(source, t, s) for s, t in found]
+                    if "text" in columns:
+                        texts.append(p["text"])
+                        texts += [t for _, t in found]
+                held += 3 * len(text or "")  # about what its parents and children have
+                if held > HELD_CHARS:
+                    yield _family_batch(parents, keys, texts, columns)
+                    parents, keys, texts, held = [], [], [], 0
+        yield _family_batch(parents, keys, texts, columns)
+
+    sql = ", ".join(f for f in _FAMILY_SQL.split(", ") if f.split()[0] in columns)
+    rows = docs.select("source_file", "text").mapInArrow(run, sql)
+    # Ids seldom meet. A row number would have all rows sorted before they are shuffled, too, for the first of each to be kept.
+    first = F.lag(F.lit(True)).over(Window.partitionBy(_role_key()).orderBy("source_file", "parent", "child")).isNull()
+    return rows.withColumn("_first", first).filter("_first").drop("_first")
+
+
+def _role_key() -> Column:
+    """A parent's key or a child's: one number, so that rows are sorted by it alone."""
+    return F.shiftleft("key", 1).bitwiseOR((F.col("child") >= 0).cast("long"))
+
+
+def _key(source: str, text: str, suffix: str = "") -> int:
+    """The number that ``functions.text.chunk_id`` spells."""
+    return int.from_bytes(hashlib.md5(f"{source}{suffix}::{text[:120]}".encode()).digest()[:6])
+
+
+def _spelled(key: Column) -> Column:
+    return F.concat(F.lit("chunk_"), F.lower(F.lpad(F.hex(key), 12, "0")))
+
+
+def _role() -> Column:
+    return F.when(F.col("child") < 0, "parent").otherwise("child")
 
 
 def parent_child_chunks(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], child: tuple[int, int] = CHILD, compat: bool = False) -> DataFrame:
@@ -301,23 +367,17 @@ def parent_child_chunks(docs: DataFrame, size: int = PROSE[0], overlap: int = PR
 
     ``child_ids`` names all children, also those that a later duplicate loses. With ``compat`` there is no prose.
     """
+    columns = ("source_file", "parent", "child", "content_type", "section_heading", "text", "key", "parent_key", "child_keys")
+    rows = _families(docs, size, overlap, child, compat, columns)
+    ids = (_spelled(F.col("key")).alias("chunk_id"), _spelled(F.col("parent_key")).alias("parent_id"), _role().alias("chunk_role"), F.transform("child_keys", _spelled).alias("child_ids"))
+    return rows.select(*columns[:6], *ids, has_variables(F.col("text"), r"\$[^$\n]{2,200}\$").alias("has_variables"))
 
-    def kernel(source: str, text: str) -> list[dict]:
-        out = []
-        for i, p in enumerate(_typed(text, size, overlap)):
-            if compat and p["content_type"] == "text":
-                continue
-            base = {"source_file": source, "section_heading": p["section_heading"], "content_type": p["content_type"], "parent": i}
-            found = [(_id(source + s, t), t) for s, t in _children(p, *child)]
-            own = _id(source, p["text"])
-            out.append(base | {"child": -1, "text": p["text"], "chunk_id": own, "parent_id": None, "chunk_role": "parent", "child_ids": [c for c, _ in found]})
-            out += [base | {"child": k, "text": t, "chunk_id": c, "parent_id": own, "chunk_role": "child", "child_ids": []} for k, (c, t) in enumerate(found)]
-        return out
-
-    schema = "source_file string, parent int, child int, content_type string, section_heading string, text string, chunk_id string, parent_id string, chunk_role string, child_ids array<string>"
-    rows = _rows(docs, kernel, schema).withColumn("has_variables", has_variables(F.col("text"), r"\$[^$\n]{2,200}\$"))
-    n = F.row_number().over(Window.partitionBy("chunk_role", "chunk_id").orderBy("source_file", "parent", "child"))
-    return rows.withColumn("_n", n).filter("_n = 1").drop("_n")
+
+def parent_child_ids(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], child: tuple[int, int] = CHILD, compat: bool = False) -> DataFrame:
+    """(chunk_id, parent_id, chunk_role, content_type, source_file, n_children) of ``parent_child_chunks``: no text leaves a
+    task, and rows that are looked through for the first of each id hold numbers."""
+    rows = _families(docs, size, overlap, child, compat, ("source_file", "parent", "child", "content_type", "key", "parent_key", "n_children"))
+    return rows.select(_spelled(F.col("key")).alias("chunk_id"), _spelled(F.col("parent_key")).alias("parent_id"), _role().alias("chunk_role"), "content_type", "source_file", "n_children")
 
 
 def drops(chunks: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Work that a row takes: expressions that once grew with the number of their uses."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -130,3 +131,26 @@ def test_texts_and_images_stay_off_the_driver_and_paths_are_read_once(spark):
     plan = stages.figure_model_totals(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
     assert "Broadcast" not in plan.sparkPlan().toString()
     assert "regexp_extract(original_ref" not in plan.optimizedPlan().toString()
+
+
+def test_ids_of_parents_and_children_take_no_texts_along(spark):
+    """Texts stay in the task that makes them, rows are sorted once, and what is said of a chunk is what the whole chunks say."""
+    plan = stages.chunk_parent_child(spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    made = next(x for x in plan.optimizedPlan().toString().splitlines() if "MapIn" in x).split(")#")[-1]
+    assert "text" not in made and "n_children" in made and "child_ids" not in made and "WindowGroupLimit" not in plan.sparkPlan().toString()
+    text = "# A\n\nx\n\n$$a$$\nwhere a = 1\n\n| p | q | p |\n|---|---|---|\n| 1 | 2 | 3 |\n| 4 |\n\n| only |\n\nx\n\nx" + "\n\nword " * 400
+    docs = spark.createDataFrame([("a", text), ("b", "$$a$$\n\n$$a$$"), ("b", "$$a$$"), (None, "x"), ("c", None), ("d", "| a |")], "source_file string, text string")
+    whole = chunk.parent_child_chunks(docs).selectExpr("chunk_id", "parent_id", "chunk_role", "content_type", "source_file", "size(child_ids) AS n_children", "text", "child_ids", "child").collect()
+    assert sorted(map(str, (r[:6] for r in whole))) == sorted(str(tuple(r)) for r in chunk.parent_child_ids(docs).collect())
+    children = {r.chunk_id for r in whole if r.chunk_role == "child"}
+    assert all(set(r.child_ids) <= children and bool(r.child_ids) == (r.child < 0 and r.n_children > 0) for r in whole)
+    assert [(r.parent_id, r.n_children) for r in whole if r.source_file == "b" and r.chunk_role == "parent"] == [(None, 1)]
+    suffix = {"text": "_child", "equation": "_eq_child", "table": "_tbl_child_"}
+    spelled = {chunk_of(r.source_file, suffix[r.content_type] + str(r.child) * (r.content_type == "table"), r.text) for r in whole if r.chunk_role == "child" and r.source_file == "a"}
+    assert spelled == {r.chunk_id for r in whole if r.chunk_role == "child" and r.source_file == "a"}
+    rows = [r.text.split("\n", 3)[3] for r in whole if r.source_file == "a" and r.content_type == "table" and r.child >= 0]
+    assert sorted(rows) == ["|  |  |", "|  |  |", "| 3 | 2 |"]
+
+
+def chunk_of(source, suffix, text):
+    return "chunk_" + hashlib.md5(f"{source}{suffix}::{text[:120]}".encode()).hexdigest()[:12]
