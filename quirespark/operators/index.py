@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quirespark.functions.text import tokens
-from quirespark.operators.retrieve import B, BROADCAST_BYTES, BROADCAST_TERMS, DIGITS, EPSILON, K1, SLICE_TOKENS, _slices, ranked
+from quirespark.operators.retrieve import B, DIGITS, EPSILON, K1, SLICE_TOKENS, _slices, ranked
 from quirespark.sources import store
 
 #: Documents of a range, 62 at most.
@@ -49,6 +49,8 @@ STRETCH = 4
 BUCKETS = 32
 #: Up to so many distinct query terms go into the scan's filter, so that row groups without them are skipped.
 PUSHED_TERMS = 2000
+#: So many terms of queries, of so many bytes in all with 24 for each besides, may be broadcast.
+BROADCAST_TERMS, BROADCAST_BYTES = 50_000, 8 << 20
 #: Candidates that give a query its bound, in multiples of k, counted by document frequencies.
 EAGER = 2
 _SLACK = 1e-6

@@ -17,8 +17,8 @@ from quirespark.sources import store
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 LEXICAL, DENSE = 0.4, 0.6
-#: So many distinct query terms (a string and a double each) may be broadcast; beyond it the join shuffles.
-BROADCAST_TERMS = 50_000
+#: So many terms of queries (a string and a double each) may go to every task, as arrays of numbers; beyond it rows are shuffled.
+BROADCAST_TERMS = 6_000_000
 DIGITS = 6
 
 
@@ -75,8 +75,8 @@ def _weights(docs: DataFrame, terms: DataFrame, text: str, epsilon: float) -> Da
 
 #: A task scores documents of so many tokens at a time, and hands on rows in batches of so many.
 SLICE_TOKENS, ROWS = 1 << 20, 1 << 16
-#: Query terms of so many bytes in all may be broadcast, with 24 bytes for each besides.
-BROADCAST_BYTES = 8 << 20
+#: And of so many bytes in all, with 24 for each besides.
+BROADCAST_BYTES = 192 << 20
 #: Beyond that, queries of so many bytes of terms and documents of so many bytes of text meet in a task.
 QUERY_BYTES, DOC_BYTES = 16 << 20, 32 << 20
 
@@ -103,31 +103,65 @@ def scored(docs: DataFrame, weights: DataFrame, doc_id: str = "doc_id", text: st
     scores of all n documents that share a term with the query, in parts to be merged.
 
     Query terms, counted first, go to every task, which scores documents whole, a slice of an Arrow batch at a time, and
-    keeps its own best and extremes; nothing is shuffled. Beyond ``BROADCAST_TERMS`` or ``BROADCAST_BYTES`` blocks of queries
-    and parts of the documents, both bounded by bytes, meet in tasks that do the same, and the driver sees none of them.
+    keeps its own best and extremes; nothing is shuffled. With ``top`` a core has a few tasks at most, as each hands on its best of every query.
+    Beyond ``BROADCAST_TERMS`` or ``BROADCAST_BYTES`` blocks of queries and parts of the documents, both bounded by bytes, meet in
+    tasks that do the same, and the driver sees none of them.
     """
     id_type, doc_type = weights.schema["query_id"].dataType, docs.select(F.col(doc_id)).schema[0].dataType
     kinds = f"query_id {id_type.simpleString()}, doc_id {doc_type.simpleString()}, bm25 double"
     kinds += ", low double, high double, n long" if edges else ""
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    n, size = weights.agg(F.count("*"), F.sum(F.octet_length("term") + 24)).first()
-    if n > BROADCAST_TERMS or (size or 0) > BROADCAST_BYTES:
+    own, context = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), docs.sparkSession.sparkContext
+    size = _beyond(weights)
+    if size:
         return _scored_in_blocks(own, weights, size, kinds, k1, b, top, edges)
-    rows = weights.orderBy("query_id", "term").collect()
-    if not rows:
+    asked = _sent(weights)
+    if asked is None:
         return docs.sparkSession.createDataFrame([], kinds)
-    asked = pa.table({"query_id": pa.array([r["query_id"] for r in rows], to_arrow_type(id_type)), "term": [r["term"] for r in rows], "w": [r["w"] for r in rows]})
-    average = rows[0]["avg_length"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = _Scores(asked, average, k1, b, top, edges)
+        scores = _Scores(asked.value, k1, b, top, edges)
         for batch in batches:
             yield from scores.add(batch.column(0), batch.column(1))
         yield from scores.end()
 
+    if top is not None:
+        own = own.coalesce(TASKS_A_CORE * context.defaultParallelism)
     return own.select("doc_id", tokens(F.col("text"))).mapInArrow(score, kinds)
 
 
+#: Tasks a core that each keep their own best of every query.
+TASKS_A_CORE = 4
+
+
+def _beyond(weights: DataFrame) -> int:
+    """The bytes of the terms of queries, if they are too many to go to every task; else 0."""
+    n, size = weights.agg(F.count("*"), F.sum(F.octet_length("term") + 24)).first()
+    return size if n > BROADCAST_TERMS or (size or 0) > BROADCAST_BYTES else 0
+
+
+def _sent(weights: DataFrame):
+    """``weights``, which are within the bounds, as a broadcast ``_Asked``; None if there are none."""
+    rows = weights.select("query_id", "term", "w", "avg_length").orderBy("query_id", "term").toArrow()
+    if not rows.num_rows:
+        return None
+    return weights.sparkSession.sparkContext.broadcast(_Asked(rows.drop_columns("avg_length"), rows["avg_length"][0].as_py()))
+
+
+class _Asked:
+    """Terms of queries (query_id, term, w), sorted by the query, as arrays: ``terms`` once each, and for each row the ``place`` of its term
+    there, the place ``of`` its query among ``ids``, and its weight; rows of a query lie between two ``cuts``."""
+
+    def __init__(self, rows: pa.Table, average: float):
+        def encoded(name: str) -> pa.DictionaryArray:
+            made = rows[name].combine_chunks().dictionary_encode(null_encoding="encode")
+            return made.chunk(0) if isinstance(made, pa.ChunkedArray) else made
+
+        place, ids = encoded("term"), encoded("query_id")
+        self.terms, self.place, self.w = place.dictionary, place.indices.to_numpy(), rows["w"].to_numpy()
+        self.ids, self.of = ids.dictionary, ids.indices.to_numpy()
+        self.cuts, self.average = np.searchsorted(self.of, np.arange(len(self.ids) + 1)), average
+
+
 def _scored_in_blocks(docs: DataFrame, weights: DataFrame, size: int, kinds: str, k1: float, b: float, top: int | None, edges: bool) -> DataFrame:
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks, parts = -(-size // QUERY_BYTES), max(1, -(-text_bytes // DOC_BYTES))
@@ -140,7 +174,8 @@ def _scored_in_blocks(docs: DataFrame, weights: DataFrame, size: int, kinds: str
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         if left.num_rows and right.num_rows:
-            scores = _Scores(left.sort_by([("query_id", "ascending"), ("term", "ascending")]), left["avg_length"][0].as_py(), k1, b, top, edges)
+            asked = _Asked(left.sort_by([("query_id", "ascending"), ("term", "ascending")]), left["avg_length"][0].as_py())
+            scores = _Scores(asked, k1, b, top, edges)
             for batch in right.select(["doc_id", "words"]).to_batches():
                 out += scores.add(batch.column(0), batch.column(1))
             out += scores.end()
@@ -152,25 +187,27 @@ def _scored_in_blocks(docs: DataFrame, weights: DataFrame, size: int, kinds: str
     return left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(score, kinds)
 
 
+#: Scores that a slice has at a time, cells of its dense terms, and postings that are looked into at a time.
+SCORE_CELLS, DENSE_CELLS, FLAT_POSTINGS = 1 << 19, 1 << 22, 1 << 20
+#: A product in a matrix costs that much less than a posting.
+DENSE_GAIN = 256
+
+
 class _Scores:
-    """Scores of documents for the queries ``asked`` (query_id, term, w), sorted by these, as record batches: all pairs as they come,
-    or at the end the ``top`` best of each query; and with ``edges`` the extremes of all."""
-
-    def __init__(self, asked: pa.Table, average: float, k1: float, b: float, top: int | None, edges: bool):
-        asked = asked.combine_chunks()
-        place = asked["term"].combine_chunks().dictionary_encode()
-        place = place.chunk(0) if isinstance(place, pa.ChunkedArray) else place
-        names = pc.array_sort_indices(place.dictionary)
-        self.terms, rank = place.dictionary.take(names), np.empty(len(names), np.int64)
-        rank[names.to_numpy()] = np.arange(len(names))
-        self.place, self.w = rank[place.indices.to_numpy()], asked["w"].to_numpy()
-        ids = asked["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        self.ids, self.cuts = ids.dictionary, np.searchsorted(ids.indices.to_numpy(), np.arange(len(ids.dictionary) + 1))
-        self.average, self.k1, self.b, self.top, self.edges = average, k1, b, top, edges
+    """Scores of documents for the queries ``asked``, as record batches: all pairs as they come, or at the end the ``top`` best of each
+    query; and with ``edges`` the extremes of all.
+
+    Terms that many queries and many documents of a slice share are summed as a product of two matrices, all others by their postings.
+    """
+
+    def __init__(self, asked: _Asked, k1: float, b: float, top: int | None, edges: bool):
+        self.asked, self.ids, self.k1, self.b, self.top, self.edges = asked, asked.ids, k1, b, top, edges
         n = len(self.ids)
         self.low, self.high, self.n = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n, np.int64)
         self.least, self.held = np.full(n, -np.inf), []  # what a document has to reach; (query, doc, score) so far
+        self.queries = np.bincount(asked.place, minlength=len(asked.terms))  # with each term
+        self.odd = np.zeros(n, bool)  # a weight may be zero, or less: then a score says nothing of a common term
+        self.odd[asked.of[asked.w <= 0]] = True
 
     def add(self, docs: pa.Array, words: pa.ListArray) -> Iterator[pa.RecordBatch]:
         self.doc_type, at = docs.type, 0
@@ -179,40 +216,72 @@ class _Scores:
             at += len(some)
 
     def _slice(self, docs: pa.Array, words: pa.ListArray, length: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(docs)
-        at = pc.fill_null(pc.index_in(words.flatten(), value_set=self.terms), -1).to_numpy()
-        there = np.flatnonzero(at >= 0)
-        pair, tf = np.unique(at[there].astype(np.int64) * n + np.repeat(np.arange(n), length)[there], return_counts=True)
-        t, d = np.divmod(pair, n)
-        part = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[d] / self.average))
-        ends = np.searchsorted(t, np.arange(len(self.terms) + 1))  # postings of the slice, by term
+        n, asked = len(docs), self.asked
+        t, d, part = _parts(words, length, asked, self.k1, self.b)
         last = pc.sort_indices(docs, sort_keys=[("", "ascending")], null_placement="at_start").to_numpy()
         order = np.empty(n, np.int64)
         order[last] = np.arange(n)  # among equal scores the greater id comes first
-        found, rows = [], 0
-        for q in range(len(self.ids)):
-            own = slice(self.cuts[q], self.cuts[q + 1])
-            first, many = ends[self.place[own]], ends[self.place[own] + 1] - ends[self.place[own]]
-            size = int(many.sum())
-            if not size:
-                continue
-            which = np.repeat(first - np.cumsum(many) + many, many) + np.arange(size)
-            of = d[which]
-            score = np.bincount(of, np.repeat(self.w[own], many) * part[which], n)
-            x = np.flatnonzero(score > 0 if (self.w[own] > 0).all() else np.bincount(of, minlength=n))  # a weight may be zero
-            score = np.round(score[x], DIGITS)
+        many = np.bincount(t, minlength=len(asked.terms))  # postings of the slice, by term
+        first = np.cumsum(many) - many
+        gain = self.queries * many
+        dense = np.flatnonzero(gain * DENSE_GAIN > len(self.ids) * n)
+        dense = dense[np.argsort(-gain[dense], kind="stable")[: DENSE_CELLS // n]]
+        column = np.full(len(asked.terms), -1, np.int32)
+        column[dense] = np.arange(len(dense))
+        matrix, here = np.zeros((len(dense), n)), column[t] >= 0
+        matrix[column[t[here]], d[here]] = part[here]
+        rare = np.flatnonzero((many[asked.place] > 0) & (column[asked.place] < 0))
+        block, found, rows = max(1, min(SCORE_CELLS // n, DENSE_CELLS // max(1, len(dense)))), [], 0
+        for q in range(0, len(self.ids), block):
+            z = min(q + block, len(self.ids))
+            own = slice(asked.cuts[q], asked.cuts[z])
+            column_of = column[asked.place[own]]
+            there = np.flatnonzero(column_of >= 0)
+            weights = np.zeros((z - q, len(dense)))
+            weights[asked.of[own][there] - q, column_of[there]] = asked.w[own][there]
+            score = weights @ matrix
+            few = rare[slice(*np.searchsorted(rare, (asked.cuts[q], asked.cuts[z])))]
+            for e, which in _flat(first[asked.place[few]], many[asked.place[few]]):
+                cell = (asked.of[few[e]] - q) * n + d[which]
+                score += np.bincount(cell, asked.w[few[e]] * part[which], score.size).reshape(score.shape)
+            shared = score > 0
+            for i in np.flatnonzero(self.odd[q:z]):
+                mine = asked.place[asked.cuts[q + i] : asked.cuts[q + i + 1]]
+                shared[i] = False
+                for _, which in _flat(first[mine], many[mine]):
+                    shared[i, d[which]] = True
             if self.edges:
-                self.low[q], self.high[q], self.n[q] = min(self.low[q], score.min()), max(self.high[q], score.max()), self.n[q] + len(x)
+                self.low[q:z] = np.minimum(self.low[q:z], np.round(np.where(shared, score, np.inf).min(1), DIGITS))
+                self.high[q:z] = np.maximum(self.high[q:z], np.round(np.where(shared, score, -np.inf).max(1), DIGITS))
+                self.n[q:z] += shared.sum(1)
+            if self.top is not None:
+                shared &= score >= (self.least[q:z] - 10.0**-DIGITS)[:, None]
+            i, x = np.nonzero(shared)
+            score, i = np.round(score[i, x], DIGITS), i + q
             if self.top is not None:
-                x, score = _best_of(x, score, order, self.top, self.least[q])
+                i, x, score = self._reached(i, x, score, order)
             if len(x):
-                found.append((np.full(len(x), q), x, score))
+                found.append((i, x, score))
                 rows += len(x)
             if rows > ROWS:
                 yield from self._taken(found, docs)
                 found, rows = [], 0
         yield from self._taken(found, docs)
 
+    def _reached(self, q: np.ndarray, x: np.ndarray, score: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of (query, doc, score) by query the ``top`` best of each query, as far as they reach its least."""
+        some = np.flatnonzero(score >= self.least[q])
+        q, x, score = q[some], x[some], score[some]
+        asked, cuts, n = np.unique(q, return_index=True, return_counts=True)
+        if not (n > self.top).any():
+            return q, x, score
+        kept = np.ones(len(q), bool)
+        for k, a, m in zip(asked[n > self.top], cuts[n > self.top], n[n > self.top], strict=True):
+            own = slice(a, a + m)
+            kept[own] = np.isin(x[own], _best_of(x[own], score[own], order, self.top, -np.inf)[0], assume_unique=True)
+            self.least[k] = max(self.least[k], score[own][kept[own]].min())
+        return q[kept], x[kept], score[kept]
+
     def _taken(self, found: list, docs: pa.Array) -> Iterator[pa.RecordBatch]:
         if found:
             q, x, score = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -251,6 +320,27 @@ def _batch(columns: list[pa.Array]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=["query_id", "doc_id", "bm25", "low", "high", "n"][: len(columns)])
 
 
+def _parts(words: pa.ListArray, length: np.ndarray, asked: _Asked, k1: float, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, document, what its frequency there counts) for terms that queries have, by term and document."""
+    n = len(words)
+    at = pc.fill_null(pc.index_in(words.flatten(), value_set=asked.terms), -1).to_numpy()
+    there = np.flatnonzero(at >= 0)
+    pair, tf = np.unique(at[there].astype(np.int64) * n + np.repeat(np.arange(n), length)[there], return_counts=True)
+    t, d = np.divmod(pair, n)
+    return t, d, tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[d] / asked.average))
+
+
+def _flat(first: np.ndarray, many: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, first[i] + 0, 1, ... below many[i]) for all i, some ``FLAT_POSTINGS`` at a time."""
+    total, at = np.cumsum(many), 0
+    while at < len(many):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + FLAT_POSTINGS, "right")))
+        n = many[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        yield i, np.arange(len(i)) + np.repeat(first[at:end] - np.cumsum(n) + n, n)
+        at = end
+
+
 def _best_of(x: np.ndarray, score: np.ndarray, order: np.ndarray, top: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Of documents ``x`` the ``top`` best, as far as they reach ``least``."""
     if len(x) > top:
@@ -274,9 +364,55 @@ def _sum(k1: float, b: float) -> Column:
 
 
 def scored_pairs(docs: DataFrame, weights: DataFrame, pairs: DataFrame, doc_id: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """(query, doc, bm25) of the ``pairs`` (query_id, doc_id) that share a term, for queries that are ``weighted``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(pairs.select("query_id", "doc_id"), "doc_id")
-    return _postings(rows, "query_id", "doc_id").join(weights, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(_sum(k1, b))
+    """(query, doc, bm25) of the ``pairs`` (query_id, doc_id) that share a term, for queries that are ``weighted``.
+
+    Within the bounds of ``scored`` query terms go to every task, too, and a text is joined once with all of its queries; pairs, if
+    they are fewer than ``BROADCAST_PAIRS``, go to the texts. Nothing made of the texts is shuffled.
+    """
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    if _beyond(weights):
+        rows = own.join(pairs.select("query_id", "doc_id"), "doc_id")
+        return _postings(rows, "query_id", "doc_id").join(weights, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(_sum(k1, b))
+    asked, pairs = _sent(weights), store.written(pairs.select("query_id", "doc_id"))
+    kinds = ", ".join(f"{c} {t}" for c, t in [("query_id", weights.schema["query_id"].dataType.simpleString()), ("doc_id", own.schema["doc_id"].dataType.simpleString()), ("bm25", "double")])
+    if asked is None:
+        return docs.sparkSession.createDataFrame([], kinds)
+    few, wanted = pairs.count() <= BROADCAST_PAIRS, pairs.groupBy("doc_id").agg(F.collect_list("query_id").alias("queries"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for words, length in _slices(batch.column(1)):
+                yield from _pairs_scored(*(batch.column(c).slice(at, len(words)) for c in (0, 2)), words, length, asked.value, k1, b)
+                at += len(words)
+
+    return own.join(F.broadcast(wanted) if few else wanted, "doc_id").select("doc_id", tokens(F.col("text")), "queries").mapInArrow(score, kinds)
+
+
+#: So many pairs of a query and a document go to every task.
+BROADCAST_PAIRS = 2_000_000
+
+
+def _pairs_scored(docs: pa.Array, queries: pa.ListArray, words: pa.ListArray, length: np.ndarray, asked: _Asked, k1: float, b: float) -> Iterator[pa.RecordBatch]:
+    t, d, part = _parts(words, length, asked, k1, b)
+    by_doc = np.argsort(d, kind="stable")
+    t, part, many = t[by_doc], part[by_doc], np.bincount(d, minlength=len(docs))
+    known = pc.fill_null(pc.index_in(queries.flatten(), value_set=asked.ids), -1).to_numpy().astype(np.int64)
+    doc = np.repeat(np.arange(len(docs)), pc.list_value_length(queries).to_numpy())[known >= 0]
+    query = known[known >= 0]
+    keys = asked.of.astype(np.int64) * len(asked.terms) + asked.place
+    by_key = np.argsort(keys, kind="stable")
+    keys, w = keys[by_key], asked.w[by_key]
+    score, shared = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
+    for pair, which in _flat((np.cumsum(many) - many)[doc], many[doc]):
+        key = query[pair] * len(asked.terms) + t[which]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = keys[at] == key
+        score += np.bincount(pair[hit], w[at[hit]] * part[which[hit]], len(doc))
+        shared += np.bincount(pair[hit], minlength=len(doc))
+    some = np.flatnonzero(shared)
+    if len(some):
+        yield _batch([asked.ids.take(pa.array(query[some])), docs.take(pa.array(doc[some])), pa.array(np.round(score[some], DIGITS))])
 
 
 def _norm(score: str, low: Column, high: Column) -> Column:
@@ -304,7 +440,7 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, top: int = 5
     n_docs, terms = F.lit(docs.count()), weighted(docs, queries)
     lex, ends = lexical(docs, terms, n_docs, top_k)
     lex, den = store.written(lex), store.written(dense(vectors, queries, top_k))
-    more = scored_pairs(docs, terms, den.join(lex, ["query_id", "doc_id"], "left_anti")).join(ends, "query_id")
+    more = store.written(scored_pairs(docs, terms, den.join(lex, ["query_id", "doc_id"], "left_anti"))).join(ends, "query_id")
     more = more.select("query_id", "doc_id", "bm25", _norm("bm25", F.col("low"), F.col("high")).alias("bm25_norm"))
     return fused(lex.select(more.columns).unionByName(more), den, n_docs, top, top_k, weights)
 

@@ -1,7 +1,12 @@
 """What only larger tables show: segments of a query in many tasks, and what driver and tasks hold."""
 
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pandas as pd
+import pytest
 
 from quirespark.operators import chunk, retrieve
 from quirespark.plans import catalog
@@ -52,3 +57,56 @@ def test_chunks_leave_a_task_in_bounded_frames(monkeypatch):
     batch = pd.DataFrame({"source_file": list("abcdefg"), "text": ["x" * 10] * 6 + [None]})
     got = list(chunk._frames([batch], lambda s, t: [{"source_file": s, "text": t}], ["source_file", "text"]))
     assert [len(f) for f in got] == [3, 3, 1] and "".join(pd.concat(got)["source_file"]) == "abcdefg"
+
+
+def by_hand(docs, asked, k1=1.5, b=0.75):
+    """Scores of all pairs that share a term: (query, doc) to score, by plain sums."""
+    words = {d: (t or "").lower().split() for d, t in docs}
+    n, average = len(words), sum(map(len, words.values())) / len(words)
+    df = Counter(t for w in words.values() for t in set(w))
+    idf = {t: math.log(n - x + 0.5) - math.log(x + 0.5) for t, x in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    weight = {t: x if x >= 0 else 0.25 * mean for t, x in idf.items()}
+    out = {}
+    for q, text in asked:
+        for d, w in words.items():
+            tf, shared = Counter(w), [t for t in (text or "").lower().split() if t in w]
+            if shared:
+                out[q, d] = sum(weight[t] * tf[t] * (k1 + 1) / (tf[t] + k1 * (1 - b + b * len(w) / average)) for t in shared)
+    return out
+
+
+@pytest.mark.parametrize("gain", [0, 256, 1 << 30])
+def test_products_of_matrices_and_postings_make_the_same_scores(spark, monkeypatch, gain):
+    """All terms by postings, all by the matrix, or some; w1 is in half of the documents, so it weighs nothing."""
+    rng = random.Random(gain)
+    docs = [(i, " ".join(["w1"] * (i % 2) + [f"w{int(2 + 40 * rng.random() ** 3)}" for _ in range(rng.randint(0, 9))])) for i in range(60)] + [(60, None), (61, "w1")]
+    asked = [("a", "w1"), ("b", "w1 w2 w3 w3"), ("c", "w9 w2 w30 w11 w5 w7"), ("d", "none"), ("e", None), ("f", "W40")]
+    for name, least in (("DENSE_GAIN", gain), ("SCORE_CELLS", 30), ("DENSE_CELLS", 100), ("FLAT_POSTINGS", 7), ("SLICE_TOKENS", 60), ("ROWS", 4)):
+        monkeypatch.setattr(retrieve, name, least)
+    left, right = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asked, "query_id string, text string")
+    want, weights = by_hand(docs, asked), retrieve.weighted(left, right)
+    assert 0.0 in want.values() and {(r.query_id, r.doc_id): r.bm25 for r in retrieve.scored(left, weights).collect()} == pytest.approx(want, abs=2e-6)
+    found = retrieve.scored(left, weights, top=4, edges=True).collect()
+    best = {(r.query_id, r.doc_id): r.bm25 for r in retrieve.ranked(retrieve.scored(left, weights, top=4), "bm25", 4).collect()}
+    for q in "abcf":
+        own = sorted(((round(s, 6), d) for (of, d), s in want.items() if of == q), reverse=True)
+        assert {(q, d): s for s, d in own[:4]} == pytest.approx({k: s for k, s in best.items() if k[0] == q}, abs=2e-6)
+        ends = [r for r in found if r.query_id == q and r.n]
+        assert (min(r.low for r in ends), max(r.high for r in ends), sum(r.n for r in ends)) == pytest.approx((own[-1][0], own[0][0], len(own)), abs=2e-6)
+    pairs = spark.createDataFrame([(q, d) for q in "abcdefz" for d in range(0, 62, 3)] + [("c", 99)], "query_id string, doc_id long")
+    some = {k: s for k, s in want.items() if k[1] % 3 == 0}
+    for most in (0, 1000):
+        monkeypatch.setattr(retrieve, "BROADCAST_PAIRS", most)
+        assert {(r.query_id, r.doc_id): r.bm25 for r in retrieve.scored_pairs(left, weights, pairs).collect()} == pytest.approx(some, abs=2e-6)
+
+
+def test_many_terms_of_queries_are_no_reason_to_shuffle_texts(spark):
+    """Copies of all documents for each block of queries, and postings of the pairs that only dense search finds, filled the disk."""
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('t', id, ' t', id * 7) AS text")
+    weights = spark.range(60_000).selectExpr("id % 300 AS query_id", "concat('t', id) AS term", "1.0D AS w", "2.0D AS avg_length")
+    pairs = docs.selectExpr("doc_id % 300 AS query_id", "doc_id")
+    for made in (retrieve.scored(docs, weights, top=5), retrieve.scored_pairs(docs, weights, pairs)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert "CoGroup" not in plan and "inline" not in plan and "MapInArrow" in plan
+    assert retrieve.scored(docs, weights, top=5).count() > 0
