@@ -611,6 +611,13 @@ def orphans(children: DataFrame, corpus: DataFrame) -> DataFrame:
     return children.join(corpus.select(F.col("chunk_id").alias("parent_id")), "parent_id", "left_anti")
 
 
+def with_texts(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, ...) with the ``text`` of their document. Rows, computed once, go to the texts if they are fewer than
+    ``BROADCAST_PAIRS``, so that texts of documents that no row names are not shuffled."""
+    rows = store.written(rows)
+    return docs.select("doc_id", "text").join(F.broadcast(rows) if rows.count() <= BROADCAST_PAIRS else rows, "doc_id")
+
+
 def annotated(candidates: DataFrame, weights: tuple[float, float] = (LEXICAL, DENSE)) -> DataFrame:
     """``candidates`` (..., bm25, bm25_norm, dense, dense_norm, rerank) with the scores that a retrieved document shows:
     bm25_score, dense_score, fused_score (not clipped) and rerank_score; what was not scored is 0."""

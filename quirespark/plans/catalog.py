@@ -213,7 +213,7 @@ SELECT query_id, count(*) AS used, length(regexp_replace(string_agg(segment, chr
 def rag_answers(spark, sf):
     """The whole cascade with stub models: fusion, MMR, rerank, context, answer."""
     docs, _, asked = _hybrid(spark, sf)
-    picked = mmr_select(spark, sf).join(docs.select("doc_id", "text"), "doc_id").join(asked.select("query_id", F.col("text").alias("question")), "query_id")
+    picked = retrieve.with_texts(mmr_select(spark, sf), docs).join(asked.select("query_id", F.col("text").alias("question")), "query_id")
     scored = picked.withColumn("rerank", F.round(models.overlap_score(F.col("question"), F.col("text")), 6))
     best = retrieve.ranked(scored, "rerank", 5, F.col("mmr_rank").asc())
     parts = best.select("query_id", "rank", retrieve.segment(F.col("rank"), F.col("doc_id").cast("string"), F.col("text"), score=F.col("rerank")).alias("segment"))

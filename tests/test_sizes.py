@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quirespark.operators import chunk, retrieve
 from quirespark.plans import catalog
@@ -110,3 +111,16 @@ def test_many_terms_of_queries_are_no_reason_to_shuffle_texts(spark):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "CoGroup" not in plan and "inline" not in plan and "MapInArrow" in plan
     assert retrieve.scored(docs, weights, top=5).count() > 0
+
+
+def test_answers_shuffle_the_texts_that_were_picked_only(spark, monkeypatch):
+    docs = spark.range(30).selectExpr("id AS doc_id", "concat('t', id) AS text", "'x' AS other")
+    rows = docs.filter("doc_id % 7 = 0").select("doc_id", F.lit(1).alias("query_id"))
+    plan = lambda: retrieve.with_texts(rows, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan()
+    asked = catalog.QUERIES["rag_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in asked
+    want = {(7 * k, f"t{7 * k}", 1) for k in range(5)}
+    assert {tuple(r) for r in retrieve.with_texts(rows, docs).collect()} == want
+    monkeypatch.setattr(retrieve, "BROADCAST_PAIRS", 3)
+    assert "strategy=broadcast" not in plan() and {tuple(r) for r in retrieve.with_texts(rows, docs).collect()} == want
