@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quirespark.functions import kernels
 from quirespark.functions.kernels import PLAIN_SEPARATORS, PROSE_SEPARATORS
 from quirespark.functions.text import chunk_id, indexed_id, token_estimate
+from quirespark.sources import store
 
 ATOMIC = (2048, 400)
 PROSE = (2048, 300)
@@ -154,7 +155,7 @@ def _whole_or_split(text: str, size: int, overlap: int, separators, title=any_ti
     joined, out, here, line = "\n".join(masked), [], 0, 0
     for piece in kernels.split(joined, size, overlap, separators, frozenset(held)):
         # Pieces come in order and overlap, so the next begins after the start of the one before.
-        found = joined.find(piece, here)
+        found = _found(joined, piece, here)
         if found >= 0:
             line += joined.count("\n", here, found)
             here = found
@@ -218,27 +219,34 @@ def _without_label_runs(rows: list[str], lines: list[int]) -> tuple[list[str], l
     return [rows[k] for k in alone], [lines[k] for k in alone]
 
 
+def _found(text: str, piece: str, at: int) -> int:
+    """``text.find(piece, at)``, for which a long piece is prepared for longer than the first place of its start is looked for."""
+    start = text.find(piece[:64], at)
+    return start if start < 0 or text.startswith(piece, start) else text.find(piece, start)
+
+
 def _typed(text: str, size: int, overlap: int) -> list[dict]:
     """(content_type, text, section_heading) of a document: equations, tables, then the prose without them."""
     rows, prose, lines, out = text.split("\n"), [], [], []
     above = kernels.headings_above(rows)
-    found = kernels.blocks(text)
+    found = kernels.blocks(text, rows=rows)
     for kind, a, z in found:
         if kind == "text":
             prose += rows[a:z]
             lines += range(a, z)
         elif kind == "equation":
             out.append({"content_type": "equation", "section_heading": above[a]})
-    for r, body in zip(out, kernels.equations(text, found), strict=True):
+    for r, body in zip(out, kernels.equations(text, found, rows) if out else (), strict=True):
         r["text"] = body
-    out += [{"content_type": "table", "section_heading": t["heading"], "text": t["text"]} for t in kernels.tables(text, found=found, cells=False, above=above)]
-    prose, lines = _without_label_runs(prose, lines)
+    out += [{"content_type": "table", "section_heading": t["heading"], "text": t["text"]} for t in kernels.tables(text, found=found, cells=False, above=above, rows=rows)]
+    if ":**" in text:
+        prose, lines = _without_label_runs(prose, lines)
     # Runs of blank lines shrink to one, so that lines keep their numbers.
     kept = [k for k in range(len(prose)) if prose[k] or k == 0 or prose[k - 1]]
     joined, lines = "\n".join(prose[k] for k in kept), [lines[k] for k in kept]
     here, line = 0, 0
     for piece in kernels.split(joined, size, overlap, PROSE_SEPARATORS):
-        at = joined.find(piece, here)
+        at = _found(joined, piece, here)
         if at >= 0:
             line += joined.count("\n", here, at)
             here = at
@@ -289,69 +297,74 @@ def _children(parent: dict, size: int, overlap: int) -> list[tuple[str, str]]:
     return [(f"_tbl_child_{a}", t) for a, t in table_children(head, rows, parent["section_heading"])]
 
 
-#: What a task knows of a chunk: its id and its parent's are the numbers that the ids spell.
-_FAMILY = pa.schema([("source_file", pa.string()), ("parent", pa.int32()), ("child", pa.int32()), ("content_type", pa.string()), ("section_heading", pa.string()), ("text", pa.string()), ("key", pa.int64()), ("parent_key", pa.int64()), ("child_keys", pa.list_(pa.int64())), ("n_children", pa.int32())])
-_FAMILY_SQL = "source_file string, parent int, child int, content_type string, section_heading string, text string, key long, parent_key long, child_keys array<long>, n_children int"
+#: A parent with its children, whose ids are the numbers that they spell. Headings and texts are left out where nothing asks for them.
+_FAMILY = pa.schema([("source_file", pa.string()), ("parent", pa.int32()), ("content_type", pa.string()), ("key", pa.int64()), ("child_keys", pa.list_(pa.int64())), ("section_heading", pa.string()), ("text", pa.string()), ("child_texts", pa.list_(pa.string()))])
+_FAMILY_SQL = "source_file string, parent int, content_type string, key long, child_keys array<long>, section_heading string, text string, child_texts array<string>"
+_BARE = 5
+
+
+def _family_batch(rows: list[tuple], digests: list[bytes], texts: bool) -> pa.RecordBatch:
+    """Of ``rows`` (source_file, parent, content_type, number of children, section_heading, text, child_texts) and the digests of each parent
+    and its children, of which ``functions.text.chunk_id`` spells the first six bytes."""
+    sources, numbers, kinds, many, headings, own, children = zip(*rows, strict=True) if rows else [()] * 7
+    n = np.array(many, np.int64)
+    keys, first = (np.frombuffer(b"".join(digests), ">u8")[::2] >> np.uint64(16)).astype(np.int64), np.cumsum(n + 1) - n - 1
+    child = np.ones(len(keys), bool)
+    child[first] = False
+    listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(keys[child]))
+    columns = [sources, numbers, kinds, keys[first], listed, headings, own, children][: len(_FAMILY) if texts else _BARE]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, _FAMILY, strict=False)], names=_FAMILY.names[: len(columns)])
 
 
-def _family_batch(parents: list[tuple], keys: list[int], texts: list[str], columns: tuple[str, ...]) -> pa.RecordBatch:
-    """Rows of ``parents`` (source_file, parent, content_type, section_heading, n_children), each before its children; ``keys`` and
-    ``texts`` are of all rows."""
-    sources, numbers, kinds, headings, n = zip(*parents, strict=True) if parents else [()] * 5
-    n = np.array(n, np.int64)
-    first = np.cumsum(n + 1) - n - 1
-    own, at, key = np.repeat(np.arange(len(n)), n + 1), np.arange(len(keys)), np.array(keys, np.int64)
-    child = at - first[own] - 1
-    each = lambda x, kind: pa.array(x, kind).take(pa.array(own))
-    made = {
-        "source_file": lambda k: each(sources, k), "parent": lambda k: each(numbers, k), "child": lambda k: pa.array(child, k), "content_type": lambda k: each(kinds, k),
-        "section_heading": lambda k: each(headings, k), "text": lambda k: pa.array(texts, k), "key": lambda k: pa.array(key, k), "parent_key": lambda k: pa.array(key[first[own]], k, mask=child < 0),
-        # A child's list is empty: all offsets of a family but the first one are its end.
-        "child_keys": lambda k: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)[own]), pa.int32()), pa.array(key[child >= 0])), "n_children": lambda k: pa.array(np.where(child < 0, n[own], 0), k),
-    }
-    kinds_of = pa.schema([_FAMILY.field(c) for c in columns])
-    return pa.RecordBatch.from_arrays([made[f.name](f.type) for f in kinds_of], schema=kinds_of)
+#: Texts of so many documents are taken out of an Arrow batch at a time.
+SOME_DOCS = 64
 
 
-def _families(docs: DataFrame, size: int, overlap: int, child: tuple[int, int], compat: bool, columns: tuple[str, ...]) -> DataFrame:
-    """The first chunk of each id among parents and among children: ``columns`` of ``_FAMILY``. Only these leave a task."""
+def _families(docs: DataFrame, size: int, overlap: int, child: tuple[int, int], compat: bool, texts: bool) -> DataFrame:
+    """``_FAMILY`` of documents, or what of it is not text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parents, keys, texts, held = [], [], [], 0
+        rows, digests, held, md5 = [], [], 0, hashlib.md5
         for batch in batches:
-            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for i, p in enumerate(_typed(text or "", size, overlap)):
-                    kind = p["content_type"]
-                    if compat and kind == "text":
-                        continue
-                    found = _children(p, *child)
-                    parents.append((source, i, kind, p["section_heading"], len(found)))
-                    keys.append(_key(source, p["text"]))
-                    keys += [_key(source, t, s) for s, t in found]
-                    if "text" in columns:
-                        texts.append(p["text"])
-                        texts += [t for _, t in found]
-                held += 3 * len(text or "")  # about what its parents and children have
-                if held > HELD_CHARS:
-                    yield _family_batch(parents, keys, texts, columns)
-                    parents, keys, texts, held = [], [], [], 0
-        yield _family_batch(parents, keys, texts, columns)
-
-    sql = ", ".join(f for f in _FAMILY_SQL.split(", ") if f.split()[0] in columns)
-    rows = docs.select("source_file", "text").mapInArrow(run, sql)
-    # Ids seldom meet. A row number would have all rows sorted before they are shuffled, too, for the first of each to be kept.
-    first = F.lag(F.lit(True)).over(Window.partitionBy(_role_key()).orderBy("source_file", "parent", "child")).isNull()
-    return rows.withColumn("_first", first).filter("_first").drop("_first")
-
-
-def _role_key() -> Column:
-    """A parent's key or a child's: one number, so that rows are sorted by it alone."""
-    return F.shiftleft("key", 1).bitwiseOR((F.col("child") >= 0).cast("long"))
-
-
-def _key(source: str, text: str, suffix: str = "") -> int:
-    """The number that ``functions.text.chunk_id`` spells."""
-    return int.from_bytes(hashlib.md5(f"{source}{suffix}::{text[:120]}".encode()).digest()[:6])
+            for at in range(0, batch.num_rows, SOME_DOCS):
+                for source, text in zip(*(c.slice(at, SOME_DOCS).to_pylist() for c in batch.columns), strict=True):
+                    for i, p in enumerate(_typed(text or "", size, overlap)):
+                        kind, own = p["content_type"], p["text"]
+                        if compat and kind == "text":
+                            continue
+                        found = _children(p, *child)
+                        digests.append(md5(f"{source}::{own[:120]}".encode()).digest())
+                        digests += [md5(f"{source}{s}::{t[:120]}".encode()).digest() for s, t in found]
+                        rows.append((source, i, kind, len(found), *((p["section_heading"], own, [t for _, t in found]) if texts else (None, None, None))))
+                    held += 3 * len(text or "")  # about what its parents and children have
+                    if held > HELD_CHARS:
+                        yield _family_batch(rows, digests, texts)
+                        rows, digests, held = [], [], 0
+        yield _family_batch(rows, digests, texts)
+
+    return docs.select("source_file", "text").mapInArrow(run, ", ".join(_FAMILY_SQL.split(", ")[: None if texts else _BARE]))
+
+
+def _members(families: DataFrame) -> DataFrame:
+    """A row for each parent and child: also child (-1 for a parent), key, parent_key and n_children."""
+    texts = "text" in families.columns
+    none = F.array().cast("array<long>")
+    own = F.struct(F.lit(-1).alias("child"), "key", F.lit(None).cast("long").alias("parent_key"), F.size("child_keys").alias("n_children"), *((F.col("text"), F.col("child_keys")) if texts else ()))
+    each = lambda k, i: F.struct(i.alias("child"), k.alias("key"), F.col("key").alias("parent_key"), F.lit(0).alias("n_children"), *((F.get("child_texts", i).alias("text"), none.alias("child_keys")) if texts else ()))
+    kept = [c for c in ("source_file", "parent", "content_type", "section_heading", "own_id") if c in families.columns]
+    return families.select(*kept, F.inline(F.concat(F.array(own), F.transform("child_keys", each))))
+
+
+def _role_key(key: Column, child: Column) -> Column:
+    """A parent's key or a child's as one number."""
+    return F.shiftleft(key, 1).bitwiseOR(child.cast("long"))
+
+
+def _first_members(members: DataFrame) -> DataFrame:
+    """The first chunk of each id among parents and among children. A row number would have all rows sorted before they are
+    shuffled, too, for the first of each to be kept."""
+    own = Window.partitionBy(_role_key(F.col("key"), F.col("child") >= 0)).orderBy("source_file", "parent", "child")
+    return members.withColumn("_first", F.lag(F.lit(True)).over(own).isNull()).filter("_first").drop("_first")
 
 
 def _spelled(key: Column) -> Column:
@@ -367,17 +380,23 @@ def parent_child_chunks(docs: DataFrame, size: int = PROSE[0], overlap: int = PR
 
     ``child_ids`` names all children, also those that a later duplicate loses. With ``compat`` there is no prose.
     """
-    columns = ("source_file", "parent", "child", "content_type", "section_heading", "text", "key", "parent_key", "child_keys")
-    rows = _families(docs, size, overlap, child, compat, columns)
+    rows = _first_members(_members(_families(docs, size, overlap, child, compat, True)))
     ids = (_spelled(F.col("key")).alias("chunk_id"), _spelled(F.col("parent_key")).alias("parent_id"), _role().alias("chunk_role"), F.transform("child_keys", _spelled).alias("child_ids"))
-    return rows.select(*columns[:6], *ids, has_variables(F.col("text"), r"\$[^$\n]{2,200}\$").alias("has_variables"))
+    return rows.select("source_file", "parent", "child", "content_type", "section_heading", "text", *ids, has_variables(F.col("text"), r"\$[^$\n]{2,200}\$").alias("has_variables"))
 
 
 def parent_child_ids(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], child: tuple[int, int] = CHILD, compat: bool = False) -> DataFrame:
-    """(chunk_id, parent_id, chunk_role, content_type, source_file, n_children) of ``parent_child_chunks``: no text leaves a
-    task, and rows that are looked through for the first of each id hold numbers."""
-    rows = _families(docs, size, overlap, child, compat, ("source_file", "parent", "child", "content_type", "key", "parent_key", "n_children"))
-    return rows.select(_spelled(F.col("key")).alias("chunk_id"), _spelled(F.col("parent_key")).alias("parent_id"), _role().alias("chunk_role"), "content_type", "source_file", "n_children")
+    """(chunk_id, parent_id, chunk_role, content_type, source_file, n_children) of ``parent_child_chunks``, from a table of
+    families without texts that is written first. Only its keys are shuffled, and the rows of those that several share."""
+    families = store.written(_families(docs, size, overlap, child, compat, False))
+    keys = families.select(F.explode(F.concat(F.array(_role_key(F.col("key"), F.lit(0))), F.transform("child_keys", lambda k: _role_key(k, F.lit(1))))).alias("_key"))
+    shared = store.written(keys.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key"))
+    rows = _members(families.withColumn("own_id", _spelled(F.col("key"))))  # once for all children
+    if not shared.isEmpty():
+        keyed = rows.withColumn("_key", _role_key(F.col("key"), F.col("child") >= 0))
+        rows = keyed.join(shared, "_key", "left_anti").unionByName(_first_members(keyed.join(shared, "_key", "left_semi")))
+    ids = (F.when(F.col("child") < 0, F.col("own_id")).otherwise(_spelled(F.col("key"))).alias("chunk_id"), F.when(F.col("child") >= 0, F.col("own_id")).alias("parent_id"))
+    return rows.select(*ids, _role().alias("chunk_role"), "content_type", "source_file", "n_children")
 
 
 def drops(chunks: DataFrame) -> DataFrame:
