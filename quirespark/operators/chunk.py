@@ -388,13 +388,16 @@ def parent_child_chunks(docs: DataFrame, size: int = PROSE[0], overlap: int = PR
 def parent_child_ids(docs: DataFrame, size: int = PROSE[0], overlap: int = PROSE[1], child: tuple[int, int] = CHILD, compat: bool = False) -> DataFrame:
     """(chunk_id, parent_id, chunk_role, content_type, source_file, n_children) of ``parent_child_chunks``, from a table of
     families without texts that is written first. Only its keys are shuffled, and the rows of those that several share."""
-    families = store.written(_families(docs, size, overlap, child, compat, False))
-    keys = families.select(F.explode(F.concat(F.array(_role_key(F.col("key"), F.lit(0))), F.transform("child_keys", lambda k: _role_key(k, F.lit(1))))).alias("_key"))
+    families = store.written(_families(docs, size, overlap, child, compat, False).withColumn("number", F.monotonically_increasing_id()))
+    every = F.concat(F.array(_role_key(F.col("key"), F.lit(0))), F.transform("child_keys", lambda k: _role_key(k, F.lit(1))))
+    keys = families.select("number", F.explode(every).alias("_key"))
     shared = store.written(keys.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key"))
-    rows = _members(families.withColumn("own_id", _spelled(F.col("key"))))  # once for all children
+    spelled = lambda some: _members(some.withColumn("own_id", _spelled(F.col("key")))).withColumn("_key", _role_key(F.col("key"), F.col("child") >= 0))
+    rows = spelled(families)
     if not shared.isEmpty():
-        keyed = rows.withColumn("_key", _role_key(F.col("key"), F.col("child") >= 0))
-        rows = keyed.join(shared, "_key", "left_anti").unionByName(_first_members(keyed.join(shared, "_key", "left_semi")))
+        holders = store.written(keys.join(shared, "_key", "left_semi").select("number").distinct())
+        several = spelled(families.join(holders, "number", "left_semi")).join(shared, "_key", "left_semi")
+        rows = rows.join(shared, "_key", "left_anti").unionByName(_first_members(several))
     ids = (F.when(F.col("child") < 0, F.col("own_id")).otherwise(_spelled(F.col("key"))).alias("chunk_id"), F.when(F.col("child") >= 0, F.col("own_id")).alias("parent_id"))
     return rows.select(*ids, _role().alias("chunk_role"), "content_type", "source_file", "n_children")
 
