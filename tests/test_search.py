@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirespark.operators import index, models, nearest, retrieve
+from quirespark.plans import catalog
 from quirespark.sources import store
 
 
@@ -233,3 +234,10 @@ def test_blocks_of_ranges_that_batches_part():
     assert blocks == rows(whole.to_batches(max_chunksize=7)) and len(blocks) == 12
     first = dict(next(r for r in blocks if r[0] == ("term", "a") and r[1] == ("range", 0)))
     assert (first["bits"], first["ats"], first["tfs"], first["max_tf"], first["min_length"]) == ((1 << 16) - 1, list(range(16)), [1, 2] * 8, 2, 3)
+
+
+def test_diversified_candidates_make_no_rows_of_postings(spark, monkeypatch):
+    """What only dense search has found is scored where its texts are."""
+    monkeypatch.setattr(retrieve, "_postings", None)
+    rows = catalog.QUERIES["mmr_select"](spark, "/root/testdata/sf0.001").groupBy("query_id").agg(F.max("mmr_rank").alias("n")).collect()
+    assert rows and {r.n for r in rows} == {20}
